@@ -25,8 +25,8 @@ def observed(bars: DataFrame, daily: DataFrame, cutoff_min: int,
         C("adj_low").alias("l"), C("adj_close").alias("c"))
     b = b.join(reference_levels(daily).where("ref_open is not null"), SESSION)
     w, k = in_session(), p.swing_bars
-    b = b.withColumns({
-        "rn": F.row_number().over(w), "n": F.count(F.lit(1)).over(whole_session()),
+    b = b.withColumn("rn", F.row_number().over(w)).withColumns({
+        "n": F.count(F.lit(1)).over(whole_session()),
         "ph": F.lag("h").over(w), "pl": F.lag("l").over(w), "pc": F.lag("c").over(w),
         "low2": F.lag("l", 2).over(w), "h1": F.first("h").over(w), "l1": F.first("l").over(w),
         "run_hi": F.max("h").over(upto(w)), "run_lo": F.min("l").over(upto(w)),

@@ -100,7 +100,7 @@ def classify_days(d: DataFrame, rules: ClassRules = ClassRules(),
     full, half = yes(C("full_gap_fill")), yes(C("half_gap_fill"))
     up_close = F.coalesce(C("close_above_cash_open"), C("day_net_points") > 0, F.lit(False))
     high_up = (yes(C("ath_at_open")) | yes(C("ath_reached_overnight"))
-               | yes(C("near_ath_0.5pct")))
+               | yes(C("`near_ath_0.5pct`")))
     mfe, mae = C("max_favorable_excursion_pct"), C("max_adverse_excursion_pct")
     deep = yes(-mae > rules.big_excursion_atr)
     reach = rules.big_excursion_atr * 100.0 * F.nullif(C("atr"), F.lit(0.0)) / C("cash_open_adj")

@@ -231,6 +231,10 @@ def describe_session(d: DataFrame) -> DataFrame:
     weak = F.least("first_meaningful_lower_high_min", "first_bearish_expansion_min")
     side = F.when(dist > 0, "above").otherwise("below")
     bar = F.when(C("first_bar_return") > 0, "bullish").otherwise("bearish")
+
+    def shown(c: str) -> Column:
+        return F.when(C(c).isNull(), "none").otherwise(F.format_string("%.2f", c))
+
     return d.select(*SESSION, F.concat_ws(
         "; ",
         F.when(dist.isNotNull(), F.when(C("ath_at_open"), "open at a new high").otherwise(
@@ -245,7 +249,6 @@ def describe_session(d: DataFrame) -> DataFrame:
                .otherwise(F.format_string("first bar %s (%+.2f%%)", bar, "first_bar_return"))),
         F.when(C("extension_ratio").isNotNull(), F.format_string(
             "extension %.2f, overlap %s, efficiency %s", "extension_ratio",
-            F.coalesce(F.format_string("%.2f", "post_spike_overlap_ratio"), F.lit("none")),
-            F.coalesce(F.format_string("%.2f", "post_spike_efficiency"), F.lit("none")))),
+            shown("post_spike_overlap_ratio"), shown("post_spike_efficiency"))),
         F.when(weak.isNotNull(), F.format_string("weak from minute %d", weak))
     ).alias("description"))

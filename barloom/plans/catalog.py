@@ -143,3 +143,154 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return bars.session_ohlc(t.bars).select(*SESSION, "prev_session_date", "weekday",
                                             "cash_close", "overnight_open")
+
+
+@query("c9_previous_session")
+def _(t: Tables) -> DataFrame:
+    """Previous session of every calendar day an order was placed on, for every instrument
+    that trades that day's ISO week."""
+    day = F.to_date("o_orderdate")
+    days = t.table("orders").select(day.alias("session_date")).distinct().withColumn(
+        "w", F.to_date(F.date_trunc("week", "session_date")))
+    s = bars.session_ohlc(t.bars).select(*SESSION)
+    asked = days.join(s.select("instrument_id", C("session_date").alias("w")), "w").select(*SESSION)
+    return bars.previous_session_of(s, asked)
+
+
+# ---- opening features ----------------------------------------------------------------
+_WIN = ("net_return_pct", "high_low_range", "directional_efficiency", "bar_overlap_ratio",
+        "percentage_bull_bars", "close_location_in_window_range")
+OPENING_VIEWS = {
+    "f1_directional_efficiency": "directional_efficiency post_spike_efficiency",
+    "f2_bar_overlap": "bar_overlap_ratio post_spike_overlap_ratio",
+    "f3_swings": "first_lower_swing_high_min first_lower_swing_low_min",
+    "f4_window_structure":
+        "n_window_bars net_return_pct net_points high_low_range "
+        "range_normalized_by_prior_daily_range range_normalized_by_ATR number_of_bull_bars "
+        "number_of_bear_bars percentage_bull_bars number_of_higher_highs number_of_lower_highs "
+        "number_of_higher_lows number_of_lower_lows close_location_in_window_range "
+        "maximum_pullback maximum_pullback_as_fraction_of_up_move "
+        "maximum_bounce_as_fraction_of_down_move directional_efficiency bar_overlap_ratio "
+        "time_above_cash_open time_below_cash_open distance_from_cash_open distance_from_PDH "
+        "distance_from_PDL distance_from_previous_close distance_from_overnight_high "
+        "distance_from_overnight_low",
+    "f5_first_bar":
+        "first_bar_return first_bar_range first_bar_range_normalized "
+        "first_bar_range_norm_prevrange first_bar_body first_bar_body_to_range "
+        "first_bar_upper_wick first_bar_lower_wick first_bar_close_location "
+        "first_bar_breaks_PDH first_bar_breaks_overnight_high first_bar_breaks_prior_ATH "
+        "first_bar_is_bull",
+    "f6_post_spike":
+        "additional_extension_after_first_bar extension_ratio post_spike_pullback "
+        "post_spike_pullback_ratio post_spike_overlap_ratio post_spike_efficiency "
+        "number_of_new_highs_after_first_bar average_distance_between_new_highs "
+        "minutes_until_next_meaningful_new_high close_progress_ratio",
+    "f7_weakness_events":
+        "first_close_below_prev2_low_min first_lower_swing_high_min first_lower_swing_low_min "
+        "first_bearish_expansion_min first_bullish_expansion_min first_break_first15m_low_min "
+        "first_break_first30m_low_min first_stall_break_min first_meaningful_lower_high_min "
+        "first_meaningful_higher_low_min failed_to_reclaim_bear_expansion_high "
+        "time_below_open_frac opening_range_break_direction first_opening_range_break_min",
+    "f8_sub_windows": " ".join(f"w{w}_{k}" for w in (5, 15, 30, 60) for k in _WIN),
+}
+OPENING_VIEWS["f9_opening_features"] = " ".join(dict.fromkeys(
+    ("cutoff_min " + " ".join(OPENING_VIEWS.values())).split()))
+for _n, _c in OPENING_VIEWS.items():
+    columns_of("opening", _n, _c)
+
+# ---- outcomes ------------------------------------------------------------------------
+OUTCOME_VIEWS = {
+    "g1_price_at_cutoff": "cutoff_price",
+    "g2_horizon_returns": "return_after_15m_pct return_after_30m_pct return_after_60m_pct "
+                          "return_at_1200_pct return_at_us_open_pct return_at_cash_close_pct",
+    "g3_excursions": "max_favorable_excursion_pct max_adverse_excursion_pct",
+    "g4_extreme_times": "session_high_min session_low_min session_close_pct_vs_cutoff",
+    "g5_level_tests": "break_observed_high break_observed_low retest_cash_open "
+                      "touch_overnight_high touch_overnight_low touch_pdh touch_pdl "
+                      "touch_previous_close",
+    "g6_gap_fill": "full_gap_fill half_gap_fill",
+    "g7_close_relations": "close_above_cash_open close_below_cash_open close_above_prior_ath "
+                          "close_below_prior_ath",
+}
+for _n, _c in OUTCOME_VIEWS.items():
+    columns_of("outcomes", _n, _c)
+
+
+@query("g8_outcome_table")
+def _(t: Tables) -> DataFrame:
+    """Outcomes of the sessions that opened above the previous high."""
+    picked = t.daily.where("open_above_pdh")
+    return outcomes.session_outcomes(t.bars, t.daily, SessionParams().cutoff_min, picked)
+
+
+@query("g9_day_classes")
+def _(t: Tables) -> DataFrame:
+    d = t.features.join(t.outcomes.drop("cutoff_min"), SESSION)
+    return outcomes.classify_days(d).select(*SESSION, "day_classification")
+
+
+# ---- paths ---------------------------------------------------------------------------
+@query("h1_rebased_path")
+def _(t: Tables) -> DataFrame:
+    b = bars.cash(t.bars, SessionParams().cutoff_min).select(
+        *SESSION, "mso", C("adj_close").alias("c")).join(t.levels, SESSION)
+    return b.select(*SESSION, "mso", *[paths.path_value(u).alias(f"path_{u}") for u in (
+        "points", "pct", "prior_range", "atr")])
+
+
+@query("h2_grid_path")
+def _(t: Tables) -> DataFrame:
+    return paths.long_paths(t.paths)
+
+
+@query("h3_path_matrix")
+def _(t: Tables) -> DataFrame:
+    """Rows of the matrix in a fixed text form."""
+    def cell(x):
+        return F.when(x.isNull(), "-").otherwise(F.format_string("%.3f", F.round(x, 3)))
+
+    return t.paths.select(*SESSION, F.size("path").alias("width"),
+                          F.array_join(F.transform("path", cell), " ").alias("path_row"))
+
+
+def _scores(t: Tables) -> DataFrame:
+    return paths.path_scores(paths.against_reference(t.paths, t.refs))
+
+
+@query("h4_path_correlation")
+def _(t: Tables) -> DataFrame:
+    return _scores(t).select(*SESSION, "n", "correlation")
+
+
+@query("h5_path_euclidean")
+def _(t: Tables) -> DataFrame:
+    return _scores(t).select(*SESSION, "euclidean")
+
+
+@query("h6_path_cosine")
+def _(t: Tables) -> DataFrame:
+    return _scores(t).select(*SESSION, "cosine")
+
+
+@query("h7_path_dtw")
+def _(t: Tables) -> DataFrame:
+    return paths.path_distance(paths.against_reference(t.paths, t.refs), "dtw")
+
+
+@query("h8_path_distance")
+def _(t: Tables) -> DataFrame:
+    pairs = paths.against_reference(t.paths, t.refs)
+    return paths.path_distance(pairs, "correlation").withColumnRenamed(
+        "path_dist", "by_correlation").join(paths.path_distance(pairs, "cosine")
+                                            .withColumnRenamed("path_dist", "by_cosine"), SESSION)
+
+
+@query("h9_median_band")
+def _(t: Tables) -> DataFrame:
+    return paths.median_band(t.paths)
+
+
+@query("h9_overlay")
+def _(t: Tables) -> DataFrame:
+    """Reference path and 25 more per instrument: the line count is the chart's parameter."""
+    return paths.overlay(t.paths, t.refs)

@@ -16,6 +16,8 @@ def _needs(sql: str) -> set[str]:
 
 def statement(sql: str, doubles: str = "") -> str:
     """``WITH`` exactly the expressions the statement uses; round the named columns."""
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     order: list[str] = []
 
     def visit(name: str) -> None:

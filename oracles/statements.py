@@ -34,3 +34,54 @@ add("c13_overnight_asof", f"""SELECT {KEY}, on_open AS overnight_open, on_high A
     "overnight_open overnight_high overnight_low overnight_close")
 add("c14_daily_row", f"""SELECT {KEY}, prev_session_date, weekday, cash_close,
   on_open AS overnight_open FROM o_ohlc""", "cash_close overnight_open")
+import oracles.intraday  # noqa: E402,F401
+from barloom.plans.catalog import OPENING_VIEWS, OUTCOME_VIEWS  # noqa: E402
+
+add("c9_previous_session", f"""
+WITH asked AS (SELECT DISTINCT o.instrument_id, CAST(d.o_orderdate AS DATE) AS session_date
+  FROM orders d JOIN o_ohlc o ON o.session_date = CAST(date_trunc('week', d.o_orderdate) AS DATE))
+SELECT a.instrument_id, a.session_date,
+  (SELECT max(s.session_date) FROM o_ohlc s WHERE s.instrument_id = a.instrument_id
+    AND s.session_date < a.session_date) AS prev_session_date FROM asked a""")
+
+_NOT_DOUBLE = ("number_of", "first_bar_breaks", "first_bar_is", "n_window", "cutoff_min",
+               "failed", "opening_range", "minutes_until")
+
+
+def _doubles(cols: str) -> str:
+    return " ".join(f'"{c}"' for c in cols.split()
+                    if not c.startswith(_NOT_DOUBLE) and not c.endswith("_min"))
+
+
+for _n, _c in OPENING_VIEWS.items():
+    add(_n, f"SELECT {KEY}, {quoted(_c)} FROM o_opening", _doubles(_c))
+_OUT_DOUBLES = ("cutoff_price return_after_15m_pct return_after_30m_pct return_after_60m_pct "
+                "return_at_1200_pct return_at_us_open_pct return_at_cash_close_pct "
+                "max_favorable_excursion_pct max_adverse_excursion_pct session_high_min "
+                "session_low_min session_close_pct_vs_cutoff").split()
+for _n, _c in OUTCOME_VIEWS.items():
+    add(_n, f"SELECT {KEY}, {quoted(_c)} FROM o_outcomes",
+        " ".join(c for c in _c.split() if c in _OUT_DOUBLES))
+add("g8_outcome_table", f"""SELECT x.* FROM o_outcomes x SEMI JOIN
+  (SELECT {KEY} FROM o_daily WHERE open_above_pdh) USING ({KEY})""", " ".join(_OUT_DOUBLES))
+add("g9_day_classes", "SELECT * FROM o_classes")
+add("h1_rebased_path", f"""SELECT {KEY}, mso, c - op AS path_points, 100.0 * (c - op) / op AS path_pct,
+  (c - op) / nullif(pr, 0) AS path_prior_range, (c - op) / nullif(atr, 0) AS path_atr FROM o_obs""",
+    "path_points path_pct path_prior_range path_atr")
+add("h2_grid_path", f"SELECT {KEY}, grid_min, v AS value FROM o_pts", "value")
+add("h3_path_matrix", f"""SELECT {KEY}, count(*) AS width,
+  string_agg(coalesce(printf('%.3f', round(v, 3) + 0.0), '-'), ' ' ORDER BY grid_min) AS path_row
+  FROM o_pts GROUP BY ALL""")
+add("h4_path_correlation", f"SELECT {KEY}, n, correlation FROM o_pathscores", "correlation")
+add("h5_path_euclidean", f"SELECT {KEY}, euclidean FROM o_pathscores", "euclidean")
+add("h6_path_cosine", f"SELECT {KEY}, cosine FROM o_pathscores", "cosine")
+add("h8_path_distance", f"""SELECT {KEY}, (1 - correlation) / 2 AS by_correlation,
+  (1 - cosine) / 2 AS by_cosine FROM o_pathscores""", "by_correlation by_cosine")
+add("h9_median_band", """SELECT instrument_id, grid_min, count(v) AS n, quantile_cont(v, 0.25) AS p25,
+  median(v) AS median, quantile_cont(v, 0.75) AS p75 FROM o_pts GROUP BY ALL""", "p25 median p75")
+add("h9_overlay", f"""
+WITH ses AS (SELECT DISTINCT {KEY} FROM o_pts),
+r AS (SELECT s.*, session_date = reference_date AS is_ref FROM ses s JOIN o_refs USING (instrument_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, is_ref ORDER BY session_date) AS k FROM r)
+SELECT {KEY}, is_ref, grid_min, v AS value FROM k JOIN o_pts USING ({KEY}) WHERE is_ref OR k <= 25""",
+    "value")
