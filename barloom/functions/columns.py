@@ -106,7 +106,7 @@ def latest(x: Column, cond: Column | None = None, by: str = "mso") -> Column:
 
 def clock(minute_of_day: Column) -> Column:
     m = minute_of_day.cast("int")
-    return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), m % 60)
+    return F.when(m.isNotNull(), F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), m % 60))
 
 
 def mean_known(xs: Sequence[Column]) -> Column:

@@ -294,3 +294,286 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Reference path and 25 more per instrument: the line count is the chart's parameter."""
     return paths.overlay(t.paths, t.refs)
+
+
+# ---- context -------------------------------------------------------------------------
+CONTEXT_VIEWS = {
+    "k2_moving_averages": "ma_fast ma_slow ma_fast_slope",
+    "k3_ma_state": "ma_state",
+    "k4_recent_range": "range_high range_low location_in_range distance_to_ath_pct",
+    "k5_location": "location",
+    "k6_swing": "swing",
+    "k7_prior_day_type": "prior_day_type prior_day_close_loc prior_day_was_big_range "
+                         "prior_3d_range_count",
+    "k8_gap_bucket": "gap_bucket",
+    "k9_open_location": "open_loc open_frac_in_pd_range",
+    "k10_overnight_type": "overnight_type overnight_close_loc",
+    "k11_opening_label": "opening op_win_high op_win_low op_win_close op_close_location "
+                         "op_up_excursion op_down_excursion op_poked_above_open "
+                         "op_poked_below_open op_close_above_open op_n_bear_bars op_n_bull_bars "
+                         "op_lower_highs op_higher_lows op_close_below_prior_low "
+                         "op_close_above_prior_high op_close_vs_ema",
+    "k12_intraday_ema": "op_ema",
+}
+CONTEXT_VIEWS["k13_context_table"] = " ".join(CONTEXT_VIEWS.values())
+for _n, _c in CONTEXT_VIEWS.items():
+    columns_of("context", _n, _c)
+
+RISING = ContextSpec(swing=("BULL", "STRONG_BULL"), location=("AT_ATH", "NEAR_ATH",
+                                                            "BREAKOUT_UP", "UPPER_RANGE"),
+                     opening=("DRIVE_UP", "REJECTION_UP", "RANGE_OPEN"))
+STRUCTURED = ContextSpec(opening=("REJECTION_UP", "DRIVE_DOWN"), close_beyond_prior_bar=True,
+                         min_range_days=0.0)
+
+
+@query("k1_prior_percentiles")
+def _(t: Tables) -> DataFrame:
+    rng = C("cash_high_adj") - C("cash_low_adj")
+    return t.daily.select(*SESSION, *[
+        context.prior_percentile(rng, 250, q).alias(f"p{int(q)}") for q in (20.0, 50.0, 90.0)])
+
+
+@query("k14_context_matches")
+def _(t: Tables) -> DataFrame:
+    hit = context.matches_context(RISING) | context.matches_context(STRUCTURED)
+    return t.context.where(hit).select(
+        *SESSION, context.matches_context(RISING).alias("rising"),
+        context.matches_context(STRUCTURED).alias("structured"))
+
+
+@query("k15_context_funnel")
+def _(t: Tables) -> DataFrame:
+    return context.context_funnel(t.context, RISING.but(lower_highs=True))
+
+
+@query("k16_label_mix")
+def _(t: Tables) -> DataFrame:
+    return context.label_mix(t.context)
+
+
+@query("k17_bull_trap_preset")
+def _(t: Tables) -> DataFrame:
+    from barloom.params import BULL_TRAP_CONTEXT
+    return context.context_funnel(t.context, BULL_TRAP_CONTEXT)
+
+
+@query("k18_context_scan")
+def _(t: Tables) -> DataFrame:
+    """Conditional probabilities inside a context."""
+    picked = t.context.where(context.matches_context(RISING)).select(*SESSION)
+    return setups.conditional_report(t.setups.join(picked, SESSION, "left_semi"))
+
+
+@query("k19_multiday_frame")
+def _(t: Tables) -> DataFrame:
+    last = t.refs.select("instrument_id", C("reference_date").alias("last_date"))
+    return context.multiday_frame(t.bars, last)
+
+
+# ---- setups --------------------------------------------------------------------------
+LOOSE = SetupSpec(ath_tolerance_pct=5.0, open_above_pdh=False, gap_min_pct=-2.0, gap_max_pct=2.0,
+                  on_location_min=0.2, close_location_max=0.5)
+UPWARD = SetupSpec(ath_tolerance_pct=None, open_above_pdh=False, gap_min_pct=None,
+                   gap_max_pct=None, on_location_min=None, direction="up",
+                   close_location_max=0.4, min_directional_bars=1,
+                   vol_regimes=("low", "normal", "high"))
+_FLAGS = ("close_below_open close_above_open monotonic_lower_highs monotonic_higher_lows "
+          "close_below_prior_low close_above_prior_high poked_above_open poked_below_open "
+          "spike_up_reject spike_down_reject open_is_high open_is_low")
+SETUP_VIEWS = {
+    "j1_opening_geometry": "pa_n_bars pa_win_high pa_win_low pa_win_close pa_close_location "
+                           "pa_n_bear_bars pa_n_bull_bars "
+                           + " ".join(f"pa_{x}" for x in _FLAGS.split()),
+    "j2_level_reached": " ".join(f"{p}_{k}" for k in daily.LEVELS for p in ("pre", "morn", "aft")),
+    "j3_session_table":
+        "cash_open decision_price gap_pct distance_open_to_ath_pct ath_at_open open_above_pdh "
+        "open_below_pdl open_location_in_overnight_range daily_volatility_regime level_PDH "
+        "level_PDC level_PDL level_ONH level_ONL morn_reclaim_open aft_reclaim_open morn_ret_pct "
+        "morn_mae_pct morn_mfe_pct day_ret_pct day_mae_pct day_mfe_pct",
+}
+for _n, _c in SETUP_VIEWS.items():
+    columns_of("setups", _n, _c)
+
+
+@query("j4_setup_matches")
+def _(t: Tables) -> DataFrame:
+    return t.setups.select(*SESSION, setups.matches_setup(LOOSE).alias("loose"),
+                           setups.matches_setup(UPWARD).alias("upward"),
+                           setups.matches_setup(SetupSpec()).alias("preset"))
+
+
+@query("j5_setup_funnel")
+def _(t: Tables) -> DataFrame:
+    return setups.setup_funnel(t.setups, LOOSE)
+
+
+@query("j6_setup_scan")
+def _(t: Tables) -> DataFrame:
+    matches, _ = setups.scan(t.setups, UPWARD)
+    return matches.select(*SESSION, "decision_price", "day_ret_pct")
+
+
+@query("j7_conditional_prob")
+def _(t: Tables) -> DataFrame:
+    return setups.conditional_report(t.setups.where(setups.matches_setup(UPWARD)))
+
+
+@query("j8_outcome_summary")
+def _(t: Tables) -> DataFrame:
+    return setups.outcome_summary(t.setups)
+
+
+@query("j9_gates")
+def _(t: Tables) -> DataFrame:
+    """The market gate and the pressure gate of one setup on their own."""
+    off = dict(close_beyond_open=False, close_location_max=None)
+    market = LOOSE.but(**off)
+    pressure = SetupSpec(ath_tolerance_pct=None, open_above_pdh=False, gap_min_pct=None,
+                         gap_max_pct=None, on_location_min=None, close_location_max=0.5,
+                         excursion_beyond_open=True)
+    return t.setups.groupBy("instrument_id").agg(
+        F.count_if(setups.matches_setup(market)).alias("n_market"),
+        F.count_if(setups.matches_setup(pressure)).alias("n_pressure"))
+
+
+@query("a7_stored_session_table")
+def _(t: Tables) -> DataFrame:
+    """Several threshold specs over one table that depends on timing only."""
+    return t.setups.groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(setups.matches_setup(
+            LOOSE.but(gap_max_pct=g))).alias(f"n_gap_{i}") for i, g in enumerate((0.5, 1.0, 2.0))])
+
+
+# ---- pullback walk -------------------------------------------------------------------
+@query("l1_leg_detection")
+def _(t: Tables) -> DataFrame:
+    return t.walk.where("evaluated").select(
+        *SESSION, "mso", "side", "leg_origin_px", "leg_extreme_px", "leg_extreme_mso",
+        "steps_in_row", "followthrough_bars")
+
+
+@query("l2_origin_held")
+def _(t: Tables) -> DataFrame:
+    return t.walk.where("evaluated and side is not null").select(*SESSION, "mso", "side", "held")
+
+
+@query("l3_count_signals")
+def _(t: Tables) -> DataFrame:
+    return t.walk.where("signal").select(*SESSION, "mso", "side", "label", "entry_px", "stop_px",
+                                         "pullback_px")
+
+
+@query("l4_structural_targets")
+def _(t: Tables) -> DataFrame:
+    return t.signals.select(*SESSION, "signal_mso", "entry_px", "target_name", "target_px")
+
+
+@query("l5_session_signals")
+def _(t: Tables) -> DataFrame:
+    return t.signals.select(*SESSION, "signal_mso", "label", "side", "risk_points", "rr", "taken",
+                            "note")
+
+
+@query("l5_state_trace")
+def _(t: Tables) -> DataFrame:
+    return t.walk.where("evaluated").select(*SESSION, "mso", "state")
+
+
+@query("l6_session_states")
+def _(t: Tables) -> DataFrame:
+    trace = F.array_join(F.transform("trace", lambda x: F.concat_ws(":", x["mso"], x["state"])),
+                         " ")
+    return pullback.session_states(t.walk).select(*SESSION, "state", "reached", "n_signals",
+                                                  trace.alias("trace"))
+
+
+@query("l7_decisions")
+def _(t: Tables) -> DataFrame:
+    return pullback.decisions(pullback.session_states(t.walk), t.signals).select(
+        *SESSION, "state", "leg_side", "followthrough_bars", "last_label", "last_signal_mso",
+        "last_rr", "n_taken", "decision")
+
+
+@query("l8_signal_outcomes")
+def _(t: Tables) -> DataFrame:
+    return pullback.simulate(t.signals, t.bars).select(
+        *SESSION, "signal_mso", "status", "reason", "exit_px", "exit_mso", "net_points",
+        "r_multiple")
+
+
+@query("l9_trade_table")
+def _(t: Tables) -> DataFrame:
+    return t.trades.select(*SESSION, "signal_mso", "label", "kind", "count", "side", "entry_px",
+                           "stop_px", "target_name", "target_px", "rr", "taken", "reached",
+                           "status", "exit_px", "exit_mso", "reason", "net_points", "r_multiple")
+
+
+@query("l10_state_profile")
+def _(t: Tables) -> DataFrame:
+    return pullback.state_profile(pullback.session_states(t.walk))
+
+
+@query("l11_status_counts")
+def _(t: Tables) -> DataFrame:
+    return pullback.status_counts(t.trades)
+
+
+@query("l11_exit_reasons")
+def _(t: Tables) -> DataFrame:
+    return pullback.exit_reasons(t.trades)
+
+
+@query("l11_signal_summary")
+def _(t: Tables) -> DataFrame:
+    return pullback.signal_summary(t.trades)
+
+
+_TRADE_ORDER = ("session_date", "signal_mso")
+
+
+@query("l12_performance_by_label")
+def _(t: Tables) -> DataFrame:
+    return backtest.performance(t.trades.where("status = 'TRADED'"), ("label",), _TRADE_ORDER)
+
+
+@query("l12_performance_by_count")
+def _(t: Tables) -> DataFrame:
+    d = t.trades.where("status = 'TRADED'").withColumn("attempt", pullback.count_bucket())
+    return backtest.performance(d, ("attempt",), _TRADE_ORDER)
+
+
+@query("l13_session_marks")
+def _(t: Tables) -> DataFrame:
+    return t.trades.select(*SESSION, "signal_mso", "label", "entry_px", "stop_px", "target_px",
+                           "pullback_px", "leg_origin_px", "leg_extreme_px", "leg_extreme_mso",
+                           "taken", "status", "exit_mso", "exit_px", "reason", "r_multiple")
+
+
+@query("l14_inside_context")
+def _(t: Tables) -> DataFrame:
+    picked = t.context.where(context.matches_context(RISING)).select(*SESSION, "location",
+                                                                     "swing", "opening")
+    return pullback.inside_context(picked, t.trades)
+
+
+@query("l14_appearance")
+def _(t: Tables) -> DataFrame:
+    picked = t.context.where(context.matches_context(RISING))
+    return pullback.appearance(picked, t.context, t.trades)
+
+
+@query("l15_signal_table")
+def _(t: Tables) -> DataFrame:
+    return pullback.signal_table(t.trades)
+
+
+# ---- performance ---------------------------------------------------------------------
+@query("m4_performance")
+def _(t: Tables) -> DataFrame:
+    return backtest.performance(t.trades.where("status = 'TRADED'"), (), _TRADE_ORDER)
+
+
+@query("m5_split_performance")
+def _(t: Tables) -> DataFrame:
+    return backtest.split_performance(t.trades.where("status = 'TRADED'"), "1999-01-04",
+                                      _TRADE_ORDER)

@@ -41,7 +41,7 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (10000 + 6 * w + 12 * F.abs(w % 80 - 40)).cast("double")
     return t.select(
         "instrument_id", "session_date", "mso", "seq",
-        (base + lean * F.col("mso") * F.lit(0.5) + F.col("l_extendedprice") / 1024.0).alias("px"),
+        (base + lean * F.col("mso") * F.lit(0.5) + F.col("l_extendedprice") / 997.0).alias("px"),
         F.col("l_quantity").alias("qty"))
 
 

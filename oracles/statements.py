@@ -85,3 +85,214 @@ r AS (SELECT s.*, session_date = reference_date AS is_ref FROM ses s JOIN o_refs
 k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, is_ref ORDER BY session_date) AS k FROM r)
 SELECT {KEY}, is_ref, grid_min, v AS value FROM k JOIN o_pts USING ({KEY}) WHERE is_ref OR k <= 25""",
     "value")
+
+import oracles.labels  # noqa: E402,F401
+from barloom.plans.catalog import CONTEXT_VIEWS, SETUP_VIEWS  # noqa: E402
+from oracles.labels import performance  # noqa: E402
+
+_CTX_DOUBLES = ("ma_fast ma_slow ma_fast_slope range_high range_low location_in_range "
+                "distance_to_ath_pct prior_day_close_loc prior_3d_range_count "
+                "open_frac_in_pd_range overnight_close_loc op_win_high op_win_low op_win_close "
+                "op_close_location op_up_excursion op_down_excursion op_ema").split()
+for _n, _c in CONTEXT_VIEWS.items():
+    add(_n, f"SELECT {KEY}, {quoted(_c)} FROM o_context",
+        " ".join(c for c in _c.split() if c in _CTX_DOUBLES))
+add("k1_prior_percentiles", f"""SELECT {KEY},
+  CASE WHEN count(*) OVER g >= 50 THEN quantile_cont(cash_high - cash_low, 0.2) OVER g END AS p20,
+  CASE WHEN count(*) OVER g >= 50 THEN quantile_cont(cash_high - cash_low, 0.5) OVER g END AS p50,
+  CASE WHEN count(*) OVER g >= 50 THEN quantile_cont(cash_high - cash_low, 0.9) OVER g END AS p90
+  FROM o_daily WINDOW g AS (PARTITION BY instrument_id ORDER BY session_date
+                            ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)""", "p20 p50 p90")
+_RISING = """swing IN ('BULL', 'STRONG_BULL') AND location IN ('AT_ATH', 'NEAR_ATH', 'BREAKOUT_UP',
+  'UPPER_RANGE') AND coalesce(opening IN ('DRIVE_UP', 'REJECTION_UP', 'RANGE_OPEN'), false)"""
+_STRUCT = """coalesce(opening IN ('REJECTION_UP', 'DRIVE_DOWN') AND op_close_below_prior_low
+  AND prior_3d_range_count >= 0, false)"""
+add("k14_context_matches", f"""SELECT {KEY}, {_RISING} AS rising, {_STRUCT} AS structured
+  FROM o_context WHERE ({_RISING}) OR ({_STRUCT})""")
+
+
+def funnel(table: str, steps: list[tuple[str, str]]) -> str:
+    """One branch per step with the conditions so far."""
+    parts, conds = [], []
+    for k, (name, cond) in enumerate([("all sessions", "true"), *steps]):
+        conds.append(f"coalesce({cond}, false)")
+        now, was = " AND ".join(conds), " AND ".join(conds[:-1]) or "true"
+        label = name.replace("'", "''")
+        parts.append(f"""SELECT instrument_id, {k} AS step_no, '{label}' AS step,
+          count(*) FILTER ({now}) AS surviving, count(*) FILTER ({was}) - count(*) FILTER ({now}) AS cut
+          FROM {table} GROUP BY instrument_id""")
+    return " UNION ALL ".join(parts)
+
+
+def member(field: str, labels: str) -> tuple[str, str]:
+    names = labels.split()
+    inside = ", ".join(f"'{x}'" for x in names)
+    return f"{field} in {names}", f"{field} IN ({inside})"
+
+
+add("k15_context_funnel", funnel("o_context", [
+    member("location", "AT_ATH NEAR_ATH BREAKOUT_UP UPPER_RANGE"),
+    member("swing", "BULL STRONG_BULL"), member("opening", "DRIVE_UP REJECTION_UP RANGE_OPEN"),
+    ("lower highs", "op_lower_highs")]))
+add("k17_bull_trap_preset", funnel("o_context", [
+    member("location", "AT_ATH NEAR_ATH"), member("swing", "BULL STRONG_BULL"),
+    member("gap_bucket", "MODERATE_UP LARGE_UP"), member("open_loc", "ABOVE_PDH"),
+    member("overnight_type", "TREND_UP"), member("opening", "REJECTION_UP")]))
+add("k16_label_mix", """
+WITH long AS (UNPIVOT (SELECT instrument_id, location, swing, ma_state, prior_day_type, gap_bucket,
+  open_loc, overnight_type, opening FROM o_context) ON location, swing, ma_state, prior_day_type,
+  gap_bucket, open_loc, overnight_type, opening INTO NAME dimension VALUE label)
+SELECT instrument_id, dimension, label, count(*) AS n,
+  100.0 * count(*) / sum(count(*)) OVER (PARTITION BY instrument_id, dimension) AS share_pct
+FROM long GROUP BY instrument_id, dimension, label""", "share_pct")
+
+
+def conditional(table: str) -> str:
+    rows = " UNION ALL ".join(
+        f"""SELECT instrument_id, '{k}' AS level, "pre_{k}" AS pre, "morn_{k}" AS morn, "aft_{k}" AS aft
+        FROM {table}""" for k in ("PDH", "PDC", "PDL", "ONH", "ONL"))
+    rows += f""" UNION ALL SELECT instrument_id, 'OPEN (retrace)', false, morn_reclaim_open,
+        aft_reclaim_open FROM {table}"""
+    return f"""SELECT instrument_id, level, count(*) FILTER (pre) AS tested_before_decision,
+      count(*) FILTER (NOT pre) AS untested_at_decision,
+      count(*) FILTER (NOT pre AND morn) AS reached_in_morning,
+      count(*) FILTER (NOT pre AND aft) AS reached_by_close,
+      round(100.0 * count(*) FILTER (NOT pre AND morn) / nullif(count(*) FILTER (NOT pre), 0), 1) AS p_morning_pct,
+      round(100.0 * count(*) FILTER (NOT pre AND aft) / nullif(count(*) FILTER (NOT pre), 0), 1) AS p_by_close_pct
+      FROM ({rows}) GROUP BY ALL"""
+
+
+add("k18_context_scan", conditional(
+    f"(SELECT * FROM o_setup SEMI JOIN (SELECT {KEY} FROM o_context WHERE {_RISING}) USING ({KEY}))"))
+add("k19_multiday_frame", """
+WITH RECURSIVE r AS (SELECT instrument_id, session_date, dense_rank() OVER (PARTITION BY instrument_id
+  ORDER BY session_date DESC) AS k, mso, c FROM o_cash),
+f AS (SELECT instrument_id, session_date, mso, c, row_number() OVER (PARTITION BY instrument_id
+  ORDER BY session_date, mso) - 1 AS x FROM r WHERE k <= 3),
+e AS (SELECT instrument_id, x, session_date, mso, c, c AS ef, c AS es FROM f WHERE x = 0
+  UNION ALL SELECT f.instrument_id, f.x, f.session_date, f.mso, f.c,
+    e.ef + (2.0 / 21) * (f.c - e.ef), e.es + (2.0 / 51) * (f.c - e.es)
+  FROM e JOIN f ON f.instrument_id = e.instrument_id AND f.x = e.x + 1)
+SELECT instrument_id, x, session_date, mso, c AS adj_close, ef AS ema_fast, es AS ema_slow FROM e""",
+    "adj_close ema_fast ema_slow")
+
+_SET_DOUBLES = ("pa_win_high pa_win_low pa_win_close pa_close_location cash_open decision_price "
+                "gap_pct distance_open_to_ath_pct open_location_in_overnight_range level_PDH "
+                "level_PDC level_PDL level_ONH level_ONL morn_ret_pct morn_mae_pct morn_mfe_pct "
+                "day_ret_pct day_mae_pct day_mfe_pct").split()
+for _n, _c in SETUP_VIEWS.items():
+    add(_n, f"SELECT {KEY}, {quoted(_c)} FROM o_setup",
+        " ".join(f'"{c}"' for c in _c.split() if c in _SET_DOUBLES))
+_MARKET = [("|open - high| <= 5.0%", "abs(distance_open_to_ath_pct) <= 5"),
+           ("gap >= -2.0%", "gap_pct >= -2"), ("gap <= 2.0%", "gap_pct <= 2"),
+           ("open >= 0.2 of overnight range", "open_location_in_overnight_range >= 0.2")]
+_LOOSE = [*_MARKET, ("close beyond the open", "pa_close_below_open"),
+          ("close in the far 0.5 of the range", "pa_close_location <= 0.5")]
+_UP = """coalesce(daily_volatility_regime IN ('low', 'normal', 'high') AND pa_close_above_open
+  AND pa_close_location >= 1 - CAST(0.4 AS DOUBLE) AND pa_n_bull_bars >= 1, false)"""
+
+
+def both(steps: list[tuple[str, str]]) -> str:
+    return "coalesce(" + " AND ".join(f"({c})" for _, c in steps) + ", false)"
+
+
+add("j4_setup_matches", f"""SELECT {KEY}, {both(_LOOSE)} AS loose, {_UP} AS upward,
+  coalesce(abs(distance_open_to_ath_pct) <= 0.5 AND open_above_pdh AND gap_pct >= 0.3 AND gap_pct <= 1.2
+    AND open_location_in_overnight_range >= 0.7 AND pa_close_below_open AND pa_close_location <= 0.33,
+    false) AS preset FROM o_setup""")
+add("j5_setup_funnel", funnel("o_setup", _LOOSE))
+add("j6_setup_scan", f"SELECT {KEY}, decision_price, day_ret_pct FROM o_setup WHERE {_UP}",
+    "decision_price day_ret_pct")
+add("j7_conditional_prob", conditional(f"(SELECT * FROM o_setup WHERE {_UP})"))
+add("j8_outcome_summary", """
+WITH long AS (UNPIVOT (SELECT instrument_id, morn_ret_pct, morn_mae_pct, morn_mfe_pct, day_ret_pct,
+  day_mae_pct, day_mfe_pct FROM o_setup) ON morn_ret_pct, morn_mae_pct, morn_mfe_pct, day_ret_pct,
+  day_mae_pct, day_mfe_pct INTO NAME metric VALUE v)
+SELECT instrument_id, metric, count(*) AS n, round(median(v), 3) AS median, round(avg(v), 3) AS mean,
+  round(100.0 * count(*) FILTER (v < 0) / count(*), 1) AS negative_pct,
+  round(quantile_cont(v, 0.25), 3) AS p25, round(quantile_cont(v, 0.75), 3) AS p75,
+  round(min(v), 3) AS worst, round(max(v), 3) AS best FROM long GROUP BY ALL""")
+add("j9_gates", f"""SELECT instrument_id, count(*) FILTER ({both(_MARKET)}) AS n_market,
+  count(*) FILTER (coalesce(pa_close_below_open AND pa_close_location <= 0.5 AND pa_spike_up_reject, false))
+    AS n_pressure FROM o_setup GROUP BY ALL""")
+add("a7_stored_session_table", "SELECT instrument_id, count(*) AS n, " + ", ".join(
+    f"count(*) FILTER ({both([*_MARKET[:2], ('', f'gap_pct <= {g}'), *_LOOSE[3:]])}) AS n_gap_{i}"
+    for i, g in enumerate((0.5, 1.0, 2.0))) + " FROM o_setup GROUP BY ALL")
+
+# ---- pullback walk
+add("l1_leg_detection", f"""SELECT {KEY}, mso, side,
+  CASE side WHEN 1 THEN l0 WHEN -1 THEN h0 END AS leg_origin_px,
+  CASE side WHEN 1 THEN hr WHEN -1 THEN lr END AS leg_extreme_px,
+  CASE side WHEN 1 THEN h_at WHEN -1 THEN l_at END AS leg_extreme_mso,
+  CASE side WHEN 1 THEN best_u WHEN -1 THEN best_d END AS steps_in_row,
+  CASE side WHEN 1 THEN fth WHEN -1 THEN ftl END AS followthrough_bars FROM o_walk""",
+    "leg_origin_px leg_extreme_px")
+add("l2_origin_held", f"SELECT {KEY}, mso, side, held FROM o_walk WHERE side IS NOT NULL")
+add("l3_count_signals", f"""SELECT {KEY}, signal_mso AS mso, side, label, entry_px, stop_px, pullback_px
+  FROM o_signals""", "entry_px stop_px pullback_px")
+add("l4_structural_targets", f"SELECT {KEY}, signal_mso, entry_px, target_name, target_px FROM o_signals",
+    "entry_px target_px")
+add("l5_session_signals", f"SELECT {KEY}, signal_mso, label, side, risk_points, rr, taken, note FROM o_signals",
+    "risk_points rr")
+add("l5_state_trace", f"SELECT {KEY}, mso, state FROM o_walk")
+add("l6_session_states", f"""SELECT {KEY}, s.state, reached, n_signals, coalesce(t.trace, '') AS trace
+  FROM o_states s LEFT JOIN (SELECT {KEY}, string_agg(mso || ':' || state, ' ' ORDER BY mso) AS trace
+  FROM o_walk GROUP BY ALL) t USING ({KEY})""")
+add("l7_decisions", f"""
+WITH last AS (SELECT {KEY}, max(signal_mso) AS m, arg_max(label, signal_mso) AS lab, arg_max(coalesce(rr, -1), signal_mso) AS rr,
+  count(*) AS k FROM o_signals WHERE taken GROUP BY ALL)
+SELECT {KEY}, state, leg_side, followthrough_bars, lab AS last_label, m AS last_signal_mso,
+  nullif(rr, -1) AS last_rr, coalesce(k, 0) AS n_taken,
+  CASE WHEN leg_side IS NULL THEN 'PASS'
+       WHEN state = 'ACTIVE' AND m = last_mso THEN (CASE WHEN rr >= 1 THEN 'TAKE' ELSE 'TAKE_LOW_RR' END)
+       WHEN m IS NOT NULL THEN 'NO_NEW_ENTRY' WHEN state = 'DEVELOPING' THEN 'WAIT' ELSE 'PASS' END AS decision
+FROM o_states LEFT JOIN last USING ({KEY})""", "last_rr")
+_T = "exit_px net_points r_multiple"
+add("l8_signal_outcomes", f"""SELECT {KEY}, signal_mso, status, reason, exit_px, exit_mso, net_points, r_multiple
+  FROM o_trades""", _T)
+add("l9_trade_table", f"""SELECT {KEY}, signal_mso, label, kind, "count", side, entry_px, stop_px, target_name,
+  target_px, rr, taken, reached, status, exit_px, exit_mso, reason, net_points, r_multiple FROM o_trades""",
+    _T + " entry_px stop_px target_px rr")
+add("l10_state_profile", """SELECT instrument_id, reached, count(*) AS n_sessions,
+  100.0 * count(*) / sum(count(*)) OVER (PARTITION BY instrument_id) AS share_pct
+  FROM o_states GROUP BY instrument_id, reached""", "share_pct")
+add("l11_status_counts", "SELECT instrument_id, status, count(*) AS n FROM o_trades GROUP BY ALL")
+add("l11_exit_reasons", """SELECT instrument_id, reason, count(*) AS n, avg(r_multiple) AS mean_r
+  FROM o_trades WHERE status = 'TRADED' GROUP BY ALL""", "mean_r")
+add("l11_signal_summary", """SELECT instrument_id, count(DISTINCT session_date) AS n_sessions,
+  count(*) AS n_signals, count(*) FILTER (status = 'TRADED') AS n_filled, median(rr) AS median_rr,
+  count(*) FILTER (rr >= 1) / count(*) AS share_rr_ge_1 FROM o_trades GROUP BY ALL""",
+    "median_rr share_rr_ge_1")
+_TRADED = "SELECT * FROM o_trades WHERE status = 'TRADED'"
+_ORD = "session_date, signal_mso"
+add("l12_performance_by_label", performance(_TRADED, "label", _ORD))
+add("l12_performance_by_count", performance(
+    f"""SELECT *, CASE WHEN "count" >= 3 THEN '3+' ELSE CAST("count" AS VARCHAR) END AS attempt
+    FROM ({_TRADED})""", "attempt", _ORD))
+add("l13_session_marks", f"""SELECT {KEY}, signal_mso, label, entry_px, stop_px, target_px, pullback_px,
+  leg_origin_px, leg_extreme_px, leg_extreme_mso, taken, status, exit_mso, exit_px, reason, r_multiple
+  FROM o_trades""", "entry_px stop_px target_px pullback_px leg_origin_px leg_extreme_px exit_px r_multiple")
+add("l14_inside_context", f"""
+WITH per AS (SELECT {KEY}, string_agg(label, ' ' ORDER BY signal_mso) AS triggers,
+  round(sum(r_multiple), 2) AS sum_r FROM o_trades GROUP BY ALL)
+SELECT {KEY}, location, swing, opening, triggers, sum_r FROM o_context LEFT JOIN per USING ({KEY})
+WHERE {_RISING}""")
+add("l14_appearance", f"""
+WITH s AS (SELECT DISTINCT {KEY}, 1 AS hit FROM o_trades),
+a AS (SELECT instrument_id, count(*) AS n_all, count(hit) AS n_all_with_trigger,
+  count(*) FILTER ({_RISING}) AS n_picked, count(hit) FILTER ({_RISING}) AS n_picked_with_trigger
+  FROM o_context LEFT JOIN s USING ({KEY}) GROUP BY ALL)
+SELECT *, 100.0 * n_all_with_trigger / n_all AS all_pct,
+  100.0 * n_picked_with_trigger / nullif(n_picked, 0) AS picked_pct FROM a""", "all_pct picked_pct")
+add("l15_signal_table", f"""SELECT {KEY}, label AS signal,
+  printf('%02d:%02d', (signal_mso + 540) // 60, (signal_mso + 540) % 60) AS at,
+  CASE WHEN side > 0 THEN 'buy' ELSE 'sell' END AS side, CAST(round_even(entry_px, 0) AS BIGINT) AS "trigger",
+  CAST(round_even(stop_px, 0) AS BIGINT) AS stop, CAST(round_even(target_px, 0) AS BIGINT) AS target,
+  coalesce(target_name, '—') AS t1, rr, CAST(round_even(risk_points, 0) AS BIGINT) AS risk_pts,
+  status AS outcome,
+  coalesce(printf('%02d:%02d', (exit_mso + 540) // 60, (exit_mso + 540) % 60), '—') AS exit,
+  coalesce(reason, '—') AS why, round(r_multiple, 2) AS r FROM o_trades""")
+add("m4_performance", performance(_TRADED, "", _ORD))
+add("m5_split_performance", performance(
+    f"""SELECT *, 'all' AS period FROM ({_TRADED}) UNION ALL SELECT *, CASE WHEN session_date <
+    DATE '1999-01-04' THEN 'in-sample' ELSE 'out-of-sample' END FROM ({_TRADED})""", "period", _ORD))
