@@ -94,10 +94,15 @@ def shared_timestamps(bars: DataFrame, key: Sequence[str], contract: str) -> Dat
 def feed_gap(bars: DataFrame) -> DataFrame:
     """Whole days between the end of the plain feed and the start of the contract feed."""
     plain = C("feed") == "feed_5m"
-    t = F.unix_timestamp(C("local_dt").cast("timestamp"))
     d = bars.groupBy("instrument_id").agg(
-        F.max(F.when(plain, t)).alias("a"), F.min(F.when(~plain, t)).alias("b"))
-    return d.select("instrument_id", F.floor((C("b") - C("a")) / 86400).alias("gap_days"))
+        F.max(F.when(plain, C("local_dt"))).alias("a"),
+        F.min(F.when(~plain, C("local_dt"))).alias("b"))
+
+    def second(x: str):
+        return F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
+
+    early = (second("b") < second("a")).cast("int")
+    return d.select("instrument_id", (F.datediff("b", "a") - early).cast("long").alias("gap_days"))
 
 
 def audit_row(bars: DataFrame, duplicates: DataFrame, rolls: DataFrame,

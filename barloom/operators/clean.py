@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -28,6 +28,22 @@ def localize(df: DataFrame, source_tz: str, target_tz: str, wall: str = "wall")
         "local_dt", F.convert_timezone(F.lit("UTC"), F.lit(target_tz), F.col("utc_dt")))
 
 
+def second_pass(df: DataFrame, source_tz: str, seq: str, key: Sequence[str] = ("instrument_id",),
+                wall: str = "wall") -> DataFrame:
+    """Move the second occurrence of an ambiguous wall clock one hour later.
+
+    ``seq`` orders the rows of the feed. Only the ambiguous hour is numbered; it holds at most
+    the bars of one hour per year, all other rows pass by.
+    """
+    amb = is_ambiguous(F.col(wall), source_tz)
+    w = Window.partitionBy(*key, wall).orderBy(seq)
+    twice = df.where(amb).withColumn("pass_no", F.row_number().over(w))
+    hour = F.expr("interval 1 hour")
+    moved = twice.withColumns({c: F.when(F.col("pass_no") > 1, F.col(c) + hour).otherwise(F.col(c))
+                               for c in ("utc_dt", "local_dt")}).drop("pass_no")
+    return df.where(~amb).unionByName(moved)
+
+
 def is_ambiguous(wall: Column, tz: str) -> Column:
     """Whether the wall clock occurs twice: an hour later in UTC shows the same time."""
     later = F.convert_timezone(F.lit(tz), F.lit("UTC"), wall) + F.expr("interval 1 hour")
@@ -68,13 +84,14 @@ def conflicts(df: DataFrame, key: Sequence[str],
     return distinct_versions(df, key, values).join(bad, list(key), "left_semi")
 
 
-def duplicate_counts(df: DataFrame, key: Sequence[str],
-                     values: Sequence[str] = tuple(PRICES)) -> DataFrame:
-    """One row: raw rows, exact copies dropped, keys in conflict, clean rows."""
+def duplicate_counts(df: DataFrame, key: Sequence[str], values: Sequence[str] = tuple(PRICES),
+                     by: Sequence[str] = ()) -> DataFrame:
+    """Raw rows, exact copies dropped, keys in conflict and clean rows, per ``by`` (part of the
+    key) or in one row."""
     v = distinct_versions(df, key, values)
     k = v.groupBy(*key).agg(F.count(F.lit(1)).alias("versions"),
                             F.sum("copies").alias("copies"))
-    return k.agg(
+    return k.groupBy(*by).agg(
         F.sum("copies").alias("n_raw"),
         F.sum(F.col("copies") - F.col("versions")).alias("n_exact_duplicates"),
         F.count(F.when(F.col("versions") > 1, 1)).alias("n_conflicting_duplicates"),

@@ -49,9 +49,11 @@ def against_reference(paths: DataFrame, refs: DataFrame) -> DataFrame:
 
     ``refs``: instrument_id, reference_date.
     """
-    r = paths.join(refs, "instrument_id").where("session_date = reference_date").select(
-        "instrument_id", "reference_date", C("path").alias("ref_path"))
-    return paths.join(r, "instrument_id").where("session_date <> reference_date")
+    inst = Window.partitionBy("instrument_id")
+    is_ref = C("session_date") == C("reference_date")
+    d = paths.join(refs, "instrument_id").withColumn(
+        "ref_path", F.first(F.when(is_ref, C("path")), ignorenulls=True).over(inst))
+    return d.where(C("ref_path").isNotNull() & ~is_ref)
 
 
 def path_scores(paired: DataFrame) -> DataFrame:

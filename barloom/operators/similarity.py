@@ -143,40 +143,44 @@ def tiers(flagged: DataFrame, base: FilterSpec, min_sample: int = MIN_SAMPLE) ->
 
 def imputed(d: DataFrame, cutoff_min: int) -> DataFrame:
     """Features as numbers without gaps: an event that never came counts as late, any other
-    gap takes the instrument's median."""
-    num = {f: C(f).cast("double") for f in FEATURES}
-    late = float(cutoff_min + NEVER_AFTER_MIN)
-    d = d.select(*SESSION, *[v.alias(f) for f, v in num.items()])
-    med = d.groupBy("instrument_id").agg(
-        *[F.median(f).alias(f"m_{f}") for f in FEATURES if not f.endswith("_min")])
-    return d.join(med, "instrument_id").select(*SESSION, *[
-        F.coalesce(C(f), F.lit(late) if f.endswith("_min") else C(f"m_{f}")).alias(f)
+    gap takes the instrument's median.
+
+    The statistics run as windows over the instrument, whose partition holds one row per
+    session. The chain from features to scores is therefore one exchange without self-joins.
+    """
+    inst = Window.partitionBy("instrument_id")
+    d = d.select(*SESSION, *[C(f).cast("double").alias(f) for f in FEATURES])
+    late = F.lit(float(cutoff_min + NEVER_AFTER_MIN))
+    return d.select(*SESSION, *[
+        F.coalesce(C(f), late if f.endswith("_min") else F.median(f).over(inst)).alias(f)
         for f in FEATURES])
 
 
 def robust_scaled(d: DataFrame, cutoff_min: int) -> DataFrame:
     """(x - median) / interquartile range; a zero range falls back to the deviation, then 1."""
+    inst = Window.partitionBy("instrument_id")
     x = imputed(d, cutoff_min)
-    st = x.groupBy("instrument_id").agg(
-        *[F.percentile(f, [0.25, 0.5, 0.75]).alias(f"q_{f}") for f in FEATURES],
-        *[F.stddev_samp(f).alias(f"s_{f}") for f in FEATURES])
+    x = x.select("*", *[F.percentile(f, [0.25, 0.5, 0.75]).over(inst).alias(f"p_{f}")
+                        for f in FEATURES],
+                 *[F.stddev_samp(f).over(inst).alias(f"s_{f}") for f in FEATURES])
 
     def spread(f: str) -> Column:
-        q = C(f"q_{f}")
+        q = C(f"p_{f}")
         return F.coalesce(F.nullif(q[2] - q[0], F.lit(0.0)), F.nullif(C(f"s_{f}"), F.lit(0.0)),
                           F.lit(1.0))
 
-    st = st.select("instrument_id", *[C(f"q_{f}")[1].alias(f"c_{f}") for f in FEATURES],
-                   *[spread(f).alias(f"w_{f}") for f in FEATURES])
-    return x.join(st, "instrument_id").select(*SESSION, *[
-        ((C(f) - C(f"c_{f}")) / C(f"w_{f}")).alias(f) for f in FEATURES])
+    return x.select(*SESSION, *[((C(f) - C(f"p_{f}")[1]) / spread(f)).alias(f)
+                                for f in FEATURES])
 
 
 def against_query(scaled: DataFrame, refs: DataFrame) -> DataFrame:
     """Scaled features next to the reference session's (``q_`` columns)."""
-    q = scaled.join(refs, "instrument_id").where("session_date = reference_date").select(
-        "instrument_id", "reference_date", *[C(f).alias(f"q_{f}") for f in FEATURES])
-    return scaled.join(q, "instrument_id").where("session_date <> reference_date")
+    inst = Window.partitionBy("instrument_id")
+    is_ref = C("session_date") == C("reference_date")
+    d = scaled.join(refs, "instrument_id")
+    d = d.select("*", F.max(is_ref).over(inst).alias("has_ref"), *[
+        F.max(F.when(is_ref, C(f))).over(inst).alias(f"q_{f}") for f in FEATURES])
+    return d.where(C("has_ref") & ~is_ref).drop("has_ref")
 
 
 def block_distances(pairs: DataFrame) -> DataFrame:

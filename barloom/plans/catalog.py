@@ -75,7 +75,7 @@ class Tables:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return search.last_sessions(self.daily)
+        return search.last_sessions(self.bars)
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -151,7 +151,7 @@ def _(t: Tables) -> DataFrame:
     that trades that day's ISO week."""
     day = F.to_date("o_orderdate")
     days = t.table("orders").select(day.alias("session_date")).distinct().withColumn(
-        "w", F.to_date(F.date_trunc("week", "session_date")))
+        "w", F.trunc("session_date", "week"))
     s = bars.session_ohlc(t.bars).select(*SESSION)
     asked = days.join(s.select("instrument_id", C("session_date").alias("w")), "w").select(*SESSION)
     return bars.previous_session_of(s, asked)
@@ -577,3 +577,426 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return backtest.split_performance(t.trades.where("status = 'TRADED'"), "1999-01-04",
                                       _TRADE_ORDER)
+
+
+@query("m1_initial_stop")
+def _(t: Tables) -> DataFrame:
+    """The three stop modes beside each other for every drive."""
+    out = None
+    for mode in ("opening_range", "half_range", "last_bar"):
+        d = backtest.drive_trades(t.bars, t.context, TradeRules(stop_mode=mode)).select(
+            *SESSION, F.lit(mode).alias("stop_mode"), "side", "entry", "stop_init", "risk_points")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("m2_day_simulation")
+def _(t: Tables) -> DataFrame:
+    return backtest.drive_trades(t.bars, t.context, TradeRules(time_exit_min=240)).drop("label")
+
+
+@query("m2_day_simulation_moving_stop")
+def _(t: Tables) -> DataFrame:
+    rules = TradeRules(target_r=3.0, breakeven_r=1.0, trail_bars=3)
+    return backtest.drive_trades(t.bars, t.context, rules).drop("label")
+
+
+def _drives(t: Tables) -> DataFrame:
+    return backtest.drive_trades(t.bars, t.context)
+
+
+@query("m3_drive_trades")
+def _(t: Tables) -> DataFrame:
+    return _drives(t).select(*SESSION, "label", "side", "entry", "exit_price", "exit_mso",
+                             "reason", "r_multiple")
+
+
+@query("m4_drive_performance")
+def _(t: Tables) -> DataFrame:
+    return backtest.performance(_drives(t), ("label",))
+
+
+@query("m6_exit_mix")
+def _(t: Tables) -> DataFrame:
+    return backtest.exit_mix(_drives(t))
+
+
+@query("m6_r_quantiles")
+def _(t: Tables) -> DataFrame:
+    return backtest.r_quantiles(_drives(t))
+
+
+@query("m7_context_study")
+def _(t: Tables) -> DataFrame:
+    """Long side only, inside one location group."""
+    picked = t.context.where(context.matches_context(ContextSpec(
+        location=("AT_ATH", "NEAR_ATH", "BREAKOUT_UP", "UPPER_RANGE"))))
+    return backtest.performance(backtest.drive_trades(t.bars, picked, labels=("DRIVE_UP",)))
+
+
+@query("m8_latest_sessions")
+def _(t: Tables) -> DataFrame:
+    """The 24 newest trade dates per instrument: the size of a pack."""
+    return backtest.latest_sessions(_drives(t), 24)
+
+
+# A market filter with some slack, for the filter and search queries.
+WIDE = FilterSpec(ath_within_pct=2.0, gap_sign="positive", vol_regimes=("low", "normal"),
+                  first_bar_bull=True, first_bar_range_pctl=40.0, overlap_min=0.05,
+                  weakness_by_min=60.0)
+
+
+# ---- reports -------------------------------------------------------------------------
+@query("n1_distribution")
+def _(t: Tables) -> DataFrame:
+    return reports.distribution(t.outcomes)
+
+
+@query("n2_headline")
+def _(t: Tables) -> DataFrame:
+    return reports.headline(t.outcomes)
+
+
+@query("n3_histogram")
+def _(t: Tables) -> DataFrame:
+    return reports.histogram(t.outcomes, "return_at_cash_close_pct")
+
+
+@query("n4_dates_only")
+def _(t: Tables) -> DataFrame:
+    return reports.dates_only(t.setups.where(setups.matches_setup(UPWARD)))
+
+
+@query("n5_relaxation_lines")
+def _(t: Tables) -> DataFrame:
+    return reports.relaxation_lines(
+        similarity.tiers(similarity.with_tiers(t.features, WIDE), WIDE, 12))
+
+
+@query("n6_small_samples")
+def _(t: Tables) -> DataFrame:
+    return reports.distribution(t.outcomes.where("full_gap_fill")).select(
+        "instrument_id", "metric", "n", "small_sample")
+
+
+# ---- filters, ranking, search --------------------------------------------------------
+@query("i1_exact_filter")
+def _(t: Tables) -> DataFrame:
+    d = similarity.with_range_cut(t.features, 40.0)
+    other = FilterSpec(gap_sign="negative", gap_min_pct=0.2, extension_max=2.0,
+                       efficiency_max=0.6, pullback_min=0.1, first_bar_close_loc=0.2)
+    return d.select(*SESSION, similarity.matches_filter(WIDE).alias("wide"),
+                    similarity.matches_filter(other).alias("other"))
+
+
+@query("i2_context_only_filter")
+def _(t: Tables) -> DataFrame:
+    return similarity.apply_filter(t.features, WIDE.context_only()).select(*SESSION, "gap_pct")
+
+
+@query("i3_imputed_features")
+def _(t: Tables) -> DataFrame:
+    return similarity.imputed(t.features, SessionParams().cutoff_min)
+
+
+@query("i4_robust_scaled")
+def _(t: Tables) -> DataFrame:
+    return similarity.robust_scaled(t.features, SessionParams().cutoff_min)
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return similarity.against_query(
+        similarity.robust_scaled(t.features, SessionParams().cutoff_min), t.refs)
+
+
+@query("i5_block_distances")
+def _(t: Tables) -> DataFrame:
+    return similarity.block_distances(_pairs(t)).drop("reference_date")
+
+
+def _path_dist(t: Tables) -> DataFrame:
+    return paths.path_distance(paths.against_reference(t.paths, t.refs), "correlation")
+
+
+@query("i6_path_blend")
+def _(t: Tables) -> DataFrame:
+    return similarity.rank(similarity.block_distances(_pairs(t)), _path_dist(t)).select(
+        *SESSION, "dist_post_spike")
+
+
+@query("i7_similarity_rank")
+def _(t: Tables) -> DataFrame:
+    """The 20 nearest sessions per instrument: the size of the ranking."""
+    return similarity.rank(similarity.block_distances(_pairs(t)), _path_dist(t), n=20).select(
+        *SESSION, "rank", "similarity_score", "distance")
+
+
+@query("i8_explanations")
+def _(t: Tables) -> DataFrame:
+    return similarity.explain(_pairs(t))
+
+
+@query("i9_progressive_tiers")
+def _(t: Tables) -> DataFrame:
+    return similarity.tiers(similarity.with_tiers(t.features, WIDE), WIDE, 12)
+
+
+@query("i10_period_scope")
+def _(t: Tables) -> DataFrame:
+    return similarity.in_period(t.daily.select(*SESSION), similarity.PERIODS["last_year"])
+
+
+def _search(mode: str):
+    def run(t: Tables) -> DataFrame:
+        r = search.analog_search(t.bars, t.daily, t.refs, WIDE, mode, n=10, features=t.opening)
+        return r.top.select(*SESSION, "rank", "similarity_score", "day_classification",
+                            "return_at_cash_close_pct", "full_gap_fill")
+    return run
+
+
+for _m in ("exact", "similarity", "combined"):
+    query(f"i11_search_{_m}")(_search(_m))
+
+
+@query("i11_search_headline")
+def _(t: Tables) -> DataFrame:
+    return search.analog_search(t.bars, t.daily, t.refs, WIDE, n=10, features=t.opening).headline
+
+
+@query("i12_description")
+def _(t: Tables) -> DataFrame:
+    return similarity.describe_session(t.features)
+
+
+@query("i13_flagship_filter")
+def _(t: Tables) -> DataFrame:
+    spec = flagship_filter()
+    return similarity.with_range_cut(t.features, spec.first_bar_range_pctl).groupBy(
+        "instrument_id").agg(
+        F.count_if(similarity.matches_filter(spec)).alias("n_all_conditions"),
+        F.count_if(similarity.matches_filter(spec.but(
+            ath_within_pct=None, open_above_pdh=False, first_bar_range_pctl=None)))
+        .alias("n_relaxed"))
+
+
+# ---- sources and cleaning ------------------------------------------------------------
+@query("a1_plain_feed_lines")
+def _(t: Tables) -> DataFrame:
+    """Events written as lines of the plain feed and parsed back."""
+    from barloom.sources.feeds import parse_plain_lines
+    e = t.table("events")
+    line = F.concat_ws(";", F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "HH:mm:ss"),
+                       *[C("value").cast("string")] * 4, F.lit("1.0"))
+    d = parse_plain_lines(e.select("event_id", line.alias("line")), "line")
+    return d.select("event_id", F.date_format("wall", "yyyy-MM-dd HH:mm:ss").alias("wall"),
+                    "open", "high", "low", "close", "volume")
+
+
+@query("a3_pruned_scan")
+def _(t: Tables) -> DataFrame:
+    """Two columns and a pushed-down date filter."""
+    d = t.table("lineitem").where(C("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    return d.groupBy(F.year("l_shipdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("b1_localize")
+def _(t: Tables) -> DataFrame:
+    """Event times spread over a year and read as Chicago wall clock, so both clock changes
+    occur."""
+    e = t.table("events").select("event_id", (
+        C("ts") + F.make_dt_interval(days=(C("event_id") % 366).cast("int"))).alias("wall"))
+    d = clean.localize(e, SessionParams().feed_tz, SessionParams().tz)
+    return d.select("event_id", F.date_format("utc_dt", "yyyy-MM-dd HH:mm:ss").alias("utc"),
+                    F.date_format("local_dt", "yyyy-MM-dd HH:mm:ss").alias("local"))
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+LINE_VALUES = ["l_returnflag", "l_linestatus"]
+
+
+@query("b2_duplicate_counts")
+def _(t: Tables) -> DataFrame:
+    return clean.duplicate_counts(t.table("lineitem"), LINE_KEY, LINE_VALUES)
+
+
+@query("b3_conflicts")
+def _(t: Tables) -> DataFrame:
+    return clean.conflicts(t.table("lineitem"), LINE_KEY, LINE_VALUES)
+
+
+@query("b4_keep_first")
+def _(t: Tables) -> DataFrame:
+    return clean.keep_first(t.table("lineitem"), LINE_KEY, LINE_VALUES)
+
+
+def _event_bars(t: Tables) -> DataFrame:
+    """Events as one-minute ticks of five contracts, wall clock of the session zone."""
+    return t.table("events").select(
+        F.lit(1).cast("long").alias("instrument_id"), "event_id", C("ts").alias("local_dt"),
+        C("event_type").alias("con_id"), C("value").alias("close"), C("value").alias("volume"))
+
+
+@query("b5_session_date")
+def _(t: Tables) -> DataFrame:
+    return _event_bars(t).select("event_id", F.to_date("local_dt").alias("session_date"))
+
+
+@query("b6_sessionize")
+def _(t: Tables) -> DataFrame:
+    return bars.sessionize(_event_bars(t)).select("event_id", "session_date", "tod_min", "mso",
+                                                  "is_cash")
+
+
+@query("b7_clock")
+def _(t: Tables) -> DataFrame:
+    from barloom.functions.columns import clock
+    p = SessionParams()
+    return t.bars.groupBy("mso").agg(F.count(F.lit(1)).alias("n")).select(
+        "mso", "n", clock(C("mso") + p.open_min).alias("clock"),
+        F.lit(p.since_open(p.us_open)).alias("us_open_mso"))
+
+
+# ---- bars and rolls ------------------------------------------------------------------
+@query("c1_rebar")
+def _(t: Tables) -> DataFrame:
+    e = t.table("events").select(
+        C("event_type").alias("con_id"), C("ts").alias("dt"), "value",
+        *[C("value").alias(x) for x in bars.OHLC], F.lit(1.0).alias("volume"))
+    return bars.rebar(e, 60).withColumn(
+        "bar_dt", F.date_format("bar_dt", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _plain(t: Tables) -> DataFrame:
+    return t.bars.where("feed = 'feed_5m'")
+
+
+def _contracts(t: Tables) -> DataFrame:
+    """Quarterly contracts of the newer sessions; they expire with their quarter."""
+    expiry = F.date_sub(F.add_months(F.trunc("session_date", "quarter"), 3), 1)
+    return t.bars.where("feed = 'contract_1m'").withColumns({
+        "contract_month": C("con_id"),
+        "expiry": F.date_format(expiry, "yyyyMMdd").cast("int"),
+        "local_symbol": F.concat(F.lit("Q"), C("con_id").cast("string"))})
+
+
+@query("c2_stitch")
+def _(t: Tables) -> DataFrame:
+    old = _plain(t).drop("con_id", "feed")
+    return bars.stitch(old, _contracts(t).drop("feed")).groupBy(*SESSION, "feed").agg(
+        F.count(F.lit(1)).alias("n"), F.count("con_id").alias("n_contract"),
+        F.count("expiry").alias("n_expiry"))
+
+
+def _contract_levels(t: Tables) -> DataFrame:
+    return rolls.contract_levels(_contracts(t))
+
+
+@query("c3_contract_levels")
+def _(t: Tables) -> DataFrame:
+    return _contract_levels(t)
+
+
+@query("c4_roll_factors")
+def _(t: Tables) -> DataFrame:
+    lv, p = _contract_levels(t), SessionParams()
+    keys = ["instrument_id", "con_id"]
+    f = {m: rolls.roll_factors(lv, p.but(roll_method=m)) for m in (
+        "carry", "ratio", "difference", "none")}
+    return (f["carry"].select(*keys, C("factor").alias("carry"))
+            .join(f["ratio"].select(*keys, C("factor").alias("ratio")), keys)
+            .join(f["difference"].select(*keys, C("roll_offset").alias("difference")), keys)
+            .join(f["none"].select(*keys, C("factor").alias("none")), keys))
+
+
+@query("c5_seam_report")
+def _(t: Tables) -> DataFrame:
+    return rolls.seam_report(_contract_levels(t))
+
+
+@query("c6_apply_rolls")
+def _(t: Tables) -> DataFrame:
+    f = rolls.roll_factors(_contract_levels(t))
+    return rolls.apply_rolls(t.bars, f).select(*SESSION, "mso", "close", "adj_close", "adj_factor")
+
+
+@query("c7_verify_rolls")
+def _(t: Tables) -> DataFrame:
+    lv, p = _contract_levels(t), SessionParams()
+    out = None
+    for m in ("carry", "ratio", "difference"):
+        q = p.but(roll_method=m)
+        d = rolls.verify_rolls(rolls.roll_factors(lv, q), q).drop("note")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("c8_calendar")
+def _(t: Tables) -> DataFrame:
+    return bars.calendar(t.bars)
+
+
+@query("c10_cash_slice")
+def _(t: Tables) -> DataFrame:
+    return bars.cash(t.bars, 30).select(*SESSION, "mso", "close")
+
+
+@query("c11_overnight_slice")
+def _(t: Tables) -> DataFrame:
+    return bars.overnight_slice(t.bars, bars.previous_session(t.bars)).select(
+        "instrument_id", "overnight_of", "session_date", "mso")
+
+
+# ---- audit ---------------------------------------------------------------------------
+@query("d1_timezone_check")
+def _(t: Tables) -> DataFrame:
+    return audit.timezone_check(t.bars)
+
+
+@query("d2_coverage")
+def _(t: Tables) -> DataFrame:
+    return audit.coverage(t.bars)
+
+
+@query("d3_missing_bars")
+def _(t: Tables) -> DataFrame:
+    """Full means a fifth of the grid here: the slots of these bars are sparse by design."""
+    return audit.missing_bars(t.bars, 5, full_share=0.2)
+
+
+@query("d4_contract_inventory")
+def _(t: Tables) -> DataFrame:
+    return audit.contract_inventory(_contracts(t))
+
+
+@query("d5_shared_timestamps")
+def _(t: Tables) -> DataFrame:
+    e = t.table("events").select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"),
+                                 "event_type")
+    return audit.shared_timestamps(e, ["minute"], "event_type")
+
+
+@query("d6_feed_gap")
+def _(t: Tables) -> DataFrame:
+    return audit.feed_gap(t.bars)
+
+
+def _duplicates(t: Tables) -> DataFrame:
+    li = t.table("lineitem").withColumn("instrument_id", F.floor(C("l_suppkey") / ticks.DESK))
+    return clean.duplicate_counts(li, ["instrument_id", *LINE_KEY], LINE_VALUES,
+                                  ["instrument_id"]).withColumn("fallback_used", F.lit(True))
+
+
+def _audit(t: Tables) -> DataFrame:
+    v = rolls.verify_rolls(rolls.roll_factors(_contract_levels(t)))
+    return audit.audit_row(t.bars, _duplicates(t), v)
+
+
+@query("d7_warnings")
+def _(t: Tables) -> DataFrame:
+    return _audit(t).select("instrument_id", "warnings")
+
+
+@query("d8_audit_row")
+def _(t: Tables) -> DataFrame:
+    return _audit(t).drop("warnings", "top_volume_minutes")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SESSION
 from barloom.operators import opening, outcomes, paths, reports, similarity
 from barloom.params import MIN_SAMPLE, FilterSpec, SessionParams
+from barloom.plans.storage import cut
 
 C = F.col
 
@@ -26,9 +27,10 @@ class AnalogResult:
     reference: DataFrame
 
 
-def last_sessions(daily: DataFrame) -> DataFrame:
-    """The newest session of every instrument as its reference."""
-    return daily.groupBy("instrument_id").agg(F.max("session_date").alias("reference_date"))
+def last_sessions(bars: DataFrame) -> DataFrame:
+    """The newest session of every instrument as its reference; reads two columns."""
+    return bars.where("is_cash").groupBy("instrument_id").agg(
+        F.max("session_date").alias("reference_date"))
 
 
 def analog_search(bars: DataFrame, daily: DataFrame, refs: DataFrame,
@@ -42,12 +44,13 @@ def analog_search(bars: DataFrame, daily: DataFrame, refs: DataFrame,
 
     ``mode``: ``exact`` ranks the exact matches, ``similarity`` ranks every session,
     ``combined`` ranks the sessions of the context filter's strong tier. ``features``: stored
-    opening features at the same cutoff, if there are any.
+    opening features at the same cutoff, if there are any. The session features and the ranking
+    are read by several branches and written once each; both hold one row per session.
     """
-    cut = p.cutoff_min if cutoff_min is None else cutoff_min
-    op = opening.opening_features(bars, daily, cut, p) if features is None else features
+    minute = p.cutoff_min if cutoff_min is None else cutoff_min
+    op = opening.opening_features(bars, daily, minute, p) if features is None else features
     scope = similarity.in_period(daily, similarity.PERIODS[period], refs)
-    m = similarity.feature_rows(scope, op)
+    m = cut(similarity.feature_rows(scope, op))
     base = spec.context_only() if mode == "combined" else spec
     flagged = similarity.with_tiers(m, base)
     t = similarity.tiers(flagged, base, max(n, MIN_SAMPLE) if mode == "combined" else n)
@@ -59,13 +62,13 @@ def analog_search(bars: DataFrame, daily: DataFrame, refs: DataFrame,
     else:
         pool = flagged
     pool = pool.select(*SESSION)
-    sp = paths.session_paths(bars, daily, cut, path_unit)
+    sp = paths.session_paths(bars, m, minute, path_unit)
     dist = paths.path_distance(paths.against_reference(sp, refs), path_method)
-    pairs = similarity.against_query(similarity.robust_scaled(m, cut), refs).join(
+    pairs = similarity.against_query(similarity.robust_scaled(m, minute), refs).join(
         pool, SESSION, "left_semi")
-    ranked = similarity.rank(similarity.block_distances(pairs),
-                             dist.join(pool, SESSION, "left_semi"), weights, n)
-    out = outcomes.session_outcomes(bars, daily, cut, ranked, p).drop("cutoff_min")
+    ranked = cut(similarity.rank(similarity.block_distances(pairs), dist.join(
+        pool, SESSION, "left_semi"), weights, n))
+    out = outcomes.session_outcomes(bars, m, minute, ranked, p).drop("cutoff_min")
     top = outcomes.classify_days(
         ranked.join(m, SESSION, "left").join(out, SESSION, "left"), p=p)
     shown = ranked.select(*SESSION)

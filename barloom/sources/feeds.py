@@ -25,14 +25,25 @@ CONTRACT_NAMES = {
 PRICES = ["open", "high", "low", "close", "volume"]
 
 
+def _plain_columns() -> list:
+    return [F.to_timestamp_ntz(F.concat_ws(" ", "date", "time"),
+                               F.lit("dd/MM/yyyy HH:mm:ss")).alias("wall"), *PRICES]
+
+
+def parse_plain_lines(d: DataFrame, line: str) -> DataFrame:
+    """The plain format out of a text column, for feeds that arrive as messages."""
+    keep = [c for c in d.columns if c != line]
+    parsed = d.select(*keep, F.from_csv(line, F.lit(PLAIN_FEED.simpleString()[7:-1].replace(
+        ":", " ")), {"sep": ";"}).alias("r")).select(*keep, "r.*")
+    return no_nan(parsed.select(*keep, *_plain_columns()), PRICES)
+
+
 def read_plain_feed(spark: SparkSession, path: str, instrument_id: int = 1) -> DataFrame:
     """Headerless ``;`` file with a date and a time column; wall clock kept as given."""
     d = spark.read.csv(path, sep=";", schema=PLAIN_FEED)
     return no_nan(d.select(
         F.lit(instrument_id).cast("long").alias("instrument_id"),
-        F.to_timestamp_ntz(F.concat_ws(" ", "date", "time"),
-                           F.lit("dd/MM/yyyy HH:mm:ss")).alias("wall"),
-        *PRICES, F.col("_metadata.file_name").alias("source_file")), PRICES)
+        *_plain_columns(), F.col("_metadata.file_name").alias("source_file")), PRICES)
 
 
 def read_contract_feed(spark: SparkSession, glob: str, instrument_id: int = 1) -> DataFrame:

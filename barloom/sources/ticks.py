@@ -27,7 +27,7 @@ def slot_minute(slot: Column) -> Column:
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    week = F.to_date(F.date_trunc("week", "l_shipdate"))
+    week = F.trunc("l_shipdate", "week")
     desk = F.floor(F.col("l_suppkey") / DESK)
     t = li.select(
         desk.alias("instrument_id"), week.alias("session_date"),
@@ -38,10 +38,10 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_quantity")
     w = F.floor(F.datediff("session_date", F.lit(EPOCH).cast("date")) / 7).cast("int")
     lean = (w * 7 + F.col("instrument_id") * 3) % 5 - 2
-    base = (10000 + 6 * w + 12 * F.abs(w % 80 - 40)).cast("double")
+    base = (10000 + 6 * w + 30 * F.abs(w % 80 - 40)).cast("double")
     return t.select(
         "instrument_id", "session_date", "mso", "seq",
-        (base + lean * F.col("mso") * F.lit(0.5) + F.col("l_extendedprice") / 997.0).alias("px"),
+        (base + lean * F.least("mso", F.lit(60)) * F.lit(1.0) + F.col("l_extendedprice") / 997.0).alias("px"),
         F.col("l_quantity").alias("qty"))
 
 

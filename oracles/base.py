@@ -14,8 +14,8 @@ SELECT *, CASE WHEN slot < 12 THEN slot * 5 WHEN slot < 22 THEN 60 + (slot - 12)
 FROM o_ticks""",
     o_priced="""
 SELECT instrument_id, session_date, CAST(mso AS INTEGER) AS mso, l_quantity AS q,
-       CAST(10000 + 6 * wk + 12 * abs(wk % 80 - 40) AS DOUBLE)
-         + ((wk * 7 + instrument_id * 3) % 5 - 2) * mso * CAST(0.5 AS DOUBLE)
+       CAST(10000 + 6 * wk + 30 * abs(wk % 80 - 40) AS DOUBLE)
+         + ((wk * 7 + instrument_id * 3) % 5 - 2) * least(mso, 60) * CAST(1 AS DOUBLE)
          + l_extendedprice / CAST(997.0 AS DOUBLE) AS px,
        row_number() OVER (PARTITION BY instrument_id, session_date, mso
          ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn

@@ -296,3 +296,294 @@ add("m4_performance", performance(_TRADED, "", _ORD))
 add("m5_split_performance", performance(
     f"""SELECT *, 'all' AS period FROM ({_TRADED}) UNION ALL SELECT *, CASE WHEN session_date <
     DATE '1999-01-04' THEN 'in-sample' ELSE 'out-of-sample' END FROM ({_TRADED})""", "period", _ORD))
+
+import oracles.ranking  # noqa: E402,F401
+from oracles.ranking import FEATURES, MOVING, drives, ranked  # noqa: E402
+
+_TR = ("entry stop_init risk_points exit_price gross_points net_points r_multiple")
+add("m1_initial_stop", f"""SELECT {KEY}, stop_mode, side, entry, stop_init, risk AS risk_points FROM o_entries""",
+    "entry stop_init risk_points")
+add("m2_day_simulation", f"SELECT * EXCLUDE (label) FROM ({drives(2.0, 240)})", _TR)
+add("m2_day_simulation_moving_stop", MOVING, _TR)
+_D = drives(2.0)
+add("m3_drive_trades", f"""SELECT {KEY}, label, side, entry, exit_price, exit_mso, reason, r_multiple
+  FROM ({_D})""", "entry exit_price r_multiple")
+add("m4_drive_performance", performance(_D, "label"))
+add("m6_exit_mix", f"""SELECT instrument_id, reason, count(*) AS n, avg(r_multiple) AS mean_r,
+  100.0 * count(*) / sum(count(*)) OVER (PARTITION BY instrument_id) AS share_pct
+  FROM ({_D}) GROUP BY instrument_id, reason""", "mean_r share_pct")
+add("m6_r_quantiles", f"""SELECT instrument_id, count(*) AS n, quantile_cont(r_multiple, 0.1) AS p10,
+  quantile_cont(r_multiple, 0.25) AS p25, median(r_multiple) AS p50, quantile_cont(r_multiple, 0.75) AS p75,
+  quantile_cont(r_multiple, 0.9) AS p90, max(r_multiple) AS best, min(r_multiple) AS worst,
+  abs(coalesce(avg(r_multiple) / nullif(stddev_samp(r_multiple) / sqrt(count(*)), 0), 0)) < 2 AS not_significant
+  FROM ({_D}) GROUP BY ALL""", "p10 p25 p50 p75 p90 best worst")
+add("m7_context_study", performance(f"""SELECT * FROM ({_D}) SEMI JOIN (SELECT {KEY} FROM o_context
+  WHERE location IN ('AT_ATH', 'NEAR_ATH', 'BREAKOUT_UP', 'UPPER_RANGE')) USING ({KEY}) WHERE label = 'DRIVE_UP'"""))
+add("m8_latest_sessions", f"""SELECT * FROM (SELECT {KEY}, row_number() OVER (PARTITION BY instrument_id
+  ORDER BY session_date DESC) AS k FROM (SELECT DISTINCT {KEY} FROM ({_D}))) WHERE k <= 24""")
+
+_METRICS = ("return_after_15m_pct, return_after_30m_pct, return_after_60m_pct, return_at_1200_pct, "
+            "return_at_us_open_pct, return_at_cash_close_pct, max_favorable_excursion_pct, "
+            "max_adverse_excursion_pct")
+
+
+def distribution(table: str) -> str:
+    return f"""
+WITH long AS (UNPIVOT (SELECT instrument_id, {_METRICS} FROM {table}) ON {_METRICS} INTO NAME metric VALUE v)
+SELECT instrument_id, metric, count(*) AS n, avg(v) AS mean, median(v) AS median, stddev_pop(v) AS std,
+  100.0 * count(*) FILTER (v > 0) / count(*) AS positive_pct, quantile_cont(v, 0.25) AS p25,
+  quantile_cont(v, 0.75) AS p75, max(v) AS best, min(v) AS worst, count(*) < 20 AS small_sample
+FROM long GROUP BY ALL"""
+
+
+add("n1_distribution", distribution("o_outcomes"), "mean median std positive_pct p25 p75 best worst")
+add("n2_headline", """SELECT instrument_id, count(*) AS sample_size,
+  median(return_at_cash_close_pct) AS median_return_at_close_pct,
+  100.0 * avg(close_above_cash_open::INT) AS positive_close_pct,
+  median(max_favorable_excursion_pct) AS median_mfe_pct, median(max_adverse_excursion_pct) AS median_mae_pct,
+  100.0 * avg(full_gap_fill::INT) AS full_gap_fill_pct, 100.0 * avg(break_observed_high::INT) AS break_observed_high_pct,
+  100.0 * avg(break_observed_low::INT) AS break_observed_low_pct FROM o_outcomes GROUP BY ALL""",
+    "median_return_at_close_pct positive_close_pct median_mfe_pct median_mae_pct full_gap_fill_pct "
+    "break_observed_high_pct break_observed_low_pct")
+add("n3_histogram", """
+WITH v AS (SELECT instrument_id, return_at_cash_close_pct AS v FROM o_outcomes WHERE return_at_cash_close_pct IS NOT NULL),
+s AS (SELECT instrument_id, min(v) AS lo, max(v) AS hi, median(v) AS med FROM v GROUP BY ALL),
+b AS (SELECT instrument_id, least(coalesce(floor((v - lo) / nullif((hi - lo) / 25, 0)), 0), 24)::INT AS bin, lo, hi, med
+      FROM v JOIN s USING (instrument_id))
+SELECT instrument_id, bin, lo + bin * (hi - lo) / 25 AS bin_start, count(*) AS n, med AS median
+FROM b GROUP BY instrument_id, bin, lo, hi, med""", "bin_start median")
+add("n4_dates_only", f"SELECT instrument_id, strftime(session_date, '%Y-%m-%d') AS date FROM o_setup WHERE {_UP}")
+add("n6_small_samples", f"""SELECT instrument_id, metric, n, small_sample FROM
+  ({distribution("(SELECT * FROM o_outcomes WHERE full_gap_fill)")})""")
+
+# ---- filters and ranking
+_WIDE = "d2 AND gp AND vr AND fb AND w60"
+add("i1_exact_filter", f"""SELECT {KEY}, {_WIDE} AS wide, coalesce(gap_pct < 0 AND abs(gap_pct) >= 0.2
+  AND extension_ratio < 2 AND post_spike_efficiency < CAST(0.6 AS DOUBLE) AND post_spike_pullback_ratio > CAST(0.1 AS DOUBLE)
+  AND first_bar_close_location >= CAST(0.2 AS DOUBLE), false) AS other FROM o_wide""")
+add("i2_context_only_filter", f"SELECT {KEY}, gap_pct FROM o_wide WHERE d2 AND gp AND vr", "gap_pct")
+_F = " ".join(FEATURES)
+add("i3_imputed_features", "SELECT * FROM o_imputed", _F)
+add("i4_robust_scaled", "SELECT * FROM o_scaled", _F)
+add("i5_block_distances", "SELECT * FROM o_blocks", "dist_context dist_first_bar dist_post_spike dist_weakness")
+_ALL = "SELECT instrument_id, session_date FROM o_blocks"
+add("i6_path_blend", f"SELECT {KEY}, dps AS dist_post_spike FROM ({ranked(_ALL, 10 ** 9)})", "dist_post_spike")
+add("i7_similarity_rank", f"SELECT {KEY}, rank, similarity_score, distance FROM ({ranked(_ALL, 20)})",
+    "similarity_score distance")
+_DIFFS = " UNION ALL ".join(
+    f"""SELECT a.instrument_id, a.session_date, '{f}' AS feature, abs(a.{f} - b.{f}) AS diff
+    FROM o_scaled a JOIN o_refs r USING (instrument_id) JOIN o_scaled b ON b.instrument_id = a.instrument_id
+    AND b.session_date = r.reference_date WHERE a.session_date <> r.reference_date""" for f in FEATURES)
+add("i8_explanations", f"""
+WITH d AS ({_DIFFS}),
+c AS (SELECT *, CASE WHEN diff < 0.5 THEN 'h' WHEN diff < 1.5 THEN 'm' ELSE 'd' END AS cls FROM d WHERE diff IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, cls ORDER BY CASE WHEN cls = 'd' THEN -diff ELSE diff END, feature) AS k FROM c)
+SELECT {KEY}, coalesce(string_agg(feature, ', ' ORDER BY k) FILTER (cls = 'h'), '') AS highly_similar,
+  coalesce(string_agg(feature, ', ' ORDER BY k) FILTER (cls = 'm'), '') AS moderately_similar,
+  coalesce(string_agg(feature, ', ' ORDER BY k) FILTER (cls = 'd'), '') AS differed
+FROM k WHERE k <= 6 GROUP BY ALL""")
+_RUNGS = [_WIDE, "d05 AND gp AND vr AND fb AND w60", "d05 AND gp AND vr AND fb AND w105",
+          "d1 AND gp AND vr AND fb AND w105", "d1 AND vr AND fb AND w105", "d1 AND fb AND w105"]
+_CTX_RUNGS = ["d2 AND gp AND vr", "d05 AND gp AND vr", "d1 AND gp AND vr", "d1 AND vr", "d1"]
+
+
+def tier_rungs(rungs: list[str], least: int) -> str:
+    counts = ", ".join(f"count(*) FILTER ({r}) AS c{i}" for i, r in enumerate(rungs))
+    top = len(rungs) - 1
+    found = " ".join(f"WHEN c{i} >= {least} THEN {i}" for i in range(1, top + 1))
+    stop = " ".join(f"WHEN f <= {i} AND c{i} >= {2 * least} THEN {i}" for i in range(1, top + 1))
+    arr = ", ".join(f"c{i}" for i in range(top + 1))
+    return f"""SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN n_broad > 0 THEN broad_rung ELSE 0 END AS strong_rung
+      FROM (SELECT *, cs[broad_rung + 1] AS n_broad FROM (SELECT *, CASE {stop} ELSE {top} END AS broad_rung
+        FROM (SELECT *, [{arr}] AS cs, CASE {found} END AS f
+          FROM (SELECT instrument_id, {counts} FROM o_wide GROUP BY ALL))))"""
+
+
+_NOTES = ["distance to the high widened to 0.50%", "weakness deadline moved 15 minutes later",
+          "distance to the high widened to 1.00%", "gap condition dropped",
+          "volatility regime condition dropped"]
+_TEXT = "[" + ", ".join(f"'{n}'" for n in _NOTES) + "]"
+add("i9_progressive_tiers", f"""SELECT instrument_id, c0 AS n_exact, cs[strong_rung + 1] AS n_strong, n_broad,
+  strong_rung, broad_rung, CASE WHEN f IS NULL THEN '' ELSE array_to_string({_TEXT}[1:f], '; ') END AS relaxed_strong,
+  array_to_string({_TEXT}[1:broad_rung], '; ') AS relaxed_broad, c0 < 5 AS few_exact
+  FROM ({tier_rungs(_RUNGS, 12)})""")
+add("n5_relaxation_lines", f"""SELECT instrument_id, concat_ws('; ', printf('exact %d', n_exact),
+  CASE WHEN relaxed_strong <> '' THEN printf('strong %d (%s)', n_strong, relaxed_strong) END,
+  CASE WHEN relaxed_broad <> '' THEN printf('broad %d (%s)', n_broad, relaxed_broad) END,
+  CASE WHEN few_exact THEN 'few exact cases: indicative only' END) AS summary
+  FROM (SELECT *, cs[strong_rung + 1] AS n_strong, c0 AS n_exact, c0 < 5 AS few_exact,
+    CASE WHEN f IS NULL THEN '' ELSE array_to_string({_TEXT}[1:f], '; ') END AS relaxed_strong,
+    array_to_string({_TEXT}[1:broad_rung], '; ') AS relaxed_broad FROM ({tier_rungs(_RUNGS, 12)}))""")
+add("i10_period_scope", f"""SELECT {KEY} FROM o_daily JOIN o_refs USING (instrument_id)
+  WHERE session_date >= reference_date - 365""")
+_PASS = "[" + ", ".join(_CTX_RUNGS) + "]"
+_POOLS = {"exact": f"SELECT {KEY} FROM o_wide WHERE {_WIDE}", "similarity": f"SELECT {KEY} FROM o_wide",
+          "combined": f"""SELECT w.instrument_id, w.session_date FROM (SELECT *, {_PASS} AS ok FROM o_wide) w
+            JOIN ({tier_rungs(_CTX_RUNGS, 20)}) t USING (instrument_id) WHERE ok[strong_rung + 1]"""}
+for _m, _p in _POOLS.items():
+    add(f"i11_search_{_m}", f"""SELECT {KEY}, rank, similarity_score, day_classification,
+      return_at_cash_close_pct, full_gap_fill FROM ({ranked(_p, 10)}) JOIN o_classes USING ({KEY})
+      JOIN o_outcomes USING ({KEY})""", "similarity_score return_at_cash_close_pct")
+add("i11_search_headline", f"""SELECT instrument_id, count(*) AS sample_size,
+  median(return_at_cash_close_pct) AS median_return_at_close_pct,
+  100.0 * avg(close_above_cash_open::INT) AS positive_close_pct,
+  median(max_favorable_excursion_pct) AS median_mfe_pct, median(max_adverse_excursion_pct) AS median_mae_pct,
+  100.0 * avg(full_gap_fill::INT) AS full_gap_fill_pct, 100.0 * avg(break_observed_high::INT) AS break_observed_high_pct,
+  100.0 * avg(break_observed_low::INT) AS break_observed_low_pct
+  FROM ({ranked(_POOLS["combined"], 10)}) JOIN o_outcomes USING ({KEY}) GROUP BY ALL""",
+    "median_return_at_close_pct positive_close_pct median_mfe_pct median_mae_pct full_gap_fill_pct "
+    "break_observed_high_pct break_observed_low_pct")
+add("i12_description", f"""SELECT {KEY}, concat_ws('; ',
+  CASE WHEN distance_open_to_ath_pct IS NOT NULL THEN CASE WHEN ath_at_open THEN 'open at a new high' ELSE
+    printf('open %.2f%% %s the high', abs(distance_open_to_ath_pct),
+           CASE WHEN distance_open_to_ath_pct > 0 THEN 'above' ELSE 'below' END) END END,
+  CASE WHEN ath_reached_overnight THEN 'high reached overnight' END,
+  CASE WHEN gap_pct IS NOT NULL THEN printf('gap %+.2f%%', gap_pct) END,
+  CASE WHEN open_above_pdh THEN 'open above PDH' WHEN open_below_pdl THEN 'open below PDL' END,
+  CASE WHEN first_bar_range_normalized IS NOT NULL THEN printf('first bar %s (%+.2f%%, %.2f ATR)',
+      CASE WHEN first_bar_return > 0 THEN 'bullish' ELSE 'bearish' END, first_bar_return, first_bar_range_normalized)
+    WHEN first_bar_return IS NOT NULL THEN printf('first bar %s (%+.2f%%)',
+      CASE WHEN first_bar_return > 0 THEN 'bullish' ELSE 'bearish' END, first_bar_return) END,
+  CASE WHEN extension_ratio IS NOT NULL THEN printf('extension %.2f, overlap %s, efficiency %s', extension_ratio,
+    coalesce(printf('%.2f', post_spike_overlap_ratio), 'none'), coalesce(printf('%.2f', post_spike_efficiency), 'none')) END,
+  CASE WHEN least(first_meaningful_lower_high_min, first_bearish_expansion_min) IS NOT NULL THEN
+    printf('weak from minute %d', least(first_meaningful_lower_high_min, first_bearish_expansion_min)) END) AS description
+  FROM o_feat""")
+add("i13_flagship_filter", """
+WITH q AS (SELECT instrument_id, quantile_cont(first_bar_range_normalized, 0.8) AS c80 FROM o_feat GROUP BY ALL)
+SELECT instrument_id, count(*) FILTER (coalesce(abs(distance_open_to_ath_pct) <= 0.25 AND open_above_pdh
+    AND first_bar_range_normalized >= c80 AND ok, false)) AS n_all_conditions,
+  count(*) FILTER (coalesce(ok, false)) AS n_relaxed
+FROM (SELECT *, gap_pct > 0 AND first_bar_is_bull AND first_bar_close_location >= 0.8 AND extension_ratio < 0.5
+  AND post_spike_overlap_ratio > 0.5 AND weak_at <= 90 AS ok FROM o_weak) JOIN q USING (instrument_id) GROUP BY ALL""")
+
+# ---- sources, cleaning, bars, rolls, audit
+add("a1_plain_feed_lines", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall, value AS open,
+  value AS high, value AS low, value AS close, CAST(1 AS DOUBLE) AS volume FROM events""", "open high low close volume")
+add("a3_pruned_scan", """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, sum(l_quantity) AS quantity
+  FROM lineitem WHERE l_shipdate >= DATE '1999-01-01' GROUP BY ALL""", "quantity")
+add("b1_localize", """
+WITH e AS (SELECT event_id, ts + to_days((event_id % 366)::INTEGER) AS w FROM events),
+u AS (SELECT event_id, w, timezone('UTC', timezone('America/Chicago', w)) AS u FROM e),
+x AS (SELECT event_id, w, CASE
+  WHEN timezone('America/Chicago', timezone('UTC', u)) <> w THEN date_trunc('hour', u)
+  WHEN timezone('America/Chicago', timezone('UTC', u - INTERVAL 1 HOUR)) = w THEN u - INTERVAL 1 HOUR ELSE u END AS u FROM u)
+SELECT event_id, strftime(u, '%Y-%m-%d %H:%M:%S') AS utc,
+  strftime(timezone('Europe/Berlin', timezone('UTC', u)), '%Y-%m-%d %H:%M:%S') AS local FROM x""")
+add("b2_duplicate_counts", """
+WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem),
+k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM v GROUP BY ALL)
+SELECT (SELECT count(*) FROM lineitem) AS n_raw,
+  (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM v) AS n_exact_duplicates,
+  (SELECT count(*) FROM k WHERE n > 1) AS n_conflicting_duplicates, (SELECT count(*) FROM k) AS n_clean""")
+add("b3_conflicts", """
+WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, count(*) AS copies FROM lineitem GROUP BY ALL)
+SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1""")
+add("b4_keep_first", """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, n_raw FROM (SELECT *,
+  count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n_raw, row_number() OVER (PARTITION BY l_orderkey,
+  l_linenumber ORDER BY l_returnflag, l_linestatus) AS k FROM lineitem) WHERE k = 1""")
+add("b5_session_date", "SELECT event_id, CAST(ts AS DATE) AS session_date FROM events")
+add("b6_sessionize", """SELECT event_id, CAST(ts AS DATE) AS session_date, t AS tod_min, t - 540 AS mso,
+  t >= 540 AND t < 1050 AS is_cash FROM (SELECT *, hour(ts) * 60 + minute(ts) AS t FROM events)""")
+add("b7_clock", """SELECT mso, count(*) AS n, printf('%02d:%02d', (mso + 540) // 60, (mso + 540) % 60) AS clock,
+  390 AS us_open_mso FROM o_bars GROUP BY ALL""")
+add("c1_rebar", """SELECT event_type AS con_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bar_dt,
+  arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+  CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL""", "open high low close volume")
+add("c2_stitch", f"""SELECT {KEY}, feed, count(*) AS n, count(*) FILTER (feed = 'contract_1m') AS n_contract,
+  count(*) FILTER (feed = 'contract_1m') AS n_expiry FROM o_bars GROUP BY ALL""")
+add("c3_contract_levels", "SELECT * FROM o_levels", "start_level end_level")
+add("c4_roll_factors", 'SELECT instrument_id, con_id, carry, ratio, difference, CAST(1 AS DOUBLE) AS "none" FROM o_factors',
+    'carry ratio difference "none"')
+add("c5_seam_report", """
+WITH s AS (SELECT *, ns - end_level AS gap, end_level * 0.025::DOUBLE * nd / 365 AS car FROM o_seams WHERE nxt IS NOT NULL)
+SELECT instrument_id, contract_month AS old, nxt AS new, round(end_level, 2) AS old_end_level,
+  round(ns, 2) AS new_start_level, round(gap, 2) AS seam_gap_pts, round(100 * gap / end_level, 3) AS seam_gap_pct,
+  round(car, 2) AS carry_pts, round(100 * car / end_level, 3) AS carry_pct, round(gap - car, 2) AS real_move_pts FROM s""")
+add("c6_apply_rolls", f"""
+WITH old AS (SELECT instrument_id, arg_min(carry, contract_month) AS f0 FROM o_factors GROUP BY ALL)
+SELECT b.instrument_id, b.session_date, mso, c AS close, c * f AS adj_close, c * f / c AS adj_factor
+FROM (SELECT b.*, coalesce(CASE WHEN feed = 'feed_5m' THEN f0 ELSE carry END, 1) AS f
+      FROM o_bars b LEFT JOIN o_factors USING (instrument_id, con_id) LEFT JOIN old USING (instrument_id)) b""",
+    "close adj_close adj_factor")
+add("c7_verify_rolls", """SELECT *, method = 'carry' AS residual_is_real_move,
+  method IN ('ratio', 'carry') AS preserves_pct_returns FROM o_verify""")
+add("c8_calendar", f"""SELECT {KEY}, n_bars, coalesce(n_cash_bars, 0) AS n_cash_bars, feed,
+  dayname(session_date) AS weekday, coalesce(n_cash_bars, 0) < 0.6 * greatest(typical, 51.5) AS shortened_session,
+  isodow(session_date) >= 6 AS is_weekend
+  FROM o_anyday LEFT JOIN o_cashday USING ({KEY}) JOIN o_typical USING (instrument_id)""".replace(
+    "feed,", "o_anyday.feed,", 1))
+add("c10_cash_slice", f"SELECT {KEY}, mso, c AS close FROM o_cash WHERE mso <= 30", "close")
+add("c11_overnight_slice", """
+WITH d AS (SELECT *, lag(session_date) OVER (PARTITION BY instrument_id ORDER BY session_date) AS prev FROM o_anyday)
+SELECT d.instrument_id, d.session_date AS overnight_of, b.session_date, b.mso
+FROM d JOIN o_bars b ON b.instrument_id = d.instrument_id
+ AND b.local_dt > d.prev + INTERVAL '17 hours 30 minutes' AND b.local_dt < d.session_date + INTERVAL 9 HOUR""")
+add("d1_timezone_check", """
+WITH p AS (SELECT instrument_id, tod_min, sum(volume) AS v FROM o_bars GROUP BY ALL),
+t AS (SELECT instrument_id, string_agg(printf('%02d:%02d', tod_min // 60, tod_min % 60), ',' ORDER BY k) AS top
+  FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY v DESC, tod_min) AS k FROM p) WHERE k <= 6 GROUP BY ALL),
+s AS (SELECT instrument_id, coalesce(sum(v) FILTER (tod_min BETWEEN 535 AND 555), 0) / sum(v) AS a,
+  coalesce(sum(v) FILTER (tod_min BETWEEN 1040 AND 1060), 0) / sum(v) AS b FROM p GROUP BY ALL)
+SELECT instrument_id, 'Europe/Berlin' AS declared_tz, top AS top_volume_minutes, round(a, 4) AS share_near_open,
+  round(b, 4) AS share_near_close, a > 0.02 AND b > 0.01 AS consistent FROM s JOIN t USING (instrument_id)""")
+_COV = """
+WITH d AS (SELECT instrument_id, session_date, min(local_dt) AS t0, max(local_dt) AS t1, min(tod_min) AS f,
+  max(tod_min) AS l, nullif(count(*) FILTER (is_cash), 0) AS n FROM o_bars GROUP BY ALL),
+mf AS (SELECT instrument_id, f FROM (SELECT instrument_id, f, row_number() OVER (PARTITION BY instrument_id
+  ORDER BY count(*) DESC, f) AS k FROM d GROUP BY instrument_id, f) WHERE k = 1),
+ml AS (SELECT instrument_id, l FROM (SELECT instrument_id, l, row_number() OVER (PARTITION BY instrument_id
+  ORDER BY count(*) DESC, l) AS k FROM d GROUP BY instrument_id, l) WHERE k = 1),
+g AS (SELECT instrument_id, min(t0) AS t0, max(t1) AS t1, count(*) AS n_sessions, median(n) AS md, min(n) AS mn,
+  max(n) AS mx FROM d GROUP BY ALL)
+SELECT instrument_id, strftime(t0, '%Y-%m-%d %H:%M:%S') AS coverage_start,
+  strftime(t1, '%Y-%m-%d %H:%M:%S') AS coverage_end, n_sessions,
+  printf('%02d:%02d', f // 60, f % 60) AS first_bar_mode, printf('%02d:%02d', l // 60, l % 60) AS last_bar_mode,
+  md AS cash_bars_median, mn AS cash_bars_min, mx AS cash_bars_max
+FROM g JOIN mf USING (instrument_id) JOIN ml USING (instrument_id)"""
+add("d2_coverage", _COV, "cash_bars_median")
+
+
+def missing(share: float) -> str:
+    return f"""
+WITH b AS (SELECT *, mso - lag(mso) OVER (PARTITION BY {KEY} ORDER BY mso) > 5 AS hole FROM o_cash),
+d AS (SELECT {KEY}, count(*) AS n, coalesce(bool_or(hole), false) AS holes FROM b GROUP BY ALL),
+g AS (SELECT instrument_id, count(*) FILTER (n >= {share} * 103) AS full_days,
+  coalesce(sum(greatest(103 - n, 0)) FILTER (n >= {share} * 103), 0)::BIGINT AS missing_bars,
+  count(*) FILTER (holes) AS sessions_with_gaps FROM d GROUP BY ALL)
+SELECT instrument_id, 103 AS expected_bars, full_days, missing_bars,
+  round(100.0 * missing_bars / (103 * greatest(full_days, 1)), 3) AS missing_pct, sessions_with_gaps FROM g"""
+
+
+add("d3_missing_bars", missing(0.2))
+add("d4_contract_inventory", """SELECT instrument_id, contract_month, min(con_id) AS con_id,
+  'Q' || min(con_id) AS local_symbol, min(expiry) AS expiry, strftime(min(local_dt), '%Y-%m-%d %H:%M:%S') AS starts,
+  strftime(max(local_dt), '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS n_bars FROM o_quarter GROUP BY ALL""")
+add("d5_shared_timestamps", """SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(DISTINCT event_type) AS n_contracts
+  FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1""")
+_GAP = """SELECT instrument_id, CAST(floor((epoch(min(local_dt) FILTER (feed = 'contract_1m'))
+  - epoch(max(local_dt) FILTER (feed = 'feed_5m'))) / 86400) AS BIGINT) AS gap_days FROM o_bars GROUP BY ALL"""
+add("d6_feed_gap", _GAP)
+_DUP = """
+WITH v AS (SELECT l_suppkey // 25 AS instrument_id, l_orderkey, l_linenumber, l_returnflag, l_linestatus, count(*) AS n
+  FROM lineitem GROUP BY ALL),
+k AS (SELECT instrument_id, l_orderkey, l_linenumber, count(*) AS versions, sum(n) AS n FROM v GROUP BY ALL)
+SELECT instrument_id, sum(n)::BIGINT AS n_raw, (sum(n) - sum(versions))::BIGINT AS n_exact_duplicates,
+  count(*) FILTER (versions > 1) AS n_conflicting_duplicates, count(*) AS n_clean, true AS fallback_used
+FROM k GROUP BY ALL"""
+_TZ = STATEMENTS["d1_timezone_check"]
+_AUDIT = f"""SELECT instrument_id, n_raw, n_exact_duplicates, n_conflicting_duplicates, n_clean, fallback_used,
+  declared_tz, share_near_open, share_near_close, consistent, coverage_start, coverage_end, n_sessions, first_bar_mode,
+  last_bar_mode, cash_bars_median, cash_bars_min, cash_bars_max, expected_bars, full_days, missing_bars, missing_pct,
+  sessions_with_gaps, gap_days, newest_contract_anchored_raw
+  FROM ({_DUP}) JOIN ({_TZ}) USING (instrument_id) JOIN ({_COV}) USING (instrument_id)
+  JOIN ({missing(0.8)}) USING (instrument_id) JOIN ({_GAP}) USING (instrument_id)
+  JOIN (SELECT instrument_id, newest_contract_anchored_raw FROM o_verify WHERE method = 'carry') USING (instrument_id)"""
+add("d8_audit_row", _AUDIT, "cash_bars_median")
+add("d7_warnings", f"""SELECT instrument_id, concat_ws('; ',
+  CASE WHEN NOT consistent THEN 'volume profile does not fit the declared zone' END,
+  CASE WHEN n_conflicting_duplicates > 0 THEN n_conflicting_duplicates || ' conflicting duplicates' END,
+  CASE WHEN fallback_used THEN 'ambiguous hours read as summer time' END,
+  CASE WHEN gap_days > 3 THEN gap_days || ' days between the feeds' END,
+  CASE WHEN NOT newest_contract_anchored_raw THEN 'newest contract is not raw' END) AS warnings FROM ({_AUDIT})""")
