@@ -72,7 +72,7 @@ def calendar(bars: DataFrame, p: SessionParams = SessionParams()) -> DataFrame:
     """Per date: bars, cash bars, first feed, weekday, shortened and weekend flags."""
     d = bars.groupBy(*SESSION).agg(
         F.count(F.lit(1)).alias("n_bars"), count_where(F.col("is_cash")).alias("n_cash_bars"),
-        F.min_by("feed", "tod_min").alias("feed"))
+        first_feed().alias("feed"))
     typical = d.groupBy("instrument_id").agg(F.median("n_cash_bars").alias("typical"))
     return d.join(typical, "instrument_id").select(
         *SESSION, "n_bars", "n_cash_bars", "feed", weekday(F.col("session_date")).alias("weekday"),
@@ -81,6 +81,12 @@ def calendar(bars: DataFrame, p: SessionParams = SessionParams()) -> DataFrame:
         F.dayofweek("session_date").isin(1, 7).alias("is_weekend"))
 
 
+def first_feed() -> Column:
+    """Feed of the earliest bar, through a flag: a text buffer would sort the aggregate."""
+    return F.when(F.min_by(F.col("feed") == "contract_1m", "tod_min"), "contract_1m").otherwise(
+        "feed_5m")
+
+
 def weekday(date: Column) -> Column:
     return F.date_format(date, "EEEE")
 
@@ -128,7 +134,7 @@ def session_ohlc(bars: DataFrame, p: SessionParams = SessionParams(),
         count_where(c).alias("n_cash_bars"), count_where(early).alias("n_early"),
         count_where(late).alias("n_late"), F.count(F.lit(1)).alias("n_bars"),
         F.max("adj_high").alias("day_high_adj"), F.min("adj_low").alias("day_low_adj"),
-        F.min_by("feed", "tod_min").alias("feed"))
+        first_feed().alias("feed"))
     d = d.withColumns({f"late_{x}": lag_session(F.col(f"late_{x}"))
                        for x in ("open", "high", "low", "close", "open_adj", "high_adj",
                                  "low_adj", "close_adj")}

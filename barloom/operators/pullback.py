@@ -135,7 +135,7 @@ def session_states(walked: DataFrame) -> DataFrame:
     ev = C("evaluated")
     leg = ev & C("side").isNotNull()
     d = walked.groupBy(*SESSION).agg(
-        F.max_by(F.when(ev, C("state")), F.when(ev, C("mso"))).alias("state"),
+        F.max_by(F.when(ev, C("state_rank")), F.when(ev, C("mso"))).alias("now"),
         F.max(F.when(ev, C("state_rank"))).alias("rank"),
         F.array_sort(F.collect_list(F.when(ev, F.struct("mso", "state")))).alias("trace"),
         F.max(F.when(ev, C("mso"))).alias("last_mso"),
@@ -143,10 +143,10 @@ def session_states(walked: DataFrame) -> DataFrame:
         F.max_by(F.when(leg, C("side")), F.when(leg, C("mso"))).alias("leg_side"),
         F.max_by(F.when(leg, C("followthrough_bars")), F.when(leg, C("mso")))
         .alias("followthrough_bars"))
+    names = F.array(*[F.lit(x) for x in STATES])
     return d.withColumns({
-        "state": F.coalesce("state", F.lit(STATES[0])),
-        "reached": F.element_at(F.array(*[F.lit(x) for x in STATES]),
-                                F.coalesce("rank", F.lit(0)) + 1)}).drop("rank")
+        "state": F.element_at(names, F.coalesce("now", F.lit(0)) + 1),
+        "reached": F.element_at(names, F.coalesce("rank", F.lit(0)) + 1)}).drop("now", "rank")
 
 
 def state_profile(states: DataFrame) -> DataFrame:

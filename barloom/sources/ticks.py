@@ -25,6 +25,15 @@ def slot_minute(slot: Column) -> Column:
             .otherwise(F.lit(520)).cast("int"))
 
 
+def tick_order() -> Column:
+    """Order of the ticks in a bar: order, line, then price in cents, so equal keys carry
+    equal prices. Packed into one decimal because a struct has no fixed-width aggregation
+    buffer and would turn the tick aggregate into a sort."""
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
+    cents = (F.col("l_extendedprice") * 100).cast("decimal(9,0)")
+    return line * F.lit(10 ** 9).cast("decimal(10,0)") + cents
+
+
 def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     week = F.trunc("l_shipdate", "week")
@@ -33,15 +42,14 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         desk.alias("instrument_id"), week.alias("session_date"),
         slot_minute((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13
                      + F.col("l_linenumber") * 5) % 24).alias("mso"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                 "l_extendedprice").alias("seq"),
+        tick_order().alias("seq"),
         "l_extendedprice", "l_quantity")
     w = F.floor(F.datediff("session_date", F.lit(EPOCH).cast("date")) / 7).cast("int")
     lean = (w * 7 + F.col("instrument_id") * 3) % 5 - 2
     base = (10000 + 6 * w + 30 * F.abs(w % 80 - 40)).cast("double")
     return t.select(
         "instrument_id", "session_date", "mso", "seq",
-        (base + lean * F.least("mso", F.lit(60)) * F.lit(1.0) + F.col("l_extendedprice") / 997.0).alias("px"),
+        (base + lean * F.least("mso", F.lit(60)).cast("double") + F.col("l_extendedprice") / 997.0).alias("px"),
         F.col("l_quantity").alias("qty"))
 
 

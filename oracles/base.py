@@ -18,7 +18,7 @@ SELECT instrument_id, session_date, CAST(mso AS INTEGER) AS mso, l_quantity AS q
          + ((wk * 7 + instrument_id * 3) % 5 - 2) * least(mso, 60) * CAST(1 AS DOUBLE)
          + l_extendedprice / CAST(997.0 AS DOUBLE) AS px,
        row_number() OVER (PARTITION BY instrument_id, session_date, mso
-         ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
+         ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn
 FROM o_slots""",
     o_bars="""
 SELECT instrument_id, session_date, mso, mso + 540 AS tod_min,
