@@ -67,13 +67,13 @@ def path_scores(paired: DataFrame) -> DataFrame:
 
     s = long.groupBy(*SESSION).agg(
         F.count(F.when(both, 1)).alias("n"),
-        F.corr(F.when(both, C("a")), F.when(both, C("b"))).alias("corr"),
+        F.covar_pop(F.when(both, C("a")), F.when(both, C("b"))).alias("cov"),
         F.stddev_pop(F.when(both, C("a"))).alias("sa"), F.stddev_pop(F.when(both, C("b"))).alias("sb"),
         F.avg(F.when(both, (C("a") - C("b")) * (C("a") - C("b")))).alias("mse"),
         total(C("a") * C("b")).alias("ab"), total(C("a") * C("a")).alias("aa"),
         total(C("b") * C("b")).alias("bb"))
-    flat = (C("n") < 3) | (C("sa") == 0) | (C("sb") == 0)
-    return s.select(*SESSION, "n", F.when(~flat, C("corr")).alias("correlation"),
+    corr = C("cov") / F.nullif(C("sa") * C("sb"), F.lit(0.0))
+    return s.select(*SESSION, "n", F.when(C("n") >= 3, corr).alias("correlation"),
                     F.sqrt("mse").alias("euclidean"),
                     (C("ab") / F.nullif(F.sqrt("aa") * F.sqrt("bb"), F.lit(0.0))).alias("cosine"))
 
