@@ -13,8 +13,9 @@ from barloom.params import CONTEXT_DIMENSIONS, ContextParams, ContextSpec
 C = F.col
 
 
-def prior_percentile(x: Column, n: int, q: float) -> Column:
-    return prior(x, n, max(20, n // 5), lambda v: F.percentile(v, q / 100.0))
+def prior_percentiles(x: Column, n: int, *qs: float) -> Column:
+    """Several percentiles of the n sessions before: one walk over the frame for all."""
+    return prior(x, n, max(20, n // 5), lambda v: F.percentile(v, [q / 100.0 for q in qs]))
 
 
 def daily_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
@@ -66,15 +67,15 @@ def prior_day_context(daily: DataFrame, p: ContextParams = ContextParams()) -> D
     d = d.withColumns({
         "day_range": C("h") - C("l"), "ph": lag_session(C("h")), "pl": lag_session(C("l")),
         "day_close_loc": ratio(C("c") - C("l"), C("h") - C("l"))})
-    d = d.withColumns({"big": prior_percentile(C("day_range"), p.pctl_sessions, p.big_range_pctl),
-                       "quiet": prior_percentile(C("day_range"), p.pctl_sessions,
-                                                 p.quiet_range_pctl)})
+    d = d.withColumn("cuts", prior_percentiles(C("day_range"), p.pctl_sessions, p.big_range_pctl,
+                                               p.quiet_range_pctl))
+    big, quiet = C("cuts")[0], C("cuts")[1]
     higher, lower = C("h") > C("ph"), C("l") < C("pl")
     top = C("day_close_loc") >= p.trend_close_loc
     bottom = C("day_close_loc") <= 1 - p.trend_close_loc
-    is_big = yes(C("day_range") >= C("big"))
+    is_big = yes(C("day_range") >= big)
     d = d.withColumns({"is_big": is_big, "day_type": last_match("RANGE", [
-        (top, "TREND_UP"), (bottom, "TREND_DOWN"), (C("day_range") <= C("quiet"), "RANGE"),
+        (top, "TREND_UP"), (bottom, "TREND_DOWN"), (C("day_range") <= quiet, "RANGE"),
         ((C("h") < C("ph")) & (C("l") > C("pl")), "INSIDE"), (higher & lower, "OUTSIDE"),
         (lower & top, "REVERSAL_UP"), (higher & bottom, "REVERSAL_DOWN"),
         (is_big, "BIG_RANGE")])})
@@ -93,8 +94,8 @@ def open_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFr
     d = daily.select(
         *SESSION, "gap_pct", "cash_open_adj", "previous_day_high", "previous_day_low",
         *[C(f"overnight_{x}_adj").alias(f"on_{x}") for x in ("open", "high", "low", "close")])
-    d = d.withColumns({f"q_{k}": prior_percentile(a, p.pctl_sessions, q) for k, q in (
-        ("flat", p.gap_flat_pctl), ("small", p.gap_small_pctl), ("mod", p.gap_moderate_pctl))})
+    d = d.withColumn("cuts", prior_percentiles(
+        a, p.pctl_sessions, p.gap_flat_pctl, p.gap_small_pctl, p.gap_moderate_pctl))
     rng = F.nullif(C("on_high") - C("on_low"), F.lit(0.0))
     d = d.withColumns({
         "open_frac_in_pd_range": ratio(C("cash_open_adj") - C("previous_day_low"),
@@ -104,12 +105,12 @@ def open_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFr
     up, dn, frac = C("gap_pct") > 0, C("gap_pct") < 0, C("open_frac_in_pd_range")
     high_close = C("overnight_close_loc") >= p.overnight_close_loc
     low_close = C("overnight_close_loc") <= 1 - p.overnight_close_loc
-    gap = [(side & (a > C(f"q_{q}")), f"{size}_{way}")
+    gap = [(side & (a > C("cuts")[k]), f"{size}_{way}")
            for side, way in ((up, "UP"), (dn, "DOWN"))
-           for q, size in (("flat", "SMALL"), ("small", "MODERATE"), ("mod", "LARGE"))]
+           for k, size in enumerate(("SMALL", "MODERATE", "LARGE"))]
     return d.select(
         *SESSION,
-        last_match("FLAT", gap + [(C("q_flat").isNull(), "UNKNOWN")]).alias("gap_bucket"),
+        last_match("FLAT", gap + [(C("cuts").isNull(), "UNKNOWN")]).alias("gap_bucket"),
         last_match("MID_PD", [
             (frac <= p.lower_frac, "LOWER_PD"), (frac >= p.upper_frac, "UPPER_PD"),
             (C("cash_open_adj") > C("previous_day_high"), "ABOVE_PDH"),

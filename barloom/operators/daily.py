@@ -82,16 +82,14 @@ def volatility_regime(d: DataFrame, p: SessionParams = SessionParams()) -> DataF
     d = d.withColumn("ret", ratio(C("cash_close_adj"), lag_session(C("cash_close_adj"))) - 1.0)
     d = d.withColumn("realised_vol", prior(C("ret"), p.vol_window, 5, F.stddev_samp))
 
-    def cut(q: float) -> Column:
-        return prior(C("realised_vol"), p.regime_window, 20, lambda x: F.percentile(x, q))
-
-    d = d.withColumns({"vol_low": cut(p.regime_low_q), "vol_high": cut(p.regime_high_q)})
+    d = d.withColumn("cuts", prior(C("realised_vol"), p.regime_window, 20, lambda x: F.percentile(
+        x, [p.regime_low_q, p.regime_high_q])))
     return d.withColumn(
         "daily_volatility_regime",
-        F.when(C("realised_vol").isNull() | C("vol_low").isNull(), "unknown")
-        .when(C("realised_vol") <= C("vol_low"), "low")
-        .when(C("realised_vol") >= C("vol_high"), "high")
-        .otherwise("normal")).drop("ret")
+        F.when(C("realised_vol").isNull() | C("cuts").isNull(), "unknown")
+        .when(C("realised_vol") <= C("cuts")[0], "low")
+        .when(C("realised_vol") >= C("cuts")[1], "high")
+        .otherwise("normal")).drop("ret", "cuts")
 
 
 def quality_flags(d: DataFrame, p: SessionParams = SessionParams()) -> DataFrame:

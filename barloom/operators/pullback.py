@@ -20,39 +20,40 @@ BULL, BEAR = 1, -1
 STATES = ("INVALID", "DEVELOPING", "ACTIVE")
 
 
-def _signed(side: int) -> tuple[Column, Column]:
-    """With and against the trend: highs and lows for a bull, mirrored for a bear."""
-    return (C("adj_high"), C("adj_low")) if side == BULL else (-C("adj_low"), -C("adj_high"))
-
-
-def _side_columns(b: DataFrame, side: int, tick: float) -> DataFrame:
-    w, s = in_session(), "bull" if side == BULL else "bear"
-    up, against = _signed(side)
-    b = b.withColumns({f"{s}_a": up, f"{s}_o": against})
-    a, o = C(f"{s}_a"), C(f"{s}_o")
-    b = b.withColumns({
+def _steps(s: str) -> dict[str, Column]:
+    """Bar against bar and against the extremes so far."""
+    w, a, o = in_session(), C(f"{s}_a"), C(f"{s}_o")
+    return {
         f"{s}_step": yes((a > F.lag(a).over(w)) & (o > F.lag(o).over(w))),
         f"{s}_dir": F.signum(a - F.lag(a).over(w)).cast("int"),
         f"{s}_new": yes(a > F.max(a).over(before(w))),
         f"{s}_ext": F.max(a).over(upto(w)),
-        f"{s}_beyond": F.sum((a > F.first(a).over(w)).cast("int")).over(upto(w)),
+        f"{s}_first": F.first(a).over(w),
         f"{s}_deep": F.min(F.when(C("i") > 0, o)).over(upto(w)),
-        f"{s}_origin": F.first(o).over(w)})
-    step, dirn, new = C(f"{s}_step"), C(f"{s}_dir"), C(f"{s}_new")
-    b = b.withColumns({
-        f"{s}_leg": F.max(step & F.lag(step, 1, False).over(w)).over(upto(w))
-        & (C(f"{s}_beyond") >= 2),
+        f"{s}_origin": F.first(o).over(w)}
+
+
+def _legs(s: str) -> dict[str, Column]:
+    """Leg, whether its origin holds, and the bars that complete a correction."""
+    w, step, new, turn = in_session(), C(f"{s}_step"), C(f"{s}_new"), C(f"{s}_dir")
+    last_turn = F.last(F.nullif(turn, F.lit(0)), True).over(before(w))
+    return {
+        f"{s}_beyond": F.sum((C(f"{s}_a") > C(f"{s}_first")).cast("int")).over(upto(w)),
+        f"{s}_twice": F.max(step & F.lag(step, 1, False).over(w)).over(upto(w)),
         f"{s}_run": C("i") - F.max(F.when(~step, C("i"))).over(upto(w)),
         f"{s}_ext_mso": F.max(F.when(new | (C("i") == 0), C("mso"))).over(upto(w)),
         f"{s}_held": F.coalesce(C(f"{s}_deep") >= C(f"{s}_origin"), F.lit(True)),
-        f"{s}_sig": yes((dirn == 1) & ~new & (F.last(F.nullif(dirn, F.lit(0)), True)
-                                              .over(before(w)) == -1)),
-        f"{s}_grp": F.sum(new.cast("int")).over(upto(w))})
-    g = Window.partitionBy(*SESSION, f"{s}_grp").orderBy("mso")
-    return b.withColumns({
-        f"{s}_count": F.sum(C(f"{s}_sig").cast("int")).over(upto(g)),
-        f"{s}_pull": F.min(F.when(dirn == -1, o)).over(upto(g)),
-        f"{s}_best": F.max(f"{s}_run").over(upto(w))})
+        f"{s}_sig": yes((turn == 1) & ~new & (last_turn == -1)),
+        f"{s}_grp": F.sum(new.cast("int")).over(upto(w))}
+
+
+def _counts(s: str) -> dict[str, Column]:
+    """Number and depth of the correction since the leg's last new extreme."""
+    g = upto(Window.partitionBy(*SESSION, f"{s}_grp").orderBy("mso"))
+    return {
+        f"{s}_count": F.sum(C(f"{s}_sig").cast("int")).over(g),
+        f"{s}_pull": F.min(F.when(C(f"{s}_dir") == -1, C(f"{s}_o"))).over(g),
+        f"{s}_best": F.max(f"{s}_run").over(upto(in_session()))}
 
 
 def walk(bars: DataFrame, p: PullbackParams = PullbackParams()) -> DataFrame:
@@ -60,8 +61,11 @@ def walk(bars: DataFrame, p: PullbackParams = PullbackParams()) -> DataFrame:
     w = in_session()
     b = cash(bars).select(*SESSION, "mso", "adj_high", "adj_low", "adj_close").withColumns({
         "i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(whole_session())})
-    for side in (BULL, BEAR):
-        b = _side_columns(b, side, p.tick)
+    # up is with a bull leg; a bear leg is the same on negated lows and highs
+    b = b.withColumns({"bull_a": C("adj_high"), "bull_o": C("adj_low"),
+                       "bear_a": -C("adj_low"), "bear_o": -C("adj_high")})
+    for layer in (_steps, _legs, _counts):
+        b = b.withColumns(layer("bull") | layer("bear"))
 
     def pick(bull: Column, bear: Column) -> Column:
         return F.when(C("side") == BULL, bull).when(C("side") == BEAR, bear)
@@ -69,7 +73,8 @@ def walk(bars: DataFrame, p: PullbackParams = PullbackParams()) -> DataFrame:
     evaluated = (C("n") >= 4) & (C("i") >= 2) & (C("mso") <= p.deadline_min)
     b = b.withColumns({
         "evaluated": evaluated,
-        "side": F.when(evaluated & C("bull_leg"), BULL).when(evaluated & C("bear_leg"), BEAR)})
+        "side": F.when(evaluated & C("bull_twice") & (C("bull_beyond") >= 2), BULL)
+        .when(evaluated & C("bear_twice") & (C("bear_beyond") >= 2), BEAR)})
     b = b.withColumns({
         "held": pick(C("bull_held"), C("bear_held")),
         "leg_origin_px": pick(C("bull_origin"), -C("bear_origin")),
@@ -104,27 +109,38 @@ def nearest_target(entry: Column, side: Column, levels: dict[str, Column]) -> Co
     return F.array_min(F.filter(cands, lambda x: yes((x["px"] - entry) * side > 0)))
 
 
-def signals(walked: DataFrame, levels: DataFrame,
-            p: PullbackParams = PullbackParams()) -> DataFrame:
-    """Signals with target, reward to risk and whether the entry cap leaves room for them.
+# What a signal row carries from its bar.
+SIGNAL = ("mso", "label", "kind", "count", "side", "entry_px", "stop_px", "pullback_px",
+          "leg_origin_px", "leg_extreme_px", "leg_extreme_mso")
 
-    ``levels``: instrument_id, session_date and the columns pdh, pdc, pdl, onh, onl. Only
-    sessions with a row there are traded.
-    """
-    w = in_session()
-    s = walked.where("signal").join(
-        levels.select(*SESSION, "pdh", "pdc", "pdl", "onh", "onl"), SESSION)
+
+def _with_targets(s: DataFrame, levels: DataFrame, p: PullbackParams, *keep: str) -> DataFrame:
+    """Join the session's levels; ``k`` numbers the signals of a session from 0."""
+    s = s.join(levels.select(*SESSION, "pdh", "pdc", "pdl", "onh", "onl"), SESSION)
     named = {"PDH": C("pdh"), "PDC": C("pdc"), "PDL": C("pdl"), "ONH": C("onh"),
              "ONL": C("onl"), "SESSION_EXTREME": C("leg_extreme_px")}
     s = s.withColumns({"target": nearest_target(C("entry_px"), C("side"), named),
                        "risk_points": F.abs(C("entry_px") - C("stop_px")),
-                       "taken": F.row_number().over(w) <= p.max_entries})
+                       "taken": C("k") < p.max_entries})
     return s.select(
         *SESSION, C("mso").alias("signal_mso"), "label", "kind", "count", "side", "entry_px",
         "stop_px", C("target.name").alias("target_name"), C("target.px").alias("target_px"),
         F.round(ratio(F.abs(C("target.px") - C("entry_px")), C("risk_points")), 2).alias("rr"),
         "taken", "risk_points", "pullback_px", "leg_origin_px", "leg_extreme_px",
-        "leg_extreme_mso", F.when(C("taken"), "").otherwise("max_entries reached").alias("note"))
+        "leg_extreme_mso", F.when(C("taken"), "").otherwise("max_entries reached").alias("note"),
+        *keep)
+
+
+def signals(walked: DataFrame, levels: DataFrame,
+            p: PullbackParams = PullbackParams()) -> DataFrame:
+    """Signals with target, reward to risk and whether the entry cap leaves room for them.
+
+    ``levels``: instrument_id, session_date and the columns pdh, pdc, pdl, onh, onl. Only
+    sessions with a row there are traded.
+    """
+    s = walked.where("signal").select(*SESSION, *SIGNAL).withColumn(
+        "k", F.row_number().over(in_session()) - 1)
+    return _with_targets(s, levels, p)
 
 
 def session_states(walked: DataFrame) -> DataFrame:
@@ -189,19 +205,26 @@ def decisions(states: DataFrame, sigs: DataFrame,
                     "decision", said.alias("sentence"))
 
 
+def _path() -> Column:
+    """The bars of a session as one sorted array: as many entries as the clock has slots."""
+    return F.array_sort(F.collect_list(F.struct("mso", "adj_high", "adj_low", "adj_close")))
+
+
 def simulate(sigs: DataFrame, bars: DataFrame,
              p: PullbackParams = PullbackParams()) -> DataFrame:
-    """Forward test of each taken signal as a stop order; skipped ones are NOT_TAKEN.
+    """Forward test of each taken signal as a stop order; skipped ones are NOT_TAKEN."""
+    path = cash(bars).groupBy(*SESSION).agg(_path().alias("path"))
+    return _forward(sigs.join(path, SESSION), p)
+
 
-    A session's bars travel as one short array next to its signals, so both sides meet on the
-    session key and the rest is arithmetic inside the row. First-hit minutes decide: the entry
-    (E), the stop level breaking on a bar that does not fill (D), and after E the stop (S) and
-    the target (T). Stop wins a tie and the fill bar is tested for the stop only.
+def _forward(s: DataFrame, p: PullbackParams) -> DataFrame:
+    """Outcome of each signal from the bars after it, as arithmetic inside the row.
+
+    First-hit minutes decide: the entry (E), the stop level breaking on a bar that does not
+    fill (D), and after E the stop (S) and the target (T). Stop wins a tie and the fill bar is
+    tested for the stop only.
     """
-    path = cash(bars).groupBy(*SESSION).agg(F.array_sort(F.collect_list(
-        F.struct("mso", "adj_high", "adj_low", "adj_close"))).alias("path"))
-    s = sigs.join(path, SESSION).withColumn(
-        "path", F.filter("path", lambda x: x["mso"] > C("signal_mso")))
+    s = s.withColumn("path", F.filter("path", lambda x: x["mso"] > C("signal_mso")))
     side = C("side")
 
     def reaches(x: Column, px: Column) -> Column:
@@ -247,10 +270,20 @@ def simulate(sigs: DataFrame, bars: DataFrame,
 
 def trades(bars: DataFrame, levels: DataFrame,
            p: PullbackParams = PullbackParams()) -> DataFrame:
-    """Signals of all sessions with their outcome and the furthest state of the session."""
-    walked = walk(bars, p)
-    reached = session_states(walked).select(*SESSION, "reached")
-    return simulate(signals(walked, levels, p), bars, p).join(reached, SESSION)
+    """Signals of all sessions with their outcome and the furthest state of the session.
+
+    The walk runs once: one row per session keeps its bars, its signals and its furthest
+    state, sessions without a signal drop out, and only then do the levels join.
+    """
+    packed = walk(bars, p).groupBy(*SESSION).agg(
+        _path().alias("path"),
+        F.array_sort(F.collect_list(F.when(C("signal"), F.struct(*SIGNAL)))).alias("sigs"),
+        F.max(F.when(C("evaluated"), C("state_rank"))).alias("rank")).where(F.size("sigs") > 0)
+    s = packed.select(
+        *SESSION, "path", F.element_at(F.array(*[F.lit(x) for x in STATES]), C("rank") + 1)
+        .alias("reached"), F.posexplode("sigs").alias("k", "sig")).select(
+        *SESSION, "path", "reached", "k", "sig.*")
+    return _forward(_with_targets(s, levels, p, "path", "reached"), p)
 
 
 def status_counts(t: DataFrame) -> DataFrame:

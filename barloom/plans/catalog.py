@@ -329,8 +329,9 @@ STRUCTURED = ContextSpec(opening=("REJECTION_UP", "DRIVE_DOWN"), close_beyond_pr
 @query("k1_prior_percentiles")
 def _(t: Tables) -> DataFrame:
     rng = C("cash_high_adj") - C("cash_low_adj")
-    return t.daily.select(*SESSION, *[
-        context.prior_percentile(rng, 250, q).alias(f"p{int(q)}") for q in (20.0, 50.0, 90.0)])
+    cuts = context.prior_percentiles(rng, 250, 20.0, 50.0, 90.0)
+    return t.daily.select(*SESSION, cuts.alias("cuts")).select(
+        *SESSION, *[C("cuts")[k].alias(n) for k, n in enumerate(("p20", "p50", "p90"))])
 
 
 @query("k14_context_matches")
