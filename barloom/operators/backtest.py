@@ -16,38 +16,70 @@ C = F.col
 SIDES = {"DRIVE_UP": 1, "DRIVE_DOWN": -1}
 
 
-def _initial_stop(rules: TradeRules, side: Column, entry: Column) -> Column:
+def _initial_stop(mode: str, side: Column, entry: Column) -> Column:
     far = F.when(side > 0, C("obs_lo")).otherwise(C("obs_hi"))
-    if rules.stop_mode == "opening_range":
+    if mode == "opening_range":
         return far
-    if rules.stop_mode == "half_range":
+    if mode == "half_range":
         mid = (C("obs_hi") + C("obs_lo")) / 2.0
         return F.when((entry - mid) * side > 0, mid).otherwise(far)
-    if rules.stop_mode == "last_bar":
+    if mode == "last_bar":
         return F.when(side > 0, C("last_lo")).otherwise(C("last_hi"))
-    raise ValueError(rules.stop_mode)
+    raise ValueError(mode)
+
+
+def _priced(b: DataFrame, rules: TradeRules) -> DataFrame:
+    """Keep sessions with enough bars and a real distance between entry and stop."""
+    floor = F.greatest(F.lit(rules.min_risk_points),
+                       rules.min_risk_frac * (C("obs_hi") - C("obs_lo")))
+    return b.withColumn("risk", F.abs(C("entry") - C("stop_init"))).where(
+        (C("n_obs") >= 3) & (C("n_aft") >= 2) & (C("risk") >= floor))
+
+
+def _bars_of(bars: DataFrame, picked: DataFrame) -> DataFrame:
+    b = cash(bars).select(*SESSION, "mso", C("adj_open").alias("o"), C("adj_high").alias("h"),
+                          C("adj_low").alias("l"), C("adj_close").alias("c"))
+    return b.join(picked.select(*SESSION, "label", "side"), SESSION)
+
+
+def _facts(rules: TradeRules) -> dict[str, Column]:
+    """What is known at the decision, as aggregates over a session's bars."""
+    obs, aft = C("mso") < rules.decision_min, C("mso") >= rules.decision_min
+    return {
+        "n_obs": count_where(obs), "n_aft": count_where(aft),
+        "obs_hi": F.max(F.when(obs, C("h"))), "obs_lo": F.min(F.when(obs, C("l"))),
+        "last_hi": latest(C("h"), obs), "last_lo": latest(C("l"), obs),
+        "entry": earliest(C("o"), aft)}
+
+
+def picked_drives(context: DataFrame, labels: Sequence[str] = tuple(SIDES)) -> DataFrame:
+    side = F.when(C("opening") == "DRIVE_UP", 1).otherwise(-1)
+    return context.where(C("opening").isin(*labels)).select(
+        *SESSION, C("opening").alias("label"), side.alias("side"))
+
+
+def initial_stops(bars: DataFrame, context: DataFrame, rules: TradeRules = TradeRules(),
+                  modes: Sequence[str] = ("opening_range", "half_range", "last_bar")) -> DataFrame:
+    """Entry and stop of every tradeable session under each stop mode, from one pass."""
+    d = _bars_of(bars, picked_drives(context)).groupBy(*SESSION, "label", "side").agg(
+        *[v.alias(k) for k, v in _facts(rules).items()])
+    stops = F.array(*[F.struct(F.lit(m).alias("stop_mode"), _initial_stop(
+        m, C("side"), C("entry")).alias("stop_init")) for m in modes])
+    return _priced(d.select("*", F.inline(stops)), rules).select(
+        *SESSION, "stop_mode", "side", "entry", "stop_init", C("risk").alias("risk_points"))
 
 
 def _entries(bars: DataFrame, picked: DataFrame, rules: TradeRules) -> DataFrame:
     """Bars from the decision on, with entry, stop, risk and target of their session.
 
-    The facts before the decision are whole-session windows, so the bars of a session are
+    The facts at the decision are whole-session windows, so the bars of a session are
     exchanged once, together with their label.
     """
-    obs, aft, s = C("mso") < rules.decision_min, C("mso") >= rules.decision_min, whole_session()
-    b = cash(bars).select(*SESSION, "mso", C("adj_open").alias("o"), C("adj_high").alias("h"),
-                          C("adj_low").alias("l"), C("adj_close").alias("c"))
-    b = b.join(picked.select(*SESSION, "label", "side"), SESSION)
-    b = b.withColumns({
-        "n_obs": count_where(obs).over(s), "n_aft": count_where(aft).over(s),
-        "obs_hi": F.max(F.when(obs, C("h"))).over(s), "obs_lo": F.min(F.when(obs, C("l"))).over(s),
-        "last_hi": latest(C("h"), obs).over(s), "last_lo": latest(C("l"), obs).over(s),
-        "entry": earliest(C("o"), aft).over(s)}).where(aft)
-    b = b.withColumn("stop_init", _initial_stop(rules, C("side"), C("entry")))
-    b = b.withColumn("risk", F.abs(C("entry") - C("stop_init")))
-    floor = F.greatest(F.lit(rules.min_risk_points),
-                       rules.min_risk_frac * (C("obs_hi") - C("obs_lo")))
-    b = b.where((C("n_obs") >= 3) & (C("n_aft") >= 2) & (C("risk") >= floor))
+    b = _bars_of(bars, picked)
+    b = b.withColumns({k: v.over(whole_session()) for k, v in _facts(rules).items()}).where(
+        C("mso") >= rules.decision_min)
+    b = _priced(b.withColumn("stop_init", _initial_stop(
+        rules.stop_mode, C("side"), C("entry"))), rules)
     target = (C("entry") + C("side") * rules.target_r * C("risk")
               if rules.target_r else F.lit(None).cast("double"))
     return b.withColumn("target", target)
@@ -130,15 +162,13 @@ def _moving_exits(b: DataFrame, rules: TradeRules) -> DataFrame:
 
 
 def drive_trades(bars: DataFrame, context: DataFrame, rules: TradeRules = TradeRules(),
-                 labels: Sequence[str] = ("DRIVE_UP", "DRIVE_DOWN")) -> DataFrame:
+                 labels: Sequence[str] = tuple(SIDES)) -> DataFrame:
     """One trade per session whose opening label is traded; untradeable sessions drop out.
 
-    ``context`` may be narrowed beforehand; the side follows from the label.
+    ``context`` needs the column ``opening`` only and may be narrowed beforehand; the side
+    follows from the label.
     """
-    side = F.when(C("opening") == "DRIVE_UP", 1).otherwise(-1)
-    picked = context.where(C("opening").isin(*labels)).select(
-        *SESSION, C("opening").alias("label"), side.alias("side"))
-    b = _entries(bars, picked, rules)
+    b = _entries(bars, picked_drives(context, labels), rules)
     moving = rules.breakeven_r or rules.trail_bars
     return _finish((_moving_exits if moving else _fixed_exits)(b, rules), rules)
 

@@ -1,7 +1,7 @@
 """Sessions, re-barring, stitching and the session calendar."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import (SESSION, count_where, earliest, in_calendar, latest,
@@ -51,21 +51,21 @@ def stitch(old: DataFrame, contracts: DataFrame) -> DataFrame:
         contracts.withColumn("feed", F.lit("contract_1m")), allowMissingColumns=True)
 
 
-def overnight_slice(df: DataFrame, bounds: DataFrame) -> DataFrame:
+def overnight_slice(df: DataFrame, bounds: DataFrame,
+                    p: SessionParams = SessionParams()) -> DataFrame:
     """Bars strictly between the previous session's close and this session's open.
 
-    ``bounds``: instrument_id, session_date, prev_session_date. A bar of the open interval
-    lies on the session's date before the open or on the previous date after the close;
-    each case is an equality join. Bars on dates between the two match by neither, so they
-    are assigned through the calendar: the bounds are expanded by date.
+    ``bounds``: instrument_id, session_date, prev_session_date. Each pair of dates is expanded
+    to the dates it spans, so the bars meet it in an equality join on the date and the clock
+    decides at both ends; a range join would compare every bar with every session.
     """
     days = bounds.where("prev_session_date is not null").select(
         "instrument_id", F.col("session_date").alias("overnight_of"), "prev_session_date",
         F.explode(F.sequence("prev_session_date", "session_date")).alias("session_date"))
-    return (df.join(days, SESSION)
-            .where("(session_date < overnight_of or tod_min < {0}) and "
-                   "(session_date > prev_session_date or tod_min > {1})".format(
-                       SessionParams().open_min, SessionParams().close_min)))
+    before_open = (F.col("session_date") < F.col("overnight_of")) | (F.col("tod_min") < p.open_min)
+    after_close = (F.col("session_date") > F.col("prev_session_date")) | (
+        F.col("tod_min") > p.close_min)
+    return df.join(days, SESSION).where(before_open & after_close)
 
 
 def calendar(bars: DataFrame, p: SessionParams = SessionParams()) -> DataFrame:
@@ -73,8 +73,8 @@ def calendar(bars: DataFrame, p: SessionParams = SessionParams()) -> DataFrame:
     d = bars.groupBy(*SESSION).agg(
         F.count(F.lit(1)).alias("n_bars"), count_where(F.col("is_cash")).alias("n_cash_bars"),
         first_feed().alias("feed"))
-    typical = d.groupBy("instrument_id").agg(F.median("n_cash_bars").alias("typical"))
-    return d.join(typical, "instrument_id").select(
+    d = d.withColumn("typical", F.median("n_cash_bars").over(Window.partitionBy("instrument_id")))
+    return d.select(
         *SESSION, "n_bars", "n_cash_bars", "feed", weekday(F.col("session_date")).alias("weekday"),
         (F.col("n_cash_bars") < 0.6 * F.greatest("typical", F.lit(p.expected_bars(5) * 0.5)))
         .alias("shortened_session"),

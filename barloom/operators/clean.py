@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -32,15 +32,17 @@ def second_pass(df: DataFrame, source_tz: str, seq: str, key: Sequence[str] = ("
                 wall: str = "wall") -> DataFrame:
     """Move the second occurrence of an ambiguous wall clock one hour later.
 
-    ``seq`` orders the rows of the feed. Only the ambiguous hour is numbered; it holds at most
-    the bars of one hour per year, all other rows pass by.
+    ``seq`` orders the rows of the feed. Only rows of the ambiguous hour take part. The first
+    occurrence per wall clock comes from an aggregate with map-side combine, so many copies of
+    one minute never meet in one task.
     """
     amb = is_ambiguous(F.col(wall), source_tz)
-    w = Window.partitionBy(*key, wall).orderBy(seq)
-    twice = df.where(amb).withColumn("pass_no", F.row_number().over(w))
+    twice = df.where(amb)
+    start = twice.groupBy(*key, wall).agg(F.min(seq).alias("first_seq"))
     hour = F.expr("interval 1 hour")
-    moved = twice.withColumns({c: F.when(F.col("pass_no") > 1, F.col(c) + hour).otherwise(F.col(c))
-                               for c in ("utc_dt", "local_dt")}).drop("pass_no")
+    moved = twice.join(start, [*key, wall]).withColumns({
+        c: F.when(F.col(seq) > F.col("first_seq"), F.col(c) + hour).otherwise(F.col(c))
+        for c in ("utc_dt", "local_dt")}).select(*df.columns)
     return df.where(~amb).unionByName(moved)
 
 

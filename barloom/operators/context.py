@@ -18,15 +18,18 @@ def prior_percentiles(x: Column, n: int, *qs: float) -> Column:
     return prior(x, n, max(20, n // 5), lambda v: F.percentile(v, [q / 100.0 for q in qs]))
 
 
-def daily_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
+LOCATION_COLUMNS = ("location", "swing", "ma_state", "ma_fast", "ma_slow", "ma_fast_slope",
+                    "location_in_range", "distance_to_ath_pct", "range_high", "range_low")
+
+
+def _with_location(d: DataFrame, p: ContextParams) -> DataFrame:
     """Moving averages, position in the recent range, location, swing and average state."""
     ref, hi, lo, close = (C("cash_open_adj"), C("cash_high_adj"), C("cash_low_adj"),
                           C("cash_close_adj"))
-    d = daily.select(*SESSION, "cash_open_adj", "cash_high_adj", "cash_low_adj",
-                     "cash_close_adj", "prior_ath").withColumns({
+    d = d.withColumns({
         "ma_fast": prior(close, p.ma_fast, p.ma_fast // 2, F.avg),
         "ma_slow": prior(close, p.ma_slow, p.ma_slow // 2, F.avg),
-        "day_range": prior(hi - lo, p.ma_fast, 5, F.avg),
+        "usual_range": prior(hi - lo, p.ma_fast, 5, F.avg),
         "range_high": prior(hi, p.range_sessions, 5, F.max),
         "range_low": prior(lo, p.range_sessions, 5, F.min),
         "long_low": prior(lo, p.long_sessions, 40, F.min)})
@@ -37,7 +40,7 @@ def daily_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataF
         "distance_to_ath_pct": 100.0 * ratio(ref - C("prior_ath"), C("prior_ath"))})
     to_low = 100.0 * ratio(ref - C("long_low"), C("long_low"))
     above, rising = yes(ref > C("ma_fast")), yes(C("ma_fast_slope") > 0)
-    flat = F.abs("ma_fast_slope") < p.flat_frac * C("day_range")
+    flat = F.abs("ma_fast_slope") < p.flat_frac * C("usual_range")
     up = yes((C("ma_fast") > C("ma_slow")) & (ref > C("ma_fast")))
     down = yes((C("ma_fast") < C("ma_slow")) & (ref < C("ma_fast")))
     dist, where = C("distance_to_ath_pct"), C("location_in_range")
@@ -55,73 +58,84 @@ def daily_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataF
             (up & rising, "BULL"), (down & ~rising, "BEAR"),
             (up & rising & (ref > C("range_high")), "STRONG_BULL"),
             (down & ~rising & (ref < C("range_low")), "STRONG_BEAR"),
-            (flat, "RANGE"), (C("ma_slow").isNull(), "UNKNOWN")])}).drop(
-        "cash_open_adj", "cash_high_adj", "cash_low_adj", "cash_close_adj", "day_range",
-        "long_low", "prior_ath")
+            (flat, "RANGE"), (C("ma_slow").isNull(), "UNKNOWN")])})
 
 
-def prior_day_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
+PRIOR_DAY_COLUMNS = ("prior_day_type", "prior_day_close_loc", "prior_day_was_big_range",
+                     "prior_3d_range_count")
+
+
+def _with_prior_day(d: DataFrame, p: ContextParams) -> DataFrame:
     """Character of the session before."""
-    d = daily.select(*SESSION, C("cash_high_adj").alias("h"), C("cash_low_adj").alias("l"),
-                     C("cash_close_adj").alias("c"))
+    h, lo, c = C("cash_high_adj"), C("cash_low_adj"), C("cash_close_adj")
     d = d.withColumns({
-        "day_range": C("h") - C("l"), "ph": lag_session(C("h")), "pl": lag_session(C("l")),
-        "day_close_loc": ratio(C("c") - C("l"), C("h") - C("l"))})
-    d = d.withColumn("cuts", prior_percentiles(C("day_range"), p.pctl_sessions, p.big_range_pctl,
-                                               p.quiet_range_pctl))
-    big, quiet = C("cuts")[0], C("cuts")[1]
-    higher, lower = C("h") > C("ph"), C("l") < C("pl")
+        "day_range": h - lo, "ph": lag_session(h), "pl": lag_session(lo),
+        "day_close_loc": ratio(c - lo, h - lo)})
+    d = d.withColumn("range_cuts", prior_percentiles(
+        C("day_range"), p.pctl_sessions, p.big_range_pctl, p.quiet_range_pctl))
+    higher, lower = h > C("ph"), lo < C("pl")
     top = C("day_close_loc") >= p.trend_close_loc
     bottom = C("day_close_loc") <= 1 - p.trend_close_loc
-    is_big = yes(C("day_range") >= big)
+    is_big = yes(C("day_range") >= C("range_cuts")[0])
     d = d.withColumns({"is_big": is_big, "day_type": last_match("RANGE", [
-        (top, "TREND_UP"), (bottom, "TREND_DOWN"), (C("day_range") <= quiet, "RANGE"),
-        ((C("h") < C("ph")) & (C("l") > C("pl")), "INSIDE"), (higher & lower, "OUTSIDE"),
+        (top, "TREND_UP"), (bottom, "TREND_DOWN"), (C("day_range") <= C("range_cuts")[1], "RANGE"),
+        ((h < C("ph")) & (lo > C("pl")), "INSIDE"), (higher & lower, "OUTSIDE"),
         (lower & top, "REVERSAL_UP"), (higher & bottom, "REVERSAL_DOWN"),
         (is_big, "BIG_RANGE")])})
     rangey = C("day_type").isin("RANGE", "INSIDE").cast("double")
-    return d.select(
-        *SESSION, "day_type", "day_range", "day_close_loc",
-        lag_session(C("day_type")).alias("prior_day_type"),
-        lag_session(C("day_close_loc")).alias("prior_day_close_loc"),
-        yes(lag_session(C("is_big"))).alias("prior_day_was_big_range"),
-        prior(rangey, 3, 1, F.sum).alias("prior_3d_range_count"))
+    return d.withColumns({
+        "prior_day_type": lag_session(C("day_type")),
+        "prior_day_close_loc": lag_session(C("day_close_loc")),
+        "prior_day_was_big_range": yes(lag_session(C("is_big"))),
+        "prior_3d_range_count": prior(rangey, 3, 1, F.sum)})
 
 
-def open_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
+OPEN_COLUMNS = ("gap_bucket", "open_loc", "overnight_type", "open_frac_in_pd_range",
+                "overnight_close_loc")
+
+
+def _with_open(d: DataFrame, p: ContextParams) -> DataFrame:
     """Gap size, place of the open in the previous range, character of the night."""
-    a = F.abs("gap_pct")
-    d = daily.select(
-        *SESSION, "gap_pct", "cash_open_adj", "previous_day_high", "previous_day_low",
-        *[C(f"overnight_{x}_adj").alias(f"on_{x}") for x in ("open", "high", "low", "close")])
-    d = d.withColumn("cuts", prior_percentiles(
-        a, p.pctl_sessions, p.gap_flat_pctl, p.gap_small_pctl, p.gap_moderate_pctl))
-    rng = F.nullif(C("on_high") - C("on_low"), F.lit(0.0))
+    a, op = F.abs("gap_pct"), C("cash_open_adj")
+    on = {x: C(f"overnight_{x}_adj") for x in ("open", "high", "low", "close")}
+    rng = F.nullif(on["high"] - on["low"], F.lit(0.0))
     d = d.withColumns({
-        "open_frac_in_pd_range": ratio(C("cash_open_adj") - C("previous_day_low"),
+        "gap_cuts": prior_percentiles(a, p.pctl_sessions, p.gap_flat_pctl, p.gap_small_pctl,
+                                      p.gap_moderate_pctl),
+        "open_frac_in_pd_range": ratio(op - C("previous_day_low"),
                                        C("previous_day_high") - C("previous_day_low")),
-        "overnight_close_loc": (C("on_close") - C("on_low")) / rng,
-        "dip": (C("on_open") - C("on_low")) / rng, "pop": (C("on_high") - C("on_open")) / rng})
+        "overnight_close_loc": (on["close"] - on["low"]) / rng,
+        "dip": (on["open"] - on["low"]) / rng, "pop": (on["high"] - on["open"]) / rng})
     up, dn, frac = C("gap_pct") > 0, C("gap_pct") < 0, C("open_frac_in_pd_range")
     high_close = C("overnight_close_loc") >= p.overnight_close_loc
     low_close = C("overnight_close_loc") <= 1 - p.overnight_close_loc
-    gap = [(side & (a > C("cuts")[k]), f"{size}_{way}")
+    gap = [(side & (a > C("gap_cuts")[k]), f"{size}_{way}")
            for side, way in ((up, "UP"), (dn, "DOWN"))
            for k, size in enumerate(("SMALL", "MODERATE", "LARGE"))]
-    return d.select(
-        *SESSION,
-        last_match("FLAT", gap + [(C("cuts").isNull(), "UNKNOWN")]).alias("gap_bucket"),
-        last_match("MID_PD", [
+    return d.withColumns({
+        "gap_bucket": last_match("FLAT", gap + [(C("gap_cuts").isNull(), "UNKNOWN")]),
+        "open_loc": last_match("MID_PD", [
             (frac <= p.lower_frac, "LOWER_PD"), (frac >= p.upper_frac, "UPPER_PD"),
-            (C("cash_open_adj") > C("previous_day_high"), "ABOVE_PDH"),
-            (C("cash_open_adj") < C("previous_day_low"), "BELOW_PDL"),
-            (C("previous_day_high").isNull(), "UNKNOWN")]).alias("open_loc"),
-        last_match("RANGE", [
+            (op > C("previous_day_high"), "ABOVE_PDH"), (op < C("previous_day_low"), "BELOW_PDL"),
+            (C("previous_day_high").isNull(), "UNKNOWN")]),
+        "overnight_type": last_match("RANGE", [
             (high_close, "TREND_UP"), (low_close, "TREND_DOWN"),
             (high_close & (C("dip") >= p.excursion_frac), "REVERSAL_UP"),
             (low_close & (C("pop") >= p.excursion_frac), "REVERSAL_DOWN"),
-            (rng.isNull(), "UNKNOWN")]).alias("overnight_type"),
-        "open_frac_in_pd_range", "overnight_close_loc")
+            (rng.isNull(), "UNKNOWN")])})
+
+
+def daily_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
+    return _with_location(daily, p).select(*SESSION, *LOCATION_COLUMNS)
+
+
+def prior_day_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
+    return _with_prior_day(daily, p).select(*SESSION, "day_type", "day_range", "day_close_loc",
+                                            *PRIOR_DAY_COLUMNS)
+
+
+def open_context(daily: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
+    return _with_open(daily, p).select(*SESSION, *OPEN_COLUMNS)
 
 
 def window_geometry(bars: DataFrame, window_min: int, prefix: str, *extra: Column) -> DataFrame:
@@ -204,12 +218,11 @@ def openings(bars: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
 
 def context_table(bars: DataFrame, daily: DataFrame,
                   p: ContextParams = ContextParams()) -> DataFrame:
-    """One row per session with every label. The three daily parts share one partitioning,
-    so only the bars and the session rows are shuffled."""
-    return (daily_context(daily, p)
-            .join(prior_day_context(daily, p).drop("day_type", "day_range", "day_close_loc"),
-                  SESSION)
-            .join(open_context(daily, p), SESSION).join(openings(bars, p), SESSION))
+    """One row per session with every label. The daily labels are columns on one chain over
+    the session rows, joined once with the opening labels."""
+    d = _with_open(_with_prior_day(_with_location(daily, p), p), p).select(
+        *SESSION, *LOCATION_COLUMNS, *PRIOR_DAY_COLUMNS, *OPEN_COLUMNS)
+    return d.join(openings(bars, p), SESSION)
 
 
 def _structure(spec: ContextSpec) -> list[tuple[str, Column]]:
@@ -269,19 +282,19 @@ def multiday_frame(bars: DataFrame, upto_dates: DataFrame, lookback: int = 2,
                    fast: int = 20, slow: int = 50) -> DataFrame:
     """Cash bars of a date and the sessions before it on one index, with running averages.
 
-    ``upto_dates``: instrument_id, last_date. The frame spans a fixed number of sessions, so
-    one instrument's bars fit one short array, which the recursion folds over.
+    ``upto_dates``: instrument_id, last_date. The dates are picked on session rows first; the
+    frame then spans a fixed number of sessions, so one instrument's bars fit one short array,
+    which the recursion folds over.
     """
-    b = cash(bars).join(upto_dates, "instrument_id").where("session_date <= last_date")
+    b = cash(bars)
     rank = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
-    days = (b.groupBy("instrument_id", "session_date", "last_date").agg(
-        F.array_sort(F.collect_list(F.struct("session_date", "mso", "adj_close"))).alias("bars"))
-        .withColumn("k", F.row_number().over(rank))
-        .withColumn("newest", F.max("session_date").over(Window.partitionBy("instrument_id")))
-        .where((C("k") <= lookback + 1) & (C("newest") == C("last_date"))))
-    f = days.groupBy("instrument_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("session_date", "bars"))),
-                              lambda x: x["bars"])).alias("bars"))
+    days = (b.select(*SESSION).distinct().join(upto_dates, "instrument_id")
+            .where("session_date <= last_date").withColumn("k", F.row_number().over(rank))
+            .withColumn("newest", F.first("session_date").over(rank))
+            .where((C("k") <= lookback + 1) & (C("newest") == C("last_date"))))
+    f = (b.select(*SESSION, "mso", "adj_close").join(days, SESSION, "left_semi")
+         .groupBy("instrument_id").agg(F.array_sort(F.collect_list(
+             F.struct("session_date", "mso", "adj_close"))).alias("bars")))
 
     def step(acc: Column, x: Column) -> Column:
         prev = F.try_element_at(acc, F.lit(-1))

@@ -117,15 +117,18 @@ def dtw_udf(band: int | None = None):
     return dtw
 
 
+# Distance out of the scores; 0 is identical.
+DISTANCES = {"correlation": (1.0 - C("correlation")) / 2.0, "cosine": (1.0 - C("cosine")) / 2.0,
+             "euclidean": C("euclidean")}
+
+
 def path_distance(paired: DataFrame, method: str = "correlation",
                   band: int | None = None) -> DataFrame:
     """One distance per session; 0 is identical."""
     if method == "dtw":
         d = paired.withColumn("d", dtw_udf(band)("path", "ref_path"))
         return d.select(*SESSION, F.when(~F.isnan("d"), C("d")).alias("path_dist"))
-    x = {"correlation": (1.0 - C("correlation")) / 2.0, "cosine": (1.0 - C("cosine")) / 2.0,
-         "euclidean": C("euclidean")}[method]
-    return path_scores(paired).select(*SESSION, x.alias("path_dist"))
+    return path_scores(paired).select(*SESSION, DISTANCES[method].alias("path_dist"))
 
 
 def median_band(paths: DataFrame, step: int = 5) -> DataFrame:

@@ -143,7 +143,7 @@ def signals(walked: DataFrame, levels: DataFrame,
     return _with_targets(s, levels, p)
 
 
-def session_states(walked: DataFrame) -> DataFrame:
+def session_states(walked: DataFrame, *extra: Column) -> DataFrame:
     """Per session: state on the last evaluated bar, furthest state, the trace, last leg.
 
     A session holds at most the bars up to the deadline, so its trace is a short array.
@@ -158,7 +158,7 @@ def session_states(walked: DataFrame) -> DataFrame:
         count_where(C("signal")).alias("n_signals"),
         F.max_by(F.when(leg, C("side")), F.when(leg, C("mso"))).alias("leg_side"),
         F.max_by(F.when(leg, C("followthrough_bars")), F.when(leg, C("mso")))
-        .alias("followthrough_bars"))
+        .alias("followthrough_bars"), *extra)
     names = F.array(*[F.lit(x) for x in STATES])
     return d.withColumns({
         "state": F.element_at(names, F.coalesce("now", F.lit(0)) + 1),
@@ -172,16 +172,25 @@ def state_profile(states: DataFrame) -> DataFrame:
             .withColumn("share_pct", 100.0 * C("n_sessions") / n))
 
 
-def decisions(states: DataFrame, sigs: DataFrame,
+def decisions(walked: DataFrame, levels: DataFrame, p: PullbackParams = PullbackParams(),
               sp: SessionParams = SessionParams()) -> DataFrame:
-    """What to do at the deadline. Replaying an earlier minute is an earlier deadline."""
-    t = C("taken")
-    last = sigs.groupBy(*SESSION).agg(
-        *[F.max_by(F.when(t, C(c)), F.when(t, C("signal_mso"))).alias(f"last_{c}")
-          for c in ("label", "rr", "entry_px", "stop_px")],
-        F.max(F.when(t, C("signal_mso"))).alias("last_signal_mso"),
-        count_where(t).alias("n_taken"))
-    d = states.join(last, SESSION, "left")
+    """What to do at the deadline. Replaying an earlier minute is an earlier deadline.
+
+    Only the last signal within the entry cap matters, so it is taken from the session's short
+    signal list and priced against the levels inside the row.
+    """
+    taken = F.slice(F.array_sort(F.collect_list(F.when(C("signal"), F.struct(*SIGNAL)))), 1,
+                    p.max_entries)
+    d = session_states(walked, taken.alias("taken")).join(
+        levels.select(*SESSION, "pdh", "pdc", "pdl", "onh", "onl"), SESSION, "left")
+    d = d.withColumn("s", F.try_element_at("taken", F.lit(-1)))
+    entry = C("s.entry_px")
+    named = {"PDH": C("pdh"), "PDC": C("pdc"), "PDL": C("pdl"), "ONH": C("onh"),
+             "ONL": C("onl"), "SESSION_EXTREME": C("s.leg_extreme_px")}
+    target = nearest_target(entry, C("s.side"), named)["px"]
+    d = d.withColumns({
+        "last_label": C("s.label"), "last_signal_mso": C("s.mso"), "n_taken": F.size("taken"),
+        "last_rr": F.round(ratio(F.abs(target - entry), F.abs(entry - C("s.stop_px"))), 2)})
     live = C("last_signal_mso").isNotNull()
     fresh = yes(C("last_signal_mso") == C("last_mso"))
     d = d.withColumn(
@@ -200,8 +209,7 @@ def decisions(states: DataFrame, sigs: DataFrame,
                  clock(C("last_signal_mso") + sp.open_min)),
         F.concat(F.lit("decision "), C("decision")))
     return d.select(*SESSION, "state", "reached", "leg_side", "followthrough_bars", "last_label",
-                    "last_signal_mso", "last_rr",
-                    F.coalesce("n_taken", F.lit(0)).alias("n_taken"),
+                    "last_signal_mso", "last_rr", C("n_taken").cast("long").alias("n_taken"),
                     "decision", said.alias("sentence"))
 
 
@@ -334,17 +342,14 @@ def inside_context(picked: DataFrame, t: DataFrame) -> DataFrame:
     return picked.join(per, SESSION, "left")
 
 
-def appearance(picked: DataFrame, everything: DataFrame, t: DataFrame) -> DataFrame:
+def appearance(sessions: DataFrame, picked: Column, t: DataFrame) -> DataFrame:
     """Share of picked sessions with a trigger against the share of all sessions."""
-    s = t.select(*SESSION).distinct().withColumn("hit", F.lit(1))
-
-    def rate(d: DataFrame, name: str) -> DataFrame:
-        return d.select(*SESSION).join(s, SESSION, "left").groupBy("instrument_id").agg(
-            F.count(F.lit(1)).alias(f"n_{name}"), F.count("hit").alias(f"n_{name}_with_trigger"))
-
-    return rate(everything, "all").join(rate(picked, "picked"), "instrument_id", "left").select(
-        "instrument_id", "n_all", "n_all_with_trigger",
-        F.coalesce("n_picked", F.lit(0)).alias("n_picked"),
-        F.coalesce("n_picked_with_trigger", F.lit(0)).alias("n_picked_with_trigger"),
-        ratio(100.0 * C("n_all_with_trigger"), C("n_all")).alias("all_pct"),
-        ratio(100.0 * C("n_picked_with_trigger"), C("n_picked")).alias("picked_pct"))
+    hit = t.select(*SESSION).distinct().withColumn("hit", F.lit(True))
+    d = sessions.select(*SESSION, yes(picked).alias("picked")).join(hit, SESSION, "left")
+    got = yes(C("hit"))
+    return d.groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("n_all"), count_where(got).alias("n_all_with_trigger"),
+        count_where(C("picked")).alias("n_picked"),
+        count_where(C("picked") & got).alias("n_picked_with_trigger")).withColumns({
+            "all_pct": ratio(100.0 * C("n_all_with_trigger"), C("n_all")),
+            "picked_pct": ratio(100.0 * C("n_picked_with_trigger"), C("n_picked"))})

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import SESSION, count_where, percentiles
@@ -48,10 +48,10 @@ def headline(outcomes: DataFrame) -> DataFrame:
 def histogram(d: DataFrame, metric: str, bins: int = 25) -> DataFrame:
     """Counts in equal bins between the instrument's extremes, with the median beside them."""
     v = C(metric)
-    known = d.where(v.isNotNull()).select("instrument_id", v.alias("v"))
-    st = known.groupBy("instrument_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                                            F.median("v").alias("median"))
-    b = known.join(st, "instrument_id")
+    inst = Window.partitionBy("instrument_id")
+    b = d.where(v.isNotNull()).select("instrument_id", v.alias("v")).select(
+        "*", F.min("v").over(inst).alias("lo"), F.max("v").over(inst).alias("hi"),
+        F.median("v").over(inst).alias("median"))
     width = F.nullif((C("hi") - C("lo")) / bins, F.lit(0.0))
     at = F.least(F.coalesce(F.floor((C("v") - C("lo")) / width), F.lit(0)), F.lit(bins - 1))
     return b.withColumn("bin", at.cast("int")).groupBy(

@@ -48,9 +48,8 @@ def with_range_cut(d: DataFrame, pctl: float | None) -> DataFrame:
     """Add the instrument's percentile of the first-bar range, which one condition needs."""
     if pctl is None:
         return d.withColumn("first_bar_range_cut", F.lit(None).cast("double"))
-    cut = d.groupBy("instrument_id").agg(
-        F.percentile("first_bar_range_normalized", pctl / 100.0).alias("first_bar_range_cut"))
-    return d.join(cut, "instrument_id")
+    return d.withColumn("first_bar_range_cut", F.percentile(
+        "first_bar_range_normalized", pctl / 100.0).over(Window.partitionBy("instrument_id")))
 
 
 def matches_filter(s: FilterSpec) -> Column:

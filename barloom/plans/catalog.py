@@ -13,6 +13,7 @@ from barloom.operators import (audit, backtest, bars, clean, context, daily, ope
 from barloom.params import (ContextParams, ContextSpec, FilterSpec, PullbackParams,
                             SessionParams, SetupSpec, TradeRules, flagship_filter)
 from barloom.plans import search
+from barloom.plans.storage import cut
 from barloom.sources import ticks
 
 C = F.col
@@ -69,9 +70,24 @@ class Tables:
     def trades(self) -> DataFrame:
         return pullback.trades(self.bars, self.levels)
 
+    @cached_property
+    def drives(self) -> DataFrame:
+        return context.openings(self.bars)
+
+    # Written once where several branches of one query read them: one row per session (or
+    # per contract), so the ticks are not scanned again for each branch.
+    @cached_property
+    def stored_daily(self) -> DataFrame:
+        return cut(self.daily)
+
+    @cached_property
+    def stored_contracts(self) -> DataFrame:
+        return cut(rolls.contract_levels(_contracts(self)))
+
     @cached_property
     def features(self) -> DataFrame:
-        return similarity.feature_rows(self.daily, self.opening)
+        return similarity.feature_rows(self.stored_daily, opening.opening_features(
+            self.bars, self.stored_daily))
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -225,7 +241,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("g9_day_classes")
 def _(t: Tables) -> DataFrame:
-    d = t.features.join(t.outcomes.drop("cutoff_min"), SESSION)
+    out = outcomes.session_outcomes(t.bars, t.stored_daily, SessionParams().cutoff_min)
+    d = t.features.join(out.drop("cutoff_min"), SESSION)
     return outcomes.classify_days(d).select(*SESSION, "day_classification")
 
 
@@ -279,10 +296,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("h8_path_distance")
 def _(t: Tables) -> DataFrame:
-    pairs = paths.against_reference(t.paths, t.refs)
-    return paths.path_distance(pairs, "correlation").withColumnRenamed(
-        "path_dist", "by_correlation").join(paths.path_distance(pairs, "cosine")
-                                            .withColumnRenamed("path_dist", "by_cosine"), SESSION)
+    by = paths.DISTANCES
+    return _scores(t).select(*SESSION, by["correlation"].alias("by_correlation"),
+                             by["cosine"].alias("by_cosine"),
+                             by["euclidean"].alias("by_euclidean"))
 
 
 @query("h9_median_band")
@@ -490,14 +507,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("l7_decisions")
 def _(t: Tables) -> DataFrame:
-    return pullback.decisions(pullback.session_states(t.walk), t.signals).select(
+    return pullback.decisions(t.walk, t.levels).select(
         *SESSION, "state", "leg_side", "followthrough_bars", "last_label", "last_signal_mso",
         "last_rr", "n_taken", "decision")
 
 
 @query("l8_signal_outcomes")
 def _(t: Tables) -> DataFrame:
-    return pullback.simulate(t.signals, t.bars).select(
+    return t.trades.select(
         *SESSION, "signal_mso", "status", "reason", "exit_px", "exit_mso", "net_points",
         "r_multiple")
 
@@ -559,8 +576,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("l14_appearance")
 def _(t: Tables) -> DataFrame:
-    picked = t.context.where(context.matches_context(RISING))
-    return pullback.appearance(picked, t.context, t.trades)
+    return pullback.appearance(t.context, context.matches_context(RISING), t.trades)
 
 
 @query("l15_signal_table")
@@ -583,27 +599,22 @@ def _(t: Tables) -> DataFrame:
 @query("m1_initial_stop")
 def _(t: Tables) -> DataFrame:
     """The three stop modes beside each other for every drive."""
-    out = None
-    for mode in ("opening_range", "half_range", "last_bar"):
-        d = backtest.drive_trades(t.bars, t.context, TradeRules(stop_mode=mode)).select(
-            *SESSION, F.lit(mode).alias("stop_mode"), "side", "entry", "stop_init", "risk_points")
-        out = d if out is None else out.unionByName(d)
-    return out
+    return backtest.initial_stops(t.bars, t.drives)
 
 
 @query("m2_day_simulation")
 def _(t: Tables) -> DataFrame:
-    return backtest.drive_trades(t.bars, t.context, TradeRules(time_exit_min=240)).drop("label")
+    return backtest.drive_trades(t.bars, t.drives, TradeRules(time_exit_min=240)).drop("label")
 
 
 @query("m2_day_simulation_moving_stop")
 def _(t: Tables) -> DataFrame:
     rules = TradeRules(target_r=3.0, breakeven_r=1.0, trail_bars=3)
-    return backtest.drive_trades(t.bars, t.context, rules).drop("label")
+    return backtest.drive_trades(t.bars, t.drives, rules).drop("label")
 
 
 def _drives(t: Tables) -> DataFrame:
-    return backtest.drive_trades(t.bars, t.context)
+    return backtest.drive_trades(t.bars, t.drives)
 
 
 @query("m3_drive_trades")
@@ -749,7 +760,7 @@ def _(t: Tables) -> DataFrame:
 
 def _search(mode: str):
     def run(t: Tables) -> DataFrame:
-        r = search.analog_search(t.bars, t.daily, t.refs, WIDE, mode, n=10, features=t.opening)
+        r = search.analog_search(t.bars, t.stored_daily, t.refs, WIDE, mode, n=10)
         return r.top.select(*SESSION, "rank", "similarity_score", "day_classification",
                             "return_at_cash_close_pct", "full_gap_fill")
     return run
@@ -761,7 +772,7 @@ for _m in ("exact", "similarity", "combined"):
 
 @query("i11_search_headline")
 def _(t: Tables) -> DataFrame:
-    return search.analog_search(t.bars, t.daily, t.refs, WIDE, n=10, features=t.opening).headline
+    return search.analog_search(t.bars, t.stored_daily, t.refs, WIDE, n=10).headline
 
 
 @query("i12_description")
@@ -889,18 +900,14 @@ def _(t: Tables) -> DataFrame:
         F.count("expiry").alias("n_expiry"))
 
 
-def _contract_levels(t: Tables) -> DataFrame:
-    return rolls.contract_levels(_contracts(t))
-
-
 @query("c3_contract_levels")
 def _(t: Tables) -> DataFrame:
-    return _contract_levels(t)
+    return rolls.contract_levels(_contracts(t))
 
 
 @query("c4_roll_factors")
 def _(t: Tables) -> DataFrame:
-    lv, p = _contract_levels(t), SessionParams()
+    lv, p = t.stored_contracts, SessionParams()
     keys = ["instrument_id", "con_id"]
     f = {m: rolls.roll_factors(lv, p.but(roll_method=m)) for m in (
         "carry", "ratio", "difference", "none")}
@@ -912,18 +919,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("c5_seam_report")
 def _(t: Tables) -> DataFrame:
-    return rolls.seam_report(_contract_levels(t))
+    return rolls.seam_report(rolls.contract_levels(_contracts(t)))
 
 
 @query("c6_apply_rolls")
 def _(t: Tables) -> DataFrame:
-    f = rolls.roll_factors(_contract_levels(t))
+    f = rolls.roll_factors(t.stored_contracts)
     return rolls.apply_rolls(t.bars, f).select(*SESSION, "mso", "close", "adj_close", "adj_factor")
 
 
 @query("c7_verify_rolls")
 def _(t: Tables) -> DataFrame:
-    lv, p = _contract_levels(t), SessionParams()
+    lv, p = t.stored_contracts, SessionParams()
     out = None
     for m in ("carry", "ratio", "difference"):
         q = p.but(roll_method=m)
@@ -989,8 +996,8 @@ def _duplicates(t: Tables) -> DataFrame:
 
 
 def _audit(t: Tables) -> DataFrame:
-    v = rolls.verify_rolls(rolls.roll_factors(_contract_levels(t)))
-    return audit.audit_row(t.bars, _duplicates(t), v)
+    v = rolls.verify_rolls(rolls.roll_factors(t.stored_contracts))
+    return audit.audit_row(cut(t.bars), _duplicates(t), v)
 
 
 @query("d7_warnings")

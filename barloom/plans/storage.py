@@ -2,19 +2,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and continue from there.
+    """Write a table once and continue from what was written.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; every executor can
-    read it, so lost executors cost nothing upstream. Only a session without the setting
-    (a local test) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``: every executor can
+    read it, so a lost executor costs its own tasks and nothing upstream. Written as Parquet,
+    the table keeps column pruning and its size is known to the planner. Only a session
+    without the setting (a local test) gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

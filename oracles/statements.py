@@ -76,7 +76,8 @@ add("h4_path_correlation", f"SELECT {KEY}, n, correlation FROM o_pathscores", "c
 add("h5_path_euclidean", f"SELECT {KEY}, euclidean FROM o_pathscores", "euclidean")
 add("h6_path_cosine", f"SELECT {KEY}, cosine FROM o_pathscores", "cosine")
 add("h8_path_distance", f"""SELECT {KEY}, (1 - correlation) / 2 AS by_correlation,
-  (1 - cosine) / 2 AS by_cosine FROM o_pathscores""", "by_correlation by_cosine")
+  (1 - cosine) / 2 AS by_cosine, euclidean AS by_euclidean FROM o_pathscores""",
+    "by_correlation by_cosine by_euclidean")
 add("h9_median_band", """SELECT instrument_id, grid_min, count(v) AS n, quantile_cont(v, 0.25) AS p25,
   median(v) AS median, quantile_cont(v, 0.75) AS p75 FROM o_pts GROUP BY ALL""", "p25 median p75")
 add("h9_overlay", f"""

@@ -185,8 +185,7 @@ def test_decisions(spark):
         days[0]: five_minutes(TWO_LEGS), days[1]: five_minutes(TWO_LEGS[:8]),
         days[2]: five_minutes(RALLY), days[3]: five_minutes([(50, 51, 49, 50)] * 6)})
     w = pullback.walk(bars)
-    s = pullback.signals(w, make_levels(spark, days, pdh=90.0))
-    got = by_key(pullback.decisions(pullback.session_states(w), s), "session_date")
+    got = by_key(pullback.decisions(w, make_levels(spark, days, pdh=90.0)), "session_date")
     assert [got[d]["decision"] for d in days] == ["TAKE_LOW_RR", "NO_NEW_ENTRY", "WAIT", "PASS"]
     assert "no trend from the open" in got[days[3]]["sentence"]
     assert "last trigger H1 at 09:30" in got[days[1]]["sentence"]
