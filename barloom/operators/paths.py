@@ -117,9 +117,11 @@ def dtw_udf(band: int | None = None):
     return dtw
 
 
-# Distance out of the scores; 0 is identical.
-DISTANCES = {"correlation": (1.0 - C("correlation")) / 2.0, "cosine": (1.0 - C("cosine")) / 2.0,
-             "euclidean": C("euclidean")}
+def distance_of(method: str) -> Column:
+    """Distance out of the scores; 0 is identical."""
+    return {"correlation": lambda: (1.0 - C("correlation")) / 2.0,
+            "cosine": lambda: (1.0 - C("cosine")) / 2.0,
+            "euclidean": lambda: C("euclidean")}[method]()
 
 
 def path_distance(paired: DataFrame, method: str = "correlation",
@@ -128,7 +130,7 @@ def path_distance(paired: DataFrame, method: str = "correlation",
     if method == "dtw":
         d = paired.withColumn("d", dtw_udf(band)("path", "ref_path"))
         return d.select(*SESSION, F.when(~F.isnan("d"), C("d")).alias("path_dist"))
-    return path_scores(paired).select(*SESSION, DISTANCES[method].alias("path_dist"))
+    return path_scores(paired).select(*SESSION, distance_of(method).alias("path_dist"))
 
 
 def median_band(paths: DataFrame, step: int = 5) -> DataFrame:

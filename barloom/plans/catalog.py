@@ -19,6 +19,7 @@ from barloom.sources import ticks
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+PLANS: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
 class Tables:
@@ -98,6 +99,41 @@ class Tables:
         return paths.session_paths(self.bars, self.daily, SessionParams().cutoff_min)
 
 
+class StoredTables(Tables):
+    """The same plans over derived tables that ``derived.build_all`` has written."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, where: dict[str, str]):
+        super().__init__(spark, sf_dir)
+        self.where = where
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.where[name]).drop("year")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return self._stored("bars")
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return self._stored("daily")
+
+    @cached_property
+    def opening(self) -> DataFrame:
+        return self._stored("opening")
+
+    @cached_property
+    def context(self) -> DataFrame:
+        return self._stored("context")
+
+    @cached_property
+    def stored_daily(self) -> DataFrame:
+        return self.daily
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return similarity.feature_rows(self.daily, self.opening)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to six places: sums depend on their order in the last bits."""
     return df.select(*[F.round(C(f"`{n}`"), digits).alias(n) if t == "double" else C(f"`{n}`")
@@ -106,7 +142,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def query(name: str):
     def add(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)))
+        PLANS[name] = lambda tables: rounded(fn(tables))
+        QUERIES[name] = lambda spark, sf_dir: PLANS[name](Tables(spark, sf_dir))
         return fn
     return add
 
@@ -296,10 +333,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("h8_path_distance")
 def _(t: Tables) -> DataFrame:
-    by = paths.DISTANCES
-    return _scores(t).select(*SESSION, by["correlation"].alias("by_correlation"),
-                             by["cosine"].alias("by_cosine"),
-                             by["euclidean"].alias("by_euclidean"))
+    return _scores(t).select(*SESSION, *[paths.distance_of(m).alias(f"by_{m}") for m in (
+        "correlation", "cosine", "euclidean")])
 
 
 @query("h9_median_band")

@@ -5,7 +5,6 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barloom.operators import context, daily, opening
 from barloom.params import ContextParams, SessionParams
@@ -28,9 +27,9 @@ def build_all(bars: DataFrame, out: str, p: SessionParams = SessionParams(),
     spark = bars.sparkSession
     where = {k: f"{out}/{k}_{fingerprint(p, cp)}" for k in ("bars", "daily", "opening", "context")}
     write_table(bars, where["bars"])
-    b = spark.read.parquet(where["bars"])
+    b = spark.read.parquet(where["bars"]).drop("year")
     write_table(daily.daily_features(b, p), where["daily"])
-    d = spark.read.parquet(where["daily"])
+    d = spark.read.parquet(where["daily"]).drop("year")
     write_table(opening.opening_features(b, d, p=p), where["opening"])
     write_table(context.context_table(b, d, cp), where["context"])
     return where
@@ -45,5 +44,3 @@ def stored_or_built(spark: SparkSession, path: str, build, **names) -> DataFrame
         write_table(build(), path)
     return spark.read.parquet(path).drop("year")
 
-
-__all__ = ["fingerprint", "build_all", "stored_or_built", "F"]

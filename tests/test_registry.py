@@ -4,6 +4,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -21,6 +23,12 @@ def test_every_query_has_a_statement():
     assert o <= q and q - o == ROWS_ONLY
 
 
+def test_registry_loads_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5) + 0.0
@@ -51,3 +59,15 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["instrument_id", "session_date", "state", "reached", "n_signals"]
     assert df.count() > 300
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="driver tables absent")
+def test_stored_tables_give_the_same_results(spark, scratch):
+    from barloom.plans.catalog import PLANS, StoredTables
+    from barloom.plans.derived import build_all
+    from barloom.sources.ticks import session_bars
+    stored = StoredTables(spark, TABLES, build_all(session_bars(spark, TABLES), scratch))
+    for name in ("m5_split_performance", "k16_label_mix", "i7_similarity_rank"):
+        a, b = PLANS[name](stored), entry.queries()[name](spark, TABLES)
+        assert a.columns == b.columns
+        assert rows(a.columns, a.collect()) == rows(b.columns, b.collect())
