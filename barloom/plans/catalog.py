@@ -13,7 +13,7 @@ from barloom.operators import (audit, backtest, bars, clean, context, daily, ope
 from barloom.params import (ContextParams, ContextSpec, FilterSpec, PullbackParams,
                             SessionParams, SetupSpec, TradeRules, flagship_filter)
 from barloom.plans import search
-from barloom.plans.storage import cut
+from barloom.plans.storage import cut, scratch
 from barloom.sources import ticks
 
 C = F.col
@@ -280,7 +280,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out = outcomes.session_outcomes(t.bars, t.stored_daily, SessionParams().cutoff_min)
     d = t.features.join(out.drop("cutoff_min"), SESSION)
-    return outcomes.classify_days(d).select(*SESSION, "day_classification")
+    return outcomes.classify_days(d).select(*SESSION, "day_classification",
+                                              "day_classification_reason")
 
 
 # ---- paths ---------------------------------------------------------------------------
@@ -544,7 +545,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return pullback.decisions(t.walk, t.levels).select(
         *SESSION, "state", "leg_side", "followthrough_bars", "last_label", "last_signal_mso",
-        "last_rr", "n_taken", "decision")
+        "last_rr", "n_taken", "decision", "sentence")
 
 
 @query("l8_signal_outcomes")
@@ -839,6 +840,49 @@ def _(t: Tables) -> DataFrame:
                     "open", "high", "low", "close", "volume")
 
 
+@query("a2_contract_files")
+def _(t: Tables) -> DataFrame:
+    """Contract bars written as headed files, one folder per contract, and read by the glob."""
+    from barloom.sources.feeds import read_contract_feed, write_csv
+    wall = F.date_format("local_dt", "yyyy-MM-dd HH:mm:ss").alias("Datetime")
+    path = scratch(t.spark)
+    write_csv(_contracts(t).where("is_cash").select(
+        wall, C("contract_month").alias("ContractMonth"), C("expiry").alias("Expiry"),
+        C("instrument_id").alias("ConId"), C("local_symbol").alias("LocalSymbol"),
+        C("open").alias("Open"), C("high").alias("High"), C("low").alias("Low"),
+        C("close").alias("Close"), C("volume").alias("Volume"), C("close").alias("Average"),
+        C("n_ticks").alias("BarCount")), path)
+    return read_contract_feed(t.spark, f"{path}/*.csv").select(
+        "con_id", F.date_format("wall", "yyyy-MM-dd HH:mm:ss").alias("wall"), "contract_month",
+        "expiry", "local_symbol", "open", "high", "low", "close", "volume", "bar_count")
+
+
+@query("a4_parquet_sink")
+def _(t: Tables) -> DataFrame:
+    from barloom.sources.feeds import write_table
+    path = scratch(t.spark)
+    write_table(t.daily.select(*SESSION, "cash_close", "atr", "data_quality_flags"), path)
+    return t.spark.read.parquet(path).where("year >= 1999")
+
+
+@query("a5_csv_sink")
+def _(t: Tables) -> DataFrame:
+    from barloom.sources.feeds import write_csv
+    path = scratch(t.spark)
+    cols = t.trades.select(*SESSION, "signal_mso", "label", "status", "reason", "r_multiple")
+    write_csv(cols, path)
+    return t.spark.read.schema(cols.schema).option("header", True).csv(path)
+
+
+@query("a6_json_sink")
+def _(t: Tables) -> DataFrame:
+    from barloom.sources.feeds import write_json
+    path = scratch(t.spark)
+    rep = rolls.seam_report(rolls.contract_levels(_contracts(t)))
+    write_json(rep, path)
+    return t.spark.read.schema(rep.schema).json(path)
+
+
 @query("a3_pruned_scan")
 def _(t: Tables) -> DataFrame:
     """Two columns and a pushed-down date filter."""

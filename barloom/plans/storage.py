@@ -4,24 +4,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table once and continue from what was written.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``: every executor can
-    read it, so a lost executor costs its own tasks and nothing upstream. Written as Parquet,
-    the table keeps column pruning and its size is known to the planner. Only a session
-    without the setting (a local test) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder the cluster names in ``spark.checkpoint.dir``, which every
+    executor can read. Only a session without the setting (a local test) gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table once and continue from what was written.
+
+    A lost executor then costs its own tasks and nothing upstream. Written as Parquet, the
+    table keeps column pruning and its size is known to the planner.
+    """
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -184,17 +184,32 @@ SELECT *, abs(day_net_points / atr) AS net,
   ath_at_open OR ath_reached_overnight OR "near_ath_0.5pct" AS at_high,
   0.8 * (100 * atr / cash_open) AS reach
 FROM o_merged""",
-    o_classes="""
-SELECT instrument_id, session_date, CASE
-  WHEN ff AND NOT up_close AND gap_up THEN 'full gap fill'
-  WHEN gap_up AND net IS NOT NULL AND NOT up_close AND deep THEN 'complete reversal'
-  WHEN at_high AND spike AND first_bar_is_bull AND up_close AND NOT weak AND net >= 0.75 THEN 'ATH gap-and-go continuation'
-  WHEN spike AND first_bar_is_bull AND wk_at <= 90 AND (NOT up_close OR deep) THEN 'opening spike failure'
-  WHEN spike AND first_bar_is_bull AND weak AND up_close THEN 'opening spike then bull flag'
-  WHEN gap_up AND hf AND NOT ff THEN 'partial gap fade'
-  WHEN max_favorable_excursion_pct >= reach AND -max_adverse_excursion_pct >= reach THEN 'two-sided volatile day'
-  ELSE 'high-level range day' END AS day_classification
+    o_classno="""
+SELECT *, CASE
+  WHEN ff AND NOT up_close AND gap_up THEN 4
+  WHEN gap_up AND net IS NOT NULL AND NOT up_close AND deep THEN 5
+  WHEN at_high AND spike AND first_bar_is_bull AND up_close AND NOT weak AND net >= 0.75 THEN 0
+  WHEN spike AND first_bar_is_bull AND wk_at <= 90 AND (NOT up_close OR deep) THEN 2
+  WHEN spike AND first_bar_is_bull AND weak AND up_close THEN 1
+  WHEN gap_up AND hf AND NOT ff THEN 3
+  WHEN max_favorable_excursion_pct >= reach AND -max_adverse_excursion_pct >= reach THEN 7
+  WHEN net < 0.4 THEN 6 END AS k
 FROM o_flags""",
+    o_classes="""
+SELECT instrument_id, session_date,
+  ['ATH gap-and-go continuation', 'opening spike then bull flag', 'opening spike failure',
+   'partial gap fade', 'full gap fill', 'complete reversal', 'high-level range day',
+   'two-sided volatile day'][coalesce(k, 6) + 1] AS day_classification,
+  CASE k WHEN 4 THEN printf('gap %+.2f%% filled, close below the open', gap_pct)
+    WHEN 5 THEN printf('gap %+.2f%% reversed, adverse excursion %.2f%%', gap_pct, max_adverse_excursion_pct)
+    WHEN 0 THEN 'at the highs, large bullish first bar, held into the close'
+    WHEN 2 THEN 'bullish spike, weakness at minute ' || wk_at
+    WHEN 1 THEN 'bullish spike, overlapping follow-through, close above the open'
+    WHEN 3 THEN printf('gap %+.2f%% half filled', gap_pct)
+    WHEN 7 THEN 'large excursions both ways' WHEN 6 THEN 'small net change'
+    ELSE CASE WHEN day_net_points > 0 THEN 'contained up day' ELSE 'contained down day' END
+  END AS day_classification_reason
+FROM o_classno""",
     o_pts="""
 SELECT s.instrument_id, s.session_date, g.g AS grid_min, arg_max((s.c - s.op) / s.atr, s.mso) FILTER (s.mso <= g.g) AS v
 FROM o_obs s CROSS JOIN (SELECT unnest(range(0, 91, 5)) AS g) g GROUP BY ALL""",

@@ -75,6 +75,19 @@ add("h3_path_matrix", f"""SELECT {KEY}, count(*) AS width,
 add("h4_path_correlation", f"SELECT {KEY}, n, correlation FROM o_pathscores", "correlation")
 add("h5_path_euclidean", f"SELECT {KEY}, euclidean FROM o_pathscores", "euclidean")
 add("h6_path_cosine", f"SELECT {KEY}, cosine FROM o_pathscores", "cosine")
+add("h7_path_dtw", f"""
+WITH RECURSIVE p AS (SELECT {KEY}, list(a ORDER BY grid_min) FILTER (a IS NOT NULL AND b IS NOT NULL) AS a,
+    list(b ORDER BY grid_min) FILTER (a IS NOT NULL AND b IS NOT NULL) AS b,
+    count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n FROM o_pathpairs GROUP BY ALL),
+r AS (SELECT {KEY}, a, b, n, 0::BIGINT AS k, CAST([] AS DOUBLE[]) AS prev, CAST([] AS DOUBLE[]) AS cur FROM p WHERE n > 0
+  UNION ALL
+  SELECT {KEY}, a, b, n, k + 1, pv, list_append(cv, abs(a[i + 1] - b[j + 1]) + CASE WHEN k = 0 THEN 0
+    WHEN i = 0 THEN cv[j] WHEN j = 0 THEN pv[1] ELSE least(pv[j + 1], pv[j], cv[j]) END)
+  FROM (SELECT *, k // n AS i, k % n AS j, CASE WHEN k % n = 0 THEN cur ELSE prev END AS pv,
+          CASE WHEN k % n = 0 THEN CAST([] AS DOUBLE[]) ELSE cur END AS cv FROM r WHERE k < n * n))
+SELECT p.instrument_id, p.session_date, r.cur[r.n] / (2 * r.n) AS path_dist
+FROM p LEFT JOIN r ON r.instrument_id = p.instrument_id AND r.session_date = p.session_date AND r.k = r.n * r.n""",
+    "path_dist")
 add("h8_path_distance", f"""SELECT {KEY}, (1 - correlation) / 2 AS by_correlation,
   (1 - cosine) / 2 AS by_cosine, euclidean AS by_euclidean FROM o_pathscores""",
     "by_correlation by_cosine by_euclidean")
@@ -246,7 +259,10 @@ SELECT {KEY}, state, leg_side, followthrough_bars, lab AS last_label, m AS last_
   nullif(rr, -1) AS last_rr, coalesce(k, 0) AS n_taken,
   CASE WHEN leg_side IS NULL THEN 'PASS'
        WHEN state = 'ACTIVE' AND m = last_mso THEN (CASE WHEN rr >= 1 THEN 'TAKE' ELSE 'TAKE_LOW_RR' END)
-       WHEN m IS NOT NULL THEN 'NO_NEW_ENTRY' WHEN state = 'DEVELOPING' THEN 'WAIT' ELSE 'PASS' END AS decision
+       WHEN m IS NOT NULL THEN 'NO_NEW_ENTRY' WHEN state = 'DEVELOPING' THEN 'WAIT' ELSE 'PASS' END AS decision,
+  concat_ws('; ', 'state ' || state, CASE leg_side WHEN 1 THEN 'trend up' WHEN -1 THEN 'trend down' ELSE 'no trend from the open' END,
+    'bars beyond the first: ' || followthrough_bars,
+    'last trigger ' || lab || ' at ' || printf('%02d:%02d', (m + 540) // 60, (m + 540) % 60), 'decision ' || decision) AS sentence
 FROM o_states LEFT JOIN last USING ({KEY})""", "last_rr")
 _T = "exit_px net_points r_multiple"
 add("l8_signal_outcomes", f"""SELECT {KEY}, signal_mso, status, reason, exit_px, exit_mso, net_points, r_multiple
@@ -461,6 +477,14 @@ FROM (SELECT *, gap_pct > 0 AND first_bar_is_bull AND first_bar_close_location >
 # ---- sources, cleaning, bars, rolls, audit
 add("a1_plain_feed_lines", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall, value AS open,
   value AS high, value AS low, value AS close, CAST(1 AS DOUBLE) AS volume FROM events""", "open high low close volume")
+_WALL = "strftime(local_dt, '%Y-%m-%d %H:%M:%S')"
+add("a2_contract_files", f"""SELECT instrument_id AS con_id, {_WALL} AS wall, contract_month::BIGINT AS contract_month,
+  expiry::BIGINT AS expiry, 'Q' || con_id AS local_symbol, o AS open, h AS high, l AS low, c AS close, volume,
+  n_ticks::DOUBLE AS bar_count FROM o_quarter WHERE is_cash""", "open high low close volume bar_count")
+add("a4_parquet_sink", f"""SELECT {KEY}, cash_close, atr, data_quality_flags, year(session_date)::INTEGER AS year
+  FROM o_daily WHERE year(session_date) >= 1999""", "cash_close atr")
+add("a5_csv_sink", f"""SELECT {KEY}, signal_mso, label, status, reason, r_multiple FROM o_trades""",
+    "r_multiple")
 add("a3_pruned_scan", """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, sum(l_quantity) AS quantity
   FROM lineitem WHERE l_shipdate >= DATE '1999-01-01' GROUP BY ALL""", "quantity")
 add("b1_localize", """
@@ -502,6 +526,7 @@ WITH s AS (SELECT *, ns - end_level AS gap, end_level * 0.025::DOUBLE * nd / 365
 SELECT instrument_id, contract_month AS old, nxt AS new, round(end_level, 2) AS old_end_level,
   round(ns, 2) AS new_start_level, round(gap, 2) AS seam_gap_pts, round(100 * gap / end_level, 3) AS seam_gap_pct,
   round(car, 2) AS carry_pts, round(100 * car / end_level, 3) AS carry_pct, round(gap - car, 2) AS real_move_pts FROM s""")
+STATEMENTS["a6_json_sink"] = STATEMENTS["c5_seam_report"]
 add("c6_apply_rolls", f"""
 WITH old AS (SELECT instrument_id, arg_min(carry, contract_month) AS f0 FROM o_factors GROUP BY ALL)
 SELECT b.instrument_id, b.session_date, mso, c AS close, c * f AS adj_close, c * f / c AS adj_factor

@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "/root/testdata/sf0.001"
-ROWS_ONLY = {"h7_path_dtw"}
+ROWS_ONLY: set[str] = set()
 SAMPLE = ["c13_overnight_asof", "e14_daily_features", "f9_opening_features", "g8_outcome_table",
           "i7_similarity_rank", "j3_session_table", "k13_context_table", "l9_trade_table",
           "m2_day_simulation_moving_stop", "n1_distribution", "b1_localize", "c4_roll_factors"]
