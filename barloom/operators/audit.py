@@ -78,10 +78,15 @@ def missing_bars(bars: DataFrame, bar_minutes: int = 5, full_share: float = 0.8,
 
 
 def contract_inventory(ticks: DataFrame, key: Sequence[str] = ("instrument_id",)) -> DataFrame:
-    return ticks.groupBy(*key, "contract_month").agg(
+    """One row per contract month. The bars collapse to one row per contract identity first,
+    so the text columns are compared on those few rows only."""
+    ids = ticks.groupBy(*key, "contract_month", "con_id", "local_symbol", "expiry").agg(
+        F.min("local_dt").alias("t0"), F.max("local_dt").alias("t1"),
+        F.count(F.lit(1)).alias("n"))
+    return ids.groupBy(*key, "contract_month").agg(
         F.min("con_id").alias("con_id"), F.min("local_symbol").alias("local_symbol"),
-        F.min("expiry").alias("expiry"), F.min("local_dt").cast("string").alias("starts"),
-        F.max("local_dt").cast("string").alias("ends"), F.count(F.lit(1)).alias("n_bars"))
+        F.min("expiry").alias("expiry"), F.min("t0").cast("string").alias("starts"),
+        F.max("t1").cast("string").alias("ends"), F.sum("n").alias("n_bars"))
 
 
 def shared_timestamps(bars: DataFrame, key: Sequence[str], contract: str) -> DataFrame:

@@ -103,7 +103,8 @@ def classify_days(d: DataFrame, rules: ClassRules = ClassRules(),
                | yes(C("`near_ath_0.5pct`")))
     mfe, mae = C("max_favorable_excursion_pct"), C("max_adverse_excursion_pct")
     deep = yes(-mae > rules.big_excursion_atr)
-    reach = rules.big_excursion_atr * 100.0 * F.nullif(C("atr"), F.lit(0.0)) / C("cash_open_adj")
+    reach = rules.big_excursion_atr * ratio(100.0 * F.nullif(C("atr"), F.lit(0.0)),
+                                            C("cash_open_adj"))
     rule = [
         (full & ~up_close & gap_up, 4), (gap_up & net.isNotNull() & ~up_close & deep, 5),
         (high_up & spike & bull & up_close & ~weak & yes(net >= rules.trend_net_atr), 0),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import ratio
 from barloom.operators.bars import OHLC, cash
 from barloom.params import SessionParams
 
@@ -55,7 +56,7 @@ def roll_factors(levels: DataFrame, p: SessionParams = SessionParams()) -> DataF
                             "next_dte": F.lead("dte_at_start").over(w)})
     steps: dict[str, Column] = {
         "carry": F.when(C("next_dte").isNotNull(), 1.0 + p.carry_rate * C("next_dte") / 365.0),
-        "ratio": C("next_start") / C("end_level")}
+        "ratio": ratio(C("next_start"), C("end_level"))}
     later = w.rowsBetween(0, Window.unboundedFollowing)
     one, zero = F.lit(1.0), F.lit(0.0)
     factor = F.coalesce(F.product(steps[method]).over(later), one) if method in steps else one
@@ -77,8 +78,8 @@ def seam_report(levels: DataFrame, p: SessionParams = SessionParams()) -> DataFr
     return d.select(
         "instrument_id", "old", "new", F.round(end, 2).alias("old_end_level"),
         F.round("next_start", 2).alias("new_start_level"), F.round(gap, 2).alias("seam_gap_pts"),
-        F.round(100 * gap / end, 3).alias("seam_gap_pct"), F.round(carry, 2).alias("carry_pts"),
-        F.round(100 * carry / end, 3).alias("carry_pct"),
+        F.round(ratio(100 * gap, end), 3).alias("seam_gap_pct"), F.round(carry, 2).alias("carry_pts"),
+        F.round(ratio(100 * carry, end), 3).alias("carry_pct"),
         F.round(gap - carry, 2).alias("real_move_pts"))
 
 
@@ -109,7 +110,8 @@ def verify_rolls(factors: DataFrame, p: SessionParams = SessionParams()) -> Data
     w = _by_month()
     d = factors.withColumns({"adj_end": C("end_level") * C("factor") + C("roll_offset"),
                              "adj_start": C("start_level") * C("factor") + C("roll_offset")})
-    d = d.withColumn("residual", 100 * (F.lead("adj_start").over(w) - C("adj_end")) / C("adj_end"))
+    d = d.withColumn("residual", ratio(
+        100 * (F.lead("adj_start").over(w) - C("adj_end")), C("adj_end")))
     newest_raw = (F.abs(F.max_by("factor", "contract_month") - 1.0) < 1e-12) & (
         F.abs(F.max_by("roll_offset", "contract_month")) < 1e-9)
     # What the residual means under each method.

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import (SESSION, all_of, count_where, mean_known, yes)
+from barloom.functions.columns import SESSION, all_of, count_where, mean_known, ratio, yes
 from barloom.operators.opening import weak_by
 from barloom.params import (BLOCK_WEIGHTS, BLOCKS, LADDER, MIN_SAMPLE, NEVER_AFTER_MIN,
                             PATH_SHARE, FilterSpec, Rung)
@@ -22,7 +22,7 @@ FEATURES = [f for b in BLOCKS.values() for f in b]
 def feature_rows(daily: DataFrame, opening: DataFrame) -> DataFrame:
     d = daily.join(opening, SESSION)
     net = C("cash_close_adj") - C("cash_open_adj")
-    return d.withColumns({"day_net_points": net, "day_net_pct": 100.0 * net / C("cash_open_adj")})
+    return d.withColumns({"day_net_points": net, "day_net_pct": 100.0 * ratio(net, C("cash_open_adj"))})
 
 
 def in_period(d: DataFrame, days: int | None, refs: DataFrame | None = None) -> DataFrame:
