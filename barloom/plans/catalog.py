@@ -763,7 +763,8 @@ def _(t: Tables) -> DataFrame:
 
 
 def _path_dist(t: Tables) -> DataFrame:
-    return paths.path_distance(paths.against_reference(t.paths, t.refs), "correlation")
+    p = paths.session_paths(t.bars, t.stored_daily, SessionParams().cutoff_min)
+    return paths.path_distance(paths.against_reference(p, t.refs), "correlation")
 
 
 @query("i6_path_blend")
