@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import langid, urls
+from barloom.llm import langid, pii, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +14,22 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).drop("pattern")
 
 
 QUERIES = {
     "op7_language": op7_language,
+    "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
-STATEMENTS = {"op10_url_filter": urls.SQL}
+STATEMENTS = {"op8_quality": quality.SQL, "op10_url_filter": urls.SQL}
