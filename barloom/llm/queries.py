@@ -3,13 +3,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, jaccard, langid, pii, quality, urls
+from barloom.llm import bpe, decontam, jaccard, langid, order, pii, quality, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.byte_shards(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +51,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_training_order": op4_training_order,
     "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
@@ -45,4 +61,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
-STATEMENTS = {"op8_quality": quality.SQL, "op10_url_filter": urls.SQL}
+STATEMENTS = {"op1_warc": warc.SQL, "op8_quality": quality.SQL, "op10_url_filter": urls.SQL}
