@@ -32,7 +32,7 @@ from barloom.llm.blocks import U, chunks
 SHARE = 24 << 20
 LEAST_BUCKETS = 64
 MOST_DOCS = 1 << 14
-_PARTS = ("a", "b", "c", "d", "e", "f")
+_PARTS = ("a", "b", "c", "d", "e", "f", "texts")
 _SCHEMA = "g long, block long, bucket int, " + ", ".join(f"{p} binary" for p in _PARTS)
 
 #: (bytes, offsets) of some texts -> tokens, their row numbers, and for each row a count and a
@@ -46,6 +46,11 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.minimum(255, 2 + np.floor(8 * np.log2(count / 2))).astype(np.uint8)
 
 
+def names_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of each token, by which tokens are told apart."""
+    return (((tokens >> U(40)) * U(buckets) >> U(24)) << U(32)) | (tokens & U(0xFFFFFFFF))
+
+
 def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
@@ -66,7 +71,8 @@ def bucket_count(docs: DataFrame, text: str) -> int:
     return max(LEAST_BUCKETS, min(1 << 20, -(-size // SHARE)))
 
 
-def _split(extract: Extract, buckets: int, block: int, ids: pa.Array, texts: pa.Array):
+def _split(extract: Extract, buckets: int, block: int, ids: pa.Array, texts: pa.Array,
+           carry: bool):
     tokens, rows, counts, digests = [], [], [], []
     for row, buf, offs in chunks(texts):
         t, r, n, d = extract(buf, offs)
@@ -75,7 +81,7 @@ def _split(extract: Extract, buckets: int, block: int, ids: pa.Array, texts: pa.
         counts.append(n)
         digests += d
     tok, row = np.concatenate(tokens), np.concatenate(rows)
-    key = ((((tok >> U(40)) * U(buckets)) >> U(24)) << U(32)) | (tok & U(0xFFFFFFFF))
+    key = names_of(tok, buckets)
     order = np.argsort(key, kind="stable")
     key, row = key[order], row[order]
     first = np.ones(len(key), bool)
@@ -95,12 +101,13 @@ def _split(extract: Extract, buckets: int, block: int, ids: pa.Array, texts: pa.
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     out = [(-1 - block, block, -1, *_pack(
         ids.fill_null(0).to_numpy(zero_copy_only=False), known.astype(np.uint8),
-        np.concatenate(counts).astype(np.int64)), b"".join(digests), *_pack(held_rows, held_n))]
+        np.concatenate(counts).astype(np.int64)), b"".join(digests), *_pack(held_rows, held_n),
+        pack_texts(texts) if carry else b"")]
     for b in range(buckets):
         s, h = slice(cut[b], cut[b + 1]), slice(held_cut[b], held_cut[b + 1])
         if s.stop > s.start or h.stop > h.start:
             out.append((b, block, b, *_pack(key[s].astype(np.uint32), _gaps(row[s]),
-                                            held[h].astype(np.uint32), held_n[h]), b"", b""))
+                                            held[h].astype(np.uint32), held_n[h]), b"", b"", b""))
     return out
 
 
@@ -137,13 +144,26 @@ def _count(table: pa.Table) -> pa.Table:
         docs = _ungap(r["b"], len(single[i]))[more]
         out.append((r["g"], r["block"], r["bucket"], *_pack(
             single[i][more], _gaps(docs), level(np.maximum(mine[more], 2)), held[i],
-            level(np.maximum(theirs, 2))), b""))
+            level(np.maximum(theirs, 2))), b"", b""))
     return pa.Table.from_batches([_batch(out)])
 
 
+def pack_texts(texts: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+    with pa.ipc.new_stream(sink, batch.schema,
+                           options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_texts(packed: bytes) -> pa.Array:
+    return pa.ipc.open_stream(packed).read_all().column("t").combine_chunks()
+
+
 class Block:
     """Documents of a block: ids (with ``known``), counts, digests, and for document ``i`` the
-    tokens found elsewhere with their levels."""
+    tokens found elsewhere with their levels; ``texts`` are packed, if they were carried."""
 
     def __init__(self, table: pa.Table):
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
@@ -151,6 +171,7 @@ class Block:
         self.ids = np.frombuffer(side["a"], np.int64)
         self.known = np.frombuffer(side["b"], np.uint8).astype(bool)
         self.counts = np.frombuffer(side["c"], np.int64)
+        self.texts = side["texts"]
         self.digests = [side["d"][i:i + 16] for i in range(0, len(side["d"]), 16)]
         held_rows, held_n = np.frombuffer(side["e"], np.uint16), np.frombuffer(side["f"], np.uint32)
         keys, docs, levels, held, held_levels = [], [], [], [], []
@@ -177,15 +198,20 @@ class Block:
     def id(self, i: int) -> int | None:
         return int(self.ids[i]) if self.known[i] else None
 
+    def found(self) -> np.ndarray:
+        """All tokens of the block that occur more than once in the corpus."""
+        return np.unique(self._tokens)
+
     def tokens(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         s = slice(self._cut[i], self._cut[i + 1])
         return self._tokens[s], self._levels[s]
 
 
 def cross(docs: DataFrame, key: str, text: str, extract: Extract,
-          finish: Callable[[Block], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``finish`` to every block of documents, whose tokens know their frequency."""
-    buckets = bucket_count(docs, text)
+          finish: Callable[[Block, int], pa.RecordBatch], schema: str, buckets: int,
+          carry: bool = False) -> DataFrame:
+    """Apply ``finish`` to every block of documents, whose tokens know their frequency, and its
+    number. ``carry`` takes the texts along with the block."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +227,9 @@ def cross(docs: DataFrame, key: str, text: str, extract: Extract,
                           at + MOST_DOCS)
                 part = b.slice(at, end - at)
                 yield _batch(_split(extract, buckets, task + n, part.column("k"),
-                                    part.column("t")))
+                                    part.column("t"), carry))
                 n, at = n + 1, end
 
     counted = rows.mapInArrow(split, _SCHEMA).groupBy("g").applyInArrow(_count, _SCHEMA)
     return counted.groupBy("block").applyInArrow(
-        lambda table: pa.Table.from_batches([finish(Block(table))]), schema)
+        lambda key, table: pa.Table.from_batches([finish(Block(table), key[0].as_py())]), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.blocks import U, mix, shingle_hashes, word_hashes
-from barloom.llm.crossref import Block, cross
+from barloom.llm.crossref import Block, bucket_count, cross
 from barloom.plans.storage import cut
 
 SHINGLE = 5
@@ -116,7 +116,7 @@ _ROWS = ("member boolean, node binary, doc_id long, n long, own long, tokens bin
          "sigs array<long>")
 
 
-def _rows(block: Block) -> pa.RecordBatch:
+def _rows(block: Block, _: int) -> pa.RecordBatch:
     """One row for each document, and one with signatures for each set that may link."""
     out: list[tuple] = []
     seen: set[bytes] = set()
@@ -194,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
-    table = cut(cross(docs, key, text, shingle_sets, _rows, _ROWS))
+    table = cut(cross(docs, key, text, shingle_sets, _rows, _ROWS, bucket_count(docs, text)))
     members = table.where("member").select("node", "doc_id", "n")
     found = table.where("not member")
     signed = cut(found.select("node", "n", "own", F.explode("sigs").alias("sig")).distinct())

@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontam, jaccard, langid, order, pii, quality, urls, warc
+from barloom.llm import (bpe, decontam, jaccard, langid, order, pii, quality, suffix, urls,
+                         warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed",
+                      F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.byte_shards(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_training_order": op4_training_order,
     "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
