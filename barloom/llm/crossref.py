@@ -32,11 +32,12 @@ from barloom.llm.blocks import U, chunks
 SHARE = 24 << 20
 LEAST_BUCKETS = 64
 MOST_DOCS = 1 << 14
+DIGEST = 24
 _PARTS = ("a", "b", "c", "d", "e", "f", "texts")
 _SCHEMA = "g long, block long, bucket int, " + ", ".join(f"{p} binary" for p in _PARTS)
 
 #: (bytes, offsets) of some texts -> tokens, their row numbers, and for each row a count and a
-#: 16-byte digest. Rows ascend; a token that repeats in a row counts each time.
+#: ``DIGEST``-byte digest. Rows ascend; a token that repeats in a row counts each time.
 Extract = Callable[[np.ndarray, np.ndarray],
                    tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
 
@@ -172,7 +173,7 @@ class Block:
         self.known = np.frombuffer(side["b"], np.uint8).astype(bool)
         self.counts = np.frombuffer(side["c"], np.int64)
         self.texts = side["texts"]
-        self.digests = [side["d"][i:i + 16] for i in range(0, len(side["d"]), 16)]
+        self.digests = [side["d"][i:i + DIGEST] for i in range(0, len(side["d"]), DIGEST)]
         held_rows, held_n = np.frombuffer(side["e"], np.uint16), np.frombuffer(side["f"], np.uint32)
         keys, docs, levels, held, held_levels = [], [], [], [], []
         for r in rows[1:]:

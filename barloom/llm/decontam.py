@@ -148,10 +148,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str =
     """The columns ``keep`` and ``hits``: the items that cover at least ``least``; every row
     of the input stays."""
     names = [f"k{i}" for i in range(len(keep))]
-    frame = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep)], F.col(text).alias("t"),
+    # A text that is kept anyway goes to Python once.
+    read = names[keep.index(text)] if text in keep else "t"
+    sent = names if text in keep else [*names, "t"]
+    frame = docs.select(*[F.col(c).alias(n) for n, c in zip(sent, [*keep, text])],
                         F.array().cast(_HIT).alias("hits"))
     kinds = dict(frame.dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + f", t string, hits {_HIT}"
+    schema = ", ".join(f"{n} {kinds[n]}" for n in sent) + f", hits {_HIT}"
     hit = pa.list_(pa.struct([("item", pa.int64()), ("tiles", pa.int32()), ("words", pa.int32()),
                               ("of", pa.int32()), ("coverage", pa.float64())]))
     for part in parts(benchmark, item, item_text):
@@ -161,15 +164,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str =
             for b in batches:
                 memo: dict = {}
                 found = []
-                for _, buf, offs in chunks(b.column("t")):
+                for _, buf, offs in chunks(b.column(read)):
                     h, at = word_rows(buf, offs)
                     found += [shared.value.hits(h[at[i]:at[i + 1]], least, memo)
                               for i in range(len(offs) - 1)]
                 before = b.column("hits").to_pylist()
                 hits = pa.array([x + y for x, y in zip(before, found)], hit)
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(n) for n in names], b.column("t"), hits],
-                    names=[*names, "t", "hits"])
+                    [*[b.column(n) for n in sent], hits], names=[*sent, "hits"])
 
         frame = frame.mapInArrow(run, schema)
     return frame.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "hits")

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.llm.blocks import U, mix, shingle_hashes, word_hashes
 from barloom.llm.crossref import Block, bucket_count, cross
@@ -56,7 +57,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE):
         s = np.unique(g[a:b - k + 1] if b - a >= k else shingle_hashes(h[a:b], b - a)
                       if b > a else g[:0])
         sets.append(s)
-        digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        text = hashlib.md5(buf[offs[i]:offs[i + 1]].tobytes()).digest()[:8]
+        digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() + text)
     n = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets) if sets else np.zeros(0, U)
     return tokens, np.repeat(np.arange(len(n)), n), n, digests
@@ -112,7 +114,7 @@ def signatures(n: int, tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-_ROWS = ("member boolean, node binary, doc_id long, n long, own long, tokens binary, "
+_ROWS = ("member boolean, node binary, doc_id long, text_key binary, n long, own long, tokens binary, "
          "sigs array<long>")
 
 
@@ -121,19 +123,19 @@ def _rows(block: Block, _: int) -> pa.RecordBatch:
     out: list[tuple] = []
     seen: set[bytes] = set()
     for i in range(len(block)):
-        n, node = int(block.counts[i]), block.digests[i]
-        out.append((True, node, block.id(i), n, None, None, None))
+        n, node, text = int(block.counts[i]), block.digests[i][:16], block.digests[i][16:]
+        out.append((True, node, block.id(i), text, n, None, None, None))
         if n == 0 or node in seen:
             continue
         seen.add(node)
         tokens, levels = block.tokens(i)
         if n - len(tokens) <= slack(n):
             sigs = signatures(n, tokens, levels)
-            out.append((False, node, None, n, n - len(tokens), np.sort(tokens).tobytes(),
+            out.append((False, node, None, None, n, n - len(tokens), np.sort(tokens).tobytes(),
                         sigs.view(np.int64)))
-    kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
-             pa.list_(pa.int64())]
-    names = ["member", "node", "doc_id", "n", "own", "tokens", "sigs"]
+    kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(),
+             pa.binary(), pa.list_(pa.int64())]
+    names = ["member", "node", "doc_id", "text_key", "n", "own", "tokens", "sigs"]
     columns = list(zip(*out)) if out else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -192,10 +194,10 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(roots)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, doc_id, text_key, n, root) for every row; ``root`` names the component."""
     table = cut(cross(docs, key, text, shingle_sets, _rows, _ROWS, bucket_count(docs, text)))
-    members = table.where("member").select("node", "doc_id", "n")
+    members = table.where("member").select("node", "doc_id", "text_key", "n")
     found = table.where("not member")
     signed = cut(found.select("node", "n", "own", F.explode("sigs").alias("sig")).distinct())
     share = (F.col("own") / F.col("n")).alias("share")
@@ -226,11 +228,31 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             .select("a", "b").distinct())
     more = cut(verified(rest, sets))
     roots = cut(components(linked.union(more)))
-    named = (members.groupBy("node").agg(F.min("doc_id").alias("low"))
-             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    name = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = named.join(name, "root").select("node", "component_id")
-    return members.join(by_node, "node").select(
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row."""
+    rows = cut(_rooted(docs, key, text).select("doc_id", "n", "root"))
+    name = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(name, "root").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, keep: list[str], key: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """The columns ``keep`` of one row for each component, the one with the smallest id (null
+    last; of repeated rows one stays), and of every row without a word."""
+    first = (_rooted(docs, key, text).where("n > 0").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
+        .select(F.col("x.doc_id").alias("_id"), F.col("x.text_key").alias("_text")))
+    word = F.coalesce(F.col(text).rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.where(word).select(*keep, F.col(key).cast("long").alias("_k"), F.unhex(
+        F.substring(F.md5(F.col(text).cast("binary")), 1, 16)).alias("_t"))
+    match = F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text"))
+    same = Window.partitionBy("_k", "_t").orderBy("_k")
+    chosen = (rows.join(cut(first), match).withColumn("_n", F.row_number().over(same))
+              .where("_n = 1").select(*keep))
+    return chosen.union(docs.where(~word).select(*keep))

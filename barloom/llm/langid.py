@@ -203,14 +203,16 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score``; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # A text that is kept anyway goes to Python once.
+    read = f"k{keep.index(text)}" if text in keep else "t"
     frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-                        F.col(text).alias("t"))
+                        *[F.col(text).alias("t")] * (text not in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names: list[str] = []
             scores = [np.zeros(0)]
-            for _, buf, offs in chunks(b.column("t")):
+            for _, buf, offs in chunks(b.column(read)):
                 lang, score = shared.value.predict(features(buf, offs))
                 known = has_letter(buf, offs)
                 names += [x if ok else UNKNOWN for x, ok in zip(lang, known)]

@@ -259,17 +259,19 @@ def mask(text: str, base: str, terms: list) -> str:
 
 def sanitise(docs: DataFrame, keep: list[str], key: str = "doc_id",
              text: str = "text") -> DataFrame:
-    """The columns ``keep`` with the text masked; a null text stays null."""
+    """The columns ``keep``, ``key`` and the text among them, with the text masked; a null text
+    stays null."""
     spans = find(docs, key, text).where("base != '' or terms is not null").dropDuplicates(
         ["k", "th"]).select("k", "th", "base", "terms")
     rows = docs.select(*keep).withColumn("_th", F.xxhash64(F.col(text)))
 
-    @F.udf("string")
+    @F.udf("string", useArrow=True)
     def masked(t, base, terms):
         return t if t is None or base is None else mask(t, base, terms or [])
 
-    masked = masked.asNondeterministic()
     out = rows.join(spans, F.col(key).eqNullSafe(F.col("k")) & (F.col("_th") == F.col("th")),
                     "left")
-    return out.withColumn(text, F.when(F.col("base").isNull(), F.col(text)).otherwise(
-        masked(text, "base", "terms"))).select(*keep)
+    # Only texts with a span go to Python.
+    sent = F.when(F.col("base").isNotNull(), F.col(text))
+    return out.withColumn(text, F.coalesce(masked(sent, "base", "terms"), F.col(text))).select(
+        *keep)

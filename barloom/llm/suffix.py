@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.blocks import BYTE_CODE, U, Rolling, chunks, mix
-from barloom.llm.crossref import Block, bucket_count, cross, names_of, unpack_texts
+from barloom.llm.crossref import DIGEST, Block, bucket_count, cross, names_of, unpack_texts
 
 LENGTH = 200
 GRAM = LENGTH // 2
@@ -100,7 +100,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray):
 def _anchor_tokens(buf: np.ndarray, offs: np.ndarray):
     tokens, _, _, _, row = anchors(buf, offs)
     n = np.diff(offs).astype(np.int64)
-    return tokens, row, n, [b"\0" * 16] * len(n)
+    return tokens, row, n, [b"\0" * DIGEST] * len(n)
 
 
 def repeated(symbols: np.ndarray, group: np.ndarray, low: np.ndarray,
