@@ -17,8 +17,9 @@ the slack links with nothing and leaves at once. Candidates are verified on the
 Only connectivity is wanted, so a group of documents with one signature isn't multiplied out.
 Its member with the smallest share of rare tokens is its centre; all others are verified
 against the centre and linked ones are joined to components. Then only pairs from different
-components are left, cut further by what sizes and rare tokens allow, and every one of them is
-verified. No link between components is lost.
+components are left. Sizes, tokens of one's own and parity sketches of the sets give upper bounds
+of their similarity; every pair that the bounds allow is verified. No link between components is
+lost.
 
 Copies with the same set are one class from the first block on; a class is a node (128-bit
 digest). Defined cases: a text with fewer words is one shingle; null, empty and blank texts
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.llm.blocks import U, mix, shingle_hashes, word_hashes
-from barloom.llm.crossref import Block, bucket_count, cross
+from barloom.llm.crossref import Block, bucket_count, cross, level
 from barloom.plans.storage import cut
 
 SHINGLE = 5
@@ -114,8 +115,20 @@ def signatures(n: int, tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-_ROWS = ("member boolean, node binary, doc_id long, text_key binary, n long, own long, tokens binary, "
-         "sigs array<long>")
+_ROWS = ("member boolean, node binary, doc_id long, text_key binary, n long, own long, "
+         "few array<int>, sketch array<long>, tokens binary, sigs array<long>")
+#: Up to here a token's level tells its exact number of documents.
+EXACT = 15
+SKETCH = 8
+LEVELS = level(np.arange(2, EXACT + 1)).astype(int)
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``64 * SKETCH`` bits, whether an odd number of tokens falls on it. Common
+    tokens cancel, so two sketches differ in no more bits than the sets in tokens."""
+    bits = np.bincount((mix(tokens + U(99)) % U(64 * SKETCH)).astype(int),
+                       minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _rows(block: Block, _: int) -> pa.RecordBatch:
@@ -124,18 +137,19 @@ def _rows(block: Block, _: int) -> pa.RecordBatch:
     seen: set[bytes] = set()
     for i in range(len(block)):
         n, node, text = int(block.counts[i]), block.digests[i][:16], block.digests[i][16:]
-        out.append((True, node, block.id(i), text, n, None, None, None))
+        out.append((True, node, block.id(i), text, n, None, None, None, None, None))
         if n == 0 or node in seen:
             continue
         seen.add(node)
         tokens, levels = block.tokens(i)
         if n - len(tokens) <= slack(n):
             sigs = signatures(n, tokens, levels)
-            out.append((False, node, None, None, n, n - len(tokens), np.sort(tokens).tobytes(),
-                        sigs.view(np.int64)))
+            few = np.bincount(levels, minlength=256)[LEVELS]
+            out.append((False, node, None, None, n, n - len(tokens), few, parity(tokens),
+                        np.sort(tokens).tobytes(), sigs.view(np.int64)))
     kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(),
-             pa.binary(), pa.list_(pa.int64())]
-    names = ["member", "node", "doc_id", "text_key", "n", "own", "tokens", "sigs"]
+             pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+    names = ["member", "node", "doc_id", "text_key", "n", "own", "few", "sketch", "tokens", "sigs"]
     columns = list(zip(*out)) if out else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -146,6 +160,12 @@ def _possible(n1: Column, own1: Column, n2: Column, own2: Column) -> Column:
     return (NUM + DEN) * most >= NUM * (n1 + n2)
 
 
+def _near(sketch1: str, own1: str, sketch2: str, own2: str, n1: str, n2: str) -> Column:
+    """Do the sketches, and the tokens only one has, leave the sets near enough to link?"""
+    bits = " + ".join(f"bit_count({sketch1}[{i}] ^ {sketch2}[{i}])" for i in range(SKETCH))
+    return F.expr(f"{NUM + DEN} * ({bits} + {own1} + {own2}) <= {DEN - NUM} * ({n1} + {n2})")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes those that link, compared on the whole sets."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
@@ -199,7 +219,13 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
     table = cut(cross(docs, key, text, shingle_sets, _rows, _ROWS, bucket_count(docs, text)))
     members = table.where("member").select("node", "doc_id", "text_key", "n")
     found = table.where("not member")
-    signed = cut(found.select("node", "n", "own", F.explode("sigs").alias("sig")).distinct())
+    # Tokens found in just the copies of a set are its own too: as many documents as copies.
+    copies = members.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    own = F.col("own") + F.when(F.col("copies").between(2, EXACT), F.col("few")[
+        F.col("copies").cast("int") - 2]).otherwise(0)
+    signed = cut(found.drop("tokens").join(copies, "node").withColumn("own", own)
+                 .where(DEN * F.col("own") <= (DEN - NUM) * F.col("n"))
+                 .select("node", "n", "own", F.explode("sigs").alias("sig")).distinct())
     share = (F.col("own") / F.col("n")).alias("share")
     groups = (signed.groupBy("sig").agg(
         F.count(F.lit(1)).alias("size"),
@@ -207,7 +233,7 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
     grouped = cut(signed.join(groups, "sig").select(
         "sig", "node", "n", "own", F.col("c.node").alias("centre"),
         F.col("c.n").alias("cn"), F.col("c.own").alias("cown")))
-    sets = cut(found.select("node", "n", "tokens").join(
+    sets = cut(found.select("node", "n", "own", "sketch", "tokens").join(
         grouped.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     stars = (grouped.where(F.col("node") != F.col("centre"))
              .where(_possible(F.col("n"), F.col("own"), F.col("cn"), F.col("cown")))
@@ -218,14 +244,15 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
         "sig", "node", "n", "own", F.coalesce("root", "node").alias("root"))
     mixed = (labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo != hi").select("sig"))
-    open_ = cut(labelled.join(mixed, "sig", "left_semi"))
-    left = open_.select("sig", F.col("node").alias("a"), F.col("n").alias("n1"),
-                        F.col("own").alias("o1"), F.col("root").alias("r1"))
-    right = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("n2"),
-                         F.col("own").alias("o2"), F.col("root").alias("r2"))
-    rest = (left.join(right, "sig").where("a < b and r1 != r2")
-            .where(_possible(F.col("n1"), F.col("o1"), F.col("n2"), F.col("o2")))
-            .select("a", "b").distinct())
+    sketches = sets.select("node", F.col("own").alias("solo"), "sketch")
+    open_ = cut(labelled.join(mixed, "sig", "left_semi").join(sketches, "node"))
+    left, right = (open_.select("sig", *[F.col(c).alias(c[0] + end) for c in (
+        "node", "root", "own")], F.col("n").alias("size" + end), F.col("solo").alias("solo" + end),
+        F.col("sketch").alias("sketch" + end)) for end in "12")
+    rest = (left.join(right, "sig").where("n1 < n2 and r1 != r2")
+            .where(_possible(F.col("size1"), F.col("o1"), F.col("size2"), F.col("o2")))
+            .where(_near("sketch1", "solo1", "sketch2", "solo2", "size1", "size2"))
+            .select(F.col("n1").alias("a"), F.col("n2").alias("b")).distinct())
     more = cut(verified(rest, sets))
     roots = cut(components(linked.union(more)))
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
