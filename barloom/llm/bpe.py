@@ -50,6 +50,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
+        if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"vocabulary lacks bytes {lacking}")
         self.ranks, self.kept = ranks, kept
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -119,9 +121,7 @@ class Encoder:
         option: int | None = next(longest(text, at))[1]
         while True:
             if option is None:
-                dead[places.pop()] = 1
-                if not out:
-                    raise ValueError(f"vocabulary can't spell {text[:40]!r}")
+                dead[places.pop()] = 1  # never the start: single bytes are tokens
                 option = self._next_shorter(out.pop())
                 continue
             after = places[-1] + len(size[option])
