@@ -67,9 +67,9 @@ def _ungap(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, kind).astype(np.int64))
 
 
-def bucket_count(docs: DataFrame, text: str) -> int:
+def bucket_count(docs: DataFrame, text: str, share: int = SHARE) -> int:
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(LEAST_BUCKETS, min(1 << 20, -(-size // SHARE)))
+    return max(LEAST_BUCKETS, min(1 << 20, -(-size // share)))
 
 
 def _split(extract: Extract, buckets: int, block: int, ids: pa.Array, texts: pa.Array,
@@ -210,9 +210,9 @@ class Block:
 
 def cross(docs: DataFrame, key: str, text: str, extract: Extract,
           finish: Callable[[Block, int], pa.RecordBatch], schema: str, buckets: int,
-          carry: bool = False) -> DataFrame:
+          carry: bool = False, share: int = SHARE) -> DataFrame:
     """Apply ``finish`` to every block of documents, whose tokens know their frequency, and its
-    number. ``carry`` takes the texts along with the block."""
+    number. ``carry`` takes the texts along with the block, ``share`` bounds its bytes."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def cross(docs: DataFrame, key: str, text: str, extract: Extract,
             ends = np.cumsum(sizes)
             while at < b.num_rows:
                 base = ends[at - 1] if at else 0
-                end = min(max(at + 1, int(np.searchsorted(ends, base + SHARE, "right"))),
+                end = min(max(at + 1, int(np.searchsorted(ends, base + share, "right"))),
                           at + MOST_DOCS)
                 part = b.slice(at, end - at)
                 yield _batch(_split(extract, buckets, task + n, part.column("k"),

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.blocks import BYTE_CODE, U, Rolling, chunks, mix
-from barloom.llm.crossref import DIGEST, Block, bucket_count, cross, names_of, unpack_texts
+from barloom.llm.crossref import (DIGEST, Block, bucket_count, cross, names_of,
+                                  pack_texts, unpack_texts)
 
 LENGTH = 200
 GRAM = LENGTH // 2
@@ -41,6 +42,8 @@ WINDOW = LENGTH - GRAM + 1
 COLUMNS = LENGTH + WINDOW - 1
 STRETCH = 8 << 20
 ABSENT = 256
+#: Bytes of text in a block; smaller than elsewhere, since pieces overlap fivefold.
+SHARE = 12 << 20
 #: Buckets of pieces for each bucket of text, since pieces overlap.
 FINER = 4
 
@@ -154,9 +157,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _FIELDS)
 
 
-def _pieces(block: Block, number: int, buckets: int) -> pa.RecordBatch:
+def _pieces(block: Block, number: int, buckets: int, with_bytes: bool) -> pa.RecordBatch:
     """The pieces of a block's repeated anchors, one packed row for each bucket of pieces, and
-    a row that stays with the block: its texts and where its pieces lie."""
+    a row that stays with the block: where its pieces lie, the texts that have any, and the
+    sizes and digests of the others, which stay as they are."""
     found = block.found()
     texts = unpack_texts(block.texts)
     parts: list[tuple[np.ndarray, ...]] = []
@@ -184,8 +188,15 @@ def _pieces(block: Block, number: int, buckets: int) -> pa.RecordBatch:
     which[order] = np.repeat(np.arange(len(piece)), times)
     place_ = np.stack([row, start, which, low]).astype(np.int64) if len(row) else np.zeros(
         (4, 0), np.int64)
-    out = [(-1 - number, number, -1, b"", b"", b"", b"", b"", block.ids.tobytes(),
-            block.known.tobytes(), block.texts, place_.tobytes())]
+    rest = np.ones(len(block), bool)
+    rest[row] = False
+    if with_bytes:
+        rest[:] = False
+    digests = b"".join([hashlib.sha256((texts[i].as_py() or "").encode()).digest()
+                        for i in np.flatnonzero(rest).tolist()])
+    out = [(-1 - number, number, -1, b"", b"", block.counts.tobytes(), rest.tobytes(), digests,
+            block.ids.tobytes(), block.known.tobytes(),
+            pack_texts(texts.take(pa.array(np.flatnonzero(~rest)))), place_.tobytes())]
     cut = np.searchsorted(to[piece], np.arange(buckets * FINER + 1))
     for b in np.unique(to[piece]).tolist():
         at = piece[cut[b]:cut[b + 1]]
@@ -272,18 +283,24 @@ def _results(table: pa.Table, with_bytes: bool) -> pa.Table:
     order = np.argsort(doc, kind="stable")
     doc, a, z = doc[order], a[order], z[order]
     cut = np.searchsorted(doc, np.arange(len(ids) + 1))
-    out: list[tuple] = []
+    rest = np.frombuffer(side["many"], bool)
+    sizes = np.frombuffer(side["size"], np.int64)
+    names_ = [int(x) if ok else None for x, ok in zip(ids, known)]
+    out: list[tuple] = [
+        (names_[i], int(sizes[i]), 0, [], side["data"][32 * j:32 * j + 32].hex(), None)
+        for j, i in enumerate(np.flatnonzero(rest).tolist())]
+    carried = np.flatnonzero(~rest)
     for first_row, buf, offs in chunks(unpack_texts(side["texts"])):
         for i in range(len(offs) - 1):
             text = buf[offs[i]:offs[i + 1]]
-            s = slice(cut[first_row + i], cut[first_row + i + 1])
+            number = carried[first_row + i]
+            s = slice(cut[number], cut[number + 1])
             lo, hi = _merge(a[s], z[s]) if s.stop > s.start else (a[:0], a[:0])
             gone = np.zeros(len(text) + 1, np.int8)
             gone[lo] += 1
             gone[hi] -= 1
             kept = text[np.cumsum(gone[:-1]) == 0].tobytes() if len(lo) else text.tobytes()
-            out.append((int(ids[first_row + i]) if known[first_row + i] else None, len(text),
-                        int((hi - lo).sum()),
+            out.append((names_[number], len(text), int((hi - lo).sum()),
                         [{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist())],
                         hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -296,10 +313,10 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
            with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept) for every row; ``kept`` holds the
     remaining bytes if asked for. Spans are byte offsets, end exclusive."""
-    buckets = bucket_count(docs, text)
+    buckets = bucket_count(docs, text, SHARE)
     pieces = cross(docs, key, text, _anchor_tokens,
-                   lambda block, number: _pieces(block, number, buckets), _PACKED, buckets,
-                   carry=True)
+                   lambda block, number: _pieces(block, number, buckets, with_bytes), _PACKED, buckets,
+                   carry=True, share=SHARE)
     return (pieces.groupBy("g").applyInArrow(_rounds, _PACKED)
             .groupBy("block").applyInArrow(
                 lambda key_, table: _results(table, with_bytes), _RESULT))
