@@ -12,12 +12,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK = 2 << 20
+BATCH = 8 << 20
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same plan; batches to Python hold ``BATCH`` bytes, for rows of text are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> U(30))
@@ -68,7 +76,8 @@ class Rolling:
                    + (ends - starts).astype(U) * U(_STEP))
 
 
-def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNK,
+           rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of whole texts; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -81,6 +90,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1)
+        end = min(end, row + rows)
         yield row, data[offs[row]:offs[end]], offs[row:end + 1] - offs[row]
         row = end
 

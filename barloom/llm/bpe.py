@@ -28,7 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 200_000
+from barloom.llm.blocks import small_batches
+
+KEPT = 80_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +62,7 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self._whole: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._shorter: dict[int, int | None] = {}
         self._pieces: dict[str, tuple[bytes, int, bytes]] = {}
         self._older: dict[str, tuple[bytes, int, bytes]] = {}
@@ -75,13 +77,13 @@ class Encoder:
 
     def _fits(self, i: int, j: int) -> bool:
         """May token ``j`` follow token ``i``?"""
-        ok = self._pairs.get((i, j))
+        ok = self._pairs.get(i << 32 | j)
         if ok is None:
             a, b = self.bytes_of[i], self.bytes_of[j]
             ok = self._made(j) and merge(a + b, self.ranks) == [a, b]
-            if len(self._pairs) >= 10 * self.kept:
+            if len(self._pairs) >= 5 * self.kept:
                 self._pairs.clear()
-            self._pairs[i, j] = ok
+            self._pairs[i << 32 | j] = ok
         return ok
 
     def _next_shorter(self, i: int) -> int | None:
@@ -103,7 +105,7 @@ class Encoder:
             good = 1
             pairs = self._pairs
             for i, j in zip(out, out[1:]):
-                ok = pairs.get((i, j))
+                ok = pairs.get(i << 32 | j)
                 if not (self._fits(i, j) if ok is None else ok):
                     break
                 good += 1
@@ -166,7 +168,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
             text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) for every row."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -190,7 +192,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str],
            text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``ids``, an array of token ids."""
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+    rows = small_batches(docs).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
                        F.col(text).alias("t"))
     names = [f"k{i}" for i in range(len(keep))]
 

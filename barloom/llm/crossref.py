@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, chunks
+from barloom.llm.blocks import U, chunks, small_batches
 
-SHARE = 24 << 20
+SHARE = 8 << 20
 LEAST_BUCKETS = 64
 MOST_DOCS = 1 << 14
 DIGEST = 24
@@ -67,9 +67,9 @@ def _ungap(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, kind).astype(np.int64))
 
 
-def bucket_count(docs: DataFrame, text: str, share: int = SHARE) -> int:
+def bucket_count(docs: DataFrame, text: str) -> int:
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(LEAST_BUCKETS, min(1 << 20, -(-size // share)))
+    return max(LEAST_BUCKETS, min(1 << 20, -(-size // SHARE)))
 
 
 def _split(extract: Extract, buckets: int, block: int, ids: pa.Array, texts: pa.Array,
@@ -140,7 +140,8 @@ def _count(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *map(len, single), *map(len, held)])
     out = []
     for i, r in enumerate(rows):
-        mine, theirs = count[cuts[i]:cuts[i + 1]], count[cuts[len(rows) + i]:cuts[len(rows) + i + 1]]
+        j = len(rows) + i
+        mine, theirs = count[cuts[i]:cuts[i + 1]], count[cuts[j]:cuts[j + 1]]
         more = mine > 1
         docs = _ungap(r["b"], len(single[i]))[more]
         out.append((r["g"], r["block"], r["bucket"], *_pack(
@@ -210,10 +211,10 @@ class Block:
 
 def cross(docs: DataFrame, key: str, text: str, extract: Extract,
           finish: Callable[[Block, int], pa.RecordBatch], schema: str, buckets: int,
-          carry: bool = False, share: int = SHARE) -> DataFrame:
+          carry: bool = False) -> DataFrame:
     """Apply ``finish`` to every block of documents, whose tokens know their frequency, and its
-    number. ``carry`` takes the texts along with the block, ``share`` bounds its bytes."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    number. ``carry`` takes the texts along with the block."""
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId() << 28, 0
@@ -224,7 +225,7 @@ def cross(docs: DataFrame, key: str, text: str, extract: Extract,
             ends = np.cumsum(sizes)
             while at < b.num_rows:
                 base = ends[at - 1] if at else 0
-                end = min(max(at + 1, int(np.searchsorted(ends, base + share, "right"))),
+                end = min(max(at + 1, int(np.searchsorted(ends, base + SHARE, "right"))),
                           at + MOST_DOCS)
                 part = b.slice(at, end - at)
                 yield _batch(_split(extract, buckets, task + n, part.column("k"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, Rolling, chunks, shingle_hashes, word_hashes
+from barloom.llm.blocks import U, Rolling, chunks, shingle_hashes, small_batches, word_hashes
 
 SEED = 5
 LEAST_COVERAGE = 0.5
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str =
     # A text that is kept anyway goes to Python once.
     read = names[keep.index(text)] if text in keep else "t"
     sent = names if text in keep else [*names, "t"]
-    frame = docs.select(*[F.col(c).alias(n) for n, c in zip(sent, [*keep, text])],
+    frame = small_batches(docs).select(*[F.col(c).alias(n) for n, c in zip(sent, [*keep, text])],
                         F.array().cast(_HIT).alias("hits"))
     kinds = dict(frame.dtypes)
     schema = ", ".join(f"{n} {kinds[n]}" for n in sent) + f", hits {_HIT}"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, WEIGHTS, chunks, mix
+from barloom.llm.blocks import U, WEIGHTS, chunks, mix, small_batches
 
 #: Branches of the ISO 639-1 codes.
 FAMILIES = {
@@ -37,6 +37,7 @@ FAMILIES = {
 }
 DIM = 4096
 PER_LANG = 600
+ROWS = 512
 MOST_LANGS = 400
 UNKNOWN = "und"
 
@@ -154,8 +155,8 @@ class Model:
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         lang: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Fit on a bounded sample of the rows where ``learn`` holds."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"),
-                       learn.alias("use")).where("use and l is not null and t is not null")
+    rows = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"),
+                                      F.col(lang).alias("l"), learn.alias("use")).where("use and l is not null and t is not null")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("k").alias("n"))
               .where("n > 0").limit(MOST_LANGS + 1).collect()}
     if len(counts) > MOST_LANGS:
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column("l")
-            for row, buf, offs in chunks(b.column("t")):
+            for row, buf, offs in chunks(b.column("t"), rows=ROWS):
                 x = features(buf, offs).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [langs.slice(row, len(x)), pa.array([v.tobytes() for v in x], pa.binary())],
@@ -205,14 +206,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # A text that is kept anyway goes to Python once.
     read = f"k{keep.index(text)}" if text in keep else "t"
-    frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+    frame = small_batches(docs).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
                         *[F.col(text).alias("t")] * (text not in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names: list[str] = []
             scores = [np.zeros(0)]
-            for _, buf, offs in chunks(b.column(read)):
+            for _, buf, offs in chunks(b.column(read), rows=ROWS):
                 lang, score = shared.value.predict(features(buf, offs))
                 known = has_letter(buf, offs)
                 names += [x if ok else UNKNOWN for x, ok in zip(lang, known)]

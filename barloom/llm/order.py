@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, mix
+from barloom.llm.blocks import U, mix, small_batches
 from barloom.plans.storage import scratch
 
 LENGTH = 1024
@@ -111,7 +111,7 @@ def materialise(docs: DataFrame, ids: str, folder: str, key: int, dtype: str = "
     kind = np.dtype(dtype)
     stride = length * kind.itemsize
     per_shard = max(1, shard_bytes // stride)
-    rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(ids).alias("t"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("k"), F.col(ids).alias("t"))
     tokens = rows.groupBy(F.spark_partition_id().alias("p")).agg(
         F.sum(_lengths("t", dict(rows.dtypes))).alias("n"))
     sizes = {r.p: -(-r.n // length) for r in tokens.collect()}

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import chunks, word_hashes
+from barloom.llm.blocks import chunks, small_batches, word_hashes
 from barloom.plans.storage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -136,7 +136,7 @@ _BASE = ("k {kind}, th long, " + ", ".join(f"n_{k} long" for k in KINDS)
 
 
 def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("th"),
+    rows = small_batches(docs).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("th"),
                        F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
     entity = pa.struct([("kind", pa.string()), ("value", pa.string()), ("around", pa.int64()),

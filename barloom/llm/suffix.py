@@ -42,8 +42,6 @@ WINDOW = LENGTH - GRAM + 1
 COLUMNS = LENGTH + WINDOW - 1
 STRETCH = 8 << 20
 ABSENT = 256
-#: Bytes of text in a block; smaller than elsewhere, since pieces overlap fivefold.
-SHARE = 12 << 20
 #: Buckets of pieces for each bucket of text, since pieces overlap.
 FINER = 4
 
@@ -313,10 +311,10 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text",
            with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept) for every row; ``kept`` holds the
     remaining bytes if asked for. Spans are byte offsets, end exclusive."""
-    buckets = bucket_count(docs, text, SHARE)
+    buckets = bucket_count(docs, text)
     pieces = cross(docs, key, text, _anchor_tokens,
-                   lambda block, number: _pieces(block, number, buckets, with_bytes), _PACKED, buckets,
-                   carry=True, share=SHARE)
+                   lambda block, number: _pieces(block, number, buckets, with_bytes), _PACKED,
+                   buckets, carry=True)
     return (pieces.groupBy("g").applyInArrow(_rounds, _PACKED)
             .groupBy("block").applyInArrow(
                 lambda key_, table: _results(table, with_bytes), _RESULT))
