@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PRICES = ["open", "high", "low", "close", "volume"]
 
@@ -59,42 +60,44 @@ def distinct_versions(df: DataFrame, key: Sequence[str],
     return df.groupBy(*key, *values).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def per_key(df: DataFrame, key: Sequence[str],
-            values: Sequence[str] = tuple(PRICES)) -> DataFrame:
-    """One row per key: the kept version, the number of versions and of raw rows.
+def ranked_versions(df: DataFrame, key: Sequence[str],
+                    values: Sequence[str] = tuple(PRICES)) -> DataFrame:
+    """Distinct versions with ``place`` (1 is kept), ``versions`` and ``n_raw`` of their key.
 
     Kept is the smallest version in column order. File order is not reproducible on a
-    cluster, so the tie-break is part of the definition.
+    cluster, so the tie-break is part of the definition. Raw rows meet in a hash aggregate;
+    only distinct versions are sorted.
     """
-    return df.groupBy(*key).agg(
-        F.min(F.struct(*values)).alias("kept"),
-        F.max(F.struct(*values)).alias("other"),
-        F.count(F.lit(1)).alias("n_raw"))
+    one = Window.partitionBy(*key)
+    return distinct_versions(df, key, values).withColumns({
+        "place": F.row_number().over(one.orderBy(*values)),
+        "versions": F.count(F.lit(1)).over(one), "n_raw": F.sum("copies").over(one)})
 
 
 def keep_first(df: DataFrame, key: Sequence[str],
                values: Sequence[str] = tuple(PRICES)) -> DataFrame:
     """Clean table: one row per key."""
-    return per_key(df, key, values).select(*key, "kept.*", "n_raw")
+    return ranked_versions(df, key, values).where("place = 1").select(*key, *values, "n_raw")
 
 
 def conflicts(df: DataFrame, key: Sequence[str],
               values: Sequence[str] = tuple(PRICES)) -> DataFrame:
-    """Versions of keys that carry more than one distinct version. The keys are found in
-    one aggregate and joined back to the distinct versions, not to the raw rows."""
-    bad = per_key(df, key, values).where(F.col("kept") != F.col("other")).select(*key)
-    return distinct_versions(df, key, values).join(bad, list(key), "left_semi")
+    """Versions of keys that carry more than one distinct version."""
+    return ranked_versions(df, key, values).where("versions > 1").select(*key, *values, "copies")
 
 
 def duplicate_counts(df: DataFrame, key: Sequence[str], values: Sequence[str] = tuple(PRICES),
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), flag: Column | None = None) -> DataFrame:
     """Raw rows, exact copies dropped, keys in conflict and clean rows, per ``by`` (part of the
-    key) or in one row."""
-    v = distinct_versions(df, key, values)
+    key) or in one row. ``flag``: a maximum over the raw rows that rides along."""
+    extra = [] if flag is None else [flag]
+    v = df.groupBy(*key, *values).agg(F.count(F.lit(1)).alias("copies"), *extra)
+    name = [c for c in v.columns if c not in {*key, *values, "copies"}]
+    up = [F.max(c).alias(c) for c in name]
     k = v.groupBy(*key).agg(F.count(F.lit(1)).alias("versions"),
-                            F.sum("copies").alias("copies"))
+                            F.sum("copies").alias("copies"), *up)
     return k.groupBy(*by).agg(
         F.sum("copies").alias("n_raw"),
         F.sum(F.col("copies") - F.col("versions")).alias("n_exact_duplicates"),
         F.count(F.when(F.col("versions") > 1, 1)).alias("n_conflicting_duplicates"),
-        F.count(F.lit(1)).alias("n_clean"))
+        F.count(F.lit(1)).alias("n_clean"), *up)

@@ -192,8 +192,11 @@ def ema(values: Column, span: int) -> Column:
 def openings(bars: DataFrame, p: ContextParams = ContextParams()) -> DataFrame:
     """Opening label of sessions with at least two bars before the decision."""
     early = C("mso") <= p.opening_window_min - 1
+    # A session needs two bars before the decision, so its first bar lies there too and later
+    # ones don't matter.
+    soon = bars.where(C("mso") < max(p.opening_window_min, p.decision_min))
     g = window_geometry(
-        bars, p.opening_window_min, "op_",
+        soon, p.opening_window_min, "op_",
         count_where(C("mso") < p.decision_min).alias("n_before"),
         F.array_sort(F.collect_list(F.when(early, F.struct("mso", "c")))).alias("closes"))
     g = g.where("n_before >= 2").withColumn(

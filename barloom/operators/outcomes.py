@@ -12,6 +12,13 @@ from barloom.params import ClassRules, SessionParams
 C = F.col
 
 
+def _place(price: Column, tie: Column) -> Column:
+    """Price, then minute, in one decimal: a struct has no fixed-width aggregation buffer and
+    would sort the bars."""
+    return price.cast("decimal(30,14)") * F.lit(10000).cast("decimal(6,0)") + (
+        tie.cast("decimal(5,0)") / F.lit(10 ** 14).cast("decimal(16,0)"))
+
+
 def session_outcomes(bars: DataFrame, daily: DataFrame, cutoff_min: int,
                      sessions: DataFrame | None = None,
                      p: SessionParams = SessionParams()) -> DataFrame:
@@ -36,8 +43,8 @@ def session_outcomes(bars: DataFrame, daily: DataFrame, cutoff_min: int,
         *[latest(C("c"), C("mso") <= t).alias(k) for k, t in at.items()],
         F.max(F.when(obs, C("h"))).alias("obs_hi"), F.min(F.when(obs, C("l"))).alias("obs_lo"),
         F.max(F.when(aft, C("h"))).alias("hi"), F.min(F.when(aft, C("l"))).alias("lo"),
-        F.min(F.struct((-C("h")).alias("x"), "mso")).alias("top"),
-        F.min(F.struct(C("l").alias("x"), "mso")).alias("bottom"))
+        F.max_by("mso", _place(C("h"), -C("mso"))).alias("top"),
+        F.min_by("mso", _place(C("l"), C("mso"))).alias("bottom"))
     g = g.join(reference_levels(daily), SESSION)
     px, o, pc, hi, lo = (C("cutoff_price"), C("ref_open"), C("pdc"), C("hi"), C("lo"))
     seen = px.isNotNull()
@@ -60,8 +67,8 @@ def session_outcomes(bars: DataFrame, daily: DataFrame, cutoff_min: int,
         "cutoff_min": F.lit(cutoff_min), "cutoff_price": px,
         **{k: F.when(seen, pct(C(k), px)) for k in at},
         "max_favorable_excursion_pct": pct(hi, px), "max_adverse_excursion_pct": pct(lo, px),
-        "session_high_min": F.when(seen, C("top.mso").cast("double")),
-        "session_low_min": F.when(seen, C("bottom.mso").cast("double")),
+        "session_high_min": F.when(seen, C("top").cast("double")),
+        "session_low_min": F.when(seen, C("bottom").cast("double")),
         "session_close_pct_vs_cutoff": pct(C("close_px"), px),
         "break_observed_high": up(C("obs_hi")), "break_observed_low": down(C("obs_lo")),
         "retest_cash_open": both(o), "touch_overnight_high": up(C("onh")),

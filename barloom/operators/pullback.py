@@ -57,10 +57,13 @@ def _counts(s: str) -> dict[str, Column]:
 
 
 def walk(bars: DataFrame, p: PullbackParams = PullbackParams()) -> DataFrame:
-    """Every cash bar with its leg, the state it leaves the session in, and its signal."""
+    """The cash bars up to the deadline, each with its leg, the state it leaves the session in,
+    and its signal. A session without such a bar keeps its first one, which is not evaluated;
+    ``n`` counts all bars of the session."""
     w = in_session()
     b = cash(bars).select(*SESSION, "mso", "adj_high", "adj_low", "adj_close").withColumns({
         "i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(whole_session())})
+    b = b.where((C("mso") <= p.deadline_min) | (C("i") == 0))
     # up is with a bull leg; a bear leg is the same on negated lows and highs
     b = b.withColumns({"bull_a": C("adj_high"), "bull_o": C("adj_low"),
                        "bear_a": -C("adj_low"), "bear_o": -C("adj_high")})
@@ -280,14 +283,15 @@ def trades(bars: DataFrame, levels: DataFrame,
            p: PullbackParams = PullbackParams()) -> DataFrame:
     """Signals of all sessions with their outcome and the furthest state of the session.
 
-    The walk runs once: one row per session keeps its bars, its signals and its furthest
-    state, sessions without a signal drop out, and only then do the levels join.
+    The walk runs once over the bars up to the deadline and leaves one row per session with
+    its signals and its furthest state. Sessions without a signal drop out; the others meet
+    their whole path, narrow rows of the bars, and their levels.
     """
     packed = walk(bars, p).groupBy(*SESSION).agg(
-        _path().alias("path"),
         F.array_sort(F.collect_list(F.when(C("signal"), F.struct(*SIGNAL)))).alias("sigs"),
         F.max(F.when(C("evaluated"), C("state_rank"))).alias("rank")).where(F.size("sigs") > 0)
-    s = packed.select(
+    path = cash(bars).groupBy(*SESSION).agg(_path().alias("path"))
+    s = packed.join(path, SESSION).select(
         *SESSION, "path", F.element_at(F.array(*[F.lit(x) for x in STATES]), C("rank") + 1)
         .alias("reached"), F.posexplode("sigs").alias("k", "sig")).select(
         *SESSION, "path", "reached", "k", "sig.*")

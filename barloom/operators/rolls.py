@@ -21,27 +21,26 @@ def contract_levels(bars: DataFrame, p: SessionParams = SessionParams()) -> Data
     """Per contract: median close at both ends of its life, first day, days to expiry.
 
     Input columns: instrument_id, con_id, contract_month, expiry (yyyymmdd), session_date,
-    mso, is_cash, close. The first and last day come from one aggregate; only the bars of
-    those days take part in the medians.
+    mso, is_cash, close. One pass: the bars of a contract, a quarter of sessions at most, see
+    its first and last day in a window, and only those of these days take part in the medians.
     """
-    b = cash(bars)
-    life = b.groupBy(*CONTRACT).agg(
-        F.min("contract_month").alias("contract_month"), F.min("expiry").alias("expiry"),
-        F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"))
-    ends = life.select(*CONTRACT, F.inline(F.array(
-        F.struct(F.lit("start").alias("side"), C("first_day").alias("session_date")),
-        F.struct(F.lit("end").alias("side"), C("last_day").alias("session_date")))))
-    w = Window.partitionBy(*CONTRACT, "side")
-    e = (b.select(*CONTRACT, "session_date", "mso", "close")
-         .join(ends, [*CONTRACT, "session_date"])
-         .withColumns({"lo": F.min("mso").over(w), "hi": F.max("mso").over(w)}))
-    inside = F.when(C("side") == "end", C("mso") >= C("hi") - p.seam_window_min).otherwise(
-        C("mso") <= C("lo") + p.seam_window_min)
-    lv = e.where(inside).groupBy(*CONTRACT).agg(
-        F.median(F.when(C("side") == "start", C("close"))).alias("start_level"),
-        F.median(F.when(C("side") == "end", C("close"))).alias("end_level"))
+    life, day = Window.partitionBy(*CONTRACT), Window.partitionBy(*CONTRACT, "session_date")
+    e = cash(bars).select(*CONTRACT, "contract_month", "expiry", "session_date", "mso",
+                          "close").withColumns({
+        "contract_month": F.min("contract_month").over(life),
+        "expiry": F.min("expiry").over(life),
+        "first_day": F.min("session_date").over(life),
+        "last_day": F.max("session_date").over(life)})
+    at_start, at_end = (C("session_date") == C(x) for x in ("first_day", "last_day"))
+    e = e.where(at_start | at_end).withColumns({
+        "lo": F.min("mso").over(day), "hi": F.max("mso").over(day)})
+    lv = e.groupBy(*CONTRACT, "contract_month", "expiry", "first_day", "last_day").agg(
+        F.median(F.when(at_start & (C("mso") <= C("lo") + p.seam_window_min), C("close")))
+        .alias("start_level"),
+        F.median(F.when(at_end & (C("mso") >= C("hi") - p.seam_window_min), C("close")))
+        .alias("end_level"))
     days = F.datediff(F.to_date(C("expiry").cast("string"), "yyyyMMdd"), C("first_day"))
-    return life.join(lv, CONTRACT).withColumn("dte_at_start", F.greatest(days, F.lit(1)))
+    return lv.withColumn("dte_at_start", F.greatest(days, F.lit(1)))
 
 
 def _by_month() -> Window:

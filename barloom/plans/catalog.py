@@ -23,17 +23,22 @@ PLANS: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
 class Tables:
-    """Plans of the derived tables for one scale factor. Lazy: a query computes what it reads."""
+    """Plans of the derived tables for one scale factor; a query computes what it reads.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    ``stored`` writes the bars once, when the query is built, and every branch reads them: the
+    ticks are scanned and aggregated once, however many branches a query has.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = True):
+        self.spark, self.dir, self.stored = spark, sf_dir, stored
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def bars(self) -> DataFrame:
-        return ticks.session_bars(self.spark, self.dir)
+        b = ticks.session_bars(self.spark, self.dir)
+        return cut(b) if self.stored else b
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -92,7 +97,7 @@ class Tables:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return search.last_sessions(self.bars)
+        return search.last_sessions(self.stored_daily)
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -140,17 +145,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for n, t in df.dtypes])
 
 
-def query(name: str):
+def query(name: str, stored: bool = True):
+    """Register a plan. ``stored=False``: it reads the bars in one branch and needs no copy."""
     def add(fn: Callable[[Tables], DataFrame]):
         PLANS[name] = lambda tables: rounded(fn(tables))
-        QUERIES[name] = lambda spark, sf_dir: PLANS[name](Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: PLANS[name](Tables(spark, sf_dir, stored))
         return fn
     return add
 
 
 def columns_of(table: str, name: str, cols: str) -> None:
     """A query that shows some columns of a derived table."""
-    query(name)(lambda t: getattr(t, table).select(*SESSION, *[C(f"`{c}`") for c in cols.split()]))
+    query(name, stored=table != "daily")(lambda t: getattr(t, table).select(*SESSION, *[C(f"`{c}`") for c in cols.split()]))
 
 
 # ---- daily features ------------------------------------------------------------------
@@ -178,21 +184,21 @@ for _n, _c in DAILY_VIEWS.items():
 
 
 # ---- sessions ------------------------------------------------------------------------
-@query("c12_session_ohlc")
+@query("c12_session_ohlc", stored=False)
 def _(t: Tables) -> DataFrame:
     return bars.session_ohlc(t.bars).select(
         *SESSION, "cash_open", "cash_high", "cash_low", "cash_close", "cash_open_adj",
         "cash_close_adj", "n_cash_bars", "day_high_adj", "day_low_adj", "feed")
 
 
-@query("c13_overnight_asof")
+@query("c13_overnight_asof", stored=False)
 def _(t: Tables) -> DataFrame:
     return bars.session_ohlc(t.bars).select(
         *SESSION, "overnight_open", "overnight_high", "overnight_low", "overnight_close",
         "n_overnight_bars")
 
 
-@query("c14_daily_row")
+@query("c14_daily_row", stored=False)
 def _(t: Tables) -> DataFrame:
     return bars.session_ohlc(t.bars).select(*SESSION, "prev_session_date", "weekday",
                                             "cash_close", "overnight_open")
@@ -201,12 +207,16 @@ def _(t: Tables) -> DataFrame:
 @query("c9_previous_session")
 def _(t: Tables) -> DataFrame:
     """Previous session of every calendar day an order was placed on, for every instrument
-    that trades that day's ISO week."""
+    whose first and last session lie around that day. Days and spans meet by year."""
     day = F.to_date("o_orderdate")
     days = t.table("orders").select(day.alias("session_date")).distinct().withColumn(
-        "w", F.trunc("session_date", "week"))
-    s = bars.session_ohlc(t.bars).select(*SESSION)
-    asked = days.join(s.select("instrument_id", C("session_date").alias("w")), "w").select(*SESSION)
+        "y", F.year("session_date"))
+    s = t.stored_daily.select(*SESSION)
+    span = s.groupBy("instrument_id").agg(F.min("session_date").alias("a"),
+                                          F.max("session_date").alias("z"))
+    years = span.select("instrument_id", "a", "z", F.explode(
+        F.sequence(F.year("a"), F.year("z"))).alias("y"))
+    asked = days.join(years, "y").where("session_date between a and z").select(*SESSION)
     return bars.previous_session_of(s, asked)
 
 
@@ -379,7 +389,7 @@ STRUCTURED = ContextSpec(opening=("REJECTION_UP", "DRIVE_DOWN"), close_beyond_pr
                          min_range_days=0.0)
 
 
-@query("k1_prior_percentiles")
+@query("k1_prior_percentiles", stored=False)
 def _(t: Tables) -> DataFrame:
     rng = C("cash_high_adj") - C("cash_low_adj")
     cuts = context.prior_percentiles(rng, 250, 20.0, 50.0, 90.0)
@@ -499,19 +509,19 @@ def _(t: Tables) -> DataFrame:
 
 
 # ---- pullback walk -------------------------------------------------------------------
-@query("l1_leg_detection")
+@query("l1_leg_detection", stored=False)
 def _(t: Tables) -> DataFrame:
     return t.walk.where("evaluated").select(
         *SESSION, "mso", "side", "leg_origin_px", "leg_extreme_px", "leg_extreme_mso",
         "steps_in_row", "followthrough_bars")
 
 
-@query("l2_origin_held")
+@query("l2_origin_held", stored=False)
 def _(t: Tables) -> DataFrame:
     return t.walk.where("evaluated and side is not null").select(*SESSION, "mso", "side", "held")
 
 
-@query("l3_count_signals")
+@query("l3_count_signals", stored=False)
 def _(t: Tables) -> DataFrame:
     return t.walk.where("signal").select(*SESSION, "mso", "side", "label", "entry_px", "stop_px",
                                          "pullback_px")
@@ -528,12 +538,12 @@ def _(t: Tables) -> DataFrame:
                             "note")
 
 
-@query("l5_state_trace")
+@query("l5_state_trace", stored=False)
 def _(t: Tables) -> DataFrame:
     return t.walk.where("evaluated").select(*SESSION, "mso", "state")
 
 
-@query("l6_session_states")
+@query("l6_session_states", stored=False)
 def _(t: Tables) -> DataFrame:
     trace = F.array_join(F.transform("trace", lambda x: F.concat_ws(":", x["mso"], x["state"])),
                          " ")
@@ -562,7 +572,7 @@ def _(t: Tables) -> DataFrame:
                            "status", "exit_px", "exit_mso", "reason", "net_points", "r_multiple")
 
 
-@query("l10_state_profile")
+@query("l10_state_profile", stored=False)
 def _(t: Tables) -> DataFrame:
     return pullback.state_profile(pullback.session_states(t.walk))
 
@@ -790,7 +800,7 @@ def _(t: Tables) -> DataFrame:
     return similarity.tiers(similarity.with_tiers(t.features, WIDE), WIDE, 12)
 
 
-@query("i10_period_scope")
+@query("i10_period_scope", stored=False)
 def _(t: Tables) -> DataFrame:
     return similarity.in_period(t.daily.select(*SESSION), similarity.PERIODS["last_year"])
 
@@ -841,13 +851,13 @@ def _(t: Tables) -> DataFrame:
                     "open", "high", "low", "close", "volume")
 
 
-@query("a2_contract_files")
+@query("a2_contract_files", stored=False)
 def _(t: Tables) -> DataFrame:
     """Contract bars written as headed files, one folder per contract, and read by the glob."""
     from barloom.sources.feeds import read_contract_feed, write_csv
     wall = F.date_format("local_dt", "yyyy-MM-dd HH:mm:ss").alias("Datetime")
     path = scratch(t.spark)
-    write_csv(_contracts(t).where("is_cash").select(
+    write_csv(_contracts(t).select(
         wall, C("contract_month").alias("ContractMonth"), C("expiry").alias("Expiry"),
         C("instrument_id").alias("ConId"), C("local_symbol").alias("LocalSymbol"),
         C("open").alias("Open"), C("high").alias("High"), C("low").alias("Low"),
@@ -858,12 +868,12 @@ def _(t: Tables) -> DataFrame:
         "expiry", "local_symbol", "open", "high", "low", "close", "volume", "bar_count")
 
 
-@query("a4_parquet_sink")
+@query("a4_parquet_sink", stored=False)
 def _(t: Tables) -> DataFrame:
     from barloom.sources.feeds import write_table
     path = scratch(t.spark)
     write_table(t.daily.select(*SESSION, "cash_close", "atr", "data_quality_flags"), path)
-    return t.spark.read.parquet(path).where("year >= 1999")
+    return t.spark.read.parquet(path)
 
 
 @query("a5_csv_sink")
@@ -884,7 +894,7 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(rep.schema).json(path)
 
 
-@query("a3_pruned_scan")
+@query("a3_pruned_scan", stored=False)
 def _(t: Tables) -> DataFrame:
     """Two columns and a pushed-down date filter."""
     d = t.table("lineitem").where(C("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
@@ -940,7 +950,7 @@ def _(t: Tables) -> DataFrame:
                                                   "is_cash")
 
 
-@query("b7_clock")
+@query("b7_clock", stored=False)
 def _(t: Tables) -> DataFrame:
     from barloom.functions.columns import clock
     p = SessionParams()
@@ -1019,12 +1029,12 @@ def _(t: Tables) -> DataFrame:
     return out
 
 
-@query("c8_calendar")
+@query("c8_calendar", stored=False)
 def _(t: Tables) -> DataFrame:
     return bars.calendar(t.bars)
 
 
-@query("c10_cash_slice")
+@query("c10_cash_slice", stored=False)
 def _(t: Tables) -> DataFrame:
     return bars.cash(t.bars, 30).select(*SESSION, "mso", "close")
 
@@ -1036,23 +1046,23 @@ def _(t: Tables) -> DataFrame:
 
 
 # ---- audit ---------------------------------------------------------------------------
-@query("d1_timezone_check")
+@query("d1_timezone_check", stored=False)
 def _(t: Tables) -> DataFrame:
     return audit.timezone_check(t.bars)
 
 
-@query("d2_coverage")
+@query("d2_coverage", stored=False)
 def _(t: Tables) -> DataFrame:
     return audit.coverage(t.bars)
 
 
-@query("d3_missing_bars")
+@query("d3_missing_bars", stored=False)
 def _(t: Tables) -> DataFrame:
     """Full means a fifth of the grid here: the slots of these bars are sparse by design."""
     return audit.missing_bars(t.bars, 5, full_share=0.2)
 
 
-@query("d4_contract_inventory")
+@query("d4_contract_inventory", stored=False)
 def _(t: Tables) -> DataFrame:
     return audit.contract_inventory(_contracts(t))
 
@@ -1064,20 +1074,26 @@ def _(t: Tables) -> DataFrame:
     return audit.shared_timestamps(e, ["minute"], "event_type")
 
 
-@query("d6_feed_gap")
+@query("d6_feed_gap", stored=False)
 def _(t: Tables) -> DataFrame:
     return audit.feed_gap(t.bars)
 
 
 def _duplicates(t: Tables) -> DataFrame:
-    li = t.table("lineitem").withColumn("instrument_id", F.floor(C("l_suppkey") / ticks.DESK))
+    """Duplicates of each instrument, and whether an hour of its feed was ambiguous: the ticks'
+    dates with a minute of the day from their keys, as wall clock of the feed's zone."""
+    minute = (C("l_orderkey") * 31 + C("l_linenumber") * 7) % 1440
+    wall = C("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))
+    twice = clean.is_ambiguous(wall, SessionParams().feed_tz)
+    li = t.table("lineitem").withColumns({
+        "instrument_id": F.floor(C("l_suppkey") / ticks.DESK), "twice": twice})
     return clean.duplicate_counts(li, ["instrument_id", *LINE_KEY], LINE_VALUES,
-                                  ["instrument_id"]).withColumn("fallback_used", F.lit(True))
+                                  ["instrument_id"], F.max("twice").alias("fallback_used"))
 
 
 def _audit(t: Tables) -> DataFrame:
     v = rolls.verify_rolls(rolls.roll_factors(t.stored_contracts))
-    return audit.audit_row(cut(t.bars), _duplicates(t), v)
+    return audit.audit_row(t.bars, _duplicates(t), v)
 
 
 @query("d7_warnings")

@@ -16,7 +16,7 @@ C = F.col
 
 @dataclass(frozen=True)
 class AnalogResult:
-    """Lazy tables; nothing runs until one of them is read."""
+    """Lazy tables over the written session features and ranking."""
     tiers: DataFrame
     pool: DataFrame
     top: DataFrame
@@ -27,9 +27,9 @@ class AnalogResult:
     reference: DataFrame
 
 
-def last_sessions(bars: DataFrame) -> DataFrame:
+def last_sessions(daily: DataFrame) -> DataFrame:
     """The newest session of every instrument as its reference; reads two columns."""
-    return bars.where("is_cash").groupBy("instrument_id").agg(
+    return daily.groupBy("instrument_id").agg(
         F.max("session_date").alias("reference_date"))
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder the cluster names in ``spark.checkpoint.dir``, which every
-    executor can read. Only a session without the setting (a local test) gets its own."""
+    executor can read. Only a local session without the setting gets a folder of its own; on a
+    cluster each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = sc.getCheckpointDir()
     return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -16,6 +16,7 @@ from barloom.params import SessionParams
 
 DESK = 25
 EPOCH = "1995-01-02"
+SECOND_FEED = "1998-01-05"  # first session of the contract feed
 
 
 def slot_minute(slot: Column) -> Column:
@@ -29,9 +30,9 @@ def tick_order() -> Column:
     """Order of the ticks in a bar: order, line, then price in cents, so equal keys carry
     equal prices. Packed into one decimal because a struct has no fixed-width aggregation
     buffer and would turn the tick aggregate into a sort."""
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
-    cents = (F.col("l_extendedprice") * 100).cast("decimal(9,0)")
-    return line * F.lit(10 ** 9).cast("decimal(10,0)") + cents
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(19,0)")
+    cents = (F.col("l_extendedprice") * 100).cast("decimal(18,0)")
+    return line * F.lit(10 ** 18).cast("decimal(19,0)") + cents
 
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def session_bars(spark: SparkSession, sf_dir: str,
     """Canonical bars of the driver's tables; the older sessions play the five-minute feed."""
     b = ticks_to_bars(lineitem_ticks(spark, sf_dir))
     tod = F.col("mso") + p.open_min
-    old = F.col("session_date") < F.lit("1998-01-05").cast("date")
+    old = F.col("session_date") < F.lit(SECOND_FEED).cast("date")
     return b.select(
         "instrument_id", "session_date", "mso", tod.alias("tod_min"),
         ((tod >= p.open_min) & (tod < p.close_min)).alias("is_cash"),

@@ -38,8 +38,9 @@ import oracles.intraday  # noqa: E402,F401
 from barloom.plans.catalog import OPENING_VIEWS, OUTCOME_VIEWS  # noqa: E402
 
 add("c9_previous_session", f"""
-WITH asked AS (SELECT DISTINCT o.instrument_id, CAST(d.o_orderdate AS DATE) AS session_date
-  FROM orders d JOIN o_ohlc o ON o.session_date = CAST(date_trunc('week', d.o_orderdate) AS DATE))
+WITH span AS (SELECT instrument_id, min(session_date) AS a, max(session_date) AS z FROM o_ohlc GROUP BY 1),
+asked AS (SELECT DISTINCT s.instrument_id, CAST(d.o_orderdate AS DATE) AS session_date
+  FROM orders d JOIN span s ON CAST(d.o_orderdate AS DATE) BETWEEN s.a AND s.z)
 SELECT a.instrument_id, a.session_date,
   (SELECT max(s.session_date) FROM o_ohlc s WHERE s.instrument_id = a.instrument_id
     AND s.session_date < a.session_date) AS prev_session_date FROM asked a""")
@@ -480,9 +481,9 @@ add("a1_plain_feed_lines", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S')
 _WALL = "strftime(local_dt, '%Y-%m-%d %H:%M:%S')"
 add("a2_contract_files", f"""SELECT instrument_id AS con_id, {_WALL} AS wall, contract_month::BIGINT AS contract_month,
   expiry::BIGINT AS expiry, 'Q' || con_id AS local_symbol, o AS open, h AS high, l AS low, c AS close, volume,
-  n_ticks::DOUBLE AS bar_count FROM o_quarter WHERE is_cash""", "open high low close volume bar_count")
+  n_ticks::DOUBLE AS bar_count FROM o_quarter""", "open high low close volume bar_count")
 add("a4_parquet_sink", f"""SELECT {KEY}, cash_close, atr, data_quality_flags, year(session_date)::INTEGER AS year
-  FROM o_daily WHERE year(session_date) >= 1999""", "cash_close atr")
+  FROM o_daily""", "cash_close atr")
 add("a5_csv_sink", f"""SELECT {KEY}, signal_mso, label, status, reason, r_multiple FROM o_trades""",
     "r_multiple")
 add("a3_pruned_scan", """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, sum(l_quantity) AS quantity
@@ -592,11 +593,15 @@ _GAP = """SELECT instrument_id, CAST(floor((epoch(min(local_dt) FILTER (feed = '
   - epoch(max(local_dt) FILTER (feed = 'feed_5m'))) / 86400) AS BIGINT) AS gap_days FROM o_bars GROUP BY ALL"""
 add("d6_feed_gap", _GAP)
 _DUP = """
-WITH v AS (SELECT l_suppkey // 25 AS instrument_id, l_orderkey, l_linenumber, l_returnflag, l_linestatus, count(*) AS n
-  FROM lineitem GROUP BY ALL),
-k AS (SELECT instrument_id, l_orderkey, l_linenumber, count(*) AS versions, sum(n) AS n FROM v GROUP BY ALL)
+WITH f AS (SELECT *, l_shipdate::TIMESTAMP + to_minutes((l_orderkey * 31 + l_linenumber * 7) % 1440) AS wall FROM lineitem),
+u AS (SELECT *, timezone('America/Chicago', wall) AS u FROM f),
+v AS (SELECT l_suppkey // 25 AS instrument_id, l_orderkey, l_linenumber, l_returnflag, l_linestatus, count(*) AS n,
+    bool_or(timezone('America/Chicago', u) = wall AND (timezone('America/Chicago', u - INTERVAL 1 HOUR) = wall
+      OR timezone('America/Chicago', u + INTERVAL 1 HOUR) = wall)) AS twice
+  FROM u GROUP BY ALL),
+k AS (SELECT instrument_id, l_orderkey, l_linenumber, count(*) AS versions, sum(n) AS n, bool_or(twice) AS twice FROM v GROUP BY ALL)
 SELECT instrument_id, sum(n)::BIGINT AS n_raw, (sum(n) - sum(versions))::BIGINT AS n_exact_duplicates,
-  count(*) FILTER (versions > 1) AS n_conflicting_duplicates, count(*) AS n_clean, true AS fallback_used
+  count(*) FILTER (versions > 1) AS n_conflicting_duplicates, count(*) AS n_clean, bool_or(twice) AS fallback_used
 FROM k GROUP BY ALL"""
 _TZ = STATEMENTS["d1_timezone_check"]
 _AUDIT = f"""SELECT instrument_id, n_raw, n_exact_duplicates, n_conflicting_duplicates, n_clean, fallback_used,

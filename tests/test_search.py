@@ -94,7 +94,7 @@ def test_search_modes(spark):
     days, s = sample(spark)
     b = make_bars(spark, s)
     d = daily.daily_features(b)
-    refs = last_sessions(b)
+    refs = last_sessions(d)
     spec = FilterSpec(gap_sign="positive", vol_regimes=("low", "normal"))
     r = analog_search(b, d, refs, spec, "exact", n=5)
     top = r.top.orderBy("rank").collect()
