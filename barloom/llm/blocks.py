@@ -7,14 +7,15 @@ is longer, so memory follows the chunk, not the partition.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 BATCH = 8 << 20
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -47,20 +48,38 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 WEIGHTS = _spread(64, 11) | U(1)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
     base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
     out = []
     for b in (base, inverse):
         p = np.full(n, b, U)
         p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+        out.append(np.multiply.accumulate(p, out=p))
+    return out
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse, ``n`` of each at least."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        _TABLES[:] = _powers(max(CHUNK + 2, n + n // 4))
+    return _TABLES
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: workers are used again, and several of them
+    share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    return _powers(max(CHUNK + 1, 1 << max(n, 1).bit_length()))
+def tidied(batches: Iterator) -> Iterator:
+    """A task's batches, and ``release`` after the last."""
+    yield from batches
+    release()
 
 
 class Rolling:

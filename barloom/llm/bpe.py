@@ -10,7 +10,7 @@ neighbours are all compatible is the one that the merges give.
 
 Only tokens that the merges can make are used inside a pre-token; a whole pre-token in the
 vocabulary is one id, as in the library. Encoded pre-tokens are kept in a table of bounded size
-for each worker. Texts are independent rows: one pass, no shuffle, nothing collected.
+during a task. Texts are independent rows: one pass, no shuffle, nothing collected.
 
 Defined cases: a null text encodes like an empty one, to no ids. Repeated rows get equal
 results. A pre-token of any length is encoded whole.
@@ -28,9 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import small_batches
+from barloom.llm.blocks import small_batches, tidied
 
-KEPT = 80_000
+KEPT = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,6 +155,11 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [i for p in self.split(text) for i in self.encode_bytes(p.encode())]
 
+    def forget(self) -> None:
+        """Empty the tables; the automaton stays."""
+        for table in (self._pieces, self._older, self._pairs):
+            table.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
@@ -172,7 +177,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in tidied(batches):
             n, ids, decoded = [], [], []
             for t in b.column("t"):
                 got = enc.pieces(t.as_py() or "")
@@ -182,6 +187,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [b.column("k"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                  pa.array(decoded, pa.string())], names=["k", "n", "i", "d"])
+        enc.forget()
 
     kind = dict(rows.dtypes)["k"]
     return rows.mapInArrow(run, f"k {kind}, n long, i string, d string").select(
@@ -198,12 +204,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in tidied(batches):
             ids = [[int(i) for p in enc.pieces(t.as_py() or "") if p[0]
                     for i in p[0].split(b",")] for t in b.column("t")]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in names], pa.array(ids, pa.list_(pa.int32()))],
                 names=[*names, "ids"])
+        enc.forget()
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in names)
@@ -219,7 +226,7 @@ def decode(rows: DataFrame, path: str, pattern: str, keep: list[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in tidied(batches):
             text = [enc.decode(x.as_py() or []).decode("utf-8", "replace") for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in names], pa.array(text, pa.string())],

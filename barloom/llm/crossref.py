@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, chunks, small_batches
+from barloom.llm.blocks import U, chunks, release, small_batches, tidied
 
 SHARE = 8 << 20
 LEAST_BUCKETS = 64
@@ -218,7 +218,7 @@ def cross(docs: DataFrame, key: str, text: str, extract: Extract,
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId() << 28, 0
-        for b in batches:
+        for b in tidied(batches):
             at = 0
             sizes = pa.compute.binary_length(b.column("t")).fill_null(0).to_numpy(
                 zero_copy_only=False)
@@ -232,6 +232,10 @@ def cross(docs: DataFrame, key: str, text: str, extract: Extract,
                                     part.column("t"), carry))
                 n, at = n + 1, end
 
+    def finished(key: tuple, table: pa.Table) -> pa.Table:
+        out = pa.Table.from_batches([finish(Block(table), key[0].as_py())])
+        release()
+        return out
+
     counted = rows.mapInArrow(split, _SCHEMA).groupBy("g").applyInArrow(_count, _SCHEMA)
-    return counted.groupBy("block").applyInArrow(
-        lambda key, table: pa.Table.from_batches([finish(Block(table), key[0].as_py())]), schema)
+    return counted.groupBy("block").applyInArrow(finished, schema)

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, Rolling, chunks, shingle_hashes, small_batches, word_hashes
+from barloom.llm.blocks import (U, Rolling, chunks, shingle_hashes, small_batches, tidied,
+                                word_hashes)
 
 SEED = 5
 LEAST_COVERAGE = 0.5
@@ -161,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str =
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in tidied(batches):
                 memo: dict = {}
                 found = []
                 for _, buf, offs in chunks(b.column(read)):

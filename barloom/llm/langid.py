@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, WEIGHTS, chunks, mix, small_batches
+from barloom.llm.blocks import U, WEIGHTS, chunks, mix, small_batches, tidied
 
 #: Branches of the ISO 639-1 codes.
 FAMILIES = {
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         lang: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Fit on a bounded sample of the rows where ``learn`` holds."""
     rows = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"),
-                                      F.col(lang).alias("l"), learn.alias("use")).where("use and l is not null and t is not null")
+                                      F.col(lang).alias("l"), learn.alias("use")).where(
+        "use and l is not null and t is not null")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("k").alias("n"))
               .where("n > 0").limit(MOST_LANGS + 1).collect()}
     if len(counts) > MOST_LANGS:
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         "pmod(xxhash64(k), 1000000) < share * 1000000").select("l", "t")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             langs = b.column("l")
             for row, buf, offs in chunks(b.column("t"), rows=ROWS):
                 x = features(buf, offs).astype(np.float32)
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                         *[F.col(text).alias("t")] * (text not in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             names: list[str] = []
             scores = [np.zeros(0)]
             for _, buf, offs in chunks(b.column(read), rows=ROWS):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import U, mix, small_batches
+from barloom.llm.blocks import U, mix, small_batches, tidied
 from barloom.plans.storage import scratch
 
 LENGTH = 1024
@@ -148,7 +148,7 @@ def materialise(docs: DataFrame, ids: str, folder: str, key: int, dtype: str = "
         number = starts.get(p, 0)
         rest = np.zeros(0, kind)
         carried: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
-        for b in batches:
+        for b in tidied(batches):
             if not b.num_rows:
                 continue
             flat, offs = _flat(b.column("t"), kind, end)

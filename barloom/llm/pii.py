@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import chunks, small_batches, word_hashes
+from barloom.llm.blocks import chunks, small_batches, tidied, word_hashes
 from barloom.plans.storage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -144,7 +144,7 @@ def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
                                                       ("e", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
             base, found = [], []
             for t in b.column("t"):
@@ -170,7 +170,7 @@ def _term_counts(docs: DataFrame, text: str, candidates: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = shared.value
-        for b in batches:
+        for b in tidied(batches):
             plain = pa.compute.replace_substring_regex(
                 b.column("t").cast(pa.large_string()), r"[.,;:!?()\[\]\"']+", " ")
             parts = []
