@@ -8,7 +8,7 @@ from barloom.functions.columns import (SESSION, all_of, count_where, ever, first
                                        in_session, lag_session, last_match, latest, prior,
                                        ratio, yes)
 from barloom.operators.bars import cash
-from barloom.params import CONTEXT_DIMENSIONS, ContextParams, ContextSpec
+from barloom.params import CONTEXT_DIMENSIONS, Condition, ContextParams, ContextSpec
 
 C = F.col
 
@@ -228,28 +228,14 @@ def context_table(bars: DataFrame, daily: DataFrame,
     return d.join(openings(bars, p), SESSION)
 
 
-def _structure(spec: ContextSpec) -> list[tuple[str, Column]]:
-    out = []
-    if spec.lower_highs:
-        out.append(("lower highs", C("op_lower_highs")))
-    if spec.higher_lows:
-        out.append(("higher lows", C("op_higher_lows")))
-    return out
-
-
-def _membership(spec: ContextSpec) -> list[tuple[str, Column]]:
-    return [(f"{f} in {list(getattr(spec, f))}", C(f).isin(*getattr(spec, f)))
-            for f in CONTEXT_DIMENSIONS if getattr(spec, f)]
+def _holds(c: Condition) -> Column:
+    if c.among:
+        return C(c.column).isin(*c.among)
+    return C(c.column) if c.least is None else C(c.column) >= c.least
 
 
 def matches_context(spec: ContextSpec) -> Column:
-    conds = [c for _, c in _membership(spec) + _structure(spec)]
-    if spec.close_beyond_prior_bar:
-        fading = set(spec.opening or ()) & {"REJECTION_UP", "DRIVE_DOWN"}
-        conds.append(C("op_close_below_prior_low" if fading else "op_close_above_prior_high"))
-    if spec.min_range_days is not None:
-        conds.append(C("prior_3d_range_count") >= spec.min_range_days)
-    return all_of(conds)
+    return all_of([_holds(c) for c in spec.conditions])
 
 
 def funnel(table: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
@@ -268,7 +254,7 @@ def funnel(table: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 
 
 def context_funnel(table: DataFrame, spec: ContextSpec) -> DataFrame:
-    return funnel(table, _membership(spec) + _structure(spec))
+    return funnel(table, [(str(c), _holds(c)) for c in spec.conditions])
 
 
 def label_mix(table: DataFrame) -> DataFrame:

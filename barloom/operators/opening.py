@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import (SESSION, any_of, before, count_where, ever, first_minute,
+from barloom.functions.columns import (SESSION, any_of, before, count_where, first_minute,
                                        in_session, latest, pct, ratio, upto, whole_session, yes)
 from barloom.operators.bars import cash
 from barloom.operators.daily import reference_levels
@@ -181,6 +181,3 @@ WEAKNESS_EVENTS = ("first_meaningful_lower_high_min", "first_bearish_expansion_m
 
 def weak_by(minute: float) -> Column:
     return any_of([C(e) <= minute for e in WEAKNESS_EVENTS])
-
-
-__all__ = ["observed", "opening_features", "weak_by", "WEAKNESS_EVENTS", "ever"]

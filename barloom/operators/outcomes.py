@@ -86,6 +86,8 @@ def session_outcomes(bars: DataFrame, daily: DataFrame, cutoff_min: int,
 CLASSES = ("ATH gap-and-go continuation", "opening spike then bull flag",
            "opening spike failure", "partial gap fade", "full gap fill", "complete reversal",
            "high-level range day", "two-sided volatile day")
+(GAP_AND_GO, SPIKE_AND_FLAG, SPIKE_FAILED, GAP_FADED, GAP_FILLED, REVERSED, HIGH_RANGE,
+ TWO_SIDED) = CLASSES
 
 
 def classify_days(d: DataFrame, rules: ClassRules = ClassRules(),
@@ -112,24 +114,26 @@ def classify_days(d: DataFrame, rules: ClassRules = ClassRules(),
     deep = yes(-mae > rules.big_excursion_atr)
     reach = rules.big_excursion_atr * ratio(100.0 * F.nullif(C("atr"), F.lit(0.0)),
                                             C("cash_open_adj"))
-    rule = [
-        (full & ~up_close & gap_up, 4), (gap_up & net.isNotNull() & ~up_close & deep, 5),
-        (high_up & spike & bull & up_close & ~weak & yes(net >= rules.trend_net_atr), 0),
-        (spike & bull & early & (~up_close | deep), 2), (spike & bull & weak & up_close, 1),
-        (gap_up & half & ~full, 3), (yes((mfe >= reach) & (-mae >= reach)), 7),
-        (yes(net < rules.range_net_atr), 6)]
-    note = {
-        4: F.format_string("gap %+.2f%% filled, close below the open", "gap_pct"),
-        5: F.format_string("gap %+.2f%% reversed, adverse excursion %.2f%%", "gap_pct", mae),
-        0: F.lit("at the highs, large bullish first bar, held into the close"),
-        2: F.format_string("bullish spike, weakness at minute %.0f", first_weak.cast("double")),
-        1: F.lit("bullish spike, overlapping follow-through, close above the open"),
-        3: F.format_string("gap %+.2f%% half filled", "gap_pct"),
-        7: F.lit("large excursions both ways"), 6: F.lit("small net change")}
-    day_class = first_match([(c, CLASSES[k]) for c, k in rule], CLASSES[6])
+    # Condition, class and reason; the first that holds decides.
+    rules_in_order = [
+        (full & ~up_close & gap_up, GAP_FILLED,
+         F.format_string("gap %+.2f%% filled, close below the open", "gap_pct")),
+        (gap_up & net.isNotNull() & ~up_close & deep, REVERSED,
+         F.format_string("gap %+.2f%% reversed, adverse excursion %.2f%%", "gap_pct", mae)),
+        (high_up & spike & bull & up_close & ~weak & yes(net >= rules.trend_net_atr), GAP_AND_GO,
+         F.lit("at the highs, large bullish first bar, held into the close")),
+        (spike & bull & early & (~up_close | deep), SPIKE_FAILED,
+         F.format_string("bullish spike, weakness at minute %.0f", first_weak.cast("double"))),
+        (spike & bull & weak & up_close, SPIKE_AND_FLAG,
+         F.lit("bullish spike, overlapping follow-through, close above the open")),
+        (gap_up & half & ~full, GAP_FADED,
+         F.format_string("gap %+.2f%% half filled", "gap_pct")),
+        (yes((mfe >= reach) & (-mae >= reach)), TWO_SIDED, F.lit("large excursions both ways")),
+        (yes(net < rules.range_net_atr), HIGH_RANGE, F.lit("small net change"))]
+    day_class = first_match([(c, name) for c, name, _ in rules_in_order], HIGH_RANGE)
     why = None
-    for c, k in rule:
-        why = F.when(yes(c), note[k]) if why is None else why.when(yes(c), note[k])
+    for c, _, note in rules_in_order:
+        why = F.when(yes(c), note) if why is None else why.when(yes(c), note)
     return d.withColumns({
         "day_classification": day_class,
         "day_classification_reason": why.otherwise(F.when(

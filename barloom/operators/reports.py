@@ -6,7 +6,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SESSION, count_where, percentiles
+from barloom.functions.columns import count_where, percentiles
 
 C = F.col
 # The outcome metrics of the distribution report.
@@ -84,7 +84,3 @@ def relaxation_lines(tiers: DataFrame) -> DataFrame:
         F.when(C("relaxed_broad") != "", F.format_string("broad %d (%s)", "n_broad",
                                                          "relaxed_broad")),
         F.when(C("few_exact"), "few exact cases: indicative only")).alias("summary"))
-
-
-__all__ = ["distribution", "headline", "histogram", "dates_only", "describe_spec",
-           "relaxation_lines", "METRICS", "SESSION"]

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SESSION
 from barloom.operators import (audit, backtest, bars, clean, context, daily, opening, outcomes,
                                paths, pullback, reports, rolls, setups, similarity)
-from barloom.params import (ContextParams, ContextSpec, FilterSpec, PullbackParams,
-                            SessionParams, SetupSpec, TradeRules, flagship_filter)
+from barloom.params import (LOWER_HIGHS, FilterSpec, SessionParams, SetupSpec, TradeRules,
+                            beyond_prior_bar, flagship_filter, in_context, range_days)
 from barloom.plans import search
 from barloom.plans.storage import cut, scratch
 from barloom.sources import ticks
@@ -382,11 +382,11 @@ CONTEXT_VIEWS["k13_context_table"] = " ".join(CONTEXT_VIEWS.values())
 for _n, _c in CONTEXT_VIEWS.items():
     columns_of("context", _n, _c)
 
-RISING = ContextSpec(swing=("BULL", "STRONG_BULL"), location=("AT_ATH", "NEAR_ATH",
-                                                            "BREAKOUT_UP", "UPPER_RANGE"),
-                     opening=("DRIVE_UP", "REJECTION_UP", "RANGE_OPEN"))
-STRUCTURED = ContextSpec(opening=("REJECTION_UP", "DRIVE_DOWN"), close_beyond_prior_bar=True,
-                         min_range_days=0.0)
+UPPER = ("AT_ATH", "NEAR_ATH", "BREAKOUT_UP", "UPPER_RANGE")
+RISING = in_context(swing=("BULL", "STRONG_BULL"), location=UPPER,
+                    opening=("DRIVE_UP", "REJECTION_UP", "RANGE_OPEN"))
+FADING = ("REJECTION_UP", "DRIVE_DOWN")
+STRUCTURED = in_context(opening=FADING).having(beyond_prior_bar(FADING), range_days(0.0))
 
 
 @query("k1_prior_percentiles", stored=False)
@@ -407,7 +407,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("k15_context_funnel")
 def _(t: Tables) -> DataFrame:
-    return context.context_funnel(t.context, RISING.but(lower_highs=True))
+    return context.context_funnel(t.context, RISING.having(LOWER_HIGHS))
 
 
 @query("k16_label_mix")
@@ -687,8 +687,7 @@ def _(t: Tables) -> DataFrame:
 @query("m7_context_study")
 def _(t: Tables) -> DataFrame:
     """Long side only, inside one location group."""
-    picked = t.context.where(context.matches_context(ContextSpec(
-        location=("AT_ATH", "NEAR_ATH", "BREAKOUT_UP", "UPPER_RANGE"))))
+    picked = t.context.where(context.matches_context(in_context(location=UPPER)))
     return backtest.performance(backtest.drive_trades(t.bars, picked, labels=("DRIVE_UP",)))
 
 

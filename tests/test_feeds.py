@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from barloom.operators import audit, bars, clean, rolls
-from barloom.params import ContextSpec, SessionParams
+from barloom.params import SessionParams, in_context
 from barloom.plans.derived import fingerprint, stored_or_built
 from barloom.sources import feeds
 
@@ -46,8 +46,8 @@ def test_sinks_round_trip(spark, scratch):
     assert back.where("year = 2024").count() == 3 and back.count() == 5
     feeds.write_csv(keep, f"{scratch}/c")
     assert spark.read.option("header", True).csv(f"{scratch}/c").count() == 5
-    feeds.write_json(feeds.params_row(spark, ContextSpec(swing=("BULL",))), f"{scratch}/j")
-    assert '"swing": ["BULL"]' in spark.read.json(f"{scratch}/j").first().spec
+    feeds.write_json(feeds.params_row(spark, in_context(swing=("BULL",))), f"{scratch}/j")
+    assert '"among": ["BULL"]' in spark.read.json(f"{scratch}/j").first().spec
 
 
 def test_stored_table_is_built_once_per_parameters(spark, scratch):

@@ -6,7 +6,7 @@ from conftest import DAY, by_key, five_minutes, flat_session, make_bars, weekday
 from pyspark.sql import functions as F
 
 from barloom.operators import context, daily, opening, outcomes, setups
-from barloom.params import ContextParams, ContextSpec, SetupSpec
+from barloom.params import ContextParams, ContextSpec, SetupSpec, in_context
 
 DAILY = ("instrument_id long, session_date date, cash_open_adj double, cash_close_adj double, "
          "previous_day_high double, previous_day_low double, previous_close double, "
@@ -127,7 +127,7 @@ def test_location_and_swing_of_a_rise(spark):
 def test_context_filter_and_funnel(spark):
     days, d = rising(spark)
     t = context.daily_context(d)
-    spec = ContextSpec(swing=("BULL",), location=("NEAR_ATH", "AT_ATH"))
+    spec = in_context(swing=("BULL",), location=("NEAR_ATH", "AT_ATH"))
     f = context.context_funnel(t, spec).orderBy("step_no").collect()
     assert [r.step_no for r in f] == [0, 1, 2] and f[0].surviving == 60
     assert all(a.surviving >= b.surviving and b.cut == a.surviving - b.surviving
