@@ -11,9 +11,22 @@ from barloom.params import ContextParams, SessionParams
 from barloom.sources.feeds import write_table
 
 
-def fingerprint(*params) -> str:
-    """Name part of a stored table: every parameter it was built with."""
-    text = json.dumps([p.as_dict() for p in params], sort_keys=True, default=str)
+def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of every file that a table reads."""
+    jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+    conf, out = sc._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return out
+
+
+def fingerprint(*params, source: DataFrame | None = None) -> str:
+    """Name part of a stored table: every parameter it was built with, and the files of its
+    ``source``, so that new input is a new table."""
+    text = json.dumps([[p.as_dict() for p in params],
+                       [] if source is None else files_of(source)], sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
@@ -25,7 +38,8 @@ def build_all(bars: DataFrame, out: str, p: SessionParams = SessionParams(),
     tasks and never the lineage back to the ticks.
     """
     spark = bars.sparkSession
-    where = {k: f"{out}/{k}_{fingerprint(p, cp)}" for k in ("bars", "daily", "opening", "context")}
+    name = fingerprint(p, cp, source=bars)
+    where = {k: f"{out}/{k}_{name}" for k in ("bars", "daily", "opening", "context")}
     write_table(bars, where["bars"])
     b = spark.read.parquet(where["bars"]).drop("year")
     write_table(daily.daily_features(b, p), where["daily"])
@@ -35,8 +49,9 @@ def build_all(bars: DataFrame, out: str, p: SessionParams = SessionParams(),
     return where
 
 
-def stored_or_built(spark: SparkSession, path: str, build, **names) -> DataFrame:
-    """Read a derived table under its parameter fingerprint, building it once."""
+def stored_or_built(spark: SparkSession, path: str, build) -> DataFrame:
+    """Read a derived table under its fingerprint, building it once. Two builders at the same
+    time write the same rows; the one that commits last stays."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -61,6 +61,11 @@ def test_stored_table_is_built_once_per_parameters(spark, scratch):
     assert stored_or_built(spark, path, build).count() == 2
     assert stored_or_built(spark, path, build).count() == 2 and len(calls) == 1
     assert fingerprint(P) != fingerprint(P.but(cutoff="10:00"))
+    table = stored_or_built(spark, path, build)
+    assert fingerprint(P, source=table) == fingerprint(P, source=table) != fingerprint(P)
+    table.write.mode("append").partitionBy("mso").parquet(f"{scratch}/more")
+    more = spark.read.parquet(f"{scratch}/more")
+    assert fingerprint(P, source=more) != fingerprint(P, source=table)
 
 
 def walls(spark, *texts):
