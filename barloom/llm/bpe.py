@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.blocks import small_batches, tidied
 
-KEPT = 60_000
+KEPT = 200_000
+PAIRS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,7 +83,7 @@ class Encoder:
         if ok is None:
             a, b = self.bytes_of[i], self.bytes_of[j]
             ok = self._made(j) and merge(a + b, self.ranks) == [a, b]
-            if len(self._pairs) >= 5 * self.kept:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[i << 32 | j] = ok
         return ok
@@ -165,9 +167,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, kept: int = KEPT) -> Encoder:
     """One encoder for each Python worker; the vocabulary lies with the installed package."""
-    return Encoder(read_ranks(path), pattern)
+    return Encoder(read_ranks(path), pattern, kept)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
@@ -195,18 +197,19 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
         F.col("d").alias("decoded_sha256"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str],
-           text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``ids``, an array of token ids."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text",
+           kept: int = KEPT) -> DataFrame:
+    """The columns ``keep`` and ``ids``, an array of token ids. ``kept`` bounds the worker's
+    table of pre-tokens (about 0.7 kB each)."""
     rows = small_batches(docs).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
                        F.col(text).alias("t"))
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, kept)
         for b in tidied(batches):
-            ids = [[int(i) for p in enc.pieces(t.as_py() or "") if p[0]
-                    for i in p[0].split(b",")] for t in b.column("t")]
+            ids = [np.fromstring(b",".join([p[0] for p in enc.pieces(t.as_py() or "")]).decode(),
+                                 np.int32, sep=",") for t in b.column("t")]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in names], pa.array(ids, pa.list_(pa.int32()))],
                 names=[*names, "ids"])

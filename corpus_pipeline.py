@@ -14,6 +14,8 @@ from barloom.plans.storage import scratch
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this share of the votes a text counts as no language at all.
 LEAST_SCORE = 0.3
+#: Pre-tokens a worker keeps: it shares the executor with what earlier stages left.
+KEPT = 80_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -46,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     import public_tokenizers
     out = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN,
-                     ["doc_id", "lang", "source", "n_chars"])
+                     ["doc_id", "lang", "source", "n_chars"], kept=KEPT)
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
