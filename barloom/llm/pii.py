@@ -1,18 +1,27 @@
 """Personal data: base patterns, and terms that give an entity away.
 
 Base spans are e-mail, IP, card and phone numbers. Information-theoretic sanitisation adds
-terms: over the whole corpus, the words near an entity (``REACH`` words on either side) are
-counted with it, and a term's point-wise mutual information with the entity is held against the
-entity's own information content. With ``d(x)`` the number of documents with x and N that of
-all, PMI = log2(N d(e,t) / (d(e) d(t))) and IC = log2(N / d(e)). A term discloses when PMI >=
-``SHARE`` IC in at least ``SUPPORT`` different surroundings, so copies of one passage prove
-nothing. It is removed when it determines the entity (PMI >= IC), else generalised.
-
-All counts cover all documents. Contexts leave the tasks as one row for each document and
-entity; counts are aggregates with a map-side step, so an entity or a term that a third of all
-documents holds is added up before the shuffle. Words of the corpus are counted only where they
-are candidates: the list of candidates goes to the tasks when it is at most ``LISTED`` hashes
-(its size is checked), else all words are shuffled; the counts are the same.
+terms: over the whole corpus, the words of a document are counted with every entity it holds,
+and a term's point-wise mutual information with the entity is held against the entity's own
+information content. With ``d(x)`` the number of documents with x and N that of all, PMI =
+log2(N d(e,t) / (d(e) d(t))) and IC = log2(N / d(e)). A term discloses when PMI >= ``SHARE`` IC
+in at least ``SUPPORT`` different surroundings (``REACH`` words on either side) of the entity,
+so copies of one passage prove nothing. Every occurrence in a document that holds the entity is
+marked: removed when the term determines the entity (PMI >= IC), else generalised.
+
+A word is a run of characters other than blanks and punctuation, with apostrophes and hyphens
+inside. A word below ``LEAST_LETTERS`` characters is a term unless it is all lower-case letters.
+Words inside base spans are not counted with an entity and not marked, but count in d(t).
+
+All counts cover all documents. Only entities with ``SUPPORT`` surroundings can give a term, so
+the texts that hold one are set aside and read again, once for the counts and once for the
+marks. PMI is at most log2(N / max(d(e), d(t))), which rules out terms with d(t) > N^(1-SHARE)
+d(e)^SHARE: the most frequent ``COMMON`` of them go to the tasks, which skip them, and the rest
+are dropped by the final comparison. Pairs are added up in the tasks, keeping ``SUPPORT``
+surroundings of each, before they are shuffled, and again in a map-side step. Words of the
+corpus are counted only where they are candidates: the list of candidates goes to the tasks
+when it is at most ``LISTED`` hashes (its size is checked), else all words are shuffled; the
+list of disclosing terms likewise. The counts and marks are the same.
 
 Defined cases: a null text is empty and has no spans. Rows are told apart by key and text, so
 repeated rows get equal results and null keys stay. A very long text is one row like any other;
@@ -30,7 +39,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.blocks import chunks, small_batches, tidied, word_hashes
+from barloom.llm.blocks import (BYTE_CODE, FOLDED_CODE, Rolling, chunks, small_batches, tidied,
+                                word_hashes, words)
 from barloom.plans.storage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,6 +50,9 @@ SUPPORT = 3
 SHARE = 0.9
 LEAST_LETTERS = 4
 LISTED = 1_000_000
+COMMON = 100_000
+#: Pairs a task holds before it adds them up.
+HELD = 1 << 20
 GENERAL = "[TERM]"
 
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,6 +61,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BREAK = r"\x00-\x20!\"#$%&()*+,./:;<=>?\[\\\]^`{|}~\x7f" + "\u00a0«»“”„‘…–—¿¡、。，"
+_INNER = r"'’\-"
+_TERM = re.compile(f"[^{_BREAK}{_INNER}]+(?:[{_INNER}]+[^{_BREAK}{_INNER}]+)*")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,59 +110,51 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _hash(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64)[0])
+def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
+    """Texts whose runs without white space are the words that ``_TERM`` finds."""
+    out = column.cast(pa.large_string())
+    for pattern, by in ((f"[{_BREAK}]+", " "), (f"[{_INNER}]+( |$)", r"\1"),
+                        (f"(^| )[{_INNER}]+", r"\1")):
+        out = pa.compute.replace_substring_regex(out, pattern, by)
+    return out
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """One record for each entity of a text: the terms near its mentions and where they are."""
+    """One record for each entity of a text: a digest of the words near its mentions."""
     ordered = sorted(spans, key=lambda s: s[1])
-    tokens = []
-    for i, (kind, a, b) in enumerate(ordered):
+    found: dict[tuple[str, str], dict[int, str]] = {}
+    for kind, a, b in ordered:
         left, right = text[max(0, a - 60 * REACH):a], text[b:b + 60 * REACH]
-        tokens.append([(m, a - len(left)) for m in _WORD.finditer(left)][-REACH:]
-                      + [(m, b) for m in _WORD.finditer(right)][:REACH])
-    found: dict[tuple[str, str], dict] = {}
-    for (kind, a, b), near in zip(ordered, tokens):
+        near = ([(m, a - len(left)) for m in _WORD.finditer(left)][-REACH:]
+                + [(m, b) for m in _WORD.finditer(right)][:REACH])
         value = re.sub(r"[^0-9a-z@+._-]", "", text[a:b].lower())
-        rec = found.setdefault((kind, value), {"kind": kind, "value": value, "terms": {}})
+        around = found.setdefault((kind, value), {})
         for m, shift in near:
             word = m[0].strip(".,;:!?()[]\"'")
             if len(word) < LEAST_LETTERS or not word.isalpha():
                 continue
             start = m.start() + shift + m[0].index(word)
-            end = start + len(word)
-            if any(s < end and start < e for _, s, e in ordered):
-                continue
-            rec["terms"][start] = (word, start, end)
-    out = []
-    for rec in found.values():
-        terms = [(_hash(w), s, e) for w, s, e in rec["terms"].values()]
-        around = hashlib.md5(" ".join(w for w, _, _ in rec["terms"].values()).encode())
-        out.append({"kind": rec["kind"], "value": rec["value"],
-                    "around": int.from_bytes(around.digest()[:8], "big", signed=True),
-                    "terms": [{"h": h, "s": s, "e": e} for h, s, e in terms]})
-    return out
+            if not any(s < start + len(word) and start < e for _, s, e in ordered):
+                around[start] = word
+    return [{"kind": kind, "value": value, "around": int.from_bytes(hashlib.md5(
+        " ".join(around.values()).encode()).digest()[:8], "big", signed=True)}
+        for (kind, value), around in found.items()]
 
 
 _BASE = ("k {kind}, th long, " + ", ".join(f"n_{k} long" for k in KINDS)
-         + ", base string, found array<struct<kind:string, value:string, around:long, "
-           "terms:array<struct<h:long, s:int, e:int>>>>")
+         + ", base string, found array<struct<kind:string, value:string, around:long>>, t string")
 
 
 def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = small_batches(docs).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("th"),
                        F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
-    entity = pa.struct([("kind", pa.string()), ("value", pa.string()), ("around", pa.int64()),
-                        ("terms", pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int32()),
-                                                      ("e", pa.int32())])))])
+    entity = pa.struct([("kind", pa.string()), ("value", pa.string()), ("around", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tidied(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
-            base, found = [], []
+            base, found, held = [], [], []
             for t in b.column("t"):
                 text_ = t.as_py() or ""
                 spans = base_spans(text_)
@@ -154,40 +162,56 @@ def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
                     counts[i].append(sum(s[0] == k for s in spans))
                 base.append(written(spans))
                 found.append(contexts(text_, spans) if spans else [])
+                held.append(text_ if spans else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("k"), b.column("th"), *[pa.array(c, pa.int64()) for c in counts],
-                 pa.array(base, pa.string()), pa.array(found, pa.list_(entity))],
-                names=["k", "th", *[f"n_{k}" for k in KINDS], "base", "found"])
+                 pa.array(base, pa.string()), pa.array(found, pa.list_(entity)),
+                 pa.array(held, pa.string())],
+                names=["k", "th", *[f"n_{k}" for k in KINDS], "base", "found", "t"])
 
     return rows.mapInArrow(run, _BASE.format(kind=kind))
 
 
+def _listed(hashes: DataFrame) -> np.ndarray | None:
+    """The hashes in order when they are at most ``LISTED``."""
+    few = hashes.limit(LISTED + 1).toArrow().column(0).to_numpy()
+    return np.sort(few.astype(np.int64)) if len(few) <= LISTED else None
+
+
+def _in(want: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(want, h)
+    hit = np.zeros(len(h), bool)
+    inside = at < len(want)
+    hit[inside] = want[at[inside]] == h[inside]
+    return hit
+
+
+def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once for each row, in the order of the rows."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
 def _term_counts(docs: DataFrame, text: str, candidates: DataFrame) -> DataFrame:
-    """Documents with each candidate term; a word loses the punctuation at its ends."""
-    few = candidates.limit(LISTED + 1).collect()
-    listed = (np.sort(np.array([r.h for r in few], np.int64)) if len(few) <= LISTED else None)
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    """Documents with each candidate term."""
+    shared = docs.sparkSession.sparkContext.broadcast(_listed(candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = shared.value
         for b in tidied(batches):
-            plain = pa.compute.replace_substring_regex(
-                b.column("t").cast(pa.large_string()), r"[.,;:!?()\[\]\"']+", " ")
+            if want is not None and not len(want):
+                continue
             parts = []
-            for _, buf, offs in chunks(plain):
+            for _, buf, offs in chunks(plain(b.column("t"))):
                 h, row = word_hashes(buf, offs)
                 h = h.view(np.int64)
                 if want is not None:
-                    at = np.searchsorted(want, h)
-                    hit = np.zeros(len(h), bool)
-                    inside = at < len(want)
-                    hit[inside] = want[at[inside]] == h[inside]
+                    hit = _in(want, h)
                     h, row = h[hit], row[hit]
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                parts.append(h[new])
+                parts.append(_distinct(h, row)[0])
             h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64),
                              return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))],
@@ -197,38 +221,201 @@ def _term_counts(docs: DataFrame, text: str, candidates: DataFrame) -> DataFrame
             .groupBy("h").agg(F.sum("n").alias("d_t")))
 
 
+def _outside(text: str, base: str) -> str:
+    """A text without its base spans."""
+    out, at = [], 0
+    for a, b in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in base.split(","))):
+        out.append(text[at:max(at, a)])
+        at = max(at, b)
+    return " ".join([*out, text[at:]])
+
+
+def _may_be_terms(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words are not short runs of lower-case letters."""
+    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    short = np.flatnonzero(points[end] - points[start] < LEAST_LETTERS)
+    ok = np.ones(len(start), bool)
+    _, first, which = np.unique(Rolling(BYTE_CODE[buf]).of(start[short], end[short]),
+                                return_index=True, return_inverse=True)
+    found = [buf[start[i]:end[i]].tobytes().decode() for i in short[first].tolist()]
+    ok[short] = np.array([not (w.isalpha() and w.islower()) for w in found], bool)[which]
+    return ok
+
+
+def _terms(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of the distinct terms outside base spans) of every text of a batch."""
+    texts = pa.array([_outside(t.as_py(), s.as_py())
+                      for t, s in zip(b.column("t"), b.column("base"))], pa.large_string())
+    for first, buf, offs in chunks(plain(texts)):
+        start, end, row = words(buf, offs)
+        ok = _may_be_terms(buf, start, end)
+        h = Rolling(FOLDED_CODE[buf]).of(start[ok], end[ok]).view(np.int64)
+        h, row = _distinct(h, row[ok])
+        cut_ = np.searchsorted(row, np.arange(len(offs)))
+        for i in range(len(offs) - 1):
+            yield first + i, h[cut_[i]:cut_[i + 1]]
+
+
+def _candidates(held: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tidied(batches):
+            parts = [h for _, h in _terms(b)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64))],
+                names=["h"])
+
+    return small_batches(held).select("t", "base").mapInArrow(run, "h long").distinct()
+
+
+def _added(parts: list[tuple], support: int) -> pa.RecordBatch:
+    """Pairs with their documents, and at most ``support`` surroundings of each."""
+    e, d_e, h, around = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((around, h, e))
+    e, d_e, h, around = (x[order] for x in (e, d_e, h, around))
+    pair = np.ones(len(e), bool)
+    pair[1:] = (e[1:] != e[:-1]) | (h[1:] != h[:-1])
+    new = pair.copy()
+    new[1:] |= around[1:] != around[:-1]
+    nth = np.cumsum(new)
+    nth -= np.repeat(nth[pair], np.diff(np.append(np.flatnonzero(pair), len(e))))
+    at = np.flatnonzero(new & (nth < support))
+    n = np.diff(np.append(at, len(e)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x.astype(np.int64)) for x in (e[at], d_e[at], h[at], around[at], n)],
+        names=["e", "d_e", "h", "around", "n"])
+
+
+def _together(held: DataFrame, counts: DataFrame, total: float, support: int,
+              share: float) -> DataFrame:
+    """(e, d_e, h, d_et) of the pairs with enough surroundings."""
+    def most(d_e):
+        return total ** (1 - share) * d_e ** share * (1 + 1e-9)
+
+    common = (counts.where(F.col("d_t") > F.lit(most(float(support)))).orderBy(F.desc("d_t"))
+              .limit(COMMON).toArrow())
+    h_, d_ = (common.column(c).to_numpy().astype(np.int64) for c in ("h", "d_t"))
+    order_ = np.argsort(h_)
+    shared = held.sparkSession.sparkContext.broadcast((h_[order_], d_[order_]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        parts: list[tuple] = []
+        size = 0
+        for b in tidied(batches):
+            entities = b.column("es")
+            for i, h in _terms(b):
+                d_t = np.zeros(len(h), np.int64)
+                hit = _in(known, h)
+                d_t[hit] = often[np.searchsorted(known, h[hit])]
+                for x in entities[i].as_py():
+                    mine = h[d_t <= most(float(x["d_e"]))]
+                    parts.append(tuple(np.full(len(mine), v, np.int64) if v is not None else mine
+                                       for v in (x["e"], x["d_e"], None, x["around"])))
+                    size += len(mine)
+                    if size >= HELD:
+                        yield _added(parts, support)
+                        parts, size = [], 0
+            if parts:
+                yield _added(parts, support)
+                parts, size = [], 0
+
+    return (small_batches(held).select("t", "base", "es")
+            .mapInArrow(run, "e long, d_e long, h long, around long, n long")
+            .groupBy("e", "d_e", "h", "around").agg(F.sum("n").alias("n"))
+            .groupBy("e", "d_e", "h")
+            .agg(F.sum("n").alias("d_et"), F.count(F.lit(1)).alias("places"))
+            .where(F.col("places") >= support).drop("places"))
+
+
+def _holders(held: DataFrame, telling: DataFrame) -> DataFrame:
+    """(k, th, hits): the disclosing terms (h, removed) of each text that holds their entity."""
+    shared = held.sparkSession.sparkContext.broadcast(_listed(telling.select("h").distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = shared.value
+        for b in tidied(batches):
+            entities = b.column("es")
+            for i, h in _terms(b):
+                h = h if want is None else h[_in(want, h)]
+                for x in entities[i].as_py() if len(h) else []:
+                    rows = pa.array(np.full(len(h), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("k").take(rows), b.column("th").take(rows),
+                         pa.array(np.full(len(h), x["e"], np.int64)), pa.array(h)],
+                        names=["k", "th", "e", "h"])
+
+    kind = dict(held.dtypes)["k"]
+    return (small_batches(held).select("k", "th", "t", "base", "es")
+            .mapInArrow(run, f"k {kind}, th long, e long, h long")
+            .join(telling, ["e", "h"])
+            .groupBy("k", "th", "h").agg(F.max("removed").alias("removed"))
+            .groupBy("k", "th").agg(F.collect_list(F.struct("h", "removed")).alias("hits")))
+
+
+def _marks(held: DataFrame) -> DataFrame:
+    """(k, th, terms): where the terms ``hits`` of each text stand, outside base spans."""
+    kind = dict(held.dtypes)["k"]
+    mark = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("removed", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tidied(batches):
+            out = []
+            for t, base, hits in zip(b.column("t"), b.column("base"), b.column("hits")):
+                text = t.as_py()
+                found = list(_TERM.finditer(text))
+                raw = np.frombuffer(" ".join([m[0] for m in found]).encode(), np.uint8)
+                h = word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64).tolist()
+                removed = {x["h"]: x["removed"] for x in hits.as_py()}
+                covered = np.zeros(len(text) + 1, np.int32)
+                for x in base.as_py().split(","):
+                    _, a, z = x.split(":")
+                    covered[int(a)] += 1
+                    covered[int(z)] -= 1
+                inside = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
+                out.append([{"s": m.start(), "e": m.end(), "removed": removed[x]}
+                            for m, x in zip(found, h)
+                            if x in removed and inside[m.start()] == inside[m.end()]])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k"), b.column("th"), pa.array(out, pa.list_(mark))],
+                names=["k", "th", "terms"])
+
+    return (small_batches(held).select("k", "th", "t", "base", "hits").mapInArrow(
+        run, f"k {kind}, th long, terms array<struct<s:int,e:int,removed:boolean>>")
+        .where(F.size("terms") > 0).groupBy("k", "th").agg(F.first("terms").alias("terms")))
+
+
+def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left`` with what ``right`` has for the same key, null too, and text."""
+    out = left.join(right.withColumnsRenamed({"k": "k2", "th": "th2"}),
+                    F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")), how)
+    return out.drop("k2", "th2")
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT,
          share: float = SHARE) -> DataFrame:
     """(k, th, n_email .. n_phone, base, terms): ``terms`` are (s, e, removed) of the terms
     that give away an entity of the same document; one row for each input row."""
     base = cut(_found(docs, key, text))
-    near = base.select("k", "th", F.explode("found").alias("x")).select("k", "th", "x.*")
-    mentions = near.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("d_e"))
-    seen = near.select("kind", "value", "around", F.explode(
-        F.array_distinct(F.transform("terms", lambda x: x["h"]))).alias("h"))
-    together = (seen.groupBy("kind", "value", "h", "around").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("kind", "value", "h")
-                .agg(F.sum("n").alias("d_et"), F.count(F.lit(1)).alias("places"))
-                .where(F.col("places") >= support))
-    together = cut(together)
-    total = F.lit(float(docs.count()))
-    counts = _term_counts(docs, text, together.select("h").distinct())
-    pmi = F.log2(total * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
-    content = F.log2(total / F.col("d_e"))
-    telling = (together.join(counts, "h").join(mentions, ["kind", "value"])
-               .where((content > 0) & (pmi >= share * content))
-               .select("kind", "value", "h", (pmi >= content - 1e-9).alias("removed")))
-    marks = (near.select("k", "th", "kind", "value", F.explode("terms").alias("x"))
-             .select("k", "th", "kind", "value", F.col("x.h").alias("h"), F.col("x.s").alias("s"),
-                     F.col("x.e").alias("e"))
-             .join(telling, ["kind", "value", "h"])
-             .groupBy("k", "th", "s", "e").agg(F.max("removed").alias("removed"))
-             .groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e", "removed")))
-                                     .alias("terms")))
-    left = base.drop("found").alias("b")
-    out = left.join(marks.withColumnsRenamed({"k": "k2", "th": "th2"}),
-                    F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")), "left")
-    return out.select("k", "th", *[f"n_{k}" for k in KINDS], "base", "terms")
+    total = float(docs.count())
+    near = base.select("k", "th", F.explode("found").alias("x")).select(
+        "k", "th", F.xxhash64("x.kind", "x.value").alias("e"), "x.around")
+    live = (near.groupBy("e", "around").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("e").agg(F.sum("n").alias("d_e"), F.count(F.lit(1)).alias("places"))
+            .where((F.col("places") >= support) & (F.col("d_e") < total)).drop("places"))
+    holders = (near.join(live, "e").groupBy("k", "th")
+               .agg(F.collect_set(F.struct("e", "around", "d_e")).alias("es")))
+    held = cut(_beside(base.where("t is not null").select("k", "th", "base", "t"), holders,
+                       "inner"))
+    counts = cut(_term_counts(docs, text, _candidates(held)))
+    together = _together(held, counts, total, support, share)
+    pmi = F.log2(F.lit(total) * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
+    content = F.log2(F.lit(total) / F.col("d_e"))
+    telling = cut(together.join(counts, "h").where(pmi >= share * content)
+                  .select("e", "h", (pmi >= content - 1e-9).alias("removed")))
+    hits = _holders(held, telling)
+    marks = _marks(_beside(held.select("k", "th", "base", "t"), hits, "inner"))
+    return _beside(base.drop("found", "t"), marks, "left").select(
+        "k", "th", *[f"n_{k}" for k in KINDS], "base", "terms")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,42 @@ def test_sanitised_text(spark):
         "a[EMAIL][TERM]"
 
 
+def test_far_repeated_short_and_joined_terms(spark, monkeypatch):
+    """Terms stand anywhere in a document and each time count; names may be short, hyphenated
+    or hold an apostrophe or digits."""
+    names = ["Kim", "Anna-Maria", "O'Brien", "acct77", "zorblax"]
+    filler = [" ".join(f"plain{(7 * i + j) % 30}" for j in range(90)) for i in range(80)]
+    rows = [(i, f"{filler[i]} zorblax, {filler[i + 1]} note{'abcdef'[i]} plain3 Kim ({names[1]}) me@secret.org "
+                f"to here{'uvwxyz'[i]} {filler[i + 2]} (O'Brien) acct77. Zorblax 'kim' {filler[i]} Anna-Maria!")
+            for i in range(6)]
+    rows += [(10 + i, filler[i] + " to") for i in range(70)]
+    rows += [(90, "zorblax-like Kimmy Brien Anna Maria")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for limits in ((pii.LISTED, pii.COMMON, pii.HELD), (0, 0, 1)):
+        for name, value in zip(("LISTED", "COMMON", "HELD"), limits):
+            monkeypatch.setattr(pii, name, value)
+        results.append(sorted(pii.report(df).collect()))
+    assert results[0] == results[1]
+    for r in results[0]:
+        text = dict(rows)[r.doc_id]
+        terms = [text[int(a):int(b)] for k, a, b in
+                 (x.split(":") for x in r.spans.split(",") if x) if k == "term"]
+        assert terms == (["zorblax", "Kim", "Anna-Maria", "O'Brien", "acct77", "Zorblax", "kim",
+                          "Anna-Maria"] if r.doc_id < 6 else [])
+
+
+def test_words_of_both_patterns_are_the_same():
+    import random
+
+    import pyarrow as pa
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab-'’ .,_@é中\n\t\u00a0„\x1f\\[]^", k=rng.randint(0, 40)))
+             for _ in range(3000)]
+    for t, x in zip(texts, pii.plain(pa.array(texts)).to_pylist()):
+        assert pii._TERM.findall(t) == re.findall(r"[^\x20\x09-\x0D]+", x), t
+
+
 def test_all_words_counted_when_the_list_is_long(spark, monkeypatch):
     df, _ = frame(spark)
     want = sorted(pii.report(df).collect(), key=repr)
