@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import (bpe, decontam, jaccard, langid, order, pii, quality, suffix, urls,
-                         warc)
+from barloom.llm import (bpe, decontam, jaccard, langid, order, pii, quality, runs, spelling,
+                         suffix, urls, vectors, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -69,5 +81,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_runs": op11_runs,
+    "op12_spelling": op12_spelling,
+    "op13_vectors": op13_vectors,
 }
-STATEMENTS = {"op1_warc": warc.SQL, "op8_quality": quality.SQL, "op10_url_filter": urls.SQL}
+STATEMENTS = {"op1_warc": warc.SQL, "op8_quality": quality.SQL, "op10_url_filter": urls.SQL,
+              "op13_vectors": vectors.SQL}

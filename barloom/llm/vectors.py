@@ -361,8 +361,8 @@ SQL = """
 WITH RECURSIVE v AS (
     SELECT row_number() OVER () AS r, vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
 u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0
-      AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(e, x -> x <> 0)) > 0),
+      AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN e IF x <> 0]) > 0),
 links AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b
           ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="driver tables
 
 def test_one_query_for_each_operator():
     found = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES)
-    assert found == list(range(1, 11))
+    assert found == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(STATEMENTS) <= set(entry.oracle_sql())
 
@@ -25,7 +25,7 @@ def test_one_query_for_each_operator():
 def test_query_equals_its_statement(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{TABLES}/{t}.parquet'")
     cur = con.execute(STATEMENTS[name])
     names = [c[0] for c in cur.description]
