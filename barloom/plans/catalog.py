@@ -12,8 +12,10 @@ from barloom.operators import (audit, backtest, bars, clean, context, daily, ope
                                paths, pullback, reports, rolls, setups, similarity)
 from barloom.params import (LOWER_HIGHS, FilterSpec, SessionParams, SetupSpec, TradeRules,
                             beyond_prior_bar, flagship_filter, in_context, range_days)
-from barloom.plans import search
+from barloom.plans import build, search
+from barloom.plans.derived import fingerprint
 from barloom.plans.storage import cut, scratch
+from barloom.plans.store import Store
 from barloom.sources import ticks
 
 C = F.col
@@ -44,6 +46,14 @@ class Tables:
     def daily(self) -> DataFrame:
         return daily.daily_features(self.bars)
 
+    def built(self, name: str) -> DataFrame:
+        """A table of the batch build over both feeds, found through its manifest."""
+        store = Store(self.spark, scratch(self.spark))
+        feed = ["instrument_id", "local_dt", *bars.OHLC, "volume"]
+        made = build.build(store, cut(_plain(self).select(*feed)), cut(_contracts(self).select(
+            *feed, "con_id", "contract_month", "expiry")))
+        return store.table(made["version"], name)
+
     @cached_property
     def opening(self) -> DataFrame:
         return opening.opening_features(self.bars, self.daily)
@@ -1044,6 +1054,39 @@ def _(t: Tables) -> DataFrame:
         "instrument_id", "overnight_of", "session_date", "mso")
 
 
+# ---- batch build ---------------------------------------------------------------------
+@query("c2_adjusted_master")
+def _(t: Tables) -> DataFrame:
+    """The published master: both feeds on one grid, adjusted by roll factors."""
+    return t.built("master").select(*SESSION, "mso", "is_cash", "feed", "con_id", "close",
+                                    *[f"adj_{x}" for x in bars.OHLC], "adj_factor", "volume")
+
+
+@query("a4_build_contracts")
+def _(t: Tables) -> DataFrame:
+    """The published contract feed with adjusted prices."""
+    return t.built("contracts").select(*SESSION, "mso", "con_id", "contract_month", "close",
+                                       "adj_close")
+
+
+@query("a4_build_daily")
+def _(t: Tables) -> DataFrame:
+    """Daily features of the published build: every price is adjusted."""
+    return t.built("daily").select(
+        *SESSION, "cash_open", "cash_close", "prior_ath", "atr", "gap_points", "gap_pct",
+        "previous_day_return", "overnight_range", "rolling_daily_range", "open_above_pdh",
+        "daily_volatility_regime", "data_quality_flags", "feed")
+
+
+@query("a4_build_opening")
+def _(t: Tables) -> DataFrame:
+    """Opening features of the published build."""
+    return t.built("opening").select(*SESSION, "cutoff_min", "net_points", "high_low_range",
+                                     "distance_from_PDH", "distance_from_overnight_low",
+                                     "range_normalized_by_ATR", "first_bar_breaks_prior_ATH",
+                                     "first_bar_is_bull", "number_of_higher_highs")
+
+
 # ---- audit ---------------------------------------------------------------------------
 @query("d1_timezone_check", stored=False)
 def _(t: Tables) -> DataFrame:

@@ -34,3 +34,19 @@ def statement(sql: str, doubles: str = "") -> str:
         rounded = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
         sql = f"SELECT * REPLACE ({rounded}) FROM ({sql})"
     return f"WITH {head}\n{sql}" if head else sql
+
+
+def variant(end: str, **changed: str) -> None:
+    """Copies, with names that end in ``end``, of the given expressions with other texts, and of
+    all that depend on them. A changed text names the originals."""
+    reach = set(changed)
+    while True:
+        more = {n for n, sql in CTES.items() if n not in reach and _needs(sql) & reach}
+        if not more:
+            break
+        reach |= more
+
+    def renamed(sql: str) -> str:
+        return re.sub(r"[a-z_][a-z0-9_]*", lambda m: m[0] + end if m[0] in reach else m[0], sql)
+
+    define(**{n + end: changed.get(n) or renamed(CTES[n]) for n in reach})

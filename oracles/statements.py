@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import oracles.base  # noqa: F401  (defines the shared expressions)
 from barloom.plans.catalog import DAILY_VIEWS
-from oracles.build import statement
+from oracles.build import CTES, statement, variant
 
 STATEMENTS: dict[str, str] = {}
 KEY = "instrument_id, session_date"
@@ -534,6 +534,27 @@ SELECT b.instrument_id, b.session_date, mso, c AS close, c * f AS adj_close, c *
 FROM (SELECT b.*, coalesce(CASE WHEN feed = 'feed_5m' THEN f0 ELSE carry END, 1) AS f
       FROM o_bars b LEFT JOIN o_factors USING (instrument_id, con_id) LEFT JOIN old USING (instrument_id)) b""",
     "close adj_close adj_factor")
+# The batch build: the same expressions over bars adjusted by the carry factors.
+variant("_adj", o_bars="""
+SELECT b.* EXCLUDE (con_id) REPLACE (o * f AS o, h * f AS h, l * f AS l, c * f AS c),
+  CASE WHEN feed = 'contract_1m' THEN con_id END AS con_id, c AS raw_c, f
+FROM (SELECT b.*, coalesce(CASE WHEN feed = 'feed_5m' THEN f0 ELSE carry END, 1) AS f
+      FROM o_bars b LEFT JOIN o_factors USING (instrument_id, con_id)
+      LEFT JOIN (SELECT instrument_id, arg_min(carry, contract_month) AS f0 FROM o_factors GROUP BY ALL)
+      USING (instrument_id)) b""")
+add("c2_adjusted_master", f"""SELECT {KEY}, mso, is_cash, feed, con_id, raw_c AS close, o AS adj_open,
+  h AS adj_high, l AS adj_low, c AS adj_close, c / raw_c AS adj_factor, volume FROM o_bars_adj""",
+    "close adj_open adj_high adj_low adj_close adj_factor volume")
+add("a4_build_contracts", f"""SELECT {KEY}, mso, con_id, con_id AS contract_month, raw_c AS close, c AS adj_close
+  FROM o_bars_adj WHERE feed = 'contract_1m'""", "close adj_close")
+add("a4_build_daily", f"""SELECT {KEY}, cash_open, cash_close, prior_ath, atr, gap_points, gap_pct,
+  previous_day_return, overnight_range, rolling_daily_range, open_above_pdh, daily_volatility_regime,
+  data_quality_flags, feed FROM o_daily_adj""", """cash_open cash_close prior_ath atr gap_points gap_pct
+  previous_day_return overnight_range rolling_daily_range""")
+add("a4_build_opening", f"""SELECT {KEY}, cutoff_min, net_points, high_low_range, "distance_from_PDH",
+  distance_from_overnight_low, "range_normalized_by_ATR", "first_bar_breaks_prior_ATH", first_bar_is_bull,
+  number_of_higher_highs FROM o_opening_adj""", _doubles("""net_points high_low_range distance_from_PDH
+  distance_from_overnight_low range_normalized_by_ATR"""))
 add("c7_verify_rolls", """SELECT *, method = 'carry' AS residual_is_real_move,
   method IN ('ratio', 'carry') AS preserves_pct_returns FROM o_verify""")
 add("c8_calendar", f"""SELECT {KEY}, n_bars, coalesce(n_cash_bars, 0) AS n_cash_bars, feed,
