@@ -47,6 +47,68 @@ def second_pass(df: DataFrame, source_tz: str, seq: str, key: Sequence[str] = ("
     return df.where(~amb).unionByName(moved)
 
 
+#: Rows of a feed that are looked at together.
+SEQ_BLOCK = 4096
+
+
+def repeated_hours(df: DataFrame, source_tz: str, seq: str,
+                   key: Sequence[str] = ("instrument_id",), wall: str = "wall") -> DataFrame:
+    """The rows whose wall clock occurs twice, with ``second`` (the second pass has begun) and
+    ``clear`` (each repeated hour of the feed turns back exactly once).
+
+    A repeated hour is a stretch of such rows that follow each other in the feed's order ``seq``;
+    it turns back where the wall clock does not rise. Rows are taken in blocks of ``SEQ_BLOCK``
+    places. An aggregate with map-side combine keeps of each block its last row and whether it
+    has an ambiguous one; only the blocks that have are sorted, and a block's first row follows
+    the last of the block before. So no window spans a feed's rows, only its blocks and its
+    repeated hours, some two hours a year.
+    """
+    one = Window.partitionBy(*key)
+    d = df.withColumns({"__amb": F.coalesce(is_ambiguous(F.col(wall), source_tz), F.lit(False)),
+                        "__block": F.floor(F.col(seq) / SEQ_BLOCK)})
+    block = [*key, "__block"]
+    ends = d.groupBy(*block).agg(
+        F.max("__amb").alias("__any"), F.max_by("__amb", seq).alias("__end_amb"),
+        F.max_by(wall, seq).alias("__end_wall"))
+    before = one.orderBy("__block")
+    ends = ends.withColumns({"__end_amb": F.lag("__end_amb").over(before),
+                             "__end_wall": F.lag("__end_wall").over(before)})
+    inside = Window.partitionBy(*block).orderBy(seq)
+    d = d.join(ends.where("__any").drop("__any"), block).withColumns({
+        "__row": F.row_number().over(inside), "__amb_before": F.lag("__amb").over(inside),
+        "__wall_before": F.lag(wall).over(inside)})
+    first = F.col("__row") == 1
+    follows = F.coalesce(F.when(first, F.col("__end_amb")).otherwise(F.col("__amb_before")),
+                         F.lit(False))
+    last = F.when(first, F.col("__end_wall")).otherwise(F.col("__wall_before"))
+    d = d.withColumns({"__start": ~follows, "__back": follows & (F.col(wall) <= last)}).where("__amb")
+    d = d.withColumn("__hour", F.sum(F.col("__start").cast("int")).over(one.orderBy(seq)))
+    hour = Window.partitionBy(*key, "__hour")
+    back = F.col("__back").cast("int")
+    d = d.withColumns({"second": F.sum(back).over(hour.orderBy(seq)) > 0,
+                       "__turns": F.sum(back).over(hour)})
+    d = d.withColumn("clear", F.min(F.col("__turns") == 1).over(one))
+    return d.select(*df.columns, "second", "clear")
+
+
+def localize_inferred(df: DataFrame, source_tz: str, target_tz: str, seq: str,
+                      key: Sequence[str] = ("instrument_id",), wall: str = "wall") -> DataFrame:
+    """``localize`` with the second pass of a repeated hour found from the order of the rows, and
+    ``fallback_used``: one unclear hour, and all of its feed is read as summer time."""
+    amb = F.coalesce(is_ambiguous(F.col(wall), source_tz), F.lit(False))
+    twice = repeated_hours(df, source_tz, seq, key, wall)
+    feeds = twice.groupBy(*key).agg((~F.min("clear")).alias("fallback_used"))
+    late = F.col("second") & F.col("clear")
+    utc = wall_to_utc(F.col(wall), source_tz)
+    moved = twice.withColumn("utc_dt", F.when(late, utc + F.expr("interval 1 hour")).otherwise(utc))
+    rest = df.where(~amb).withColumn("utc_dt", utc)
+    out = rest.unionByName(moved.drop("second", "clear"))
+    out = out.withColumn("local_dt", F.convert_timezone(
+        F.lit("UTC"), F.lit(target_tz), F.col("utc_dt")))
+    return out.join(feeds, list(key), "left").withColumn(
+        "fallback_used", F.coalesce("fallback_used", F.lit(False)))
+
+
 def is_ambiguous(wall: Column, tz: str) -> Column:
     """Whether the wall clock occurs twice: an hour later in UTC shows the same time."""
     later = F.convert_timezone(F.lit(tz), F.lit("UTC"), wall) + F.expr("interval 1 hour")

@@ -184,15 +184,20 @@ def decisions(walked: DataFrame, levels: DataFrame, p: PullbackParams = Pullback
     """
     taken = F.slice(F.array_sort(F.collect_list(F.when(C("signal"), F.struct(*SIGNAL)))), 1,
                     p.max_entries)
-    d = session_states(walked, taken.alias("taken")).join(
-        levels.select(*SESSION, "pdh", "pdc", "pdl", "onh", "onl"), SESSION, "left")
-    d = d.withColumn("s", F.try_element_at("taken", F.lit(-1)))
+    d = session_states(walked, taken.alias("taken"))
+    d = d.withColumns({"s": F.try_element_at("taken", F.lit(-1)), "n_taken": F.size("taken")})
+    return _decided(d, levels, sp)
+
+
+def _decided(d: DataFrame, levels: DataFrame, sp: SessionParams, *keep: str) -> DataFrame:
+    """The decision out of states and the last signal taken, ``s``."""
+    d = d.join(levels.select(*SESSION, "pdh", "pdc", "pdl", "onh", "onl"), SESSION, "left")
     entry = C("s.entry_px")
     named = {"PDH": C("pdh"), "PDC": C("pdc"), "PDL": C("pdl"), "ONH": C("onh"),
              "ONL": C("onl"), "SESSION_EXTREME": C("s.leg_extreme_px")}
     target = nearest_target(entry, C("s.side"), named)["px"]
     d = d.withColumns({
-        "last_label": C("s.label"), "last_signal_mso": C("s.mso"), "n_taken": F.size("taken"),
+        "last_label": C("s.label"), "last_signal_mso": C("s.mso"),
         "last_rr": F.round(ratio(F.abs(target - entry), F.abs(entry - C("s.stop_px"))), 2)})
     live = C("last_signal_mso").isNotNull()
     fresh = yes(C("last_signal_mso") == C("last_mso"))
@@ -211,11 +216,67 @@ def decisions(walked: DataFrame, levels: DataFrame, p: PullbackParams = Pullback
         F.concat(F.lit("last trigger "), C("last_label"), F.lit(" at "),
                  clock(C("last_signal_mso") + sp.open_min)),
         F.concat(F.lit("decision "), C("decision")))
-    return d.select(*SESSION, "state", "reached", "leg_side", "followthrough_bars", "last_label",
+    return d.select(*SESSION, *keep, "state", "reached", "leg_side", "followthrough_bars", "last_label",
                     "last_signal_mso", "last_rr", C("n_taken").cast("long").alias("n_taken"),
                     "decision", said.alias("sentence"))
 
 
+def session_of(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Adds to requests (instrument_id, asked_date) the session they mean: the last one up to
+    that date, or the first of all. One window over the dates of an instrument."""
+    known = sessions.select("instrument_id", C("session_date").alias("at"),
+                            C("session_date").alias("known")).distinct()
+    asked = requests.select("instrument_id", C("asked_date").alias("at"), F.lit(None).cast("date")
+                            .alias("known"), F.struct(*requests.columns).alias("request"))
+    w = Window.partitionBy("instrument_id")
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn(
+        "session_date", F.coalesce(F.last("known", True).over(upto(w.orderBy("at", F.col(
+            "request").isNotNull()))), F.min("known").over(w)))
+    return both.where("request is not null").select("request.*", "session_date")
+
+
+def snapshots(walked: DataFrame, p: PullbackParams = PullbackParams()) -> DataFrame:
+    """What is known of a session from each of its bars on, until the next bar. The first bar is
+    not evaluated and stands for all minutes before the second."""
+    w = in_session()
+    ev, mso = C("evaluated"), C("mso")
+    leg = ev & C("side").isNotNull()
+
+    def latest_of(cond: Column, x: Column) -> Column:
+        return F.last(F.when(cond, x), True).over(upto(w))
+
+    d = walked.withColumn("n_signals", F.sum(C("signal").cast("int")).over(upto(w)))
+    d = d.withColumns({
+        "until": F.lead(mso).over(w), "now": latest_of(ev, C("state_rank")),
+        "rank": F.max(F.when(ev, C("state_rank"))).over(upto(w)), "last_mso": latest_of(ev, mso),
+        "leg_side": latest_of(leg, C("side")),
+        "followthrough_bars": latest_of(leg, C("followthrough_bars")),
+        "s": latest_of(C("signal") & (C("n_signals") <= p.max_entries), F.struct(*SIGNAL)),
+        "n_taken": F.least(C("n_signals"), F.lit(p.max_entries))})
+    names = F.array(*[F.lit(x) for x in STATES])
+    return d.select(
+        *SESSION, F.when(C("i") > 0, mso).alias("since"), "until", "leg_side", "followthrough_bars", "last_mso",
+        "s", "n_taken", F.element_at(names, F.coalesce("now", F.lit(0)) + 1).alias("state"),
+        F.element_at(names, F.coalesce("rank", F.lit(0)) + 1).alias("reached"))
+
+
+def replay(bars: DataFrame, levels: DataFrame, requests: DataFrame,
+           p: PullbackParams = PullbackParams(), sp: SessionParams = SessionParams()) -> DataFrame:
+    """The decision as it stood at any minutes of any sessions, all requests in one pass.
+
+    ``requests``: instrument_id, asked_date, as_of (minutes since the open). The walk looks back
+    only, so it runs once to the close, and a request takes the snapshot of the last bar up to its
+    minute: one equality join by session, of which each request keeps one row. A request before
+    the first bar finds the state that a session starts in.
+    """
+    walked = walk(bars, p.but(deadline_min=sp.close_min - sp.open_min))
+    asked = session_of(requests, levels)
+    found = asked.join(snapshots(walked, p), SESSION).where(
+        (C("since").isNull() | (C("since") <= C("as_of")))
+        & (C("until").isNull() | (C("as_of") < C("until"))))
+    return _decided(found, levels, sp, "asked_date", "as_of")
+
+
 def _path() -> Column:
     """The bars of a session as one sorted array: as many entries as the clock has slots."""
     return F.array_sort(F.collect_list(F.struct("mso", "adj_high", "adj_low", "adj_close")))

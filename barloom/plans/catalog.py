@@ -13,7 +13,7 @@ from barloom.operators import (audit, backtest, bars, clean, context, daily, ope
 from barloom.params import (LOWER_HIGHS, FilterSpec, SessionParams, SetupSpec, TradeRules,
                             beyond_prior_bar, flagship_filter, in_context, range_days)
 from barloom.plans import build, search
-from barloom.plans.derived import fingerprint
+from barloom.plans.derived import setup_table
 from barloom.plans.storage import cut, scratch
 from barloom.plans.store import Store
 from barloom.sources import ticks
@@ -512,10 +512,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("a7_stored_session_table")
 def _(t: Tables) -> DataFrame:
-    """Several threshold specs over one table that depends on timing only."""
-    return t.setups.groupBy("instrument_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(setups.matches_setup(
-            LOOSE.but(gap_max_pct=g))).alias(f"n_gap_{i}") for i, g in enumerate((0.5, 1.0, 2.0))])
+    """Three specs that differ in thresholds only: the first builds the stored session table,
+    the others find it by its timing and read it."""
+    folder, out = scratch(t.spark), None
+    for i, g in enumerate((0.5, 1.0, 2.0)):
+        spec = LOOSE.but(gap_max_pct=g)
+        n = setup_table(folder, t.bars, t.daily, spec).groupBy("instrument_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(setups.matches_setup(spec)).alias(f"n_gap_{i}"))
+        out = n if out is None else out.join(n.drop("n"), "instrument_id")
+    return out
 
 
 # ---- pullback walk -------------------------------------------------------------------
@@ -568,6 +574,17 @@ def _(t: Tables) -> DataFrame:
         "last_rr", "n_taken", "decision", "sentence")
 
 
+@query("l7_replay", stored=False)
+def _(t: Tables) -> DataFrame:
+    """Every session as it looked at four minutes, asked for by a date some days later; and one
+    date before all sessions."""
+    asked = t.levels.select("instrument_id", F.date_add("session_date", 3).alias("asked_date"))
+    early = asked.groupBy("instrument_id").agg(F.date_sub(F.min("asked_date"), 10).alias("asked_date"))
+    requests = (asked.unionByName(early).withColumn("as_of", F.explode(F.array(
+        *[F.lit(m) for m in (30, 60, 90, 200)]))))
+    return pullback.replay(t.bars, t.levels, requests).drop("sentence", "reached")
+
+
 @query("l8_signal_outcomes")
 def _(t: Tables) -> DataFrame:
     return t.trades.select(
@@ -922,6 +939,26 @@ def _(t: Tables) -> DataFrame:
                     F.date_format("local_dt", "yyyy-MM-dd HH:mm:ss").alias("local"))
 
 
+@query("b1_infer")
+def _(t: Tables) -> DataFrame:
+    """Events as seven feeds of Chicago wall clock in row order, one row a minute from a night
+    when the clocks go back. One feed lacks the second pass of the hour, one runs backwards: these
+    fall back to summer time, the rest is inferred."""
+    chicago = SessionParams().feed_tz
+    now = F.lit("2024-11-03").cast("timestamp_ntz") + F.make_dt_interval(mins=C("event_id").cast("int"))
+    feed = C("event_id") % 7
+    e = t.table("events").select(
+        "event_id", feed.alias("instrument_id"), now.alias("now"),
+        F.when(feed == 5, -C("event_id")).otherwise(C("event_id")).alias("seq"))
+    e = e.where((C("instrument_id") != 3) | (F.hour("now") != 7))
+    e = e.withColumn("wall", F.convert_timezone(F.lit("UTC"), F.lit(chicago), "now"))
+    d = clean.localize_inferred(e, chicago, SessionParams().tz, "seq")
+    return d.select("event_id", "instrument_id", "fallback_used",
+                    (C("utc_dt") == C("now")).alias("as_it_was"), *[
+                        F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
+                        for c, n in (("utc_dt", "utc"), ("local_dt", "local"))])
+
+
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_VALUES = ["l_returnflag", "l_linestatus"]
 

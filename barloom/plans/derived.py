@@ -6,8 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.operators import context, daily, opening
-from barloom.params import ContextParams, SessionParams
+from barloom.operators import context, daily, opening, setups
+from barloom.params import ContextParams, SessionParams, SetupSpec
+from barloom.plans.store import Store
 from barloom.sources.feeds import write_table
 
 
@@ -50,12 +51,27 @@ def build_all(bars: DataFrame, out: str, p: SessionParams = SessionParams(),
 
 
 def stored_or_built(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read a derived table under its fingerprint, building it once. Two builders at the same
-    time write the same rows; the one that commits last stays."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not target.getFileSystem(conf).exists(target):
-        write_table(build(), path)
-    return spark.read.parquet(path).drop("year")
+    """Read a derived table under its fingerprint, building it once. Of two builders at the same
+    time one waits for the other; see ``store``."""
+    folder, version = path.rstrip("/").rsplit("/", 1)
+    store = Store(spark, folder)
 
+    def tables(where: str) -> dict[str, str]:
+        write_table(build(), where)
+        return {"table": where}
+
+    store.get_or_build(version, tables)
+    return store.table(version, "table")
+
+
+#: The fields of a setup that its session table depends on; all others filter the table.
+TIMING = ("pressure_window_min", "decision_bar", "bar_minutes", "morning_end_min")
+
+
+def setup_table(folder: str, bars: DataFrame, daily_rows: DataFrame,
+                spec: SetupSpec = SetupSpec()) -> DataFrame:
+    """The session table of a setup, shared by all setups with its timing over the same bars."""
+    timing = SetupSpec().but(**{k: getattr(spec, k) for k in TIMING})
+    version = f"setups_{fingerprint(timing, source=bars)}"
+    return stored_or_built(bars.sparkSession, f"{folder}/{version}",
+                           lambda: setups.session_table(bars, daily_rows, timing))

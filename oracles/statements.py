@@ -253,7 +253,7 @@ add("l5_state_trace", f"SELECT {KEY}, mso, state FROM o_walk")
 add("l6_session_states", f"""SELECT {KEY}, s.state, reached, n_signals, coalesce(t.trace, '') AS trace
   FROM o_states s LEFT JOIN (SELECT {KEY}, string_agg(mso || ':' || state, ' ' ORDER BY mso) AS trace
   FROM o_walk GROUP BY ALL) t USING ({KEY})""")
-add("l7_decisions", f"""
+_DECISIONS = f"""
 WITH last AS (SELECT {KEY}, max(signal_mso) AS m, arg_max(label, signal_mso) AS lab, arg_max(coalesce(rr, -1), signal_mso) AS rr,
   count(*) AS k FROM o_signals WHERE taken GROUP BY ALL)
 SELECT {KEY}, state, leg_side, followthrough_bars, lab AS last_label, m AS last_signal_mso,
@@ -264,7 +264,22 @@ SELECT {KEY}, state, leg_side, followthrough_bars, lab AS last_label, m AS last_
   concat_ws('; ', 'state ' || state, CASE leg_side WHEN 1 THEN 'trend up' WHEN -1 THEN 'trend down' ELSE 'no trend from the open' END,
     'bars beyond the first: ' || followthrough_bars,
     'last trigger ' || lab || ' at ' || printf('%02d:%02d', (m + 540) // 60, (m + 540) % 60), 'decision ' || decision) AS sentence
-FROM o_states LEFT JOIN last USING ({KEY})""", "last_rr")
+FROM o_states LEFT JOIN last USING ({KEY})"""
+add("l7_decisions", _DECISIONS, "last_rr")
+# The same at other minutes: the walk, and all that follows from it, up to each.
+_ASKED = (30, 60, 90, 200)
+for _m in _ASKED:
+    variant(f"_at{_m}", o_walk=CTES["o_walk"].replace("mso <= 90", f"mso <= {_m}"))
+
+
+def _at(m: int) -> str:
+    sql = _DECISIONS.replace("o_states", f"o_states_at{m}").replace("o_signals", f"o_signals_at{m}")
+    return f"""SELECT * EXCLUDE (sentence), {m} AS as_of
+FROM ({sql}) JOIN (SELECT instrument_id, session_date, session_date + 3 AS asked_date FROM o_cashday UNION ALL
+  SELECT instrument_id, min(session_date), min(session_date) - 7 FROM o_cashday GROUP BY ALL) USING ({KEY})"""
+
+
+add("l7_replay", f"SELECT * FROM ({' UNION ALL '.join(map(_at, _ASKED))})", "last_rr")
 _T = "exit_px net_points r_multiple"
 add("l8_signal_outcomes", f"""SELECT {KEY}, signal_mso, status, reason, exit_px, exit_mso, net_points, r_multiple
   FROM o_trades""", _T)
@@ -496,6 +511,26 @@ x AS (SELECT event_id, w, CASE
   WHEN timezone('America/Chicago', timezone('UTC', u - INTERVAL 1 HOUR)) = w THEN u - INTERVAL 1 HOUR ELSE u END AS u FROM u)
 SELECT event_id, strftime(u, '%Y-%m-%d %H:%M:%S') AS utc,
   strftime(timezone('Europe/Berlin', timezone('UTC', u)), '%Y-%m-%d %H:%M:%S') AS local FROM x""")
+_CHICAGO = "timezone('America/Chicago', timezone('UTC', {}))"
+add("b1_infer", f"""
+WITH e AS (SELECT event_id, event_id % 7 AS instrument_id, TIMESTAMP '2024-11-03' + to_minutes(event_id) AS now,
+  CASE WHEN event_id % 7 = 5 THEN -event_id ELSE event_id END AS seq FROM events),
+w AS (SELECT *, {_CHICAGO.format("now")} AS w FROM e WHERE instrument_id <> 3 OR hour(now) <> 7),
+u AS (SELECT *, timezone('UTC', timezone('America/Chicago', w)) AS u0 FROM w),
+v AS (SELECT *, CASE WHEN {_CHICAGO.format("u0 - INTERVAL 1 HOUR")} = w THEN u0 - INTERVAL 1 HOUR ELSE u0 END AS u FROM u),
+a AS (SELECT *, {_CHICAGO.format("u + INTERVAL 1 HOUR")} = w AS amb FROM v),
+p AS (SELECT *, lag(amb, 1, false) OVER s AS amb_, lag(w) OVER s AS w_ FROM a
+  WINDOW s AS (PARTITION BY instrument_id ORDER BY seq)),
+h AS (SELECT *, sum(CASE WHEN amb_ THEN 0 ELSE 1 END) OVER (PARTITION BY instrument_id ORDER BY seq) AS hr,
+  CASE WHEN amb_ AND w <= w_ THEN 1 ELSE 0 END AS back FROM p WHERE amb),
+t AS (SELECT *, sum(back) OVER (PARTITION BY instrument_id, hr ORDER BY seq) > 0 AS late,
+  sum(back) OVER (PARTITION BY instrument_id, hr) AS turns FROM h),
+f AS (SELECT instrument_id, NOT bool_and(turns = 1) AS fb FROM t GROUP BY ALL),
+r AS (SELECT p.event_id, p.instrument_id, coalesce(fb, false) AS fallback_used, p.now,
+  CASE WHEN late AND NOT fb THEN p.u + INTERVAL 1 HOUR ELSE p.u END AS x
+  FROM p LEFT JOIN f USING (instrument_id) LEFT JOIN (SELECT event_id, late FROM t) USING (event_id))
+SELECT event_id, instrument_id, fallback_used, x = now AS as_it_was, strftime(x, '%Y-%m-%d %H:%M:%S') AS utc,
+  strftime(timezone('Europe/Berlin', timezone('UTC', x)), '%Y-%m-%d %H:%M:%S') AS local FROM r""")
 add("b2_duplicate_counts", """
 WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem),
 k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM v GROUP BY ALL)
