@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import (SESSION, count_where, earliest, in_session, latest,
+from barloom.functions.columns import (SESSION, before, count_where, earliest, in_session, latest,
                                        percentiles, ratio, upto, whole_session, yes)
 from barloom.operators.bars import cash
 from barloom.params import TradeRules
@@ -207,6 +207,45 @@ def performance(trades: DataFrame, by: Sequence[str] = (),
         .alias("t_stat"), (C("n") < 30).alias("small_sample"))
 
 
+def max_drawdown(trades: DataFrame, by: Sequence[str], *levels: str,
+                 value: str = "r_multiple") -> DataFrame:
+    """Deepest fall of the running sum of ``value`` along ``levels``, columns that together order
+    the rows of each ``by`` group and of which each is a span of the ones before it.
+
+    A stretch of the curve is its sum, its highest and lowest prefix and its worst fall; these of
+    two neighbours give those of both. They are composed level by level from the finest, each
+    step one window inside the coarser keys, so the window of the last step spans one row for
+    each value of the first level, not all trades.
+    """
+    r = C(value)
+    d = trades.where(r.isNotNull()).select(
+        *by, *levels, r.alias("sum"), r.alias("hi"), r.alias("lo"), F.lit(0.0).alias("fall"))
+    for k in range(len(levels) - 1, -1, -1):
+        keys = [*by, *levels[:k]]
+        w = Window.partitionBy(*keys).orderBy(levels[k])
+        start = F.coalesce(F.sum("sum").over(before(w)), F.lit(0.0))
+        d = d.withColumns({"hi": start + C("hi"), "lo": start + C("lo")})
+        d = d.withColumn("fall", F.greatest("fall", F.max("hi").over(before(w)) - C("lo")))
+        d = d.groupBy(*keys).agg(F.sum("sum").alias("sum"), F.max("hi").alias("hi"),
+                                 F.min("lo").alias("lo"), F.max("fall").alias("fall"))
+    return d.select(*by, C("fall").alias("max_drawdown_r"))
+
+
+def pooled_performance(trades: DataFrame, by: Sequence[str] = (),
+                       levels: Sequence[str] = ("session_date", "instrument_id")) -> DataFrame:
+    """Performance of all instruments as one book per group, traded in the order of ``levels``:
+    plain aggregates and the composed drawdown."""
+    r = C("r_multiple")
+    win, loss = F.when(r > 0, r), F.when(r <= 0, r)
+    d = trades.groupBy(*by).agg(
+        F.count(r).alias("n"), F.avg(r).alias("expectancy_r"),
+        (100 * F.avg((r > 0).cast("double"))).alias("win_rate_pct"),
+        ratio(F.sum(win), -F.sum(loss)).alias("profit_factor"), F.sum(r).alias("total_r"),
+        ratio(F.avg(r), F.stddev_samp(r) / F.sqrt(F.count(r))).alias("t_stat"))
+    falls = max_drawdown(trades, by, *levels)
+    return d.join(falls, list(by)) if by else d.crossJoin(falls)
+
+
 def split_performance(trades: DataFrame, split_date: str,
                       order: Sequence[str] = ("session_date",)) -> DataFrame:
     """In sample, out of sample and all, in one pass over tagged rows."""

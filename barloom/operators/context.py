@@ -4,9 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import (SESSION, all_of, count_where, ever, first_match,
-                                       in_session, lag_session, last_match, latest, prior,
-                                       ratio, yes)
+from barloom.functions.columns import (SESSION, all_of, count_where, ever, first_match, in_session,
+                                       lag_session, last_match, latest, prior, ratio, upto, yes)
 from barloom.operators.bars import cash
 from barloom.params import CONTEXT_DIMENSIONS, Condition, ContextParams, ContextSpec
 
@@ -267,38 +266,73 @@ def label_mix(table: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).withColumn("share_pct", 100.0 * C("n") / n))
 
 
+#: Bars that one prefix of an average spans; weights inside stay far from overflow for any span.
+CHUNK = 16
+
+
+def _earlier(maps: Column, at: Column, keep: float, start: Column) -> Column:
+    """The average before place ``at``, out of the (end, part) of all earlier chunks and the
+    value that the whole started at."""
+    done = F.filter(maps, lambda m: m["end"] <= at)
+    return F.aggregate(done, start * F.pow(F.lit(keep), at), lambda y, m: y + m["part"] * F.pow(
+        F.lit(keep), at - m["end"]))
+
+
+def running_average(bars: DataFrame, span: int, name: str) -> DataFrame:
+    """Adds the recursion y = a*x + (1-a)*y over ``adj_close``, started at the first value, along
+    the bars of each instrument.
+
+    A bar is an affine step y -> (1-a)*y + a*x. Steps are composed inside chunks of a session
+    by a window, chunks inside their session, sessions inside the instrument: of each only its
+    length and the part that does not depend on its start. So no task holds more than the bars of
+    a session or one row for each session, however long the frame.
+    """
+    a = 2.0 / (span + 1)
+    keep, x = 1.0 - a, C("adj_close")
+    if keep == 0.0:
+        return bars.withColumn(name, x)
+    w = in_session()
+    chunk = upto(Window.partitionBy(*SESSION, "__chunk").orderBy("mso"))
+    b = bars.withColumn("__i", F.row_number().over(w) - 1)
+    b = b.withColumns({"__chunk": F.floor(C("__i") / CHUNK), "__j": C("__i") % CHUNK})
+    part = F.sum(a * x * F.pow(F.lit(keep), -C("__j"))).over(chunk) * F.pow(F.lit(keep), C("__j"))
+    b = b.withColumn("__part", part)
+    maps = (b.groupBy(*SESSION, "__chunk").agg(
+        F.max_by("__part", "__i").alias("part"), (F.max("__i") + 1).alias("end"))
+        .groupBy(*SESSION).agg(
+        F.array_sort(F.collect_list(F.struct("end", "part"))).alias("__maps"),
+        F.max("end").alias("n")))
+    first = bars.groupBy(*SESSION).agg(F.min_by(x, "mso").alias("first"))
+    nothing = F.lit(0.0)
+    maps = maps.join(first, SESSION).withColumn("whole", _earlier(C("__maps"), C("n"), keep, nothing))
+    days = Window.partitionBy("instrument_id").orderBy("session_date")
+    maps = maps.withColumn("end", F.sum("n").over(upto(days)))
+    frame = maps.groupBy("instrument_id").agg(
+        F.array_sort(F.collect_list(F.struct("end", C("whole").alias("part")))).alias("__days"),
+        F.min_by("first", "session_date").alias("__x0"))
+    starts = maps.join(frame, "instrument_id").select(
+        *SESSION, "__maps", _earlier(C("__days"), C("end") - C("n"), keep, C("__x0")).alias("__y0"))
+    i0 = C("__chunk") * CHUNK
+    y = C("__part") + F.pow(F.lit(keep), C("__j") + 1) * _earlier(C("__maps"), i0, keep, C("__y0"))
+    return b.join(starts, SESSION).select(*bars.columns, y.alias(name))
+
+
 def multiday_frame(bars: DataFrame, upto_dates: DataFrame, lookback: int = 2,
                    fast: int = 20, slow: int = 50) -> DataFrame:
     """Cash bars of a date and the sessions before it on one index, with running averages.
 
-    ``upto_dates``: instrument_id, last_date. The dates are picked on session rows first; the
-    frame then spans a fixed number of sessions, so one instrument's bars fit one short array,
-    which the recursion folds over.
+    ``upto_dates``: instrument_id, last_date. The dates are picked on session rows first, and the
+    index of a bar is its place in its session after the bars of the sessions before.
     """
     b = cash(bars)
+    per = b.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n")).join(upto_dates, "instrument_id")
     rank = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
-    days = (b.select(*SESSION).distinct().join(upto_dates, "instrument_id")
-            .where("session_date <= last_date").withColumn("k", F.row_number().over(rank))
+    days = (per.where("session_date <= last_date").withColumn("k", F.row_number().over(rank))
             .withColumn("newest", F.first("session_date").over(rank))
             .where((C("k") <= lookback + 1) & (C("newest") == C("last_date"))))
-    f = (b.select(*SESSION, "mso", "adj_close").join(days, SESSION, "left_semi")
-         .groupBy("instrument_id").agg(F.array_sort(F.collect_list(
-             F.struct("session_date", "mso", "adj_close"))).alias("bars")))
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.try_element_at(acc, F.lit(-1))
-
-        def nxt(name: str, span: int) -> Column:
-            a = 2.0 / (span + 1)
-            return F.when(prev.isNull(), x["adj_close"]).otherwise(
-                prev[name] + a * (x["adj_close"] - prev[name]))
-
-        return F.concat(acc, F.array(F.struct(
-            x["session_date"].alias("session_date"), x["mso"].alias("mso"),
-            x["adj_close"].alias("adj_close"), nxt("ema_fast", fast).alias("ema_fast"),
-            nxt("ema_slow", slow).alias("ema_slow"))))
-
-    empty = F.array().cast("array<struct<session_date:date,mso:int,adj_close:double,"
-                           "ema_fast:double,ema_slow:double>>")
-    return f.select("instrument_id", F.posexplode(F.aggregate("bars", empty, step))).select(
-        "instrument_id", C("pos").alias("x"), "col.*")
+    order = Window.partitionBy("instrument_id").orderBy("session_date")
+    days = days.select(*SESSION, (F.sum("n").over(upto(order)) - C("n")).alias("before"))
+    f = b.select(*SESSION, "mso", "adj_close").join(days, SESSION)
+    f = f.withColumn("x", (C("before") + F.row_number().over(in_session()) - 1).cast("int"))
+    f = running_average(running_average(f.drop("before"), fast, "ema_fast"), slow, "ema_slow")
+    return f.select("instrument_id", "x", "session_date", "mso", "adj_close", "ema_fast", "ema_slow")

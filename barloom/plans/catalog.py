@@ -444,6 +444,13 @@ def _(t: Tables) -> DataFrame:
     return context.multiday_frame(t.bars, last)
 
 
+@query("k19_long_frame")
+def _(t: Tables) -> DataFrame:
+    """A year and more of bars on one index."""
+    last = t.refs.select("instrument_id", C("reference_date").alias("last_date"))
+    return context.multiday_frame(t.bars, last, lookback=250)
+
+
 # ---- setups --------------------------------------------------------------------------
 LOOSE = SetupSpec(ath_tolerance_pct=5.0, open_above_pdh=False, gap_min_pct=-2.0, gap_max_pct=2.0,
                   on_location_min=0.2, close_location_max=0.5)
@@ -663,6 +670,13 @@ def _(t: Tables) -> DataFrame:
     return backtest.performance(t.trades.where("status = 'TRADED'"), (), _TRADE_ORDER)
 
 
+@query("m4_pooled")
+def _(t: Tables) -> DataFrame:
+    """All instruments as one book for each kind of signal, in the order of its trades."""
+    return backtest.pooled_performance(t.trades.where("status = 'TRADED'"), ("kind",),
+                                       ("session_date", "signal_mso", "instrument_id"))
+
+
 @query("m5_split_performance")
 def _(t: Tables) -> DataFrame:
     return backtest.split_performance(t.trades.where("status = 'TRADED'"), "1999-01-04",

@@ -191,6 +191,19 @@ e AS (SELECT instrument_id, x, session_date, mso, c, c AS ef, c AS es FROM f WHE
 SELECT instrument_id, x, session_date, mso, c AS adj_close, ef AS ema_fast, es AS ema_slow FROM e""",
     "adj_close ema_fast ema_slow")
 
+# The averages of the long frame in closed form: every bar weighs by its distance.
+add("k19_long_frame", """
+WITH r AS (SELECT instrument_id, session_date, dense_rank() OVER (PARTITION BY instrument_id
+  ORDER BY session_date DESC) AS k, mso, c FROM o_cash),
+f AS (SELECT instrument_id, session_date, mso, c, row_number() OVER w - 1 AS x, first(c) OVER w AS c0
+  FROM r WHERE k <= 251 WINDOW w AS (PARTITION BY instrument_id ORDER BY session_date, mso)),
+e AS (SELECT f.instrument_id, f.x, sum(2.0::DOUBLE / 21 * pow(19.0::DOUBLE / 21, f.x - g.x) * g.c) AS ef,
+  sum(2.0::DOUBLE / 51 * pow(49.0::DOUBLE / 51, f.x - g.x) * g.c) AS es
+  FROM f JOIN f g ON f.instrument_id = g.instrument_id AND g.x <= f.x GROUP BY ALL)
+SELECT instrument_id, x, session_date, mso, c AS adj_close, ef + pow(19.0::DOUBLE / 21, x + 1) * c0 AS ema_fast,
+  es + pow(49.0::DOUBLE / 51, x + 1) * c0 AS ema_slow FROM f JOIN e USING (instrument_id, x)""",
+    "adj_close ema_fast ema_slow")
+
 _SET_DOUBLES = ("pa_win_high pa_win_low pa_win_close pa_close_location cash_open decision_price "
                 "gap_pct distance_open_to_ath_pct open_location_in_overnight_range level_PDH "
                 "level_PDC level_PDL level_ONH level_ONL morn_ret_pct morn_mae_pct morn_mfe_pct "
@@ -341,6 +354,15 @@ add("m2_day_simulation_moving_stop", MOVING, _TR)
 _D = drives(2.0)
 add("m3_drive_trades", f"""SELECT {KEY}, label, side, entry, exit_price, exit_mso, reason, r_multiple
   FROM ({_D})""", "entry exit_price r_multiple")
+add("m4_pooled", f"""
+WITH q AS (SELECT *, sum(r_multiple) OVER w AS eq FROM ({_TRADED})
+  WINDOW w AS (PARTITION BY kind ORDER BY session_date, signal_mso, instrument_id)),
+d AS (SELECT *, max(eq) OVER (PARTITION BY kind ORDER BY session_date, signal_mso, instrument_id) - eq AS fall FROM q)
+SELECT kind, count(*) AS n, avg(r_multiple) AS expectancy_r, 100.0 * count(*) FILTER (r_multiple > 0) / count(*) AS win_rate_pct,
+  sum(r_multiple) FILTER (r_multiple > 0) / nullif(-sum(r_multiple) FILTER (r_multiple <= 0), 0) AS profit_factor,
+  sum(r_multiple) AS total_r, avg(r_multiple) / nullif(stddev_samp(r_multiple) / sqrt(count(*)), 0) AS t_stat,
+  max(fall) AS max_drawdown_r FROM d GROUP BY kind""",
+    "expectancy_r win_rate_pct profit_factor total_r t_stat max_drawdown_r")
 add("m4_drive_performance", performance(_D, "label"))
 add("m6_exit_mix", f"""SELECT instrument_id, reason, count(*) AS n, avg(r_multiple) AS mean_r,
   100.0 * count(*) / sum(count(*)) OVER (PARTITION BY instrument_id) AS share_pct
