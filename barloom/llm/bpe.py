@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,10 +41,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Repeated merging of the adjacent pair of lowest rank; for short pieces only."""
+def merge(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
+    """Repeated merging of the adjacent pair of lowest rank, down to ``least`` parts; for short
+    pieces only."""
     parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > least:
         best = min(range(len(parts) - 1),
                    key=lambda i: ranks.get(parts[i] + parts[i + 1], len(ranks) * 2 + 1))
         if parts[best] + parts[best + 1] not in ranks:
@@ -52,37 +54,99 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+def narrow(pattern: str) -> re.Pattern | None:
+    """The same splits of texts whose characters all lie below U+0100, for the faster engine: its
+    classes are written out for these 256 characters. None where the pattern has others."""
+    one = [chr(c) for c in range(256)]
+    sets = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        sets[name] = "".join(re.escape(c) for c in one if regex.fullmatch(name, c))
+    out = pattern.replace(r"(?!\S)", f"(?![^{sets[chr(92) + 's']}])")
+    parts = regex.split(r"(\[[^\]]*\])", out)
+    for name, chars in sets.items():
+        parts = [x.replace(name, chars if x.startswith("[") and name in pattern and not x.startswith(
+            f"[^{sets[chr(92) + 's']}]") else f"[{chars}]") for x in parts]
+    out = "".join(parts)
+    if regex.search(r"\\[a-zA-Z]|\(\?[^!:=]", out):
+        return None
+    return re.compile(out)
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
         if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"vocabulary lacks bytes {lacking}")
         self.ranks, self.kept = ranks, kept
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self._wide, near = regex.compile(pattern).findall, narrow(pattern)
+        self._near = near and near.findall
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self._whole: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._edges: dict[int, list[tuple[bytes, float]]] = {}
         self._pairs: dict[int, bool] = {}
         self._shorter: dict[int, int | None] = {}
         self._pieces: dict[str, tuple[bytes, int, bytes]] = {}
         self._older: dict[str, tuple[bytes, int, bytes]] = {}
 
+    def split(self, text: str) -> list[str]:
+        if self._near is not None and (text.isascii() or max(text) < "\u0100"):
+            return self._near(text)
+        return self._wide(text)
+
+    def _last(self, i: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge joins into token ``i``; none for a single byte, and
+        for one that the merges of its bytes don't give."""
+        if i not in self._halves:
+            b = self.bytes_of[i]
+            parts = merge(b, self.ranks, 2)
+            whole = len(parts) == 2 and parts[0] + parts[1] in self.ranks
+            self._halves[i] = (self.ranks[parts[0]], self.ranks[parts[1]]) if whole else None
+        return self._halves[i]
+
     def _made(self, i: int) -> bool:
         """Do the merges of its own bytes give this token?"""
-        ok = self._whole.get(i)
-        if ok is None:
-            b = self.bytes_of[i]
-            ok = self._whole[i] = merge(b, self.ranks) == [b]
-        return ok
+        return len(self.bytes_of[i]) == 1 or self._last(i) is not None
+
+    def _edge(self, i: int, side: int) -> list[tuple[bytes, float]]:
+        """The parts of token ``i`` that stand at its left (0) or right (1) edge while the merges
+        run, from a single byte up, each with the rank of the merge that takes it in."""
+        found = self._edges.get(i << 1 | side)
+        if found is None:
+            found, until, at = [], float("inf"), i
+            while True:
+                found.append((self.bytes_of[at], until))
+                last = self._last(at)
+                if last is None:
+                    break
+                until, at = at, last[side]
+            found.reverse()
+            self._edges[i << 1 | side] = found
+        return found
 
     def _fits(self, i: int, j: int) -> bool:
-        """May token ``j`` follow token ``i``?"""
+        """May token ``j`` follow token ``i``? They may unless, at some time of the merges, a part
+        at the right edge of ``i`` and one at the left edge of ``j`` would be joined before either
+        is taken into its own token; of equal ranks the merge farther left goes first."""
         ok = self._pairs.get(i << 32 | j)
         if ok is None:
-            a, b = self.bytes_of[i], self.bytes_of[j]
-            ok = self._made(j) and merge(a + b, self.ranks) == [a, b]
+            ok = self._made(j)
+            if ok:
+                left, right, ranks = iter(self._edge(i, 1)), iter(self._edge(j, 0)), self.ranks
+                (a, until_a), (b, until_b) = next(left), next(right)
+                while True:
+                    joined = ranks.get(a + b)
+                    if joined is not None and joined < until_a and joined <= until_b:
+                        ok = False
+                        break
+                    if until_a <= until_b:
+                        if until_a == float("inf"):
+                            break
+                        a, until_a = next(left)
+                    else:
+                        b, until_b = next(right)
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[i << 32 | j] = ok
@@ -154,6 +218,10 @@ class Encoder:
         get, make = self._pieces.get, self._piece
         return [get(p) or make(p) for p in self.split(text)]
 
+    def columns(self, text: str) -> tuple:
+        """The pieces' written ids, their numbers and their decoded bytes, each by itself."""
+        return tuple(zip(*self.pieces(text))) or ((), (), ())
+
     def encode(self, text: str) -> list[int]:
         return [i for p in self.split(text) for i in self.encode_bytes(p.encode())]
 
@@ -182,10 +250,10 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
         for b in tidied(batches):
             n, ids, decoded = [], [], []
             for t in b.column("t"):
-                got = enc.pieces(t.as_py() or "")
-                n.append(sum([p[1] for p in got]))
-                ids.append(hashlib.sha256(b",".join([p[0] for p in got])).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([p[2] for p in got])).hexdigest())
+                one, many, back = enc.columns(t.as_py() or "")
+                n.append(sum(many))
+                ids.append(hashlib.sha256(b",".join(one)).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(back)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("k"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                  pa.array(decoded, pa.string())], names=["k", "n", "i", "d"])

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -56,3 +57,32 @@ def test_empty_table(empty):
 def test_vocabulary_without_a_byte_fails_loudly():
     with pytest.raises(ValueError, match="lacks"):
         bpe.Encoder({b"a": 0, b"b": 1, b"ab": 2}, PATTERN)
+
+
+def test_neighbours_fit_as_the_merges_say():
+    import public_tokenizers as p
+    ranks = bpe.read_ranks(p.path("byte_bpe_multi_50k.tiktoken"))
+    enc, rng, seen = bpe.Encoder(ranks, p.PATTERN), random.Random(3), Counter()
+    tokens = list(ranks)
+    for _ in range(4000):
+        whole = rng.choice(tokens) + rng.choice([b"", rng.choice(tokens)])
+        k = rng.randrange(1, len(whole) + 1)
+        a, b = whole[:k], whole[k:]
+        if a not in ranks or b not in ranks or not enc._made(ranks[a]):
+            continue
+        want = bpe.merge(b, ranks) == [b] and bpe.merge(a + b, ranks) == [a, b]
+        assert enc._fits(ranks[a], ranks[b]) == want, (a, b)
+        seen[want] += 1
+    assert min(seen[True], seen[False]) > 100
+
+
+def test_both_engines_split_alike():
+    import public_tokenizers as p
+    import regex
+    enc, rng = bpe.Encoder({bytes([i]): i for i in range(256)}, p.PATTERN), random.Random(4)
+    assert enc._near is not None and bpe.narrow(r"\p{Lu}+|\s+") is None
+    odd = " \n\t'\x85\xa0\x1c²½ªßÿĀ é1a"
+    for _ in range(2000):
+        text = "".join(rng.choice(odd) if rng.random() < .5 else chr(rng.randrange(256))
+                       for _ in range(30))
+        assert enc.split(text) == regex.findall(p.PATTERN, text)
