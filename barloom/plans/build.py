@@ -13,9 +13,8 @@ from barloom.operators import bars, daily, opening, rolls
 from barloom.params import SessionParams
 from barloom.plans.derived import fingerprint
 from barloom.plans.store import Store
-from barloom.sources.feeds import write_table
 
-ARTEFACTS = ("plain", "contracts", "master", "daily", "opening")
+ARTEFACTS = ("plain", "rolls", "contracts", "master", "daily", "opening")
 _BARS = ["instrument_id", "con_id", "local_dt", *bars.OHLC, "volume"]
 
 
@@ -39,26 +38,24 @@ def build(store: Store, plain: DataFrame, contracts: DataFrame,
     ``plain``: instrument_id, local_dt, open, high, low, close, volume; ``contracts``: these and
     con_id, contract_month, expiry. Both are tables, named by their files.
     """
-    spark, cut = store.spark, p.cutoff_min if cutoff_min is None else cutoff_min
+    cut = p.cutoff_min if cutoff_min is None else cutoff_min
     version = f"{fingerprint(p, source=plain)}-{fingerprint(p, source=contracts)}-{cut}"
 
-    def tables(folder: str) -> dict[str, str]:
-        where = {name: f"{folder}/{name}" for name in ARTEFACTS}
+    def tables(folder: str) -> dict[str, dict]:
+        made: dict[str, dict] = {}
 
         def stage(name: str, df: DataFrame) -> DataFrame:
-            write_table(df, where[name])
-            return spark.read.parquet(where[name]).drop("year")
+            made[name] = store.write(df, f"{folder}/{name}")
+            return store.read(made[name])
 
         old = stage("plain", bars.sessionize(plain, p))
         new = bars.sessionize(contracts, p)
-        rolls_path = f"{folder}/rolls"
-        rolls.roll_factors(rolls.contract_levels(new, p), p).write.parquet(rolls_path)
-        factors = spark.read.parquet(rolls_path)
+        factors = stage("rolls", rolls.roll_factors(rolls.contract_levels(new, p), p))
         adjusted = stage("contracts", rolls.apply_rolls(
             new.withColumn("feed", F.lit("contract_1m")), factors, p))
         m = stage("master", master(old, adjusted, factors, p))
         d = stage("daily", daily.daily_features(m, p))
         stage("opening", opening.opening_features(m, d, cut, p))
-        return where | {"rolls": rolls_path}
+        return made
 
     return store.get_or_build(version, tables, roll_method=p.roll_method, cutoff_min=cut)

@@ -925,6 +925,33 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(cols.schema).option("header", True).csv(path)
 
 
+@query("a5_bucketed_walk", stored=False)
+def _(t: Tables) -> DataFrame:
+    """Decisions on bars in buckets of sessions: the walk reads them without an exchange."""
+    from barloom.sources.feeds import write_bucketed
+    path = scratch(t.spark)
+    b = write_bucketed(t.bars, path.rsplit("/", 1)[1].replace("-", "_"), 16, path)
+    levels = daily.reference_levels(daily.daily_features(b))
+    return pullback.decisions(pullback.walk(b), levels).drop("sentence", "reached")
+
+
+@query("a3_runtime_pruning", stored=False)
+def _(t: Tables) -> DataFrame:
+    """Bars of the newest sessions out of a table in folders by year. Which years that are is
+    known when the query runs: the join hands its years to the scan."""
+    from barloom.sources.feeds import write_table
+    path = scratch(t.spark)
+    write_table(t.bars, path)
+    b = t.spark.read.parquet(path)
+    newest = search.last_sessions(b.select(*SESSION)).where(
+        C("reference_date") >= F.lit("1998-01-01").cast("date"))
+    newest = cut(newest).where(C("reference_date") >= F.lit("1998-01-01").cast("date")).select(
+        "instrument_id", C("reference_date").alias("session_date"),
+        F.year("reference_date").alias("year"))
+    return b.join(newest, ["instrument_id", "session_date", "year"]).select(
+        *SESSION, "mso", "close", "volume")
+
+
 @query("a6_json_sink")
 def _(t: Tables) -> DataFrame:
     from barloom.sources.feeds import write_json

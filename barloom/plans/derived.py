@@ -56,9 +56,8 @@ def stored_or_built(spark: SparkSession, path: str, build) -> DataFrame:
     folder, version = path.rstrip("/").rsplit("/", 1)
     store = Store(spark, folder)
 
-    def tables(where: str) -> dict[str, str]:
-        write_table(build(), where)
-        return {"table": where}
+    def tables(where: str) -> dict[str, dict]:
+        return {"table": store.write(build(), where)}
 
     store.get_or_build(version, tables)
     return store.table(version, "table")

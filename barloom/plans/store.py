@@ -16,15 +16,19 @@ existing target, as on HDFS. Object stores without such a rename need a table fo
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructType
 
-#: Writes tables under a folder and returns their paths by name.
-Build = Callable[[str], dict[str, str]]
+from barloom.sources.feeds import write_table
+
+#: Writes tables under a folder with ``Store.write`` and returns what that gave, by name.
+Build = Callable[[str], dict[str, dict]]
 
 
 def _taken(error: Py4JJavaError) -> bool:
@@ -50,10 +54,49 @@ class Store:
     def _file(self, name: str):
         return self._fs.makeQualified(self._path(f"{self.folder}/{name}"))
 
-    def _write(self, name: str, text: str) -> None:
-        out = self._fs.create(self._file(name), False)
-        out.write(bytearray(text.encode()))
-        out.close()
+    def _local(self, name: str) -> str | None:
+        """The plain path of a file where the store lies on a local disk. Hadoop's classes test
+        and write there in two steps; the system's own calls refuse an existing name in one."""
+        uri = self._file(name).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else None
+
+    def _create(self, name: str, text: str) -> bool:
+        """Write a new file; False if the name is taken."""
+        local = self._local(name)
+        try:
+            if local is not None:
+                with open(local, "x") as f:
+                    f.write(text)
+            else:
+                out = self._fs.create(self._file(name), False)
+                out.write(bytearray(text.encode()))
+                out.close()
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if not _taken(e):
+                raise
+            return False
+        return True
+
+    def _rename(self, name: str, to: str) -> bool:
+        """Give a file its final name; False, and the file goes, if that is taken."""
+        local = self._local(name)
+        done = True
+        try:
+            if local is not None:
+                os.link(local, self._local(to))
+            else:
+                self._names.rename(self._file(name), self._file(to), self._plain)
+                return True
+        except FileExistsError:
+            done = False
+        except Py4JJavaError as e:
+            if not _taken(e):
+                raise
+            done = False
+        self._fs.delete(self._file(name), False)
+        return done
 
     def manifest(self, version: str) -> dict | None:
         """The published manifest of a version, if there is one."""
@@ -63,28 +106,27 @@ class Store:
         text = self.spark.read.text(path.toString(), wholetext=True).first()
         return json.loads(text[0])
 
-    def publish(self, version: str, tables: dict[str, str], **facts) -> dict:
+    def write(self, df: DataFrame, path: str) -> dict:
+        """Store a table in folders by year; path and schema, for an empty one has no files."""
+        write_table(df, path)
+        return {"path": path, "schema": df.schema.json()}
+
+    def read(self, entry: dict) -> DataFrame:
+        schema = StructType.fromJson(json.loads(entry["schema"])).add("year", IntegerType())
+        return self.spark.read.schema(schema).parquet(entry["path"]).drop("year")
+
+    def publish(self, version: str, tables: dict[str, dict], **facts) -> dict:
         """Publish tables under a version; where another builder was first, its manifest."""
         aside = f"aside-{uuid.uuid4().hex}"
-        self._write(aside, json.dumps({"version": version, "tables": tables, **facts}))
-        try:
-            self._names.rename(self._file(aside), self._file(f"manifest-{version}.json"),
-                               self._plain)
-        except Py4JJavaError as e:
-            if not _taken(e):
-                raise
-            self._fs.delete(self._file(aside), False)
+        self._create(aside, json.dumps({"version": version, "tables": tables, **facts}))
+        self._rename(aside, f"manifest-{version}.json")
         return self.manifest(version)
 
     def claim(self, version: str) -> bool:
         """Whether this caller may start to build; a claim older than the lease counts no more."""
         name = f"claim-{version}"
-        try:
-            self._write(name, "")
+        if self._create(name, ""):
             return True
-        except Py4JJavaError as e:
-            if not _taken(e):
-                raise
         written = self._fs.getFileStatus(self._file(name)).getModificationTime() / 1000.0
         return time.time() - written > self.lease
 
@@ -100,8 +142,8 @@ class Store:
             time.sleep(self.wait)
 
     def table(self, version: str, name: str) -> DataFrame:
-        """A table of a published version, without its folder column."""
+        """A table of a published version."""
         found = self.manifest(version)
         if found is None:
             raise LookupError(f"no version {version} in {self.folder}")
-        return self.spark.read.parquet(found["tables"][name]).drop("year")
+        return self.read(found["tables"][name])

@@ -61,17 +61,25 @@ def read_contract_feed(spark: SparkSession, glob: str, instrument_id: int = 1) -
 
 def write_table(df: DataFrame, path: str, date_col: str = "session_date") -> None:
     """Parquet partitioned by year and sorted by session inside the files: a date filter
-    prunes directories, an instrument filter row groups."""
+    prunes directories, an instrument filter row groups. A table without dates is one folder."""
+    if date_col not in df.columns:
+        df.withColumn("year", F.lit(0)).write.mode("overwrite").partitionBy("year").parquet(path)
+        return
     (df.withColumn("year", F.year(date_col)).repartition("year", "instrument_id")
      .sortWithinPartitions("year", "instrument_id", date_col)
      .write.mode("overwrite").partitionBy("year").parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
-    """Bars bucketed and sorted for the per-session operators: no exchange when read back."""
-    (df.write.mode("overwrite")
-     .bucketBy(buckets, "instrument_id", "session_date")
-     .sortBy("instrument_id", "session_date").saveAsTable(table))
+def write_bucketed(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Bars in buckets of sessions, sorted by session and inside folders by year, as a table that
+    the per-session operators read without an exchange. ``path``: where its files lie, the
+    warehouse if not given. One shuffle deals the rows to their buckets, so a folder has one file
+    for each bucket."""
+    keys = ("instrument_id", "session_date")
+    out = (df.withColumn("year", F.year("session_date")).repartition(buckets, *keys)
+           .write.mode("overwrite").partitionBy("year").bucketBy(buckets, *keys).sortBy(*keys))
+    (out if path is None else out.option("path", path)).saveAsTable(table)
+    return df.sparkSession.table(table).drop("year")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -523,6 +523,10 @@ add("a4_parquet_sink", f"""SELECT {KEY}, cash_close, atr, data_quality_flags, ye
   FROM o_daily""", "cash_close atr")
 add("a5_csv_sink", f"""SELECT {KEY}, signal_mso, label, status, reason, r_multiple FROM o_trades""",
     "r_multiple")
+add("a5_bucketed_walk", f"SELECT * EXCLUDE (sentence) FROM ({_DECISIONS})", "last_rr")
+add("a3_runtime_pruning", f"""SELECT {KEY}, mso, c AS close, volume FROM o_bars
+  SEMI JOIN (SELECT instrument_id, max(session_date) AS session_date FROM o_bars GROUP BY ALL) USING ({KEY})""",
+    "close volume")
 add("a3_pruned_scan", """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, sum(l_quantity) AS quantity
   FROM lineitem WHERE l_shipdate >= DATE '1999-01-01' GROUP BY ALL""", "quantity")
 add("b1_localize", """

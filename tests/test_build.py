@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from barloom.operators import clean, pullback
 from barloom.params import PullbackParams, SessionParams, SetupSpec
-from barloom.plans import build, derived
+from barloom.plans import build, catalog, derived
 from barloom.plans.store import Store
+from barloom.sources.feeds import write_bucketed
 
 P = SessionParams()
+TABLES = "/root/testdata/sf0.001"
 
 
 def feeds(spark, scratch):
@@ -38,7 +40,7 @@ def test_build_adjusts_all_that_follows(spark, scratch):
     store = Store(spark, f"{scratch}/store")
     ratio = P.but(roll_method="ratio")
     made = build.build(store, old, new, ratio)
-    assert sorted(made["tables"]) == sorted([*build.ARTEFACTS, "rolls"])
+    assert sorted(made["tables"]) == sorted(build.ARTEFACTS)
     factor = 150 / 140  # the newer contract starts at 150, the older ends at 140
     master = by_key(store.table(made["version"], "master").where("mso = 0"), "session_date")
     for i, d in enumerate(days):
@@ -73,8 +75,7 @@ def test_two_builders_build_once(spark, scratch):
     def tables(where):
         built.append(where)
         time.sleep(1)
-        spark.range(3).withColumn("year", F.lit(1)).write.parquet(where)
-        return {"t": where}
+        return {"t": store.write(spark.range(3), where)}
 
     threads = [threading.Thread(target=lambda: got.append(store.get_or_build("v", tables)))
                for _ in range(3)]
@@ -88,21 +89,28 @@ def test_two_builders_build_once(spark, scratch):
 
 def test_the_first_manifest_stays(spark, scratch):
     store = Store(spark, f"{scratch}/s")
-    first = store.publish("v", {"t": "a"}, note=1)
-    assert store.publish("v", {"t": "b"}, note=2) == first == store.manifest("v")
+    first = store.publish("v", {"t": {"path": "a"}}, note=1)
+    assert store.publish("v", {"t": {"path": "b"}}, note=2) == first == store.manifest("v")
     assert store.manifest("w") is None
     with pytest.raises(LookupError):
         store.table("w", "t")
 
 
+def test_a_build_of_empty_feeds_is_empty(spark, scratch):
+    old, new, _ = feeds(spark, scratch)
+    store = Store(spark, f"{scratch}/store")
+    made = build.build(store, old.where("false"), new.where("false"))
+    for name in build.ARTEFACTS:
+        assert store.table(made["version"], name).count() == 0
+
+
 def test_a_lost_builder_is_replaced(spark, scratch):
     """A claim without a manifest holds others up for its lease only."""
     Store(spark, f"{scratch}/s").claim("v")
     late = Store(spark, f"{scratch}/s", lease=0.5, wait=0.1)
 
     def tables(where):
-        spark.range(2).withColumn("year", F.lit(1)).write.parquet(where)
-        return {"t": where}
+        return {"t": late.write(spark.range(2), where)}
 
     assert late.get_or_build("v", tables)["tables"]
     assert late.table("v", "t").count() == 2
@@ -119,6 +127,27 @@ def test_setups_of_one_timing_share_their_table(spark, scratch, monkeypatch):
     assert [s.decision_bar for s in calls] == [6, 3]
 
 
+# ---- layout --------------------------------------------------------------------------
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_of_sessions_need_no_exchange(spark, scratch):
+    bars = make_bars(spark, {(k, d): flat_session(8) for k in (1, 2) for d in weekdays(3)})
+    b = write_bucketed(bars, "bucketed_bars", 4, f"{scratch}/b")
+    walked = pullback.walk(b)
+    assert walked.count() == 48
+    plan = executed(walked)
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert "Exchange" in executed(pullback.walk(bars))
+
+
+def test_years_are_pruned_while_the_query_runs(spark):
+    df = catalog.QUERIES["a3_runtime_pruning"](spark, TABLES)
+    assert "dynamicpruning" in executed(df)
+
+
 # ---- clock changes -------------------------------------------------------------------
 def wall(*minutes):
     start = dt.datetime(2024, 11, 3, 0, 0)  # Chicago goes back from 2:00 to 1:00
