@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SESSION, ratio
 from barloom.operators.bars import cash
 from barloom.operators.daily import reference_levels
+from barloom.plans.storage import cut
 
 C = F.col
 
@@ -133,6 +134,63 @@ def path_distance(paired: DataFrame, method: str = "correlation",
     return path_scores(paired).select(*SESSION, distance_of(method).alias("path_dist"))
 
 
+def warping_bound(a: Column, b: Column, band: int | None = None) -> Column:
+    """No more than the warping distance of two paths of equal length without gaps.
+
+    Every value of one path meets some value of the other within the band, so it costs its way
+    to the other's envelope at least; and first meets first as last meets last. Built-in functions
+    on the arrays of the row.
+    """
+    n = F.size(a)
+
+    def beyond(x: Column, y: Column) -> Column:
+        if band is None:
+            lo, hi = F.array_min(y), F.array_max(y)
+            return F.aggregate(x, F.lit(0.0), lambda s, v: s + F.greatest(
+                F.lit(0.0), v - hi, lo - v))
+        def near(i: Column) -> Column:
+            first = F.greatest(i - band, F.lit(0))
+            return F.slice(y, first + 1, i + band + 1 - first)
+        cost = F.transform(x, lambda v, i: F.greatest(
+            F.lit(0.0), v - F.array_max(near(i)), F.array_min(near(i)) - v))
+        return F.aggregate(cost, F.lit(0.0), lambda s, v: s + v)
+
+    first, last = (F.abs(F.get(a, i) - F.get(b, i)) for i in (F.lit(0), n - 1))
+    ends = first + F.when(n > 1, last).otherwise(0.0)
+    return F.greatest(beyond(a, b), beyond(b, a), ends) / (2 * n)
+
+
+def warped_pairs(paired: DataFrame, n: int, band: int | None = None) -> DataFrame:
+    """Of each instrument the sessions whose warping distance to the reference is worth knowing
+    for its ``n`` nearest, with that distance.
+
+    The ``n`` with the smallest bounds are warped first; no session whose bound is above the
+    greatest of their distances can be among the nearest, and only the others are warped.
+    """
+    both = F.filter(F.arrays_zip("path", "ref_path"), lambda z: z["path"].isNotNull()
+                    & z["ref_path"].isNotNull())
+    d = paired.select("instrument_id", "session_date", both.alias("z")).where(F.size("z") > 0)
+    d = d.select(*SESSION, C("z.path").alias("a"), C("z.ref_path").alias("b"))
+    d = cut(d.withColumn("bound", warping_bound(C("a"), C("b"), band)))
+    order = Window.partitionBy("instrument_id").orderBy("bound", "session_date")
+    first = (d.withColumn("k", F.row_number().over(order)).where(C("k") <= n)
+             .withColumn("path_dist", dtw_udf(band)("a", "b")))
+    first = cut(first.select(*SESSION, "path_dist"))
+    limits = first.groupBy("instrument_id").agg(F.max("path_dist").alias("limit"))
+    # Sums in another order may differ in the last bits.
+    rest = (d.join(limits, "instrument_id").where(C("bound") <= C("limit") * (1 + 1e-9))
+            .join(first.select(*SESSION), SESSION, "left_anti")
+            .withColumn("path_dist", dtw_udf(band)("a", "b")))
+    return first.unionByName(rest.select(*SESSION, "path_dist"))
+
+
+def nearest_by_warping(paired: DataFrame, n: int, band: int | None = None) -> DataFrame:
+    """The ``n`` sessions nearest to each reference by warping distance; ties by date."""
+    order = Window.partitionBy("instrument_id").orderBy("path_dist", "session_date")
+    return (warped_pairs(paired, n, band).withColumn("rank", F.row_number().over(order))
+            .where(C("rank") <= n))
+
+
 def median_band(paths: DataFrame, step: int = 5) -> DataFrame:
     """Quartiles of the paths at every grid minute."""
     return long_paths(paths, step).groupBy("instrument_id", "grid_min").agg(

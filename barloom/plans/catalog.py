@@ -352,6 +352,21 @@ def _(t: Tables) -> DataFrame:
     return paths.path_distance(paths.against_reference(t.paths, t.refs), "dtw")
 
 
+@query("h7_nearest_warped")
+def _(t: Tables) -> DataFrame:
+    """The ten nearest by warping; most pairs are told apart by their bounds."""
+    return paths.nearest_by_warping(paths.against_reference(t.paths, t.refs), 10)
+
+
+@query("h7_warped_share")
+def _(t: Tables) -> DataFrame:
+    """How many pairs there are, and how many of them were warped for the ten nearest."""
+    pairs = cut(paths.against_reference(t.paths, t.refs))
+    n = pairs.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return n.join(paths.warped_pairs(pairs, 10).groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("n_warped")), "instrument_id")
+
+
 @query("h8_path_distance")
 def _(t: Tables) -> DataFrame:
     return _scores(t).select(*SESSION, *[paths.distance_of(m).alias(f"by_{m}") for m in (
@@ -857,6 +872,15 @@ for _m in ("exact", "similarity", "combined"):
     query(f"i11_search_{_m}")(_search(_m))
 
 
+@query("i11_search_warped")
+def _(t: Tables) -> DataFrame:
+    """The search with paths compared by warping; all are warped, for the blend scales by the
+    median of all distances."""
+    r = search.analog_search(t.bars, t.stored_daily, t.refs, WIDE, "similarity", n=10,
+                             path_method="dtw")
+    return r.top.select(*SESSION, "rank", "similarity_score", "day_classification")
+
+
 @query("i11_search_headline")
 def _(t: Tables) -> DataFrame:
     return search.analog_search(t.bars, t.stored_daily, t.refs, WIDE, n=10).headline

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import oracles.base  # noqa: F401  (defines the shared expressions)
 from barloom.plans.catalog import DAILY_VIEWS
-from oracles.build import CTES, statement, variant
+from oracles.build import CTES, define, statement, variant
 
 STATEMENTS: dict[str, str] = {}
 KEY = "instrument_id, session_date"
@@ -76,7 +76,7 @@ add("h3_path_matrix", f"""SELECT {KEY}, count(*) AS width,
 add("h4_path_correlation", f"SELECT {KEY}, n, correlation FROM o_pathscores", "correlation")
 add("h5_path_euclidean", f"SELECT {KEY}, euclidean FROM o_pathscores", "euclidean")
 add("h6_path_cosine", f"SELECT {KEY}, cosine FROM o_pathscores", "cosine")
-add("h7_path_dtw", f"""
+define(o_dtw=f"""
 WITH RECURSIVE p AS (SELECT {KEY}, list(a ORDER BY grid_min) FILTER (a IS NOT NULL AND b IS NOT NULL) AS a,
     list(b ORDER BY grid_min) FILTER (a IS NOT NULL AND b IS NOT NULL) AS b,
     count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n FROM o_pathpairs GROUP BY ALL),
@@ -88,7 +88,24 @@ r AS (SELECT {KEY}, a, b, n, 0::BIGINT AS k, CAST([] AS DOUBLE[]) AS prev, CAST(
           CASE WHEN k % n = 0 THEN CAST([] AS DOUBLE[]) ELSE cur END AS cv FROM r WHERE k < n * n))
 SELECT p.instrument_id, p.session_date, r.cur[r.n] / (2 * r.n) AS path_dist
 FROM p LEFT JOIN r ON r.instrument_id = p.instrument_id AND r.session_date = p.session_date AND r.k = r.n * r.n""",
-    "path_dist")
+    o_bounds="""
+SELECT instrument_id, session_date, greatest(sum(greatest(0, a - hb, lb - a)), sum(greatest(0, b - ha, la - b)),
+  abs(arg_min(a, grid_min) - arg_min(b, grid_min)) + CASE WHEN count(*) > 1 THEN abs(arg_max(a, grid_min)
+    - arg_max(b, grid_min)) ELSE 0 END) / (2 * count(*)) AS bound
+FROM (SELECT *, max(a) OVER p AS ha, min(a) OVER p AS la, max(b) OVER p AS hb, min(b) OVER p AS lb FROM o_pathpairs
+  WHERE a IS NOT NULL AND b IS NOT NULL WINDOW p AS (PARTITION BY instrument_id, session_date)) GROUP BY ALL""")
+variant("_dtw", o_pathscores="SELECT instrument_id, session_date, 1 - 2 * path_dist AS correlation FROM o_dtw")
+add("h7_path_dtw", "SELECT * FROM o_dtw", "path_dist")
+add("h7_nearest_warped", """SELECT * FROM (SELECT instrument_id, session_date, path_dist, row_number() OVER (
+  PARTITION BY instrument_id ORDER BY path_dist, session_date) AS rank FROM o_dtw WHERE path_dist IS NOT NULL)
+  WHERE rank <= 10""", "path_dist")
+add("h7_warped_share", """
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY bound, session_date) AS k FROM o_bounds),
+t AS (SELECT instrument_id, max(path_dist) AS lim FROM b JOIN o_dtw USING (instrument_id, session_date)
+  WHERE k <= 10 GROUP BY ALL)
+SELECT instrument_id, n_pairs, count(*) FILTER (k <= 10 OR bound <= lim * (1 + 1e-9)) AS n_warped
+FROM b JOIN t USING (instrument_id) JOIN (SELECT instrument_id, count(DISTINCT session_date) AS n_pairs
+  FROM o_pathpairs GROUP BY ALL) USING (instrument_id) GROUP BY ALL""")
 add("h8_path_distance", f"""SELECT {KEY}, (1 - correlation) / 2 AS by_correlation,
   (1 - cosine) / 2 AS by_cosine, euclidean AS by_euclidean FROM o_pathscores""",
     "by_correlation by_cosine by_euclidean")
@@ -479,6 +496,9 @@ for _m, _p in _POOLS.items():
     add(f"i11_search_{_m}", f"""SELECT {KEY}, rank, similarity_score, day_classification,
       return_at_cash_close_pct, full_gap_fill FROM ({ranked(_p, 10)}) JOIN o_classes USING ({KEY})
       JOIN o_outcomes USING ({KEY})""", "similarity_score return_at_cash_close_pct")
+add("i11_search_warped", f"""SELECT {KEY}, rank, similarity_score, day_classification
+  FROM ({ranked(_POOLS["similarity"], 10).replace("o_pathscores", "o_pathscores_dtw")})
+  JOIN o_classes USING ({KEY})""", "similarity_score")
 add("i11_search_headline", f"""SELECT instrument_id, count(*) AS sample_size,
   median(return_at_cash_close_pct) AS median_return_at_close_pct,
   100.0 * avg(close_above_cash_open::INT) AS positive_close_pct,
