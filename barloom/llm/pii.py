@@ -6,7 +6,9 @@ and a term's point-wise mutual information with the entity is held against the e
 information content. With ``d(x)`` the number of documents with x and N that of all, PMI =
 log2(N d(e,t) / (d(e) d(t))) and IC = log2(N / d(e)). A term discloses when PMI >= ``SHARE`` IC
 in at least ``SUPPORT`` different surroundings (``REACH`` words on either side) of the entity,
-so copies of one passage prove nothing. Every occurrence in a document that holds the entity is
+so copies of one passage prove nothing. Most entities stand in one document only and can give no
+term; so the groups they belong to (``group``: a mail domain, the network of an address, the leading
+digits of a number) are protected in the same way. Every occurrence in a document that holds the entity is
 marked: removed when the term determines the entity (PMI >= IC), else generalised.
 
 A word is a run of characters other than blanks and punctuation, with apostrophes and hyphens
@@ -18,10 +20,9 @@ the texts that hold one are set aside and read again, once for the counts and on
 marks. PMI is at most log2(N / max(d(e), d(t))), which rules out terms with d(t) > N^(1-SHARE)
 d(e)^SHARE: the most frequent ``COMMON`` of them go to the tasks, which skip them, and the rest
 are dropped by the final comparison. Pairs are added up in the tasks, keeping ``SUPPORT``
-surroundings of each, before they are shuffled, and again in a map-side step. Words of the
-corpus are counted only where they are candidates: the list of candidates goes to the tasks
-when it is at most ``LISTED`` hashes (its size is checked), else all words are shuffled; the
-list of disclosing terms likewise. The counts and marks are the same.
+surroundings of each, before they are shuffled, and again in a map-side step. All words of the
+corpus are counted by document, whatever the entities. The list of disclosing terms goes to the
+tasks when it is at most ``LISTED`` hashes (its size is checked), else all words are joined.
 
 Defined cases: a null text is empty and has no spans. Rows are told apart by key and text, so
 repeated rows get equal results and null keys stay. A very long text is one row like any other;
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ TERM = "term"
 REACH = 8
 SUPPORT = 3
 SHARE = 0.9
+#: Digits of a card or phone number that name its group.
+LEADING = 6
 LEAST_LETTERS = 4
 LISTED = 1_000_000
 COMMON = 100_000
@@ -119,23 +123,38 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
     return out
 
 
+def group(kind: str, value: str) -> str:
+    """What an entity shares with others of its owner or place: the mail domain, the network of
+    an address, the leading digits of a number."""
+    if kind == "email":
+        return value.rsplit("@", 1)[-1]
+    if kind == "ip":
+        return value.rsplit(".", 2)[0]
+    return re.sub(r"[^0-9]", "", value)[:LEADING]
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """One record for each entity of a text: a digest of the words near its mentions."""
+    """One record for each entity of a text and for each entity group: a digest of the words near
+    its mentions, ``REACH`` whole words on either side."""
     ordered = sorted(spans, key=lambda s: s[1])
+    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    starts, ends = [s for s, _ in places], [e for _, e in places]
     found: dict[tuple[str, str], dict[int, str]] = {}
     for kind, a, b in ordered:
-        left, right = text[max(0, a - 60 * REACH):a], text[b:b + 60 * REACH]
-        near = ([(m, a - len(left)) for m in _WORD.finditer(left)][-REACH:]
-                + [(m, b) for m in _WORD.finditer(right)][:REACH])
+        before, after = bisect_left(starts, a), bisect_right(ends, b)
+        # A word that the mention cuts counts with the part outside.
+        near = [(s, min(e, a)) for s, e in places[max(0, before - REACH):before]]
+        near += [(max(s, b), e) for s, e in places[after:after + REACH]]
         value = re.sub(r"[^0-9a-z@+._-]", "", text[a:b].lower())
-        around = found.setdefault((kind, value), {})
-        for m, shift in near:
-            word = m[0].strip(".,;:!?()[]\"'")
-            if len(word) < LEAST_LETTERS or not word.isalpha():
-                continue
-            start = m.start() + shift + m[0].index(word)
-            if not any(s < start + len(word) and start < e for _, s, e in ordered):
-                around[start] = word
+        for name in ((kind, value), (f"{kind} group", group(kind, value))):
+            around = found.setdefault(name, {})
+            for s, e in near:
+                word = text[s:e].strip(".,;:!?()[]\"'")
+                if len(word) < LEAST_LETTERS or not word.isalpha():
+                    continue
+                start = s + text[s:e].index(word)
+                if not any(x < start + len(word) and start < y for _, x, y in ordered):
+                    around[start] = word
     return [{"kind": kind, "value": value, "around": int.from_bytes(hashlib.md5(
         " ".join(around.values()).encode()).digest()[:8], "big", signed=True)}
         for (kind, value), around in found.items()]
@@ -195,29 +214,27 @@ def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], row[new]
 
 
-def _term_counts(docs: DataFrame, text: str, candidates: DataFrame) -> DataFrame:
-    """Documents with each candidate term."""
-    shared = docs.sparkSession.sparkContext.broadcast(_listed(candidates))
+def _term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """Documents with each word of the corpus: added up by the tasks for ``HELD`` words at a
+    time, then in a map-side step. The rows follow the text, whatever entities it holds."""
+    def added(parts: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))],
+                                          names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = shared.value
+        parts: list[np.ndarray] = []
         for b in tidied(batches):
-            if want is not None and not len(want):
-                continue
-            parts = []
             for _, buf, offs in chunks(plain(b.column("t"))):
                 h, row = word_hashes(buf, offs)
-                h = h.view(np.int64)
-                if want is not None:
-                    hit = _in(want, h)
-                    h, row = h[hit], row[hit]
-                parts.append(_distinct(h, row)[0])
-            h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64),
-                             return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))],
-                                             names=["h", "n"])
-
-    return (docs.select(F.col(text).alias("t")).mapInArrow(run, "h long, n long")
+                parts.append(_distinct(h.view(np.int64), row)[0])
+                if sum(map(len, parts)) >= HELD:
+                    yield added(parts)
+                    parts = []
+        if parts:
+            yield added(parts)
+
+    return (small_batches(docs).select(F.col(text).alias("t")).mapInArrow(run, "h long, n long")
             .groupBy("h").agg(F.sum("n").alias("d_t")))
 
 
@@ -256,17 +273,6 @@ def _terms(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, h[cut_[i]:cut_[i + 1]]
 
 
-def _candidates(held: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tidied(batches):
-            parts = [h for _, h in _terms(b)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64))],
-                names=["h"])
-
-    return small_batches(held).select("t", "base").mapInArrow(run, "h long").distinct()
-
-
 def _added(parts: list[tuple], support: int) -> pa.RecordBatch:
     """Pairs with their documents, and at most ``support`` surroundings of each."""
     e, d_e, h, around = (np.concatenate(x) for x in zip(*parts))
@@ -406,7 +412,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int
                .agg(F.collect_set(F.struct("e", "around", "d_e")).alias("es")))
     held = cut(_beside(base.where("t is not null").select("k", "th", "base", "t"), holders,
                        "inner"))
-    counts = cut(_term_counts(docs, text, _candidates(held)))
+    counts = cut(_term_counts(docs, text))
     together = _together(held, counts, total, support, share)
     pmi = F.log2(F.lit(total) * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
     content = F.log2(F.lit(total) / F.col("d_e"))
