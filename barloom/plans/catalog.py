@@ -114,6 +114,14 @@ class Tables:
         return paths.session_paths(self.bars, self.daily, SessionParams().cutoff_min)
 
 
+class DenseTables(Tables):
+    """The same plans over full sessions on a calendar of days, weekends and half days."""
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return cut(ticks.session_bars(self.spark, self.dir, place=ticks.dense_place))
+
+
 class StoredTables(Tables):
     """The same plans over derived tables that ``derived.build_all`` has written."""
 
@@ -164,6 +172,11 @@ def query(name: str, stored: bool = True):
     return add
 
 
+def on_dense(name: str, plan: str) -> None:
+    """Register a plan again, over the dense bars."""
+    QUERIES[name] = lambda spark, sf_dir: PLANS[plan](DenseTables(spark, sf_dir))
+
+
 def columns_of(table: str, name: str, cols: str) -> None:
     """A query that shows some columns of a derived table."""
     query(name, stored=table != "daily")(lambda t: getattr(t, table).select(*SESSION, *[C(f"`{c}`") for c in cols.split()]))
@@ -453,6 +466,22 @@ def _(t: Tables) -> DataFrame:
     return setups.conditional_report(t.setups.join(picked, SESSION, "left_semi"))
 
 
+@query("k18_context_outcomes")
+def _(t: Tables) -> DataFrame:
+    """What followed the decision inside a context."""
+    picked = t.context.where(context.matches_context(RISING)).select(*SESSION)
+    return setups.outcome_summary(t.setups.join(picked, SESSION, "left_semi"))
+
+
+@query("k18_match_table")
+def _(t: Tables) -> DataFrame:
+    """The matches of a context with their labels, and the session table where it has them."""
+    picked = t.context.where(context.matches_context(RISING)).select(
+        *SESSION, "swing", "location", "opening")
+    return picked.join(t.setups.select(
+        *SESSION, "decision_price", "morn_ret_pct", "day_ret_pct", "pre_PDH"), SESSION, "left")
+
+
 @query("k19_multiday_frame")
 def _(t: Tables) -> DataFrame:
     last = t.refs.select("instrument_id", C("reference_date").alias("last_date"))
@@ -915,6 +944,23 @@ def _(t: Tables) -> DataFrame:
                     "open", "high", "low", "close", "volume")
 
 
+@query("a1_plain_feed_file")
+def _(t: Tables) -> DataFrame:
+    """Events written as a file of the plain feed, every eleventh line cut short and every
+    thirteenth without a number in its place, and read back."""
+    from barloom.sources.feeds import read_plain_feed
+    value = C("value").cast("string")
+    price = F.when(C("event_id") % 13 == 0, "n/a").otherwise(value)
+    line = F.concat_ws(";", F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "HH:mm:ss"),
+                       value, price, value, value, C("event_id").cast("string"))
+    short = F.substring_index(line, ";", 3)
+    path = scratch(t.spark)
+    t.table("events").select(F.when(C("event_id") % 11 == 0, short).otherwise(line)).write.text(path)
+    d = read_plain_feed(t.spark, path)
+    return d.select(F.date_format("wall", "yyyy-MM-dd HH:mm:ss").alias("wall"), "open", "high",
+                    "low", "close", "volume")
+
+
 @query("a2_contract_files", stored=False)
 def _(t: Tables) -> DataFrame:
     """Contract bars written as headed files, one folder per contract, and read by the glob."""
@@ -1202,8 +1248,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("d3_missing_bars", stored=False)
 def _(t: Tables) -> DataFrame:
-    """Full means a fifth of the grid here: the slots of these bars are sparse by design."""
-    return audit.missing_bars(t.bars, 5, full_share=0.2)
+    return audit.missing_bars(t.bars, 5)
 
 
 @query("d4_contract_inventory", stored=False)
@@ -1248,3 +1293,15 @@ def _(t: Tables) -> DataFrame:
 @query("d8_audit_row")
 def _(t: Tables) -> DataFrame:
     return _audit(t).drop("warnings", "top_volume_minutes")
+
+
+# ---- the same on dense bars ----------------------------------------------------------
+DENSE = {"c8_calendar_dense": "c8_calendar", "d1_timezone_dense": "d1_timezone_check",
+         "d2_coverage_dense": "d2_coverage", "d3_missing_dense": "d3_missing_bars",
+         "d6_feed_gap_dense": "d6_feed_gap", "d7_warnings_dense": "d7_warnings",
+         "d8_audit_dense": "d8_audit_row", "e13_flags_dense": "e13_quality_flags",
+         "c12_session_ohlc_dense": "c12_session_ohlc", "i9_tiers_dense": "i9_progressive_tiers",
+         "i13_flagship_dense": "i13_flagship_filter", "l10_state_profile_dense": "l10_state_profile",
+         "k16_label_mix_dense": "k16_label_mix", "j7_conditional_dense": "j7_conditional_prob"}
+for _n, _p in DENSE.items():
+    on_dense(_n, _p)

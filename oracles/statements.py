@@ -1,15 +1,20 @@
 """One statement per registered query."""
 from __future__ import annotations
 
+import re
+
 import oracles.base  # noqa: F401  (defines the shared expressions)
-from barloom.plans.catalog import DAILY_VIEWS
+from barloom.plans.catalog import DAILY_VIEWS, DENSE
 from oracles.build import CTES, define, statement, variant
 
 STATEMENTS: dict[str, str] = {}
+#: Statements before assembly, and the doubles they round.
+RAW: dict[str, tuple[str, str]] = {}
 KEY = "instrument_id, session_date"
 
 
 def add(name: str, sql: str, doubles: str = "") -> None:
+    RAW[name] = sql, doubles
     STATEMENTS[name] = statement(sql, doubles)
 
 
@@ -196,6 +201,10 @@ def conditional(table: str) -> str:
 
 add("k18_context_scan", conditional(
     f"(SELECT * FROM o_setup SEMI JOIN (SELECT {KEY} FROM o_context WHERE {_RISING}) USING ({KEY}))"))
+_PICKED = f"SELECT {KEY} FROM o_context WHERE {_RISING}"
+add("k18_match_table", f"""SELECT {KEY}, swing, location, opening, decision_price, morn_ret_pct, day_ret_pct, "pre_PDH"
+  FROM (SELECT * FROM o_context WHERE {_RISING}) LEFT JOIN o_setup USING ({KEY})""",
+    "decision_price morn_ret_pct day_ret_pct")
 add("k19_multiday_frame", """
 WITH RECURSIVE r AS (SELECT instrument_id, session_date, dense_rank() OVER (PARTITION BY instrument_id
   ORDER BY session_date DESC) AS k, mso, c FROM o_cash),
@@ -257,6 +266,8 @@ SELECT instrument_id, metric, count(*) AS n, round(median(v), 3) AS median, roun
   round(100.0 * count(*) FILTER (v < 0) / count(*), 1) AS negative_pct,
   round(quantile_cont(v, 0.25), 3) AS p25, round(quantile_cont(v, 0.75), 3) AS p75,
   round(min(v), 3) AS worst, round(max(v), 3) AS best FROM long GROUP BY ALL""")
+add("k18_context_outcomes", RAW["j8_outcome_summary"][0].replace(
+    "FROM o_setup", f"FROM (SELECT * FROM o_setup SEMI JOIN ({_PICKED}) USING ({KEY}))"))
 add("j9_gates", f"""SELECT instrument_id, count(*) FILTER ({both(_MARKET)}) AS n_market,
   count(*) FILTER (coalesce(pa_close_below_open AND pa_close_location <= 0.5 AND pa_spike_up_reject, false))
     AS n_pressure FROM o_setup GROUP BY ALL""")
@@ -535,6 +546,10 @@ FROM (SELECT *, gap_pct > 0 AND first_bar_is_bull AND first_bar_close_location >
 # ---- sources, cleaning, bars, rolls, audit
 add("a1_plain_feed_lines", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall, value AS open,
   value AS high, value AS low, value AS close, CAST(1 AS DOUBLE) AS volume FROM events""", "open high low close volume")
+add("a1_plain_feed_file", """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall, value AS open,
+  CASE WHEN NOT (event_id % 11 = 0 OR event_id % 13 = 0) THEN value END AS high,
+  CASE WHEN event_id % 11 > 0 THEN value END AS low, CASE WHEN event_id % 11 > 0 THEN value END AS close,
+  CASE WHEN event_id % 11 > 0 THEN event_id::DOUBLE END AS volume FROM events""", "open high low close volume")
 _WALL = "strftime(local_dt, '%Y-%m-%d %H:%M:%S')"
 add("a2_contract_files", f"""SELECT instrument_id AS con_id, {_WALL} AS wall, contract_month::BIGINT AS contract_month,
   expiry::BIGINT AS expiry, 'Q' || con_id AS local_symbol, o AS open, h AS high, l AS low, c AS close, volume,
@@ -685,7 +700,7 @@ SELECT instrument_id, 103 AS expected_bars, full_days, missing_bars,
   round(100.0 * missing_bars / (103 * greatest(full_days, 1)), 3) AS missing_pct, sessions_with_gaps FROM g"""
 
 
-add("d3_missing_bars", missing(0.2))
+add("d3_missing_bars", missing(0.8))
 add("d4_contract_inventory", """SELECT instrument_id, contract_month, min(con_id) AS con_id,
   'Q' || min(con_id) AS local_symbol, min(expiry) AS expiry, strftime(min(local_dt), '%Y-%m-%d %H:%M:%S') AS starts,
   strftime(max(local_dt), '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS n_bars FROM o_quarter GROUP BY ALL""")
@@ -720,3 +735,21 @@ add("d7_warnings", f"""SELECT instrument_id, concat_ws('; ',
   CASE WHEN fallback_used THEN 'ambiguous hours read as summer time' END,
   CASE WHEN gap_days > 3 THEN gap_days || ' days between the feeds' END,
   CASE WHEN NOT newest_contract_anchored_raw THEN 'newest contract is not raw' END) AS warnings FROM ({_AUDIT})""")
+
+
+# ---- the same on dense bars
+variant("_dense", o_slots="""
+SELECT * REPLACE (CAST(DATE '1997-12-01' + day AS DATE) AS session_date,
+  (CAST(date_trunc('week', DATE '1997-12-01' + day) AS DATE) - DATE '1995-01-02') // 7 AS wk),
+  CASE WHEN short < 102 THEN short * 5 WHEN short = 102 THEN -10 ELSE 520 END AS mso
+FROM (SELECT *, CASE WHEN isodow(DATE '1997-12-01' + day) >= 6 THEN s % 30 WHEN day % 14 = 0 THEN s % 48 ELSE s END AS short
+  FROM (SELECT * REPLACE (CASE WHEN day BETWEEN 35 AND 34 + instrument_id % 3 THEN day + 3 ELSE day END AS day)
+    FROM (SELECT *, ((l_orderkey * 3 + l_linenumber * 11 + l_partkey) % 71)::INTEGER AS day,
+      (l_orderkey * 7 + l_partkey * 13 + l_linenumber * 5) % 104 AS s FROM o_ticks)))""")
+for _n, _p in DENSE.items():
+    _sql, _dbl = RAW[_p]
+    _sql = _sql.replace(_TZ, RAW["d1_timezone_check"][0])
+    for _c in sorted(CTES, key=len, reverse=True):
+        if _c + "_dense" in CTES:
+            _sql = re.sub(rf"\b{_c}\b", _c + "_dense", _sql)
+    add(_n, _sql, _dbl)
