@@ -1,13 +1,17 @@
 """Quality rules with risk-controlled thresholds, in built-in expressions only.
 
 Each rule rejects a text whose measure exceeds a cutoff. Cutoffs are chosen on labelled
-documents: per stratum (language) and rule, cutoffs are tested from the loosest to the
-strictest, and the strictest is taken such that this and all looser ones reject good documents
-at a rate below the limit with confidence: P(Binomial(n, limit) <= k) <= error / tests, where n
-good documents are labelled and k of them would be rejected (the exact Clopper-Pearson bound).
-A fixed test order needs no correction inside a rule; ``error`` is divided by the number of
-rules and strata (Bonferroni), and the limit of a stratum is divided among its rules, so all
-rules together reject at most ``LIMIT`` of a stratum's good documents.
+documents: per stratum (language), cutoffs are tested from the loosest to the strictest, and the
+strictest is taken such that this and all looser ones reject good documents at a rate below the
+limit with confidence: P(Binomial(n, limit) <= k) <= error / tests, where n good documents are
+labelled and k of them would be rejected (the exact Clopper-Pearson bound). The rules share one
+scale, so their cutoffs move together: a document is rejected if any of its measures exceeds the
+cutoff, and one nested sequence of joint cutoffs is tested at the whole ``LIMIT``. A fixed test
+order needs no correction inside a stratum; ``error`` is divided by the number of strata
+(Bonferroni). A limit of 4 % with four strata needs 108 good labels in a stratum.
+
+A trial is a labelled document, once, however often its row or its text is repeated: the bound
+holds for independent documents.
 
 One pass over the texts makes a narrow table; thresholds are one aggregate over the labelled
 rows of it. A stratum that holds a third of all rows is counted in map-side steps; thresholds
@@ -15,8 +19,8 @@ are one row for each stratum, joined without a hint.
 
 Defined cases: a null text has no words and fails. A stratum without enough labels gets no
 cutoff and rejects nothing beyond the base. Conflicting labels of one document count as bad;
-null labels do not count. Repeated rows get equal results; a label counts once for each row of
-its document.
+null labels do not count. Repeated rows get equal results. Of a labelled document with several
+rows, and of good documents with one text, the greatest measure is one trial.
 """
 from __future__ import annotations
 
@@ -105,10 +109,12 @@ def log_cdf(n: Column, k: Column, p: float) -> Column:
     return top + n * math.log(1 - p) + F.log(below)
 
 
-def thresholds(rows: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+def thresholds(rows: DataFrame, limit: float = LIMIT, error: float = ERROR,
+               rules: int = len(MEASURES)) -> DataFrame:
     """(stratum, cuts): the cutoff of every rule that may reject. ``rows`` are good documents
-    with their measures: (stratum, measures map)."""
-    share = limit / len(MEASURES)
+    with their measures: (stratum, measures map). ``limit`` and ``error`` are divided among
+    ``rules`` that are tested apart."""
+    share = limit / rules
     cutoffs = F.array(*[F.lit(c) for c in CUTOFFS])
     bins = rows.select("stratum", F.explode("measures").alias("rule", "value")).select(
         "stratum", "rule", F.size(F.filter(cutoffs, lambda c: F.col("value") <= c)).alias("bin"))
@@ -123,7 +129,7 @@ def thresholds(rows: DataFrame, limit: float = LIMIT, error: float = ERROR) -> D
     tests = rows.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
     strata = strata.join(F.broadcast(tests))  # one row
     passes = F.when(F.col("k") < F.col("n") * share, log_cdf(F.col("n"), F.col("k"), share)
-                    <= F.log(F.lit(error) / (F.col("strata") * len(MEASURES)))).otherwise(False)
+                    <= F.log(F.lit(error) / (F.col("strata") * rules))).otherwise(False)
     return (strata.withColumn("fails", (~passes).cast("int"))
             .withColumn("failed", F.sum("fails").over(
                 Window.partitionBy("stratum", "rule").orderBy("i")))
@@ -135,18 +141,21 @@ def thresholds(rows: DataFrame, limit: float = LIMIT, error: float = ERROR) -> D
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
           stratum: str = "lang", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` for every row."""
-    t = cut(counts(docs, {"k": key, "s_0": stratum}, text)
+    t = cut(counts(docs.withColumn("h_0", F.xxhash64(F.col(text))),
+                   {"k": key, "s_0": stratum, "copy": "h_0"}, text)
             .withColumn("base_failed", base_failed())
-            .withColumn("stratum", F.coalesce(F.col("s_0").cast("string"), F.lit(""))))
-    measures = F.create_map(*[x for k, e in MEASURES.items() for x in (F.lit(k), F.expr(e))])
+            .withColumn("stratum", F.coalesce(F.col("s_0").cast("string"), F.lit("")))
+            .withColumn("worst", F.when(~F.col("base_failed"), F.greatest(
+                *[F.expr(e) for e in MEASURES.values()]))))
     good = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
             .agg(F.min("quality").alias("q")).where("q = 1"))
-    held = (t.where("not base_failed").join(good, F.col("k") == F.col("doc_id"))
-            .select("stratum", measures.alias("measures")))
-    cuts = thresholds(held, limit, error)
-    exceeded = F.lit(False)
-    for name, e in MEASURES.items():
-        exceeded = exceeded | F.coalesce(F.expr(e) > F.col("cuts")[name], F.lit(False))
+    trials = (t.where("not base_failed").join(good, F.col("k") == F.col("doc_id"))
+              .groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.min("copy").alias("copy"),
+                                     F.max("worst").alias("worst"))
+              .groupBy("stratum", "copy").agg(F.max("worst").alias("worst")))
+    cuts = thresholds(trials.select("stratum", F.create_map(F.lit("any"), "worst").alias(
+        "measures")), limit, error, 1).select("stratum", F.col("cuts")["any"].alias("most"))
+    exceeded = F.coalesce(F.col("worst") > F.col("most"), F.lit(False))
     return t.join(cuts, "stratum", "left").select(
         F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed",
@@ -170,7 +179,7 @@ p as (
   from g where c > 1),
 r as (select rid, sum(n) as n_repeat_words from p group by rid),
 b as (
-  select doc_id, stratum, cast(len(words) as bigint) as n_words,
+  select doc_id, stratum, t, cast(len(words) as bigint) as n_words,
     cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
@@ -179,40 +188,33 @@ b as (
 f as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b),
 m as (
-  select *, n_symbols / cast(n_words as double) as symbols,
-    n_dup_lines / cast(n_lines as double) as dup_lines,
-    n_repeat_words / cast(n_words as double) as repeats,
-    greatest(word_chars / cast(n_words as double) - 8.0, 0.0) / 8.0 as long_words from f),
+  select *, greatest(n_symbols / cast(n_words as double), n_dup_lines / cast(n_lines as double),
+    n_repeat_words / cast(n_words as double),
+    greatest(word_chars / cast(n_words as double) - 8.0, 0.0) / 8.0) as worst from f),
 good as (select doc_id from labels where doc_id is not null and quality is not null
          group by doc_id having min(quality) = 1),
 held as (
-  select stratum, unnest(['symbols', 'dup_lines', 'repeats', 'long_words']) as rule,
-         unnest([symbols, dup_lines, repeats, long_words]) as v
-  from m join good using (doc_id) where not base_failed),
+  select stratum, max(v) as v from (
+    select doc_id, min(stratum) as stratum, min(t) as t, max(worst) as v
+    from m join good using (doc_id) where not base_failed group by doc_id) group by stratum, t),
 c(i, cutoff) as (values {cutoffs}),
 k as (
-  select stratum, rule, i, cutoff, count(*) as n, count(*) filter (v > cutoff) as k
+  select stratum, i, cutoff, count(*) as n, count(*) filter (v > cutoff) as k
   from held cross join c group by all),
 z as (
   select *, k < n * {share} and (
       select ln(sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
                         + j * ln({share}) + (n - j) * ln(1 - {share}))))
       from unnest(range(0, k + 1)) as u(j))
-    <= ln({error} / ((select count(distinct stratum) from held) * {rules})) as ok from k),
-chosen as (
-  select stratum, rule, min(cutoff) as cutoff from (
-    select *, sum(case when ok then 0 else 1 end)
-      over (partition by stratum, rule order by i) as failed from z)
-  where failed = 0 group by all),
+    <= ln({error} / (select count(distinct stratum) from held)) as ok from k),
 cuts as (
-  select stratum, max(cutoff) filter (rule = 'symbols') as c1,
-    max(cutoff) filter (rule = 'dup_lines') as c2, max(cutoff) filter (rule = 'repeats') as c3,
-    max(cutoff) filter (rule = 'long_words') as c4 from chosen group by stratum)
+  select stratum, min(cutoff) as most from (
+    select *, sum(case when ok then 0 else 1 end)
+      over (partition by stratum order by i) as failed from z)
+  where failed = 0 group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  case when base_failed then false
-       else not (coalesce(symbols > c1, false) or coalesce(dup_lines > c2, false)
-              or coalesce(repeats > c3, false) or coalesce(long_words > c4, false)) end as kept
+  case when base_failed then false else not coalesce(worst > most, false) end as kept
 from m left join cuts using (stratum)
 """.replace("{cutoffs}", ", ".join(f"({i}, {c}::double)" for i, c in enumerate(CUTOFFS))) \
-   .replace("{share}", repr(LIMIT / len(MEASURES))).replace("{error}", repr(ERROR)) \
-   .replace("{rules}", str(len(MEASURES))).replace("with recursive", "with")
+   .replace("{share}", repr(LIMIT)).replace("{error}", repr(ERROR)) \
+   .replace("with recursive", "with")

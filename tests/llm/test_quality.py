@@ -78,6 +78,21 @@ def test_verdicts(spark):
     assert got[2004].kept  # no labels in its stratum, no rule
 
 
+def test_repeats_are_one_trial(spark):
+    """A good document repeated 700 times, and 700 good ones with one text, prove nothing."""
+    text = "some words stand here in a row that nobody would ever call a repeat or junk at all ok so"
+    junk = text + " ### $$$ %%%" * 3
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900)],
+                                   "doc_id long, quality int, toxic int")
+    for ids in ([1] * 700, range(700)):
+        docs = spark.createDataFrame([(i, text, "en") for i in ids] + [(2000, junk, "en")],
+                                     "doc_id long, text string, lang string")
+        assert all(r.kept for r in quality.judge(docs, labels).collect())
+    apart = [(i, f"{text} number {i}", "en") for i in range(120)] + [(2000, junk, "en")]
+    docs = spark.createDataFrame(apart, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in quality.judge(docs, labels).collect() if not r.kept] == [2000]
+
+
 def test_awkward_rows_and_empty(spark, docs, rows, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(docs, labels).count() == len(rows)
