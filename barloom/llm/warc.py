@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from barloom.plans.storage import cut, scratch
 
+SPAN = 400_000_000
 REVISIT_BYTES = 1000
 FILE_BYTES = 16 << 20
 LISTED = 100_000
@@ -65,8 +66,12 @@ def decisions(pages: DataFrame, key: str = "page_id", url: str = "url",
               html: str = "html", time: Column | None = None) -> DataFrame:
     """What each record will be: (page_id, url, html of responses, payload facts)."""
     payload = F.coalesce(F.col(html), F.lit(""))
-    stamp = time if time is not None else F.timestamp_seconds(
-        F.lit(1_704_067_200) + F.coalesce(F.col(key), F.lit(0)))
+    # Without times of capture, ids give some within SPAN seconds. Seconds are added to a time
+    # without zone, so the session's zone has no part in it.
+    seconds = F.unix_seconds(time) if time is not None else F.lit(1_704_067_200) + F.pmod(
+        F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(SPAN))
+    stamp = F.timestamp_add("SECOND", seconds.cast("int") if time is None else seconds,
+                            F.lit("1970-01-01").cast("timestamp_ntz"))
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("html"),
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("capture_time"),
@@ -105,7 +110,9 @@ def records(rows: DataFrame) -> DataFrame:
     size = F.length(http) + F.octet_length("html")
     ident = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
                      F.lit(">"))
-    target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
+    # A line end inside a URL would end the header; it is written as URLs write it.
+    target = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")),
+                       F.lit("\n"), F.lit("%0A"))
     revisit = F.col("record_type") == "revisit"
     empty = F.lit("")
     text = F.concat(

@@ -153,3 +153,20 @@ def test_keys_and_empty(spark):
     assert warc.url_key("HTTP://www.Example.org:80/A?b") == "org,example):80/a?b"
     assert warc.url_key(None) == ""
     assert warc.archive(frame(spark, page_rows()).where("false")).collect() == []
+
+
+def test_any_id_and_any_zone(spark):
+    """Hashed ids and the session's zone leave the time of capture a time, in UTC."""
+    rows = [(2 ** 62, "http://a.org/x\r\ny", "p" * 2000), (-2 ** 63, None, "p" * 2000),
+            (0, "http://b.org/", "q"), (None, "http://c.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r.page_id: r for r in warc.archive(df).collect()}
+        times = {r.page_id: r.capture_time for r in warc.decisions(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got[-2 ** 63].refers_to == 2 ** 62 and len(got) == 4
+    assert times[0] == "2024-01-01T00:00:00Z" and all(len(t) == 20 for t in times.values())
+    assert got[2 ** 62].url == "http://a.org/x%0D%0Ay"
