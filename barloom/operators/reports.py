@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import count_where, percentiles
@@ -64,15 +64,19 @@ def dates_only(d: DataFrame) -> DataFrame:
     return d.select("instrument_id", F.date_format("session_date", "yyyy-MM-dd").alias("date"))
 
 
-def describe_spec(spark: SparkSession, spec) -> DataFrame:
-    """The active conditions of a spec as rows, for display."""
+def spec_conditions(spec) -> Column:
+    """The active conditions of a spec as an array of (condition, setting, changed), for display
+    beside any table; ``changed``: not the published setting."""
     base = type(spec)()
-    rows = [(f.name, str(getattr(spec, f.name))) for f in fields(spec)
-            if getattr(spec, f.name) not in (None, False, ())]
-    changed = {f.name for f in fields(spec) if getattr(spec, f.name) != getattr(base, f.name)}
-    lit = F.array(*[F.struct(F.lit(a).alias("condition"), F.lit(b).alias("setting"),
-                             F.lit(a in changed).alias("changed")) for a, b in rows])
-    return spark.range(1).select(F.inline(lit))
+    active = [(f.name, getattr(spec, f.name)) for f in fields(spec)
+              if getattr(spec, f.name) not in (None, False, ())]
+    return F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(str(v)).alias("setting"),
+                              F.lit(v != getattr(base, n)).alias("changed")) for n, v in active])
+
+
+def describe_spec(spark: SparkSession, spec) -> DataFrame:
+    """The active conditions of a spec as rows."""
+    return spark.range(1).select(F.inline(spec_conditions(spec)))
 
 
 def relaxation_lines(tiers: DataFrame) -> DataFrame:

@@ -208,8 +208,34 @@ def rank(blocks: DataFrame, path_dist: DataFrame | None = None,
     return d if n is None else d.where(C("rank") <= n)
 
 
-def explain(pairs: DataFrame, per_class: int = 6) -> DataFrame:
-    """Features that agree, roughly agree or differ, the most telling ones first."""
+# How features are called in explanations.
+LABELS = {
+    "distance_open_to_ath_pct": "distance of open to prior ATH",
+    "overnight_return_pct": "overnight return",
+    "overnight_range_normalized": "overnight range (ATR)",
+    "gap_pct": "opening gap",
+    "open_vs_pdh_pct": "open vs previous-day high",
+    "first_bar_return": "first-bar return",
+    "first_bar_range_normalized": "first-bar size (ATR)",
+    "first_bar_body_to_range": "first-bar body/range",
+    "first_bar_close_location": "first-bar close location",
+    "first_bar_breaks_overnight_high": "first bar breaks overnight high",
+    "extension_ratio": "post-spike extension",
+    "post_spike_pullback_ratio": "post-spike pullback",
+    "post_spike_overlap_ratio": "post-spike overlap",
+    "post_spike_efficiency": "post-spike efficiency",
+    "number_of_new_highs_after_first_bar": "new highs after first bar",
+    "first_meaningful_lower_high_min": "time of first lower high",
+    "first_bearish_expansion_min": "time of first bearish expansion",
+    "first_break_first15m_low_min": "time breaking first-15m low",
+    "time_below_open_frac": "time spent below the open",
+}
+
+
+def explain(pairs: DataFrame, per_class: int = 6, labels: dict[str, str] | None = None
+            ) -> DataFrame:
+    """Features that agree, roughly agree or differ, the most telling ones first; under the names
+    that ``labels`` has for them."""
     long = pairs.select(*SESSION, F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.abs(C(f) - C(f"q_{f}")).alias("diff"))
         for f in FEATURES]))).where("diff is not null")
@@ -220,9 +246,14 @@ def explain(pairs: DataFrame, per_class: int = 6) -> DataFrame:
     top = (long.withColumn("cls", cls).withColumn("key", key)
            .withColumn("k", F.row_number().over(w)).where(C("k") <= per_class))
 
+    known = F.create_map(*[F.lit(x) for pair in (labels or {}).items() for x in pair])
+
+    def shown(f: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, f), f) if labels else f
+
     def names(c: str) -> Column:
         picked = F.array_sort(F.collect_list(F.when(C("cls") == c, F.struct("k", "feature"))))
-        return F.array_join(F.transform(picked, lambda x: x["feature"]), ", ").alias(c)
+        return F.array_join(F.transform(picked, lambda x: shown(x["feature"])), ", ").alias(c)
 
     return top.groupBy(*SESSION).agg(*[names(c) for c in (
         "highly_similar", "moderately_similar", "differed")])

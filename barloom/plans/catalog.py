@@ -809,6 +809,14 @@ def _(t: Tables) -> DataFrame:
     return reports.dates_only(t.setups.where(setups.matches_setup(UPWARD)))
 
 
+@query("n5_spec_conditions")
+def _(t: Tables) -> DataFrame:
+    """The conditions of a setup as they are shown, beside the matches of each instrument."""
+    n = t.setups.where(setups.matches_setup(LOOSE)).groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("n_matches"))
+    return n.select("instrument_id", "n_matches", F.inline(reports.spec_conditions(LOOSE)))
+
+
 @query("n5_relaxation_lines")
 def _(t: Tables) -> DataFrame:
     return reports.relaxation_lines(
@@ -879,6 +887,11 @@ def _(t: Tables) -> DataFrame:
     return similarity.explain(_pairs(t))
 
 
+@query("i8_explanations_labelled")
+def _(t: Tables) -> DataFrame:
+    return similarity.explain(_pairs(t), labels=similarity.LABELS)
+
+
 @query("i9_progressive_tiers")
 def _(t: Tables) -> DataFrame:
     return similarity.tiers(similarity.with_tiers(t.features, WIDE), WIDE, 12)

@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 
 import oracles.base  # noqa: F401  (defines the shared expressions)
+from barloom.operators.similarity import LABELS
 from barloom.plans.catalog import DAILY_VIEWS, DENSE
 from oracles.build import CTES, define, statement, variant
 
@@ -465,6 +466,8 @@ SELECT {KEY}, coalesce(string_agg(feature, ', ' ORDER BY k) FILTER (cls = 'h'),
   coalesce(string_agg(feature, ', ' ORDER BY k) FILTER (cls = 'm'), '') AS moderately_similar,
   coalesce(string_agg(feature, ', ' ORDER BY k) FILTER (cls = 'd'), '') AS differed
 FROM k WHERE k <= 6 GROUP BY ALL""")
+_SHOWN = "CASE feature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " ELSE feature END"
+add("i8_explanations_labelled", RAW["i8_explanations"][0].replace("string_agg(feature,", f"string_agg({_SHOWN},"))
 _RUNGS = [_WIDE, "d05 AND gp AND vr AND fb AND w60", "d05 AND gp AND vr AND fb AND w105",
           "d1 AND gp AND vr AND fb AND w105", "d1 AND vr AND fb AND w105", "d1 AND fb AND w105"]
 _CTX_RUNGS = ["d2 AND gp AND vr", "d05 AND gp AND vr", "d1 AND gp AND vr", "d1 AND vr", "d1"]
@@ -490,6 +493,13 @@ add("i9_progressive_tiers", f"""SELECT instrument_id, c0 AS n_exact, cs[strong_r
   strong_rung, broad_rung, CASE WHEN f IS NULL THEN '' ELSE array_to_string({_TEXT}[1:f], '; ') END AS relaxed_strong,
   array_to_string({_TEXT}[1:broad_rung], '; ') AS relaxed_broad, c0 < 5 AS few_exact
   FROM ({tier_rungs(_RUNGS, 12)})""")
+add("n5_spec_conditions", f"""
+WITH n AS (SELECT instrument_id, count(*) AS n_matches FROM o_setup WHERE {both(_LOOSE)} GROUP BY ALL)
+SELECT n.*, v.* FROM n, (VALUES ('ath_tolerance_pct', '5.0', true), ('gap_min_pct', '-2.0', true),
+  ('gap_max_pct', '2.0', true), ('on_location_min', '0.2', true), ('pressure_window_min', '15', false),
+  ('direction', 'down', false), ('close_beyond_open', 'True', false), ('close_location_max', '0.5', true),
+  ('decision_bar', '6', false), ('bar_minutes', '5', false), ('morning_end_min', '180', false))
+  v(condition, setting, changed)""")
 add("n5_relaxation_lines", f"""SELECT instrument_id, concat_ws('; ', printf('exact %d', n_exact),
   CASE WHEN relaxed_strong <> '' THEN printf('strong %d (%s)', n_strong, relaxed_strong) END,
   CASE WHEN relaxed_broad <> '' THEN printf('broad %d (%s)', n_broad, relaxed_broad) END,
