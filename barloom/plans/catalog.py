@@ -625,7 +625,7 @@ def _(t: Tables) -> DataFrame:
         "last_rr", "n_taken", "decision", "sentence")
 
 
-@query("l7_replay", stored=False)
+@query("l7_replay")
 def _(t: Tables) -> DataFrame:
     """Every session as it looked at four minutes, asked for by a date some days later; and one
     date before all sessions."""

@@ -11,7 +11,7 @@ from barloom.plans.storage import scratch
 
 TABLES = "/root/testdata/sf0.001"
 #: Bars and duplicates.
-TWICE = {"d7_warnings", "d8_audit_row"}
+TWICE = {"d7_warnings", "d8_audit_row", "d7_warnings_dense", "d8_audit_dense"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="driver tables absent")
 
 
