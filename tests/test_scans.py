@@ -6,6 +6,7 @@ import os
 import pytest
 from scans import leaves, reads
 
+from barloom.operators import paths
 from barloom.plans import catalog, search
 from barloom.plans.storage import scratch
 
@@ -25,6 +26,7 @@ def test_ticks_are_scanned_once(spark, monkeypatch):
 
     monkeypatch.setattr(catalog, "cut", stand_in)
     monkeypatch.setattr(search, "cut", stand_in)
+    monkeypatch.setattr(paths, "cut", stand_in)
     found = {}
     for name, query in catalog.QUERIES.items():
         seen[0] = 0
