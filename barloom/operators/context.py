@@ -266,73 +266,81 @@ def label_mix(table: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).withColumn("share_pct", 100.0 * C("n") / n))
 
 
-#: Bars that one prefix of an average spans; weights inside stay far from overflow for any span.
-CHUNK = 16
+def _by_session(bars: DataFrame) -> DataFrame:
+    """A row for each session with its bars as one sorted array: as many entries as the clock has
+    slots."""
+    rest = [c for c in bars.columns if c not in (*SESSION, "mso")]
+    return bars.groupBy(*SESSION).agg(
+        F.array_sort(F.collect_list(F.struct("mso", *rest))).alias("__bars"))
 
 
-def _earlier(maps: Column, at: Column, keep: float, start: Column) -> Column:
-    """The average before place ``at``, out of the (end, part) of all earlier chunks and the
-    value that the whole started at."""
-    done = F.filter(maps, lambda m: m["end"] <= at)
-    return F.aggregate(done, start * F.pow(F.lit(keep), at), lambda y, m: y + m["part"] * F.pow(
-        F.lit(keep), at - m["end"]))
+def _steps(bars: Column, keep: float, start: Column) -> Column:
+    """The average after the last of the bars."""
+    return F.aggregate(bars, start, lambda y, b: keep * y + F.coalesce(
+        (1.0 - keep) * b["adj_close"], F.lit(0.0)))
 
 
-def running_average(bars: DataFrame, span: int, name: str) -> DataFrame:
-    """Adds the recursion y = a*x + (1-a)*y over ``adj_close``, started at the first value, along
-    the bars of each instrument.
+def _trail(xs: Column, start: Column, step) -> Column:
+    """``start`` and what it becomes after each of the entries: one value more than entries."""
+    return F.aggregate(xs, F.array(start), lambda ys, x: F.concat(
+        ys, F.array(step(F.element_at(ys, -1), x))))
+
 
-    A bar is an affine step y -> (1-a)*y + a*x. Steps are composed inside chunks of a session
-    by a window, chunks inside their session, sessions inside the instrument: of each only its
-    length and the part that does not depend on its start. So no task holds more than the bars of
-    a session or one row for each session, however long the frame.
+def _with_averages(sessions: DataFrame, spans: dict[str, int]) -> DataFrame:
+    """Sessions with an array of averages for each of the names, one value for each bar.
+
+    A bar is an affine step y -> (1-a)*y + a*x. The steps of a session compose to its length and the
+    part that does not depend on its start; the sessions of an instrument are walked once, on one
+    small entry each, which gives the value every session starts from. So no task holds more than
+    the bars of a session or one entry for each session, however long the frame.
     """
-    a = 2.0 / (span + 1)
-    keep, x = 1.0 - a, C("adj_close")
-    if keep == 0.0:
-        return bars.withColumn(name, x)
-    w = in_session()
-    chunk = upto(Window.partitionBy(*SESSION, "__chunk").orderBy("mso"))
-    b = bars.withColumn("__i", F.row_number().over(w) - 1)
-    b = b.withColumns({"__chunk": F.floor(C("__i") / CHUNK), "__j": C("__i") % CHUNK})
-    part = F.sum(a * x * F.pow(F.lit(keep), -C("__j"))).over(chunk) * F.pow(F.lit(keep), C("__j"))
-    b = b.withColumn("__part", part)
-    maps = (b.groupBy(*SESSION, "__chunk").agg(
-        F.max_by("__part", "__i").alias("part"), (F.max("__i") + 1).alias("end"))
-        .groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(F.struct("end", "part"))).alias("__maps"),
-        F.max("end").alias("n")))
-    first = bars.groupBy(*SESSION).agg(F.min_by(x, "mso").alias("first"))
-    nothing = F.lit(0.0)
-    maps = maps.join(first, SESSION).withColumn("whole", _earlier(C("__maps"), C("n"), keep, nothing))
-    days = Window.partitionBy("instrument_id").orderBy("session_date")
-    maps = maps.withColumn("end", F.sum("n").over(upto(days)))
-    frame = maps.groupBy("instrument_id").agg(
-        F.array_sort(F.collect_list(F.struct("end", C("whole").alias("part")))).alias("__days"),
-        F.min_by("first", "session_date").alias("__x0"))
-    starts = maps.join(frame, "instrument_id").select(
-        *SESSION, "__maps", _earlier(C("__days"), C("end") - C("n"), keep, C("__x0")).alias("__y0"))
-    i0 = C("__chunk") * CHUNK
-    y = C("__part") + F.pow(F.lit(keep), C("__j") + 1) * _earlier(C("__maps"), i0, keep, C("__y0"))
-    return b.join(starts, SESSION).select(*bars.columns, y.alias(name))
+    keeps = {name: 1.0 - 2.0 / (span + 1) for name, span in spans.items()}
+    part = [_steps(C("__bars"), k, F.lit(0.0)).alias(name) for name, k in keeps.items()]
+    own = sessions.select(*SESSION, F.size("__bars").alias("n"),
+                          F.element_at("__bars", 1)["adj_close"].alias("first"), *part)
+    days = own.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct(
+        "session_date", "n", "first", *keeps))).alias("days"))
+    start = F.element_at("days", 1)["first"]
+    before = {name: _trail(C("days"), start, lambda y, d, name=name, k=k: F.pow(
+        F.lit(k), d["n"]) * y + d[name]) for name, k in keeps.items()}
+    starts = days.select("instrument_id", "days", *[v.alias(k) for k, v in before.items()]).select(
+        "instrument_id", F.inline(F.arrays_zip(
+            F.transform("days", lambda d: d["session_date"]).alias("session_date"),
+            *[F.slice(C(k), 1, F.size("days")).alias(f"__{k}") for k in keeps])))
+    return sessions.join(starts, SESSION).withColumns({f"__{name}": F.slice(_trail(
+        C("__bars"), C(f"__{name}"), lambda y, b, k=k: k * y + F.coalesce(
+            (1.0 - k) * b["adj_close"], F.lit(0.0))), 2, F.size("__bars"))
+        for name, k in keeps.items()})
+
+
+def running_average(bars: DataFrame, span: int, name: str) -> DataFrame:
+    """Adds the recursion y = a*x + (1-a)*y over ``adj_close``, started at the first value, along
+    the bars of each instrument."""
+    f = _with_averages(_by_session(bars), {name: span})
+    f = f.select(*SESSION, F.inline(F.arrays_zip("__bars", F.col(f"__{name}").alias("y"))))
+    return f.select(*[C(c) if c in SESSION else C(f"__bars.{c}") for c in bars.columns],
+                    C("y").alias(name))
 
 
 def multiday_frame(bars: DataFrame, upto_dates: DataFrame, lookback: int = 2,
                    fast: int = 20, slow: int = 50) -> DataFrame:
     """Cash bars of a date and the sessions before it on one index, with running averages.
 
-    ``upto_dates``: instrument_id, last_date. The dates are picked on session rows first, and the
-    index of a bar is its place in its session after the bars of the sessions before.
+    ``upto_dates``: instrument_id, last_date. The bars are dealt to their sessions once and stay
+    arrays to the end; the dates are picked on session rows, and the index of a bar is its place in
+    its session after the bars of the sessions before.
     """
-    b = cash(bars)
-    per = b.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n")).join(upto_dates, "instrument_id")
+    b = _by_session(cash(bars).select(*SESSION, "mso", "adj_close"))
+    per = b.select(*SESSION, F.size("__bars").alias("n")).join(upto_dates, "instrument_id")
     rank = Window.partitionBy("instrument_id").orderBy(F.desc("session_date"))
     days = (per.where("session_date <= last_date").withColumn("k", F.row_number().over(rank))
             .withColumn("newest", F.first("session_date").over(rank))
             .where((C("k") <= lookback + 1) & (C("newest") == C("last_date"))))
     order = Window.partitionBy("instrument_id").orderBy("session_date")
     days = days.select(*SESSION, (F.sum("n").over(upto(order)) - C("n")).alias("before"))
-    f = b.select(*SESSION, "mso", "adj_close").join(days, SESSION)
-    f = f.withColumn("x", (C("before") + F.row_number().over(in_session()) - 1).cast("int"))
-    f = running_average(running_average(f.drop("before"), fast, "ema_fast"), slow, "ema_slow")
-    return f.select("instrument_id", "x", "session_date", "mso", "adj_close", "ema_fast", "ema_slow")
+    f = _with_averages(b.join(days, SESSION), {"ema_fast": fast, "ema_slow": slow})
+    f = f.select(*SESSION, "before", F.posexplode(F.arrays_zip(
+        "__bars", C("__ema_fast").alias("fast"), C("__ema_slow").alias("slow"))).alias("i", "b"))
+    return f.select("instrument_id", (C("before") + C("i")).cast("int").alias("x"), "session_date",
+                    "b.__bars.mso", "b.__bars.adj_close", C("b.fast").alias("ema_fast"),
+                    C("b.slow").alias("ema_slow"))

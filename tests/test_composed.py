@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from conftest import DAY, make_bars
 from pyspark.sql import functions as F
+from scans import leaves
 
 from barloom.operators import backtest, context, paths
 
@@ -51,6 +52,17 @@ def test_frame_spans_sessions_on_one_index(spark):
     assert np.allclose(got.ema_slow, pd.Series(px).ewm(span=9, adjust=False).mean())
 
 
+def test_frame_deals_its_bars_once(spark, scratch):
+    """Two averages over one set of sessions; the plan of the first is not run again for the second."""
+    bars, _ = walk_bars(spark, 3, 5)
+    bars.write.parquet(f"{scratch}/bars.parquet")
+    dates = spark.createDataFrame([(1, DAY + dt.timedelta(days=2))], "instrument_id long, last_date date")
+    f = context.multiday_frame(spark.read.parquet(f"{scratch}/bars.parquet"), dates)
+    assert leaves(f, "bars") <= 4
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") <= 2  # the dates are numbered, the bars are not
+
+
 def test_drawdown_of_a_pool_equals_the_curve(spark):
     rng = random.Random(2)
     rows = [(i % 3, DAY + dt.timedelta(days=rng.randrange(20)), rng.randrange(5), i,
