@@ -85,22 +85,25 @@ def seam_report(levels: DataFrame, p: SessionParams = SessionParams()) -> DataFr
 def apply_rolls(master: DataFrame, factors: DataFrame,
                 p: SessionParams = SessionParams()) -> DataFrame:
     """Adjusted prices. The plain feed takes the oldest contract's adjustment; an unknown
-    contract stays as it is."""
-    oldest = factors.groupBy("instrument_id").agg(
-        F.min_by("factor", "contract_month").alias("old_factor"),
-        F.min_by("roll_offset", "contract_month").alias("old_offset"))
+    contract stays as it is.
+
+    The contracts of an instrument are one row of a short map, so bars meet it by instrument: one
+    exchange of raw bars at most, none where they are dealt by instrument already.
+    """
+    by_instrument = factors.groupBy("instrument_id").agg(
+        F.map_from_entries(F.collect_list(F.when(C("con_id").isNotNull(), F.struct(
+            "con_id", F.struct("factor", C("roll_offset").alias("offset")))))).alias("known"),
+        F.min_by(F.struct("factor", C("roll_offset").alias("offset")), "contract_month")
+        .alias("oldest"))
     m = (master.drop(*[f"adj_{x}" for x in OHLC])
-         .join(factors.select(*CONTRACT, "factor", "roll_offset"), CONTRACT, "left")
-         .join(oldest, "instrument_id", "left"))
-    plain = C("feed") == "feed_5m"
-    m = m.withColumns({
-        "factor": F.coalesce(F.when(plain, C("old_factor")).otherwise(C("factor")), F.lit(1.0)),
-        "roll_offset": F.coalesce(F.when(plain, C("old_offset")).otherwise(C("roll_offset")),
-                                  F.lit(0.0))})
-    m = m.withColumns({f"adj_{x}": C(x) * C("factor") + C("roll_offset") for x in OHLC})
+         .join(by_instrument, "instrument_id", "left")
+         .withColumn("by", F.when(C("feed") == "feed_5m", C("oldest")).otherwise(
+             F.when(C("con_id").isNotNull(), F.try_element_at("known", C("con_id"))))))
+    factor, offset = F.coalesce("by.factor", F.lit(1.0)), F.coalesce("by.offset", F.lit(0.0))
+    m = m.withColumns({f"adj_{x}": C(x) * factor + offset for x in OHLC})
     return m.withColumn("adj_factor", F.when(
         C("close") != 0, C("adj_close") / C("close")).otherwise(1.0)).drop(
-        "old_factor", "old_offset", "factor", "roll_offset")
+        "known", "oldest", "by")
 
 
 def verify_rolls(factors: DataFrame, p: SessionParams = SessionParams()) -> DataFrame:
