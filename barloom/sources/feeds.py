@@ -61,11 +61,14 @@ def read_contract_feed(spark: SparkSession, glob: str, instrument_id: int = 1) -
 
 def write_table(df: DataFrame, path: str, date_col: str = "session_date") -> None:
     """Parquet partitioned by year and sorted by session inside the files: a date filter
-    prunes directories, an instrument filter row groups. A table without dates is one folder."""
+    prunes directories, an instrument filter row groups. A table without dates is one folder.
+
+    Rows are dealt by instrument, as the features leave them, so these are not exchanged again.
+    """
     if date_col not in df.columns:
         df.withColumn("year", F.lit(0)).write.mode("overwrite").partitionBy("year").parquet(path)
         return
-    (df.withColumn("year", F.year(date_col)).repartition("year", "instrument_id")
+    (df.repartition("instrument_id").withColumn("year", F.year(date_col))
      .sortWithinPartitions("year", "instrument_id", date_col)
      .write.mode("overwrite").partitionBy("year").parquet(path))
 
