@@ -13,6 +13,20 @@ from barloom.plans.storage import cut
 
 C = F.col
 
+#: What tiers, ranking, outcomes, day classes and descriptions read of the daily and opening features.
+READS = frozenset(similarity.FEATURES) | frozenset(opening.WEAKNESS_EVENTS) | frozenset((
+    "cash_open_adj cash_close_adj previous_close previous_day_high previous_day_low previous_day_range "
+    "overnight_high_adj overnight_low_adj prior_ath atr gap_pct distance_open_to_ath_pct ath_at_open "
+    "ath_reached_overnight near_ath_0.5pct open_above_pdh open_below_pdl daily_volatility_regime "
+    "day_net_points first_bar_is_bull first_bar_range first_bar_range_normalized first_bar_return "
+    "first_bar_close_location extension_ratio post_spike_overlap_ratio post_spike_efficiency "
+    "post_spike_pullback_ratio").split())
+
+
+def read_columns(features: DataFrame) -> DataFrame:
+    """The columns of session features that the search reads, for a caller who shows no others."""
+    return features.select(*SESSION, *[C(f"`{c}`") for c in features.columns if c in READS])
+
 
 @dataclass(frozen=True)
 class AnalogResult:
@@ -38,19 +52,21 @@ def analog_search(bars: DataFrame, daily: DataFrame, refs: DataFrame,
                   cutoff_min: int | None = None, period: str = "all",
                   path_method: str = "correlation", path_unit: str = "atr",
                   weights: dict[str, float] | None = None,
-                  features: DataFrame | None = None,
+                  features: DataFrame | None = None, narrow: bool = False,
                   p: SessionParams = SessionParams()) -> AnalogResult:
     """Historical sessions most like each instrument's reference session.
 
     ``mode``: ``exact`` ranks the exact matches, ``similarity`` ranks every session,
     ``combined`` ranks the sessions of the context filter's strong tier. ``features``: stored
-    opening features at the same cutoff, if there are any. The session features and the ranking
+    opening features at the same cutoff, if there are any. ``narrow``: of the session features
+    keep those that the search itself reads, and show no others beside the results. The session features and the ranking
     are read by several branches and written once each; both hold one row per session.
     """
     minute = p.cutoff_min if cutoff_min is None else cutoff_min
     op = opening.opening_features(bars, daily, minute, p) if features is None else features
     scope = similarity.in_period(daily, similarity.PERIODS[period], refs)
-    m = cut(similarity.feature_rows(scope, op))
+    m = similarity.feature_rows(scope, op)
+    m = cut(read_columns(m) if narrow else m)
     base = spec.context_only() if mode == "combined" else spec
     flagged = similarity.with_tiers(m, base)
     t = similarity.tiers(flagged, base, max(n, MIN_SAMPLE) if mode == "combined" else n)

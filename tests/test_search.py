@@ -193,3 +193,15 @@ def test_distribution_and_histogram(spark):
     assert [(x.bin, x.n) for x in h] == [(0, 1), (1, 1), (2, 2)]
     one = reports.histogram(d.where("v = 1"), "v").collect()
     assert [(x.bin, x.n) for x in one] == [(0, 1)]
+
+
+def test_narrow_search_reads_fewer_columns_and_finds_the_same(spark):
+    """What the search doesn't read is neither aggregated nor written; the results stay."""
+    from barloom.plans import catalog, search
+    t = catalog.Tables(spark, "/root/testdata/sf0.001")
+    wide, slim = t.stored_daily, t.searched_daily
+    assert not {"cash_open_raw", "overnight_open", "n_bars"} & set(slim.columns) and len(slim.columns) < 40 < len(wide.columns)
+    cols = ["instrument_id", "session_date", "rank", "similarity_score", "day_classification"]
+    got = [search.analog_search(t.bars, d, search.last_sessions(d), catalog.WIDE, n=5, narrow=k).top.select(
+        *cols).orderBy("instrument_id", "rank").collect() for d, k in ((wide, False), (slim, True))]
+    assert got[0] == got[1] and got[0]
