@@ -23,10 +23,12 @@ def master(plain: DataFrame, contracts: DataFrame, factors: DataFrame,
     """Both feeds in one row of sessions, on prices adjusted by the factors of their contracts.
 
     The contract feed is brought to the plain feed's grid first. ``con_id`` is null in bars of
-    the plain feed.
+    the plain feed. Raw bars are dealt by instrument once; the grid, the factors and the folders
+    they are written to keep them there.
     """
-    grid = bars.rebar(contracts, minutes, ("instrument_id", "con_id"), "local_dt")
-    both = bars.stitch(plain.select(*[c for c in _BARS if c != "con_id"]),
+    dealt = contracts.select(*_BARS).repartition("instrument_id")
+    grid = bars.rebar(dealt, minutes, ("instrument_id", "con_id"), "local_dt")
+    both = bars.stitch(plain.select(*[c for c in _BARS if c != "con_id"]).repartition("instrument_id"),
                        grid.withColumnRenamed("bar_dt", "local_dt").select(*_BARS))
     return rolls.apply_rolls(bars.sessionize(both, p), factors, p)
 
@@ -36,7 +38,7 @@ def build(store: Store, plain: DataFrame, contracts: DataFrame,
     """The manifest of the version that these feeds and parameters make, built once.
 
     ``plain``: instrument_id, local_dt, open, high, low, close, volume; ``contracts``: these and
-    con_id, contract_month, expiry. Both are tables, named by their files.
+    con_id, contract_month, expiry. Both are tables, named by their files; they may be parts of one.
     """
     cut = p.cutoff_min if cutoff_min is None else cutoff_min
     version = f"{fingerprint(p, source=plain)}-{fingerprint(p, source=contracts)}-{cut}"
@@ -48,9 +50,10 @@ def build(store: Store, plain: DataFrame, contracts: DataFrame,
             made[name] = store.write(df, f"{folder}/{name}")
             return store.read(made[name])
 
-        old = stage("plain", bars.sessionize(plain, p))
-        new = bars.sessionize(contracts, p)
-        factors = stage("rolls", rolls.roll_factors(rolls.contract_levels(new, p), p))
+        old = stage("plain", bars.sessionize(plain.repartition("instrument_id"), p))
+        factors = stage("rolls", rolls.roll_factors(rolls.contract_levels(
+            bars.sessionize(contracts, p), p), p))
+        new = bars.sessionize(contracts.repartition("instrument_id"), p)
         adjusted = stage("contracts", rolls.apply_rolls(
             new.withColumn("feed", F.lit("contract_1m")), factors, p))
         m = stage("master", master(old, adjusted, factors, p))

@@ -232,3 +232,19 @@ def test_a_date_means_the_session_before_it(spark):
     got = by_key(pullback.session_of(asked, sessions), "instrument_id", "asked_date")
     assert [got[1, d]["session_date"] for d in ask] == [DAY, DAY, DAY, days[1], days[1]]
     assert got[2, DAY]["session_date"] is None
+
+
+def test_the_build_exchanges_raw_bars_only(spark, scratch):
+    """Adjusted prices are made behind the exchange and written where they are: by broadcast or
+    not, nothing deals them again."""
+    old, new, _ = feeds(spark, scratch)
+    factors = spark.createDataFrame([(1, 1, 202403, 2.0, 0.0)],
+                                    "instrument_id long, con_id long, contract_month long, "
+                                    "factor double, roll_offset double")
+    m = build.master(old, new, factors).repartition("instrument_id").sortWithinPartitions("session_date")
+    m.collect()
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    dealt = [line for line in final.splitlines() if "hashpartitioning" in line]
+    assert dealt and all("hashpartitioning(instrument_id#" in x and "con_id" not in x for x in dealt)
+    assert len(dealt) <= 4
