@@ -13,6 +13,7 @@ from barloom.functions.columns import (SESSION, before, clock, count_where, in_s
                                        upto, whole_session, yes)
 from barloom.operators.bars import cash
 from barloom.params import PullbackParams, SessionParams
+from barloom.plans.storage import dealt
 
 C = F.col
 BULL, BEAR = 1, -1
@@ -267,9 +268,11 @@ def replay(bars: DataFrame, levels: DataFrame, requests: DataFrame,
     ``requests``: instrument_id, asked_date, as_of (minutes since the open). The walk looks back
     only, so it runs once to the close, and a request takes the snapshot of the last bar up to its
     minute: one equality join by session, of which each request keeps one row. A request before
-    the first bar finds the state that a session starts in.
+    the first bar finds the state that a session starts in. The walk sorts whole sessions several
+    times over, so they are dealt to tasks whose share does not grow with the bars.
     """
-    walked = walk(bars, p.but(deadline_min=sp.close_min - sp.open_min))
+    narrow = bars.select(*SESSION, "mso", "is_cash", "adj_high", "adj_low", "adj_close")
+    walked = walk(dealt(narrow, *SESSION), p.but(deadline_min=sp.close_min - sp.open_min))
     asked = session_of(requests, levels)
     found = asked.join(snapshots(walked, p), SESSION).where(
         (C("since").isNull() | (C("since") <= C("as_of")))

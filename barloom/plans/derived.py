@@ -8,21 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators import context, daily, opening, setups
 from barloom.params import ContextParams, SessionParams, SetupSpec
+from barloom.plans.storage import files_of
 from barloom.plans.store import Store
 from barloom.sources.feeds import write_table
 
 
-def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
-    """Path, length and time of every file that a table reads."""
-    jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
-    conf, out = sc._jsc.hadoopConfiguration(), []
-    for name in sorted(df.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        s = path.getFileSystem(conf).getFileStatus(path)
-        out.append((name, s.getLen(), s.getModificationTime()))
-    return out
-
-
 def fingerprint(*params, source: DataFrame | None = None) -> str:
     """Name part of a stored table: every parameter it was built with, and the files of its
     ``source``, so that new input is a new table."""

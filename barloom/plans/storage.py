@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files behind one task of a step that keeps its whole part of the rows.
+TASK_BYTES = 8 << 20
+
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder the cluster names in ``spark.checkpoint.dir``, which every
@@ -31,3 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of every file that a table reads."""
+    jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+    conf, out = sc._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return out
+
+
+def dealt(df: DataFrame, *keys: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Rows dealt by key to as many tasks as the files behind them ask for, so that a task's share
+    does not grow with the table. The session's number of shuffle partitions is the least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(n for _, n, _ in files_of(df))
+    return df.repartition(max(least, -(-size // task_bytes)), *keys)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import threading
 import time
 
@@ -234,6 +235,26 @@ def test_a_date_means_the_session_before_it(spark):
     assert got[2, DAY]["session_date"] is None
 
 
+def test_replay_deals_more_tasks_to_more_bars(spark, scratch, monkeypatch):
+    """A task's share of the bars is bounded; the number of shuffle partitions alone is not it."""
+    from barloom.plans import storage
+    days = weekdays(40)
+    make_bars(spark, {d: flat_session(12) for d in days}).write.parquet(f"{scratch}/bars")
+    b = spark.read.parquet(f"{scratch}/bars")
+    levels = make_levels(spark, days, pdh=101.0)
+    asked = spark.createDataFrame([(1, days[3], 30)], "instrument_id long, asked_date date, as_of int")
+
+    def tasks() -> int:
+        plan = pullback.replay(b, levels, asked)._jdf.queryExecution().optimizedPlan().toString()
+        return max(int(n) for n in re.findall(r"RepartitionByExpression .*, (\d+)", plan))
+
+    assert tasks() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(n for _, n, _ in storage.files_of(b))
+    monkeypatch.setattr(pullback, "dealt", lambda df, *k: storage.dealt(df, *k, task_bytes=size // 50))
+    assert tasks() >= 50
+    assert pullback.replay(b, levels, asked).count() == 1
+
+
 def test_the_build_exchanges_raw_bars_only(spark, scratch):
     """Adjusted prices are made behind the exchange and written where they are: by broadcast or
     not, nothing deals them again."""
